@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, linededup, packing, quality, sharding
+from . import jaccard, linededup, packing, pii, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").alias("clean_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda c: c["base"])
+    count = lambda kind: F.size(F.filter(base, lambda c: c["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *(count(k) for k in pii.KINDS[: pii.BASE_KINDS]), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")
+    )
+
+
 def tokenizer_contents(name: str) -> str:
     """A public tokenizer's file, read where the driver runs; the contents travel with the job."""
     import public_tokenizers
@@ -54,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
+    "op9_pii": op9_pii,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
