@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, linededup, packing, pii, quality, sharding
+from . import bytebpe, jaccard, langid, linededup, packing, pii, ppm, quality, sharding, topk
+from .common import id_bucket
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(_read(spark, sf_dir, "documents"), order=5, folds=7, held_out=2)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(_read(spark, sf_dir, "documents"), n_shards=16)
     return placed.select(
@@ -26,11 +31,27 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("quality").alias("p_good"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard.jaccard_components(_read(spark, sf_dir, "documents"), width=5, percent=80)
     return joined.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.digest_documents(_read(spark, sf_dir, "documents"), tokenizer_contents("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", id_bucket("doc_id", 3) == 1)
+    network = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.identify(docs, network, keep=("doc_id", "held_out"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.remove_site_boilerplate(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").alias("clean_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"))
@@ -59,9 +80,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_best_fit_packing": op10_best_fit_packing,
