@@ -26,8 +26,8 @@ class WordBpe:
     """Encoder over the contents of a tokenizer file. ``encode(text)`` gives little-endian unsigned 32-bit ids as bytes."""
 
     END = "</w>"
-    LIMIT = 250_000
-    LONG = 200
+    #: Entries of the two memos (about 200 bytes each) before they start anew, and bytes of a very long piece.
+    CHUNKS, PIECES, LONG = 300_000, 800_000, 200
 
     def __init__(self, contents: str):
         from tokenizers import Tokenizer
@@ -55,9 +55,9 @@ class WordBpe:
         self.chunks = Chunks()
 
     def encode(self, text: str | None) -> bytes:
-        if len(self.chunks) > self.LIMIT:
+        if len(self.chunks) > self.CHUNKS:
             self.chunks.clear()
-        if len(self.pieces) > self.LIMIT:
+        if len(self.pieces) > self.PIECES:
             self.pieces.clear()
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
@@ -68,12 +68,14 @@ class WordBpe:
             if max(chunk) > "ɏ":
                 return np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
             chunk = unicodedata.normalize("NFC", chunk)
-        known, made = self.pieces, []
-        for piece in self.pattern.findall(chunk.lower()):
-            if (ids := known.get(piece)) is None:
-                ids = known[piece] = self._piece(piece)
-            made.append(ids)
-        return b"".join(made)
+        chunk, known = chunk.lower(), self.pieces
+        if chunk.isalpha():  # what the pattern would find, without it
+            found = (chunk,)
+        elif chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            found = (chunk[:-1], chunk[-1])
+        else:
+            found = self.pattern.findall(chunk)
+        return b"".join([known.get(piece) or self._piece(piece) for piece in found])
 
     def _piece(self, piece: str) -> bytes:
         """Merge the lowest-ranked adjacent pair, leftmost first, until none is left."""
@@ -92,7 +94,8 @@ class WordBpe:
                 pairs[at] = find(token << 32 | ids[at + 1], none)
             if at:
                 pairs[at - 1] = find(ids[at - 1] << 32 | token, none)
-        return array("I", ids).tobytes()
+        made = self.pieces[piece] = array("I", ids).tobytes()
+        return made
 
 
 _encoders: dict[int, WordBpe] = {}
