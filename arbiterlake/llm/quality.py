@@ -119,8 +119,9 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rules: tuple[Rule, ..
     start = np.empty((len(rules), 2, 3))
     for i, r in enumerate(rules):
         speaks = r.good != "false"
-        start[i, 0] = (r.trust / 2, 1 - r.trust / 2 - (1 - r.trust) * speaks, (1 - r.trust) * speaks)
-        start[i, 1] = ((1 - r.trust) / 10, 1 - (1 - r.trust) / 10 - r.trust * 0.9 * speaks, r.trust * 0.9 * speaks)
+        fires = r.trust / len(rules)  # each rule starts with its share of what is bad, so silence tells little at first
+        start[i, 0] = (fires, 1 - fires - (1 - r.trust) * speaks, (1 - r.trust) * speaks)
+        start[i, 1] = ((1 - r.trust) / 50, 1 - (1 - r.trust) / 50 - r.trust * 0.9 * speaks, r.trust * 0.9 * speaks)
     start = np.clip(start, 1e-4, None)
     start /= start.sum(axis=2, keepdims=True)
 
