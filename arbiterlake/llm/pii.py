@@ -42,6 +42,11 @@ SPAN = "kind int, start int, stop int, base boolean, value string, before string
 
 #: Word lists of the labelers.
 DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
+#: First digits of card issuers, and first parts of addresses that name no host of a person.
+ISSUERS = ("3", "4", "5", "6")
+RESERVED = ("0", "10", "127", "255")
+FIRST_PART = "substring_index(c.value, '.', 1)"
+LAST_LABEL = "lower(substring_index(c.value, '.', -1))"
 CUES = r"(?i)(mail|e-mail|contact|phone|tel|call|mobile|fax|card|visa|account|konto|iban|ssn|address|adresse|ip|host|login|user|password|passwd|pwd|token|secret|key)[^A-Za-z0-9]{0,4}$"
 COUNTER_CUES = r"(?i)(version|release|section|chapter|figure|table|page|isbn|article|paragraph|vol|no)[^A-Za-z0-9]{0,3}$"
 
@@ -114,19 +119,27 @@ def candidates(text_col: str) -> Column:
 _CUE, _COUNTER = f"c.before rlike r'{CUES}'", f"c.before rlike r'{COUNTER_CUES}'"
 _BORDERED = "(c.before = '' or c.before rlike '[^A-Za-z0-9]$') and (c.after = '' or c.after rlike '^[^A-Za-z0-9]')"
 
-#: The labelers: conditions against and for personal data over the fields of a span ``c``.
+_IN = lambda column, words: f"{column} in ({', '.join(map(repr, words))})"
+
+#: The labelers: conditions against and for personal data over the fields of a span ``c``. Each abstains on
+#: the kinds it knows nothing of.
 LABELERS = (
-    Rule("checksum", "c.kind < 4 and not c.base", "c.base", trust=0.9),
-    Rule("gazetteer", "c.kind = 0 and not lower(c.value) rlike r'\\.[a-z]{2,12}$'", f"(c.kind = 0 and lower(substring_index(c.value, '.', -1)) in ({', '.join(map(repr, DOMAINS))})) or c.value rlike '^AKIA'", trust=0.8),
+    Rule("checksum", "c.kind < 4 and not c.base", "c.base", trust=0.97),
+    Rule(
+        "gazetteer",
+        f"(c.kind = 2 and not {_IN('left(c.value, 1)', ISSUERS)}) or (c.kind = 1 and {_IN(FIRST_PART, RESERVED)})",
+        f"(c.kind in (0, 4) and {_IN(LAST_LABEL, DOMAINS)}) or (c.kind = 2 and {_IN('left(c.value, 1)', ISSUERS)}) or (c.kind = 8 and c.value rlike '^(AKIA|[0-9a-f]{{16,}}$)')",
+        trust=0.75,
+    ),
     Rule("context", _COUNTER, f"({_CUE}) or (c.kind = 8 and c.before rlike '[=:]')", trust=0.85),
-    Rule("shape", "length(c.value) < 7 or length(regexp_replace(c.value, r'(.)\\1+', '$1')) < 4", "c.kind >= 4 and length(c.value) >= 9 and c.value rlike '[0-9]'", trust=0.7),
+    Rule("shape", f"length(regexp_replace(c.value, r'(.)\\1+', '$1')) < 4 or length(c.value) < 6", f"length(c.value) >= 9 or (c.kind = 1 and not c.value rlike r'(^|\\.)0[0-9]')", trust=0.65),
     Rule("borders", f"not ({_BORDERED})", _BORDERED, trust=0.65),
 )
 
 #: The classifier's features: name -> (number of values, SQL over the fields of a span ``c`` giving 0 .. number - 1).
 FEATURES = {
     "kind": (len(KINDS), "c.kind"),
-    "base": (2, "int(c.base)"),
+    "valid": (3, "case when c.kind >= 4 then 2 when c.base then 1 else 0 end"),
     "length": (5, "case when length(c.value) < 8 then 0 when length(c.value) < 12 then 1 when length(c.value) < 17 then 2 when length(c.value) < 30 then 3 else 4 end"),
     "digits": (4, "case when not c.value rlike '[0-9]' then 0 when not c.value rlike '[A-Za-z]' then 1 when length(regexp_replace(c.value, '[^0-9]', '')) * 2 < length(c.value) then 2 else 3 end"),
     "cue": (3, f"case when {_COUNTER} then 0 when {_CUE} or c.before rlike '[=:] ?\"?$' then 2 else 1 end"),
@@ -134,16 +147,17 @@ FEATURES = {
 }
 
 
-def fit_classifier(cells: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 300, decay: float = 1.0) -> list[np.ndarray]:
-    """Logistic regression on one-hot features with soft labels; gradient descent on a bounded table. One weight vector a feature."""
+def fit_classifier(cells: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 25, decay: float = 1.0) -> list[np.ndarray]:
+    """Ridge logistic regression on one-hot features with soft labels, by Newton steps on a bounded table. One weight vector a feature."""
     sizes = [n for n, _ in FEATURES.values()]
     start = np.concatenate([[0], np.cumsum(sizes)])
-    at = cells + start[:-1]
-    w, total = np.zeros(start[-1]), max(weight.sum(), 1.0)
-    for step in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(w[at].sum(axis=1), -50, 50)))
-        grad = np.bincount(at.ravel(), np.repeat(weight * (p - label), len(sizes)), start[-1])
-        w -= 2.0 * (grad + decay * w) / (total + decay) * (1 if step < rounds // 2 else 0.5)
+    x = np.zeros((len(cells), start[-1]))
+    x[np.arange(len(cells))[:, None], cells + start[:-1]] = 1
+    w = np.zeros(start[-1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + decay * np.eye(len(w))
+        w -= np.linalg.solve(curve, x.T @ (weight * (p - label)) + decay * w)
     return [w[a:b] for a, b in zip(start, start[1:])]
 
 
@@ -156,7 +170,7 @@ def train(found: DataFrame) -> tuple[LabelModel, list[np.ndarray]]:
     table = values.groupBy(*values.columns).count().collect()
     rows = np.array([list(r) for r in table], dtype=np.int64).reshape(len(table), len(LABELERS) + len(FEATURES) + 1)
     vote, cell, weight = rows[:, : len(LABELERS)], rows[:, len(LABELERS) : -1], rows[:, -1].astype(float)
-    model = fit_label_model(vote, weight, LABELERS, prior=0.6)
+    model = fit_label_model(vote, weight, LABELERS, prior=0.7, weight=max(20.0, 0.25 * weight.sum()), silence_tells=False)
     return model, fit_classifier(cell, model.posterior(vote), weight)
 
 

@@ -107,7 +107,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(votes), -500, 500)))
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, rules: tuple[Rule, ...], prior: float = 0.9, rounds: int = 100, weight: float = 20.0) -> LabelModel:
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, rules: tuple[Rule, ...], prior: float = 0.9, rounds: int = 100, weight: float = 20.0, silence_tells: bool = True) -> LabelModel:
     """Expectation-maximisation over vote patterns (rows of -1, 0, 1) and their counts.
 
     Per class every rule has its own rates of the three votes, abstaining included: a detector that never
@@ -126,6 +126,9 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rules: tuple[Rule, ..
     start /= start.sum(axis=2, keepdims=True)
 
     def model(share: float, rates: np.ndarray) -> LabelModel:
+        if not silence_tells:
+            rates = rates[:, :, [0, 2]] / rates[:, :, [0, 2]].sum(axis=2, keepdims=True)
+            rates = np.insert(rates, 1, 1.0, axis=2)
         ratios = np.log(rates[:, 1]) - np.log(rates[:, 0])
         ratios[:, 0] = np.minimum(ratios[:, 0], 0)
         ratios[:, 2] = np.maximum(ratios[:, 2], 0)
