@@ -92,4 +92,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: CRC-32 of a text in SQL: the table from its polynomial, then one step a byte.
+_CRC = """
+WITH crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+crc AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) END AS text_crc32 FROM documents, crc_table)
+"""
+
+#: Words of a text, lower-cased A-Z, cut at the six ASCII spaces.
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op5_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT s.doc_id, len(g) AS n_shingles, (SELECT min(b) FROM c WHERE c.a = s.doc_id) AS component_id, (SELECT count(*) FROM l WHERE l.a = s.doc_id) AS n_links FROM s
+""",
+    "op8_line_dedup": """
+WITH l AS (SELECT doc_id, source, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)),
+b AS (SELECT trim(line) AS x, min(doc_id * 1000000 + i) AS first FROM l WHERE length(trim(line)) >= 16 GROUP BY 1 HAVING count(DISTINCT source) >= 5),
+m AS (SELECT l.*, b.x IS NOT NULL AND doc_id * 1000000 + i <> first AS gone FROM l LEFT JOIN b ON trim(line) = x AND length(trim(line)) >= 16),
+d AS (SELECT doc_id, count(*)::INT AS n_lines, count_if(gone)::INT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS clean FROM m GROUP BY 1)
+SELECT doc_id, n_lines, n_removed, length(clean)::INT AS clean_chars, md5(clean) AS clean_md5 FROM d
+""",
+    "op2_sharding": _CRC + """
+, o AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, text_crc32, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM crc),
+p AS (SELECT *, sum(size) OVER (ORDER BY pos) - size AS ahead, sum(size) OVER () AS total FROM o),
+h AS (SELECT *, least(15, ((2 * ahead + size) * 16) // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, pos - min(pos) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM h
+""",
+}
