@@ -228,3 +228,47 @@ def asset_violations(assets: DataFrame) -> DataFrame:
         (filled("chosen_answer") & (clean("chosen_answer") == clean("rejected_answer")), "chosen and rejected answers must differ"),
     )
     return assets.select("asset_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in checks)))).alias("message"))
+
+
+def choose_candidates(rows: DataFrame, per_type: int, order: str = "run_id") -> DataFrame:
+    """The worst rows of every asset type: failures before partial and passed ones, at most ``per_type`` each, one a case."""
+    severity = F.coalesce(F.array_position(F.array(*map(F.lit, ("fail", "partial", "pass"))), F.col("outcome")), F.lit(0))
+    rank = F.when(severity == 0, 9).otherwise(severity)
+    usable = rows.filter((F.col("asset_type") != "preference") | filled("rejected_answer")).withColumn("_rank", rank)
+    case = Window.partitionBy("asset_type", "source_case_id").orderBy("_rank", order)
+    first = usable.withColumn("_no", F.row_number().over(case)).filter("_no = 1")
+    kind = Window.partitionBy("asset_type").orderBy("_rank", order)
+    return first.withColumn("_no", F.row_number().over(kind)).filter(F.col("_no") <= per_type).drop("_no", "_rank")
+
+
+def independent_candidates(candidates: DataFrame, used: DataFrame) -> DataFrame:
+    """Candidates that share neither case nor snapshot nor prompt with the assets in use."""
+    made = candidates
+    for c in ("source_case_id", "source_snapshot_id", "normalized_user_prompt_hash"):
+        made = made.join(used.filter(filled(c)).select(c).distinct(), c, "left_anti")
+    return made
+
+
+def memberships(assets: DataFrame, release: str) -> DataFrame:
+    """Membership rows of a release with their default ids."""
+    return assets.select(F.concat_ws("-", F.lit("MEM"), F.lit(release), "asset_id", "split").alias("dataset_membership_id"), "asset_id", F.lit(release).alias("dataset_release_id"), "split", F.lit("included").alias("status"))
+
+
+def release_errors(assets: DataFrame, members: DataFrame, qa: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """Messages for a release: counts per type, unknown members, failed checks, overlap of train and test."""
+    counts = assets.groupBy("asset_type").count()
+    wanted = assets.sparkSession.createDataFrame(list(expected.items()), "asset_type string, wanted long")
+    wrong = wanted.join(counts, "asset_type", "left").filter(F.coalesce("count", F.lit(0)) != F.col("wanted")).select(F.col("asset_type").alias("subject"), F.lit("unexpected number of assets").alias("message"))
+    unknown = members.join(assets, "asset_id", "left_anti").select(F.col("asset_id").alias("subject"), F.lit("member without asset").alias("message"))
+    failed = qa.join(members, "asset_id", "left_semi").filter(~F.col("passed")).select(F.col("asset_id").alias("subject"), F.lit("failed quality check").alias("message"))
+    split = lambda s: assets.join(members.filter((F.col("split") == s) & (F.col("status") == "included")).select("asset_id"), "asset_id", "left_semi")
+    fields = [f for f in FINGERPRINTS if f in assets.columns]
+    overlap = contamination(split("train"), split("test"), fields).select(F.col("train_asset_id").alias("subject"), F.lit("train and test overlap").alias("message"))
+    return wrong.unionByName(unknown).unionByName(failed).unionByName(overlap)
+
+
+def topic_results(outputs: DataFrame) -> DataFrame:
+    """One row per asset and required topic, found or not by any alias."""
+    topics = outputs.select("asset_id", F.coalesce("output_text", F.lit("")).alias("_text"), "required_topic_aliases", F.explode("required_topics").alias("topic"))
+    alias = F.coalesce(F.try_element_at("required_topic_aliases", F.col("topic")), F.array("topic"))
+    return topics.select("asset_id", "topic", F.exists(alias, lambda a: topic_hit(F.col("_text"), a)).alias("matched"))

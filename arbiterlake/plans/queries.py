@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vs
-from ..operators import assets, calibration, claims, dashboard, judging, retrieval, routing, traces
+from ..operators import assets, calibration, claims, dashboard, execution, judging, reports, retrieval, routing, traces
 from ..sources import sinks
 from . import driver_tables as dt
 
@@ -493,3 +493,56 @@ def assertion_results(spark, sf_dir):
         F.create_map(F.lit("license"), F.array(F.lit("Licensed"), F.lit("der"))).alias("required_topic_aliases"), F.lit(False).alias("citation_required"), F.array(F.lit("SRC-1")).alias("allowed_sources"),
     )
     return assets.evaluate_assertions(outputs).select("doc_id", "expected_policy_ok", "forbidden_ok", "topics_hit", "topics_ok", "citation_ok", "passed")
+
+
+@query(f"""
+WITH m AS (SELECT s.version, s.needs_human_review, coalesce(c.reviewable_claim_count, 0) AS n_open, coalesce(c.citation_gate_issue_count, 0) AS n_issue, coalesce(c.claim_entailment_release_blocker_count, 0) AS n_block
+  FROM {SCORES} s LEFT JOIN ({_SUMMARY}) c USING (run_id)),
+g AS (SELECT version, count(*) AS runs, count_if(needs_human_review = 'True') AS n_review, sum(n_open)::BIGINT AS reviewable_claim_count, sum(n_issue)::BIGINT AS citation_gate_issue_count,
+  sum(n_block)::BIGINT AS claim_entailment_release_blocker_count FROM m GROUP BY 1)
+SELECT version, runs, reviewable_claim_count, citation_gate_issue_count, claim_entailment_release_blocker_count, {_rate('n_review', 'runs')} AS human_review_rate,
+  {_rate('citation_gate_issue_count', 'reviewable_claim_count')} AS citation_issue_rate, CASE WHEN claim_entailment_release_blocker_count > 0 THEN 'source_boundary_or_claim_support_blocker' END AS gate_reason FROM g
+""")
+def workflow_comparison(spark, sf_dir):
+    table = _rel(spark, sf_dir, dt.SCORES).join(routing.claim_summary(_rel(spark, sf_dir, dt.CLAIMS)), "run_id", "left")
+    made = reports.workflow_comparison(table)
+    blocked = F.when(F.col("claim_entailment_release_blocker_count") > 0, F.col("gate_reason"))
+    return made.select("version", "runs", "reviewable_claim_count", "citation_gate_issue_count", "claim_entailment_release_blocker_count", "human_review_rate", "citation_issue_rate", blocked.alias("gate_reason"))
+
+
+@query(f"SELECT reviewable_legal_claim = 'yes' AS reviewable, entailment_label, count(*) AS count FROM {CLAIMS} GROUP BY 1, 2")
+def failure_taxonomy(spark, sf_dir):
+    return reports.label_counts(_rel(spark, sf_dir, dt.CLAIMS))
+
+
+@query(f"""
+WITH r AS (SELECT run_id, sample_id, model_alias, version, row_number() OVER (PARTITION BY model_alias, version ORDER BY run_id) AS cell FROM {SCORES})
+SELECT run_id, sample_id, model_alias, version FROM r ORDER BY CASE WHEN sample_id IN (1, 2, 3) THEN 0 WHEN cell = 1 THEN 1 ELSE 2 END, run_id LIMIT 60
+""")
+def redacted_samples(spark, sf_dir):
+    rows = _rel(spark, sf_dir, dt.SCORES).select("run_id", "sample_id", "model_alias", "version")
+    return reports.redacted_samples(rows, [1, 2, 3], 60)
+
+
+@query(f"""
+SELECT count(*) AS claim_entailment_rows, count_if(entailment_label = 'supported') AS supported_claim_count, count_if(entailment_label = 'contradicted') AS contradicted_claim_count,
+  count_if(entailment_label = 'no_citation') AS no_citation_claim_count FROM {CLAIMS}
+""")
+def claim_totals(spark, sf_dir):
+    return reports.claim_totals(_rel(spark, sf_dir, dt.CLAIMS)).select("claim_entailment_rows", "supported_claim_count", "contradicted_claim_count", "no_citation_claim_count")
+
+
+@query("""
+SELECT e.conv_id AS run_id, concat('[', CAST(e.turn AS VARCHAR), '] ', trim(e.text)) AS context FROM conversations e WHERE e.turn = 0
+""")
+def context_blocks(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("run_id"), F.lit(1).alias("rank"), F.col("turn").cast("string").alias("source_id"), "text")
+    return execution.context_block(turns)
+
+
+@query()
+def mock_runs(spark, sf_dir):
+    plan = run_plan(spark, sf_dir)
+    samples = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sample_id"), F.col("n_name").alias("user_question"))
+    call = lambda df: df.withColumns({"answer": execution.mock_answer(F.col("run_id"), F.col("prompt"), ("a", "b", "c", "d")), "error": F.lit("")})
+    return execution.execute_plan(plan, samples, call, "{user_question}\n{base_answer}").select("run_id", "version", "run_status", "output_text")

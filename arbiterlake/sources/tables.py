@@ -42,10 +42,10 @@ def read_bundle(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
     """Parsed objects, and the lines that are not objects of the schema."""
-    full = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    names = full.fieldNames()
-    raw = spark.read.schema(StructType([*full.fields]).add("_corrupt_record", "string")).option("mode", "PERMISSIVE").json(path)
-    return raw.filter("_corrupt_record is null").select(*names), raw.select("_corrupt_record", *names).filter("_corrupt_record is not null").select("_corrupt_record")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("_row"), F.try_parse_json("value").isNotNull().alias("_json"))
+    good = F.col("_json") & F.ltrim("value").startswith("{")
+    return parsed.filter(good).select("_row.*"), parsed.filter(~good).select("value")
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
