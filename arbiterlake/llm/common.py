@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -21,12 +22,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path or "file://" + os.path.join(tempfile.gettempdir(), "arbiterlake-scratch")
 
 
+_roots: set[str] = set()
+
+
+def _scratch(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables; it goes when the driver's Python ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+        def clear() -> None:
+            try:
+                path = jvm.org.apache.hadoop.fs.Path(root)
+                path.getFileSystem(conf).delete(path, True)
+            except Exception:  # the JVM has gone before; nothing can be deleted any more
+                pass
+
+        atexit.register(clear)
+    return root
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
 
     The columns come back in the same order; every column becomes nullable.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/scratch/{uuid.uuid4().hex}"
+    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
