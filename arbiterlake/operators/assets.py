@@ -272,3 +272,20 @@ def topic_results(outputs: DataFrame) -> DataFrame:
     topics = outputs.select("asset_id", F.coalesce("output_text", F.lit("")).alias("_text"), "required_topic_aliases", F.explode("required_topics").alias("topic"))
     alias = F.coalesce(F.try_element_at("required_topic_aliases", F.col("topic")), F.array("topic"))
     return topics.select("asset_id", "topic", F.exists(alias, lambda a: topic_hit(F.col("_text"), a)).alias("matched"))
+
+
+def review_bundle(states: DataFrame, corrections: DataFrame, candidates: DataFrame, order: str = "seq") -> DataFrame:
+    """What experts see: assets waiting for them with the latest correction and the one before it."""
+    waiting = latest(states, "asset_id", order).filter(F.col("to_status") == "expert_review_pending").select("asset_id")
+    last = latest(previous(corrections, "asset_id", "revision_number", "corrected_answer"), "asset_id", "revision_number")
+    return waiting.join(last, "asset_id").join(candidates, "asset_id", "left")
+
+
+def bundle_errors(pending: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Messages for returned decisions: assets missing, unknown or decided twice, and decisions of no known kind."""
+    say = lambda df, text: df.select("asset_id", F.lit(text).alias("message"))
+    made = say(pending.join(decisions, "asset_id", "left_anti"), "decision is missing")
+    made = made.unionByName(say(decisions.join(pending, "asset_id", "left_anti"), "asset is not pending"))
+    made = made.unionByName(say(decisions.groupBy("asset_id").count().filter("count > 1"), "more than one decision"))
+    made = made.unionByName(say(decisions.filter(~F.col("decision").isin("approve", "rework", "reject")), "unknown decision"))
+    return made.unionByName(say(decisions.filter((F.col("decision") != "approve") & ~filled("reason")), "a reason is required"))

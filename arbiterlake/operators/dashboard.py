@@ -19,6 +19,13 @@ ACTIONS = {
     "needs_human_review": "human review calibration",
 }
 
+#: Fixed texts of the policy hint: little risk, much risk, between.
+HINTS = (
+    "candidate for auto-answer only if critical checks pass",
+    "route to human review or stronger workflow before release",
+    "limited release with monitoring and targeted data production",
+)
+
 
 def mean(c: Column, places: int) -> Column:
     """Mean of decimals, so that it does not depend on the order of rows."""
@@ -101,8 +108,8 @@ def deployment_policy(scores: DataFrame, routing: DataFrame, runs: DataFrame) ->
         mean(number(F.col("latency_ms")), 4).alias("avg_latency_ms"), F.round(F.sum(number(F.col("estimated_cost")).cast("decimal(18,6)")).cast("double"), 4).alias("total_estimated_cost"),
     )
     hint = (
-        F.when((F.col("high_risk_rate") <= 0.05) & (F.col("human_review_rate") <= 0.15), "candidate for auto-answer only if critical checks pass")
-        .when(F.col("high_risk_rate") >= 0.2, "route to human review or stronger workflow before release").otherwise("limited release with monitoring and targeted data production")
+        F.when((F.col("high_risk_rate") <= 0.05) & (F.col("human_review_rate") <= 0.15), HINTS[0])
+        .when(F.col("high_risk_rate") >= 0.2, HINTS[1]).otherwise(HINTS[2])
     )
     return made.withColumn("policy_hint", hint)
 

@@ -97,3 +97,15 @@ def trace_metrics(evaluated: DataFrame) -> DataFrame:
         of("lexical_overclaim_flag").alias("overclaims"), of("human_review_recommended").alias("review_recommended"), of("safe_redirection").alias("redirected"),
     )
     return one.unpivot([], one.columns, "metric", "value")
+
+
+def trace_case_errors(cases: DataFrame, required: Sequence[str], recommendations: Sequence[str]) -> DataFrame:
+    """``case_id`` and ``message`` for trace cases with missing fields, repeated ids, unordered turns or unknown recommendations."""
+    turns = F.transform("turn_plan", lambda t: t["turn"])
+    checks = [(clean(c) == "", f"missing {c}") for c in required]
+    checks += [
+        (F.coalesce(F.size("turn_plan"), F.lit(0)) == 0, "no turns"), (turns != F.sequence(F.lit(1).cast("long"), F.greatest(F.size("turn_plan"), F.lit(1)).cast("long")), "turns are not numbered from 1"),
+        (~clean("expected_trace_review_recommendation").isin(*recommendations), "invalid recommendation"),
+    ]
+    made = cases.select("case_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in checks)))).alias("message"))
+    return made.unionByName(cases.groupBy("case_id").count().filter("count > 1").select("case_id", F.lit("duplicate case_id").alias("message")))

@@ -66,3 +66,19 @@ def public_columns(df: DataFrame, allowed: Sequence[str], texts: Sequence[str] =
 def file_hashes(spark, path: str) -> DataFrame:
     """Path and SHA-256 of every file under ``path``."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def manifest(inputs: dict[str, DataFrame], definitions: dict[str, str] | None = None) -> dict:
+    """Row count and content hash of every input, for a report's record. The hash does not depend on row order."""
+    made = {}
+    for name, df in inputs.items():
+        row = df.select(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(20,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("h")).first()
+        made[name] = {"rows": row["n"], "columns": sorted(df.columns), "content": str(row["h"] or 0)}
+    return {"inputs": made, "definitions": definitions or {}}
+
+
+def markdown(df: DataFrame, title: str, limit: int = 200) -> str:
+    """A small table as Markdown; ``limit`` bounds what reaches the driver."""
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    return "\n".join(head + ["| " + " | ".join(map(cell, r)) + " |" for r in df.limit(limit).collect()]) + "\n"

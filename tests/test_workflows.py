@@ -106,3 +106,39 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_json_in_text(spark):
+    from arbiterlake.functions import jsontext as js
+
+    df = spark.createDataFrame([('note {bad} then {"b": "}", "a": 1} {"c": 2}', "x"), ("[1]", '["p", "q"]'), (None, "")], "x string, y string")
+    got = df.select(js.first_object(F.col("x")).alias("o"), js.list_or_scalar(F.col("y")).alias("l"), js.fenced_object(F.col("x")).alias("f")).collect()
+    assert [r.o for r in got] == ['{"a": 1, "b": "}"}', None, None] and [r.l for r in got] == [["x"], ["p", "q"], []] and got[0].f is None
+
+
+def test_manifest_and_markdown(spark):
+    from arbiterlake.sources import sinks
+
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "k int, v string")
+    one, two = sinks.manifest({"t": df}), sinks.manifest({"t": df.orderBy(F.desc("k"))})
+    assert one == two and one["inputs"]["t"]["rows"] == 2
+    assert "a\\|b" in sinks.markdown(df.orderBy("k"), "T")
+
+
+def test_trace_cases(spark):
+    from arbiterlake.operators import traces
+
+    ddl = "case_id string, initial_user_message string, turn_plan array<struct<turn:bigint,user_message:string>>, expected_trace_review_recommendation string"
+    df = spark.createDataFrame([("a", "hi", [(1, "x"), (2, "y")], "blocked"), ("b", "", [(2, "x")], "odd")], ddl)
+    got = {tuple(r) for r in traces.trace_case_errors(df, ("initial_user_message",), ("blocked",)).collect()}
+    assert got == {("b", "missing initial_user_message"), ("b", "turns are not numbered from 1"), ("b", "invalid recommendation")}
+
+
+def test_expert_bundle(spark):
+    states = spark.createDataFrame([("a", 1, "expert_review_pending"), ("b", 1, "expert_review_pending"), ("b", 2, "accepted")], "asset_id string, seq int, to_status string")
+    corrections = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new")], "asset_id string, revision_number int, corrected_answer string")
+    row = assets.review_bundle(states, corrections, spark.createDataFrame([("a", "t")], "asset_id string, asset_type string")).first()
+    assert (row.asset_id, row.corrected_answer, row.previous_corrected_answer) == ("a", "new", "old")
+    pending = spark.createDataFrame([("a",), ("c",)], "asset_id string")
+    decisions = spark.createDataFrame([("a", "rework", ""), ("z", "approve", "")], "asset_id string, decision string, reason string")
+    assert {tuple(r) for r in assets.bundle_errors(pending, decisions).collect()} == {("c", "decision is missing"), ("z", "asset is not pending"), ("a", "a reason is required")}
