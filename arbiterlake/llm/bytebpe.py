@@ -18,7 +18,7 @@ import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import hold, map_arrow
 
 
 def parse_ranks(contents: str) -> dict[bytes, int]:
@@ -116,6 +116,7 @@ _codecs: dict[int, ByteBpe] = {}
 
 def codec(contents: str, pattern: str) -> ByteBpe:
     """One codec a process for the same vocabulary: memos live across tasks."""
+    hold("bytebpe", _codecs.clear)
     key = hash((contents, pattern))
     if key not in _codecs:
         _codecs.clear()

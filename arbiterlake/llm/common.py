@@ -53,6 +53,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_holder: list = [None, None]
+
+
+def hold(owner: str, release: Callable[[], None] | None = None) -> None:
+    """A worker process keeps the look-up tables of one operator; when another one runs there, they are released."""
+    if _holder[0] != owner:
+        if _holder[1]:
+            _holder[1]()
+        _holder[:] = [owner, release]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, shuffle_partitions
+from .common import hold, map_arrow, materialize, shuffle_partitions
 from .components import connected_components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -33,11 +33,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int = 5, run: int = 1_000_000) -> list[np.ndarray]:
     """Per text the sorted distinct 62-bit hashes of its ``width``-word shingles (lower-cased A-Z).
 
-    Fewer words: the whole sequence is the one shingle. No words or null: the empty set.
+    Fewer words: the whole sequence is the one shingle. No words or null: the empty set. Texts are taken in
+    runs of about ``run`` characters, so that the words of a whole batch are never held at once.
     """
+    hold("jaccard")
+    out, start, size = [], 0, 0
+    for i, x in enumerate(texts):
+        size += len(x or "")
+        if size >= run or i == len(texts) - 1:
+            out.extend(_shingles(texts[start : i + 1], width))
+            start, size = i + 1, 0
+    return out
+
+
+def _shingles(texts: list[str | None], width: int) -> list[np.ndarray]:
     words = [x.encode("utf-8", "surrogatepass").lower().split() if x else [] for x in texts]
     every = [w for doc in words for w in doc]
     one = np.fromiter(map(xxhash.xxh3_64_intdigest, every), dtype=np.uint64, count=len(every))

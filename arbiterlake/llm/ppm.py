@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, map_arrow, materialize
+from .common import hold, id_bucket, map_arrow, materialize
 
 #: Ends a text and stands for what is before it; never part of UTF-8.
 END = 0xFF
@@ -256,6 +256,7 @@ _held: dict[str, tuple] = {}
 
 def _model(name: str, sent, order: int) -> tuple[Slice, Trie]:
     """A slice and its look-up tables; a process holds those of one slice at a time."""
+    hold("ppm", _held.clear)
     if name not in _held:
         _held.clear()
         piece = sent.value

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, words_of
+from .common import hold, map_arrow, materialize, words_of
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -158,6 +158,7 @@ def measured(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ())
     source = df.select(*keep, *([text_col] if text_col not in keep else []))
 
     def run(batch):
+        hold("quality")
         rows = [measure(x) for x in batch.column(text_col).to_pylist()]
         cols = zip(*rows) if rows else [[] for _ in FEATURES]
         return {**{c: batch.column(c) for c in keep}, **dict(zip(FEATURES, map(list, cols)))}

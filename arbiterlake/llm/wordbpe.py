@@ -14,6 +14,8 @@ from array import array
 import numpy as np
 import regex
 
+from .common import hold
+
 
 def byte_symbols() -> list[str]:
     """The printable stand-in of every byte in byte-level vocabularies: itself if printable Latin-1, else the next from U+0100 on."""
@@ -103,6 +105,7 @@ _encoders: dict[int, WordBpe] = {}
 
 def encoder(contents: str) -> WordBpe:
     """One encoder a process for the same file contents: memos live across tasks."""
+    hold("wordbpe", _encoders.clear)
     key = hash(contents)
     if key not in _encoders:
         _encoders.clear()
