@@ -13,7 +13,7 @@ Each slice is collected, sent and held on its own, and scores are sums over slic
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import xxhash
@@ -255,13 +255,18 @@ _held: dict[str, tuple] = {}
 
 
 def _model(name: str, sent, order: int) -> tuple[Slice, Trie]:
-    """A slice and its look-up tables; a process holds those of one slice at a time."""
+    """A slice and its look-up tables; a process holds those of one slice at a time.
+
+    PySpark keeps what it has read in ``sent`` as long as the process lives, and a slice comes again with each
+    batch: the value is not changed, only let go, and read again from its file when it is needed again.
+    """
     hold("ppm", _held.clear)
     if name not in _held:
         _held.clear()
         piece = sent.value
-        _held[name] = piece, Trie(*piece.grams, piece.short, order)
-        piece.grams = None
+        _held[name] = replace(piece, grams=None), Trie(*piece.grams, piece.short, order)
+        if getattr(sent, "_path", None):
+            del sent._value
     return _held[name]
 
 

@@ -84,6 +84,20 @@ def test_ppm_equals_plain(spark):
     assert sorted(round(r.base_score, 6) for r in sliced) == sorted(round(r.base_score, 6) for r in got)
 
 
+def test_ppm_slices_come_again(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(["ab", "abc", "Bca", "c", "é", "da"], k=rng.randint(0, 12)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)  # several tasks a worker
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")  # several batches a task
+    try:
+        whole, sliced = ([(r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in ppm.score_documents(df, order=3, **cut).orderBy("doc_id").collect()] for cut in ({}, {"slice_grams": 100, "slice_words": 3}))
+    finally:
+        spark.conf.set(key, before)
+    assert len(whole) == 120 and whole == sliced
+
+
 def test_ppm_edges(odd, empty):
     assert ppm.score_documents(odd).count() == len(ODD)
     assert ppm.score_documents(empty).count() == 0
