@@ -37,3 +37,11 @@ def test_query(spark, views, name):
     assert sorted(names) == columns
     want = sorted([tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall()], key=str)
     assert got == want
+
+
+def test_append_is_offered_every_event(spark, monkeypatch):
+    offered, append = [], library.assets.append_once
+    monkeypatch.setattr(library.assets, "append_once", lambda log, new, key: offered.append((log.count(), new.count())) or append(log, new, key))
+    library.append_new_events(spark, FOLDER)
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    assert offered == [(events.filter("event_id % 8 <> 4").count(), events.count())]
