@@ -540,6 +540,15 @@ def context_blocks(spark, sf_dir):
     return execution.context_block(turns)
 
 
+@query("""
+SELECT conv_id AS run_id, string_agg(concat('[', CAST(turn AS VARCHAR), '] ', trim(text)), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id
+""")
+def conversation_contexts(spark, sf_dir):
+    """All turns of every conversation, the first with rank 1, as one text in turn order."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("rank"), F.col("turn").cast("string").alias("source_id"), "text")
+    return execution.context_block(turns)
+
+
 @query()
 def mock_runs(spark, sf_dir):
     plan = run_plan(spark, sf_dir)

@@ -45,3 +45,12 @@ def test_append_is_offered_every_event(spark, monkeypatch):
     library.append_new_events(spark, FOLDER)
     events = spark.read.parquet(f"{FOLDER}/events.parquet")
     assert offered == [(events.filter("event_id % 8 <> 4").count(), events.count())]
+
+
+def test_contexts_of_conversations_hold_every_turn(spark):
+    turns = spark.read.parquet(f"{FOLDER}/conversations.parquet")
+    want = {}
+    for r in turns.orderBy("conv_id", "turn").collect():
+        want[r.conv_id] = want.get(r.conv_id, []) + [f"[{r.turn}] {r.text.strip()}"]
+    got = {r.run_id: r.context for r in library.QUERIES["conversation_contexts"](spark, FOLDER).collect()}
+    assert turns.count() > len(want) and got == {k: "\n".join(v) for k, v in want.items()}
