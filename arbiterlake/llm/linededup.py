@@ -18,13 +18,14 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
 
 
-def _lines(text_col: str, min_chars: int) -> Column:
-    """Hashes of the newline-split lines, null for lines of fewer than ``min_chars`` code points after trimming spaces."""
-    hashed = lambda x: F.when(F.length(F.trim(x)) >= min_chars, F.xxhash64(F.trim(x)))
+def _lines(text_col: str, min_chars: int | None) -> Column:
+    """Hashes of the newline-split lines, null for lines of fewer than ``min_chars`` code points after trimming spaces (None: for lines without a word)."""
+    counts = lambda x: x.rlike(r"[^\x20\x09-\x0D]") if min_chars is None else F.length(F.trim(x)) >= min_chars
+    hashed = lambda x: F.when(counts(x), F.xxhash64(F.trim(x)))
     return F.transform(F.split(F.col(text_col), "\n", -1), hashed)
 
 
-def line_occurrences(df: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
+def line_occurrences(df: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int | None) -> DataFrame:
     return df.select(
         _row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"), F.col(site_col).alias("_site"), F.posexplode(_lines(text_col, min_chars)).alias("_pos", "_line")
     ).filter(F.col("_line").isNotNull())
@@ -52,12 +53,12 @@ def boilerplate(lines: DataFrame, min_sites: int, band: float = 0.25, lg_k: int
 
 
 def remove_site_boilerplate(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_chars: int = 16, keep_first: bool = True
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_chars: int | None = 16, keep_first: bool = True
 ) -> DataFrame:
     """``df`` with boilerplate lines taken out of the texts, plus ``n_lines`` and ``n_removed``.
 
     A line counts if it has ``min_chars`` code points after trimming spaces and stands on ``min_sites``
-    distinct sites. With ``keep_first`` the occurrence with the smallest (id, row hash, place) stays, so no
+    distinct sites; with ``min_chars`` None every line that holds a word counts, however short. With ``keep_first`` the occurrence with the smallest (id, row hash, place) stays, so no
     line is lost from the corpus; identical repeated rows share that occurrence and all keep it.
 
     A null text stays null with no lines; an empty text has one empty line; a null site counts as no site;

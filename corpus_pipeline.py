@@ -21,11 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand on five or more sites, their first occurrence apart (operator 8).
+    """Texts without lines, short ones too, that stand on five or more sites, their first occurrence apart (operator 8).
 
     A document of which no word is left was made of such lines only, and goes.
     """
-    cleaned = linededup.remove_site_boilerplate(docs)
+    cleaned = linededup.remove_site_boilerplate(docs, min_chars=None)
     left = cleaned.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -275,6 +275,14 @@ def test_line_dedup(spark, odd, empty):
     assert linededup.remove_site_boilerplate(odd).count() == len(ODD) and linededup.remove_site_boilerplate(empty).count() == 0
 
 
+def test_short_lines_of_many_sites_go(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"own text number {i} of this page\nLog in\n\t\n", f"site{i}", 0) for i in range(6)], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {i: f"own text number {i} of this page\n" + ("Log in\n" if i == 0 else "") + "\t\n" for i in range(6)}
+
+
 # 9 -------------------------------------------------------------------------------------------------
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
