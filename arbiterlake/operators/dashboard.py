@@ -157,8 +157,9 @@ def kpis(runs: DataFrame, scores: DataFrame, routing: DataFrame) -> DataFrame:
 def badcase_cards(routing: DataFrame, scores: DataFrame, limit: int = 80) -> DataFrame:
     """Diverse badcases: the first of each policy and task, then of each policy and error, then by rank.
 
-    Rows are ranked by policy, priority, score and id. Each phase takes the best row of a cell among rows
-    whose sample, version and policy no earlier phase took; at most ``limit`` rows are returned.
+    Rows are ranked by policy, priority, score and id. The first three phases take rows whose sample, version
+    and policy are not taken yet; the errors of a policy choose in turn, the one with the best row first. The
+    fourth phase fills up with any other runs; at most ``limit`` rows are returned.
     """
     level = lambda c, order: F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.coalesce(c, F.lit(""))), F.lit(0))
     joined = canonical_routing(routing).join(scores.select("run_id", number(F.col("score_rate"), 1.0).alias("score")).dropDuplicates(["run_id"]), "run_id", "left")
@@ -167,7 +168,30 @@ def badcase_cards(routing: DataFrame, scores: DataFrame, limit: int = 80) -> Dat
     best = lambda df, *cell: df.withColumn("_no", F.row_number().over(Window.partitionBy(*cell).orderBy("_key"))).filter("_no = 1").drop("_no")
     same = ["sample_id", "version", "response_policy"]
     one = best(base, "response_policy", "task_category").withColumn("phase", F.lit(1))
-    two = best(best(base.join(one.select(*same).distinct(), same, "left_anti"), *same), "response_policy", "main_error_type").withColumn("phase", F.lit(2))
+    turns = base.withColumn("_turn", F.min("_key").over(Window.partitionBy("response_policy", "main_error_type")))
+    free = turns.join(one.select(*same).distinct(), same, "left_anti")
+    two = base.join(_in_turn(best(free, "main_error_type", *same), same), "run_id", "left_semi").withColumn("phase", F.lit(2))
     taken = one.select(*same).unionByName(two.select(*same)).distinct()
     three = best(base.join(taken, same, "left_anti"), *same).withColumn("phase", F.lit(3)).orderBy("_key").limit(limit)
-    return one.unionByName(two).unionByName(three).orderBy("phase", "_key").limit(limit).drop("_key")
+    new = one.unionByName(two).unionByName(three)
+    four = best(base.join(new.select("run_id"), "run_id", "left_anti"), "run_id").withColumn("phase", F.lit(4)).orderBy("_key").limit(limit)
+    return new.unionByName(four).orderBy("phase", "_key").limit(limit).drop("_key")
+
+
+def _in_turn(rows: DataFrame, same: list[str]) -> DataFrame:
+    """``run_id`` of the row that each error of a policy takes, errors in the order of their best rows, no ``same`` twice.
+
+    The errors before it take one key each, so an error needs no more rows than its policy has errors.
+    """
+    cell = Window.partitionBy("response_policy", "main_error_type")
+    kinds = rows.groupBy("response_policy").agg(F.countDistinct("_turn").alias("_kinds"))
+    rows = rows.withColumn("_no", F.row_number().over(cell.orderBy("_key"))).join(kinds, "response_policy").filter("_no <= _kinds")
+    one = F.struct("_turn", "_key", "run_id", F.struct(*same).alias("same"))
+    lists = rows.groupBy("response_policy").agg(F.array_sort(F.collect_list(one)).alias("_rows"))
+
+    def take(taken, row):
+        clash = F.exists(taken, lambda t: (t["_turn"] == row["_turn"]) | (t["same"].eqNullSafe(row["same"])))
+        return F.when(clash, taken).otherwise(F.concat(taken, F.array(row)))
+
+    picked = F.aggregate("_rows", F.filter("_rows", lambda r: F.lit(False)), take)
+    return lists.select(F.explode(picked).alias("_row")).select("_row.run_id")

@@ -142,3 +142,15 @@ def test_expert_bundle(spark):
     pending = spark.createDataFrame([("a",), ("c",)], "asset_id string")
     decisions = spark.createDataFrame([("a", "rework", ""), ("z", "approve", "")], "asset_id string, decision string, reason string")
     assert {tuple(r) for r in assets.bundle_errors(pending, decisions).collect()} == {("c", "decision is missing"), ("z", "asset is not pending"), ("a", "a reason is required")}
+
+
+def test_badcase_cards_fill_up_and_errors_choose_in_turn(spark):
+    from arbiterlake.operators import dashboard
+
+    runs = [("r1", "s1", "a"), ("r2", "s2", "a"), ("r3", "s2", "b"), ("r4", "s3", "b"), ("r5", "s2", "c"), ("r6", "s1", "a")]
+    routing = spark.createDataFrame([(r, s, "V0", "consultation", "block", e, "P0", "released") for r, s, e in runs], "run_id string, sample_id string, version string, task_category string, response_policy string, main_error_type string, priority string, workflow_status string")
+    scores = spark.createDataFrame([(r, 0.5) for r, _, _ in runs], "run_id string, score_rate double")
+    cards = lambda limit: [(r.run_id, r.phase) for r in dashboard.badcase_cards(routing, scores, limit).orderBy("phase", "run_id").collect()]
+    # a takes s2 before b can, so b takes s3 and c, with s2 only, takes none
+    assert cards(80) == [("r1", 1), ("r2", 2), ("r4", 2), ("r3", 4), ("r5", 4), ("r6", 4)]
+    assert cards(4) == [("r1", 1), ("r2", 2), ("r4", 2), ("r3", 4)]
