@@ -33,7 +33,7 @@ PATTERNS = {
     "local_phone": r"(?<![0-9+() .-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?<=(?:password|passwd|pwd|token|secret|api_key)(?: ?[=:] ?\"?))[A-Za-z0-9_/+-]{8,512}+)",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?<=(?i:password|passwd|pwd|token|secret|api_key)(?: ?[=:] ?\"?))[A-Za-z0-9_/+-]{8,}+)",
 }
 #: A cheap necessary pattern, so that most texts skip most patterns; digits where none is given.
 NEEDS = {"email": "@", "phone": r"\+", "masked_email": r"[(\[]at[)\]]", "secret": "[=:]|AKIA"}

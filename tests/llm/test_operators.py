@@ -317,6 +317,15 @@ def test_redaction(spark, odd):
     assert pii.redact_pii(odd).count() == len(ODD)
 
 
+def test_secrets_of_any_length_and_case(spark):
+    names = ["password", "TOKEN", "Api_Key", "API_KEY", "Password"]
+    rows = [(i, f"note {n}{sep}{'aB3_' * size} end") for i, (n, sep, size) in enumerate((n, sep, size) for n in names for sep in ("=", " = ", ": ") for size in (3, 128, 2000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in df.select("text", pii._proposed(F.col("text"), "secret").alias("spans")).collect():
+        assert [(s.start, s.stop) for s in r.spans] == [(r.text.index("aB3_"), len(r.text) - len(" end"))]
+    assert not [r for r in pii.redact_pii(df).collect() if "aB3_" in r.text]
+
+
 # 10 ------------------------------------------------------------------------------------------------
 def test_word_bpe_equals_library():
     own = wordbpe.WordBpe(contents("word_bpe_49k.json"))
