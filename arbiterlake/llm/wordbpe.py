@@ -1,8 +1,8 @@
 """Word-level BPE with end-of-word symbols: the ids that the tokenizer file's own library gives, faster.
 
 Texts split at blanks into chunks, chunks into pieces by the file's pattern, pieces into tokens. Chunks and
-pieces are memoised, so most of a text is dictionary look-ups. Very long pieces and chunks with letters
-beyond Latin are left to the library itself.
+pieces are memoised, so most of a text is dictionary look-ups. Very long pieces, chunks with letters beyond
+Latin and texts that hold an added token of the file are left to the library itself.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ class WordBpe:
 
         spec = json.loads(contents)
         self.library = Tokenizer.from_str(contents)
-        self.library.encode_special_tokens = True
+        assert not any(t["normalized"] for t in spec["added_tokens"]), "added tokens must be found in the text as it is"
+        self.added = [t["content"] for t in spec["added_tokens"]]
         vocab: dict[str, int] = spec["model"]["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         order = {vocab[a + b]: i for i, (a, b) in enumerate(pairs)}
@@ -61,6 +62,8 @@ class WordBpe:
             self.chunks.clear()
         if len(self.pieces) > self.PIECES:
             self.pieces.clear()
+        if text and any(map(text.__contains__, self.added)):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
     def _chunk(self, chunk: str) -> bytes:

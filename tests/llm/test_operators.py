@@ -336,6 +336,16 @@ def test_word_bpe_equals_library():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == own.library.encode(t, add_special_tokens=False).ids
 
 
+def test_word_bpe_knows_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own, library = wordbpe.WordBpe(contents("word_bpe_49k.json")), Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    for t in ["hi <|endoftext|> there", "<|startoftext|>É x<|endoftext|><|endoftext|>\nit's", "a <|ENDOFTEXT|> b", "<| endoftext |> <|endoftext", "日本<|endoftext|>語" + "a" * 3000, "plain words"]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode("hi <|endoftext|> there"), "<u4").tolist() == [1883, 49407, 997]
+
+
 def test_bulk_packing_equals_best_fit_decreasing():
     rng = random.Random(6)
     for _ in range(150):
