@@ -88,14 +88,13 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: st
     scores go to the smaller id; fewer candidates give fewer rows. Vectors that are null, empty or hold null
     or non-finite components take no part; vectors are compared within their dimension. Rows with a null id
     take no part. Rows with the query's id are its own and no candidates; a repeated id among candidates
-    appears once per row, and a repeated query id is searched once with one of its vectors (the smallest).
+    appears once per row, and a repeated query id is searched with each of its vectors, which share its ``k``.
     Scores beyond the range of long are clipped to it. Other columns are not read.
 
     Queries are collected in blocks of about ``block`` vectors, each block meeting all rows in one pass.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null")
     asked = df.filter(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
-    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // block))
     parts = []
     for b in range(blocks):

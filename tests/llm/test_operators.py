@@ -170,6 +170,18 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_searches_every_vector_of_a_query_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [None, 9.0]), (50, [None, 1.0]), (50, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 4.0]), (3, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = [(i, v) for i, v in rows if None not in v]
+    want = set()
+    for q in (0, 50):
+        pairs = sorted((-int(np.dot(v, x)), i) for j, v in good if j == q for i, x in good if i != q)[:4]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(pairs)}
+    for block in (4096, 1):
+        assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=4, scale=1.0, block=block).collect()} == want
+
+
 def test_top_k_large_numbers():
     q, x = np.array([[2.0**40, 3.0]]), np.array([[2.0**40, 1.0]])
     assert topk.exact(q, x)[0, 0] == 2**63 - 1
