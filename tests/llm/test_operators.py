@@ -92,10 +92,11 @@ def test_ppm_slices_come_again(spark):
     before = spark.conf.get(key)
     spark.conf.set(key, "3")  # several batches a task
     try:
-        whole, sliced = ([(r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in ppm.score_documents(df, order=3, **cut).orderBy("doc_id").collect()] for cut in ({}, {"slice_grams": 100, "slice_words": 3}))
+        cuts = ({}, {"slice_grams": 100, "slice_words": 3}, {"slice_grams": 60, "pass_bytes": 1})  # the last: a pass for every slice
+        whole, sliced, passes = ([(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in ppm.score_documents(df, order=3, **cut).orderBy("doc_id").collect()] for cut in cuts)
     finally:
         spark.conf.set(key, before)
-    assert len(whole) == 120 and whole == sliced
+    assert len(whole) == 120 and whole == sliced == passes
 
 
 def test_ppm_edges(odd, empty):
