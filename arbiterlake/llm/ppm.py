@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, id_bucket, map_arrow, materialize
+from .common import arrow_batches, hold, id_bucket, map_arrow, materialize
 
 #: Ends a text and stands for what is before it; never part of UTF-8.
 END = 0xFF
@@ -222,7 +222,7 @@ class _Counter:
         return _sums(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
 
 
-def chunks_of(texts: list, size: int = 1_000_000):
+def chunks_of(texts: list, size: int = 400_000):
     """Runs of texts of about ``size`` characters (one very long text alone makes a run)."""
     run, total = [], 0
     for t in texts:
@@ -405,15 +405,15 @@ def _partial_scores(docs: DataFrame, id_cols: list[str], text_col: str, sent: di
 
 def score_documents(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, folds: int = 7, held_out: int = 2,
-    slice_grams: int = 1_000_000, slice_words: int = 2_000_000, pass_bytes: int = 4 << 30,
+    slice_grams: int = 500_000, slice_words: int = 1_000_000, pass_bytes: int = 4 << 30, batch_rows: int = 1000,
 ) -> DataFrame:
     """Score every document of ``df`` with a model of those outside the held-out fold.
 
     Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one
     unigram model, log10) and ``score`` (log10 probability of the text by partial matching). The text is its
     lower-cased words with single spaces, then an end. ``slice_grams`` and ``slice_words`` bound what the
-    driver or a building task holds at once, ``pass_bytes`` what an executor maps in one pass over the
-    documents; a larger model is cut into more slices and passes, with the same result.
+    driver or a building task holds at once, ``batch_rows`` the texts that a worker holds at once, ``pass_bytes``
+    what an executor maps in one pass over the documents; a larger model is cut into more slices and passes, with the same result.
 
     A null or empty text is its end alone; a null id counts as the empty text in the fold's crc32; repeated
     rows are scored each; very long texts are scored whole; other columns are not read, whatever their names;
@@ -423,7 +423,8 @@ def score_documents(
 
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), (id_bucket(id_col, folds) == held_out).alias("_held"))
-    counts = materialize(corpus_counts(docs.filter(~F.col("_held")), "_text", order))
+    with arrow_batches(spark, batch_rows):
+        counts = materialize(corpus_counts(docs.filter(~F.col("_held")), "_text", order))
     sizes = {r["kind"]: r for r in counts.groupBy("kind").agg(F.count("*").alias("keys"), F.sum("n").alias("n")).collect()}
     train_tokens = int(sizes[WORD]["n"]) if WORD in sizes else 0
     distinct = int(sizes[WORD]["keys"]) if WORD in sizes else 0
@@ -461,7 +462,8 @@ def score_documents(
             del rows
             sent[number] = spark.sparkContext.broadcast(packed(list(zip(*columns))))
             del columns
-        parts.append(materialize(_partial_scores(docs, id_cols, "_text", sent, pieces, order, uuid.uuid4().hex)))
+        with arrow_batches(spark, batch_rows):
+            parts.append(materialize(_partial_scores(docs, id_cols, "_text", sent, pieces, order, uuid.uuid4().hex)))
         for one in sent.values():
             one.destroy()
 
