@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -18,9 +19,16 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one if unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, the context's checkpoint folder, or, in local mode alone, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path or "file://" + os.path.join(tempfile.gettempdir(), "arbiterlake-scratch")
+    if path:
+        return path
+    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_dir.isDefined():
+        return set_dir.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "arbiterlake-scratch")
 
 
 _roots: set[str] = set()
@@ -44,6 +52,15 @@ def _scratch(spark: SparkSession) -> str:
     return root
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and that nothing reads any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        if f"{_scratch(df.sparkSession).split('://')[-1]}/" in f"{folder}/":
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -66,6 +83,15 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system (a no-op where the C library cannot)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 _holder: list = [None, None]
 
 

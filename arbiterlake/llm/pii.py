@@ -29,10 +29,10 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,64}+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{1,64}+){1,8}+",
+    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]++)++",
     "local_phone": r"(?<![0-9+() .-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?<=(?i:password|passwd|pwd|token|secret|api_key)(?: ?[=:] ?\"?))[A-Za-z0-9_/+-]{8,}+)",
 }
 #: A cheap necessary pattern, so that most texts skip most patterns; digits where none is given.
@@ -40,13 +40,15 @@ NEEDS = {"email": "@", "phone": r"\+", "masked_email": r"[(\[]at[)\]]", "secret"
 
 SPAN = "kind int, start int, stop int, base boolean, value string, before string, after string"
 
-#: Word lists of the labelers.
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
-#: First digits of card issuers, and first parts of addresses that name no host of a person.
-ISSUERS = ("3", "4", "5", "6")
-RESERVED = ("0", "10", "127", "255")
-FIRST_PART = "substring_index(c.value, '.', 1)"
-LAST_LABEL = "lower(substring_index(c.value, '.', -1))"
+#: Gazetteers of the labelers, from public registries: generic endings of host names (two letters are a country's),
+#: first digits of card issuers, and address blocks reserved for private, local, documentation or multicast use.
+DOMAINS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "aero", "coop", "museum", "mobi", "travel", "jobs", "cat", "tel", "asia", "post",
+    "xyz", "online", "site", "shop", "app", "dev", "cloud", "tech", "store", "blog", "club", "live", "news", "world", "email", "agency", "company", "example",
+)
+ISSUERS = "^(4|5[0-9]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720)|30[0-59]|3[4-9]|6)"
+RESERVED = r"^0*(0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^0*169\.0*254\.|^0*172\.0*(1[6-9]|2[0-9]|3[01])\.|^0*192\.0*168\.|^0*192\.0+\.0*2\.|^0*198\.0*51\.0*100\.|^0*203\.0+\.0*113\."
+ENDING = f"lower(substring_index(c.value, '.', -1)) rlike '^({'|'.join(DOMAINS)}|[a-z][a-z])$'"
 CUES = r"(?i)(mail|e-mail|contact|phone|tel|call|mobile|fax|card|visa|account|konto|iban|ssn|address|adresse|ip|host|login|user|password|passwd|pwd|token|secret|key)[^A-Za-z0-9]{0,4}$"
 COUNTER_CUES = r"(?i)(version|release|section|chapter|figure|table|page|isbn|article|paragraph|vol|no)[^A-Za-z0-9]{0,3}$"
 
@@ -81,6 +83,16 @@ def _valid(kind: str, value: Column) -> Column:
 EMPTY = f"array<struct<{SPAN.replace(', ', ',').replace(' ', ':')}>>"
 
 
+def _running_sums(lengths: Column) -> Column:
+    """Sums up to and including each place, by doubling steps: as many passes over the array as its size has binary digits."""
+
+    def step(sums: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(0))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(lengths))).cast("int")), lengths, step)
+
+
 def _proposed(text: Column, kind: str) -> Column:
     """Array of spans of one kind, leftmost and non-overlapping, with their neighbourhood.
 
@@ -88,20 +100,20 @@ def _proposed(text: Column, kind: str) -> Column:
     """
     pattern, none = PATTERNS[kind], F.array().cast(EMPTY)
 
-    def span(values: Column, gaps: Column, i: Column) -> Column:
-        value = F.get(values, i)
-        skipped = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda t, x: t + F.length(x))
-        start = F.aggregate(F.slice(values, 1, i), skipped, lambda t, x: t + F.length(x))
+    def span(values: Column, gaps: Column, stops: Column, i: Column) -> Column:
+        value, stop = F.get(values, i), F.get(stops, i)
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(value)).alias("stop"),
+            F.lit(KINDS.index(kind)).alias("kind"), (stop - F.length(value)).alias("start"), stop.alias("stop"),
             (_valid(kind, value) if kind in KINDS[:BASE_KINDS] else F.lit(False)).alias("base"),
             value.alias("value"), F.right(F.get(gaps, i), F.lit(24)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(4)).alias("after"),
         )
 
+    def spans(values: Column, gaps: Column) -> Column:
+        ends = F.transform(F.array(_running_sums(F.transform(values, lambda v, i: F.length(F.get(gaps, i)) + F.length(v)))), lambda stops: F.transform(values, lambda _, i: span(values, gaps, stops, i)))
+        return F.flatten(ends)
+
     def located(values: Column) -> Column:
-        each = F.flatten(
-            F.transform(F.array(F.split(text, pattern, -1)), lambda gaps: F.transform(F.sequence(F.lit(0), F.size(values) - 1), lambda i: span(values, gaps, i)))
-        )
+        each = F.flatten(F.transform(F.array(F.split(text, pattern, -1)), lambda gaps: spans(values, gaps)))
         return F.when(F.size(values) > 0, each.cast(EMPTY)).otherwise(none)
 
     there = text.rlike(NEEDS.get(kind, "[0-9]"))
@@ -119,16 +131,14 @@ def candidates(text_col: str) -> Column:
 _CUE, _COUNTER = f"c.before rlike r'{CUES}'", f"c.before rlike r'{COUNTER_CUES}'"
 _BORDERED = "(c.before = '' or c.before rlike '[^A-Za-z0-9]$') and (c.after = '' or c.after rlike '^[^A-Za-z0-9]')"
 
-_IN = lambda column, words: f"{column} in ({', '.join(map(repr, words))})"
-
 #: The labelers: conditions against and for personal data over the fields of a span ``c``. Each abstains on
 #: the kinds it knows nothing of.
 LABELERS = (
     Rule("checksum", "c.kind < 4 and not c.base", "c.base", trust=0.97),
     Rule(
         "gazetteer",
-        f"(c.kind = 2 and not {_IN('left(c.value, 1)', ISSUERS)}) or (c.kind = 1 and {_IN(FIRST_PART, RESERVED)})",
-        f"(c.kind in (0, 4) and {_IN(LAST_LABEL, DOMAINS)}) or (c.kind = 2 and {_IN('left(c.value, 1)', ISSUERS)}) or (c.kind = 8 and c.value rlike '^(AKIA|[0-9a-f]{{16,}}$)')",
+        f"(c.kind = 2 and not regexp_replace(c.value, '[^0-9]', '') rlike '{ISSUERS}') or (c.kind = 1 and c.value rlike r'{RESERVED}')",
+        f"(c.kind in (0, 4) and {ENDING}) or (c.kind = 2 and regexp_replace(c.value, '[^0-9]', '') rlike '{ISSUERS}') or (c.kind = 8 and c.value rlike '^(AKIA|[0-9a-f]{{16,}}$)')",
         trust=0.75,
     ),
     Rule("context", _COUNTER, f"({_CUE}) or (c.kind = 8 and c.before rlike '[=:]')", trust=0.85),
@@ -161,6 +171,10 @@ def fit_classifier(cells: np.ndarray, label: np.ndarray, weight: np.ndarray, rou
     return [w[a:b] for a, b in zip(start, start[1:])]
 
 
+#: What the labelers' trust weighs against the spans of the corpus.
+PSEUDO_COUNT = 20.0
+
+
 def train(found: DataFrame) -> tuple[LabelModel, list[np.ndarray]]:
     """Label model and span classifier from a table with a column ``spans``; only tables bounded by the labelers' and features' values are collected."""
     spans = found.select(F.explode("spans").alias("c"))
@@ -170,7 +184,7 @@ def train(found: DataFrame) -> tuple[LabelModel, list[np.ndarray]]:
     table = values.groupBy(*values.columns).count().collect()
     rows = np.array([list(r) for r in table], dtype=np.int64).reshape(len(table), len(LABELERS) + len(FEATURES) + 1)
     vote, cell, weight = rows[:, : len(LABELERS)], rows[:, len(LABELERS) : -1], rows[:, -1].astype(float)
-    model = fit_label_model(vote, weight, LABELERS, prior=0.7, weight=max(20.0, 0.25 * weight.sum()), silence_tells=False)
+    model = fit_label_model(vote, weight, LABELERS, prior=0.7, weight=PSEUDO_COUNT, silence_tells=False)
     return model, fit_classifier(cell, model.posterior(vote), weight)
 
 
@@ -200,8 +214,10 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 def redact_pii(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``df`` with every found span replaced by its kind in angle brackets; all other columns unchanged.
 
-    Of overlapping spans the first in order is replaced. The spans are proposed twice, once to train and
-    once to redact, which moves no text. A null text stays null. An input column named ``spans`` is kept.
+    Overlapping spans are replaced together by the kind of the first one, so that no part of any of them
+    stays. The spans are proposed twice, once to train and once to redact, which moves no text. A null text
+    stays null, an empty one empty; nulls in other columns, repeated rows and an empty table pass through;
+    very long texts are read whole; input columns of any name, ``spans`` too, are kept.
     """
     _, weights = train(df.select(candidates(text_col).alias("spans")))
     plain = df.select(*(F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(df.columns)))
@@ -214,7 +230,8 @@ def redact_pii(df: DataFrame, text_col: str = "text", threshold: float = 0.5) ->
         more = F.struct(
             c["stop"].alias("at"), F.concat(acc["out"], F.col(text).substr(acc["at"] + 1, c["start"] - acc["at"]), F.get(tags, c["kind"])).alias("out")
         )
-        return F.when(c["start"] < acc["at"], acc).otherwise(more)
+        longer = F.struct(F.greatest(acc["at"], c["stop"]).alias("at"), acc["out"].alias("out"))
+        return F.when(c["start"] < acc["at"], longer).otherwise(more)
 
     def finish(acc: Column) -> Column:
         return F.concat(acc["out"], F.col(text).substr(acc["at"] + 1, F.length(text)))

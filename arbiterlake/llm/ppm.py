@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, hold, id_bucket, map_arrow, materialize
+from .common import arrow_batches, forget, give_back, hold, id_bucket, map_arrow, materialize
 
 #: Ends a text and stands for what is before it; never part of UTF-8.
 END = 0xFF
@@ -200,7 +200,7 @@ END_WORD = np.uint64(0xE0D)
 class _Counter:
     """Distinct keys and counts of a task, merged whenever the unmerged part grows, and full beyond ``most`` keys."""
 
-    def __init__(self, merge: int = 2_000_000, most: int = 4_000_000):
+    def __init__(self, merge: int = 1_000_000, most: int = 2_000_000):
         self.parts, self.size, self.merge, self.most = [], 0, merge, most
 
     def add(self, keys: np.ndarray) -> None:
@@ -263,6 +263,8 @@ def corpus_counts(df: DataFrame, text_col: str, order: int) -> DataFrame:
                         counters[kind] = _Counter()
         for kind, counter in counters.items():
             yield from sent(kind, counter)
+        counters.clear()
+        give_back()
 
     counted = df.select(text_col).mapInArrow(run, StructType.fromDDL("kind int, key long, n long"))
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -292,7 +294,10 @@ def slice_tables(counts: DataFrame, of: int, short: tuple[np.ndarray, np.ndarray
         words, order_ = Table.build(keys[~own])
         arrays |= {"word_hash": words.hashes, "word_start": words.starts, "word_log": np.log10(n[~own][order_] + 1.0)}
         rows = [(number, f"{name}:{a.dtype.str}", i, part) for name, a in arrays.items() for i, part in enumerate(_parts(a.tobytes(), part_bytes))]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.binary()))], names=["slice", "name", "part", "data"])
+        made = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.binary()))], names=["slice", "name", "part", "data"])
+        del rows, arrays, keys, n, words
+        give_back()
+        return made
 
     return counts.withColumn("slice", mine.cast("long")).groupBy("slice").applyInArrow(build, "slice long, name string, part int, data binary")
 
@@ -467,10 +472,13 @@ def score_documents(
         for one in sent.values():
             one.destroy()
 
+    forget(counts)
+    forget(built)
     found = parts[0]
     for more in parts[1:]:
         found = found.unionByName(more)
     if len(parts) > 1:
+        forget(docs)
         sums = [F.any_value("_id").alias("_id"), F.any_value("_held").alias("_held"), F.any_value("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base", "score"))]
         found = found.groupBy("_row").agg(*sums)
     divisor = F.lit(float(np.log10(train_tokens + distinct + 1)))

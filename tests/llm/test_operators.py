@@ -339,6 +339,68 @@ def test_secrets_of_any_length_and_case(spark):
     assert not [r for r in pii.redact_pii(df).collect() if "aB3_" in r.text]
 
 
+def test_redaction_leaves_no_part_of_overlapping_or_long_values(spark):
+    rows = [(1, "say token=abc/longpart@x.com now"), (2, "token=" + "aB3_" * 200 + " end"), (3, "to " + "n" * 90 + " [at] host" + " [dot] part" * 12 + " [dot] org end")]
+    rows += [(10 + i, f"write to user{i}@mail.example.org or password={'x' * 9}{i} today") for i in range(60)]
+    got = {r.doc_id: r.text for r in pii.redact_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] in ("say <EMAIL> now", "say token=<SECRET> now") and got[2] == "token=<SECRET> end"
+    assert "xxxx" not in got[10] and "@" not in got[10]
+
+
+def test_added_spans_equal_plain(spark):
+    import regex
+
+    rng = random.Random(9)
+    parts = ["a.b at x", "joe [at] host [dot] org", "joe (at) h.de", "(212) 555-0100", "212.555.0100", "123-45-6789", "DE89 3704 0044 0532 0130 00", "GB29" + "ABCD" * 9, "AKIA" + "Q" * 16, "token=abcdefgh", "password: x/y-zz_1", "1.2.3.4", "4111 1111 1111 1111", "é", "\n", "x@y.z", "+1 212 555 0100", "", "-", "a" * 70 + "[at]b.c"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", ",", "", "é "]) for _ in range(rng.randint(0, 14))) for _ in range(400)] + [None, "", "1.2.3.4 " * 3000, "k=" + "token=abcdefgh1 " * 1500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compiled = [regex.compile(pii.PATTERNS[k]) for k in pii.KINDS]
+    found = df.select("doc_id", pii.candidates("text").alias("spans")).collect()
+    for r in found:
+        text = texts[r.doc_id] or ""
+        plain = sorted((m.start(), k, m.end(), m[0], text[max(0, m.start() - 4) : m.start()][-1:]) for k, p in enumerate(compiled) for m in p.finditer(text))
+        assert [(s.start, s.kind, s.stop, s.value) for s in r.spans] == [x[:4] for x in plain]
+    assert sum(len(r.spans) for r in found) > 5000
+
+
+def test_span_classifier_decides_as_its_features_say(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = pii.materialize(docs.select("doc_id", pii.candidates("text").alias("spans")))
+    _, weights = pii.train(found)
+
+    def features(c):
+        v, digits = c.value, len(re.sub("[^0-9]", "", c.value))
+        cue, counter = (re.search(p, c.before) for p in (pii.CUES, pii.COUNTER_CUES))
+        edge = lambda ch: not ch or not re.match("[A-Za-z0-9]", ch)
+        return (
+            c.kind, 2 if c.kind >= 4 else int(c.base), next((i for i, n in enumerate((8, 12, 17, 30)) if len(v) < n), 4),
+            0 if not digits else 1 if not re.search("[A-Za-z]", v) else 2 if digits * 2 < len(v) else 3,
+            0 if counter else 2 if cue or re.search('[=:] ?"?$', c.before) else 1, int(edge(c.before[-1:]) and edge(c.after[:1])),
+        )
+
+    rows = found.select("doc_id", "spans", pii._kept(weights, 0.5).alias("kept")).collect()
+    for r in rows:
+        want = [c for c in r.spans if c.base or sum(w[f] for w, f in zip(weights, features(c))) >= 0]
+        assert [tuple(c) for c in r.kept] == [tuple(c) for c in want]
+    assert sum(len(r.kept) for r in rows) > 20
+
+
+def test_label_model_finds_who_errs():
+    rng = np.random.default_rng(4)
+    accuracy = np.array([0.95, 0.9, 0.85, 0.8, 0.55])  # the last one is bad, though trusted like the others
+    truth = rng.random(30_000) < 0.6
+    right = rng.random((30_000, 5)) < accuracy
+    votes = np.where(right, np.where(truth, 1, -1)[:, None], np.where(truth, -1, 1)[:, None]) * (rng.random((30_000, 5)) < 0.8)
+    table, counts = np.unique(votes, axis=0, return_counts=True)
+    rules = tuple(quality.Rule(f"r{i}", "false", "true", trust=0.9) for i in range(5))
+    for silence in (True, False):
+        model = quality.fit_label_model(table, counts.astype(float), rules, prior=0.7, silence_tells=silence)
+        told = np.array(model.ratios)
+        estimated = 1 / (1 + np.exp(-(told[:, 2] - told[:, 0]) / 2))
+        assert np.abs(estimated - accuracy).max() < 0.03 and abs(model.prior - 0.6) < 0.03
+        assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.95
+
+
 # 10 ------------------------------------------------------------------------------------------------
 def test_word_bpe_equals_library():
     own = wordbpe.WordBpe(contents("word_bpe_49k.json"))
