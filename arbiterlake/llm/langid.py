@@ -86,8 +86,28 @@ class Network:
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def train(samples: np.ndarray, labels: np.ndarray, languages: list[str], filters: int = 8, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam on cross-entropy; the gradient of a maximum goes to the place of the maximum."""
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean cross-entropy by filters, biases, head and offset; that of a maximum goes to the place of the maximum."""
+    h, where = net.pooled(x)
+    z = h @ net.head + net.offset
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    p[np.arange(len(y)), y] -= 1
+    p /= len(y)
+    back = (p @ net.head.T) * (h > 0)
+    tables, biases, n = [], [], net.head.shape[0] // len(net.filters)
+    for i, ((w, filters), at) in enumerate(zip(net.filters.items(), where)):
+        g, table = back[:, i * n : (i + 1) * n], np.zeros_like(filters)
+        for k in range(w):
+            byte = np.take_along_axis(x, at + k, axis=1)
+            np.add.at(table[k], (byte, np.arange(n)[None, :]), g)
+        tables.append(table)
+        biases.append(g.sum(axis=0))
+    return [*tables, *biases, h.T @ p, p.sum(axis=0)]
+
+
+def train(samples: np.ndarray, labels: np.ndarray, languages: list[str], filters: int = 8, epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
+    """Adam on the mean cross-entropy of random batches."""
     rng = np.random.default_rng(seed)
     width = samples.shape[1] if samples.size else 192
     net = Network(
@@ -104,56 +124,55 @@ def train(samples: np.ndarray, labels: np.ndarray, languages: list[str], filters
         for a in range(0, len(order), batch):
             own = order[a : a + batch]
             x, y = samples[own], labels[own]
-            h, where = net.pooled(x)
-            z = h @ net.head + net.offset
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y)
-            back = (p @ net.head.T) * (h > 0)
-            grads, biases = [], []
-            for i, (w, at) in enumerate(zip(WIDTHS, where)):
-                g, table = back[:, i * filters : (i + 1) * filters], np.zeros_like(net.filters[w])
-                for k in range(w):
-                    byte = np.take_along_axis(x, at + k, axis=1)
-                    np.add.at(table[k], (byte, np.arange(filters)[None, :]), g)
-                grads.append(table)
-                biases.append(g.sum(axis=0))
+            grads = gradients(net, x, y)
             step += 1
-            for j, g in enumerate([*grads, *biases, h.T @ p, p.sum(axis=0)]):
+            for j, g in enumerate(grads):
                 first[j] += 0.1 * (g - first[j])
                 second[j] += 0.001 * (g * g - second[j])
                 params[j] -= rate * (first[j] / (1 - 0.9**step)) / (np.sqrt(second[j] / (1 - 0.999**step)) + 1e-8)
     return net
 
 
-def fit(df: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int = 500, windows_each: int = 3, window: int = 192) -> Network:
-    """Train on at most ``per_label`` labelled rows of each language - the rows with the smallest hash - and
-    ``windows_each`` windows of each. Rows without label or letters teach nothing."""
+def chosen_rows(df: DataFrame, label_col: str, text_col: str, id_col: str, per_label: int) -> DataFrame:
+    """``label``, ``text`` of at most ``per_label`` distinct labelled rows of each label: those with the smallest hash of id, label and text.
+
+    Sketches count the distinct rows of each label (one row a label reaches the driver, as many as the network
+    has outputs); a threshold on the hash then lets about twice as many through as are wanted, so that what
+    meets to be ranked is small however common a label is. Rows that agree in all three count once.
+    """
+    spark = df.sparkSession
     labelled = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    key = F.xxhash64(F.col(id_col).cast("string"), F.col(label_col))
-    # chosen by id and label alone; only the chosen texts are read again
-    chosen = (
-        labelled.select(F.col(label_col).alias("_label"), key.alias("_key")).distinct()
-        .withColumn("_no", F.row_number().over(Window.partitionBy("_label").orderBy("_key"))).filter(F.col("_no") <= per_label).select("_key")
-    )
-    texts = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), key.alias("_key")).join(F.broadcast(chosen), "_key")
+    rows = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), label_col, text_col).alias("_key"))
+    counts = rows.groupBy("label").agg(F.approx_count_distinct("_key", 0.02).alias("n")).collect()
+    limits = [(r["label"], -(2**63) + min(2**64 - 1, int(2**64 * (2 * per_label + 20) / max(r["n"], 1)))) for r in counts]
+    limits = spark.createDataFrame(limits, "label string, _limit long")
+    few = rows.join(limits, "label").filter("_key <= _limit").groupBy("label", "_key").agg(F.any_value("text").alias("text"))
+    first = Window.partitionBy("label").orderBy("_key")
+    return few.withColumn("_no", F.row_number().over(first)).filter(F.col("_no") <= per_label).select("label", "text")
+
+
+def fit(df: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int = 500, window: int = 192) -> Network:
+    """Train on all windows of the whole texts of at most ``per_label`` labelled rows of each language (``chosen_rows``).
+
+    Rows without label or letters teach nothing; repeated rows count once; null ids are ids like others;
+    other columns are not read; an empty table gives a network without languages.
+    """
 
     def cut(batch):
         labels, cuts = [], []
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
             if LETTER.search(text):
-                all_ = windows(folded(text), window)
-                for i in np.unique(np.linspace(0, len(all_) - 1, windows_each).astype(int)):
-                    labels.append(label)
-                    cuts.append(all_[i].tobytes())
+                made = windows(folded(text), window)
+                labels.extend([label] * len(made))
+                cuts.extend(x.tobytes() for x in made)
         return {"label": labels, "cut": cuts}
 
-    table = map_arrow(texts.select("label", "text"), cut, "label string, cut binary").toArrow().to_pydict()
-    rows = sorted(zip(table["label"], table["cut"]))  # the same order whatever the partitions
-    languages = sorted({r[0] for r in rows})
-    samples = np.array([np.frombuffer(r[1], np.uint8) for r in rows], dtype=np.uint8).reshape(len(rows), window)
-    return train(samples, np.array([languages.index(r[0]) for r in rows], dtype=int), languages)
+    rows = chosen_rows(df.select(id_col, label_col, text_col), label_col, text_col, id_col, per_label)
+    table = map_arrow(rows, cut, "label string, cut binary").toArrow().to_pydict()
+    pairs = sorted(zip(table["label"], table["cut"]))  # the same order whatever the partitions
+    languages = sorted({r[0] for r in pairs})
+    samples = np.array([np.frombuffer(r[1], np.uint8) for r in pairs], dtype=np.uint8).reshape(len(pairs), window)
+    return train(samples, np.array([languages.index(r[0]) for r in pairs], dtype=int), languages)
 
 
 def identify(df: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

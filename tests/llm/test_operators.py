@@ -139,6 +139,30 @@ def test_repeated_words():
         assert quality.repeated_words(words) == plain_repeats(words)
 
 
+def plain_base_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    repeats = plain_repeats(words)
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), sum(x in lines[:i] for i, x in enumerate(lines)), repeats, len(words) < 10 or 100 * repeats > 20 * len(words))
+
+
+def test_quality_counts_and_verdict_equal_plain(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["a", "b", "cé", "#", "|", "日本", " ", " ", "\n", "\t", "\x0b", "\u00a0", "\x1c"]) for _ in range(rng.randint(0, 160))) for _ in range(400)] + [None, "", " \n "]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    texts += [r.text for r in docs]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality.score_quality(df).collect()
+    model = quality.fit(quality.measured(df))
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_base_counts(texts[r.doc_id])
+        odds = np.log(model.prior / (1 - model.prior))
+        for rule, ratios in zip(quality.RULES, model.ratios):
+            holds = lambda sql: eval(re.sub(r"(\w+) between ([^a]+) and (.+)", r"\2 <= \1 <= \3", sql).replace("false", "False"), {}, r.asDict())  # noqa: B023, E731, S307
+            odds += ratios[0] if holds(rule.bad) else ratios[2] if holds(rule.good) else ratios[1]
+        assert abs(r.quality - 1 / (1 + np.exp(-odds))) < 1e-9 and r.kept == (not r.base_failed and r.quality >= 0.5)
+
+
 def test_quality(spark, odd, empty):
     rng = random.Random(8)
     words = ["plain", "words", "form", "ordinary", "sentences", "about", "nothing", "at", "all", "and", "go", "on", "for", "some", "while"]
@@ -274,6 +298,55 @@ def test_language_id_edges(spark, odd, empty):
     assert langid.identify(odd, none).filter("lang_pred <> 'und'").count() == 0 and langid.identify(empty, none).count() == 0
 
 
+def small_network(seed=3, languages=3):
+    rng = np.random.default_rng(seed)
+    net = langid.train(np.zeros((0, 40), np.uint8), np.zeros(0, int), [f"l{i}" for i in range(languages)], filters=4)
+    for table in (*net.filters.values(), *net.bias.values(), net.head, net.offset):
+        table[...] = rng.normal(0, 0.5, table.shape)
+    return net, rng
+
+
+def test_language_network_equals_plain_loops():
+    net, rng = small_network()
+    x = rng.integers(97, 123, (25, 40)).astype(np.uint8)
+    got = net.log_probabilities(x, net.tables())
+    for row, logs in zip(x, got):
+        h = [max(0.0, max(sum(float(t[k][row[i + k], f]) for k in range(w)) for i in range(len(row) - w + 1)) + float(net.bias[w][f])) for w, t in net.filters.items() for f in range(4)]
+        z = [sum(a * float(net.head[j, c]) for j, a in enumerate(h)) + float(net.offset[c]) for c in range(3)]
+        want = np.array(z) - np.log(np.exp(z).sum())
+        assert np.allclose(logs, want, atol=1e-4)
+        assert np.allclose(net.pooled(row[None, :])[0][0], h, atol=1e-5)
+
+
+def test_language_gradients_equal_differences():
+    net, rng = small_network()
+    for group in (net.filters, net.bias):
+        for w in group:
+            group[w] = group[w].astype(np.float64)
+    net.head, net.offset = net.head.astype(np.float64), net.offset.astype(np.float64)
+    x, y = rng.integers(97, 101, (12, 40)).astype(np.uint8), rng.integers(0, 3, 12)
+    loss = lambda: -net.log_probabilities(x, net.tables())[np.arange(12), y].mean()
+    params = [*net.filters.values(), *net.bias.values(), net.head, net.offset]
+    for table, grad in zip(params, langid.gradients(net, x, y)):
+        for at in {tuple(int(rng.integers(0, n)) if n != 256 else int(rng.integers(97, 101)) for n in table.shape) for _ in range(6)}:
+            before, step = table[at], 1e-6
+            table[at] = before + step
+            up = loss()
+            table[at] = before - step
+            down = loss()
+            table[at] = before
+            assert abs((up - down) / (2 * step) - grad[at]) < 1e-5
+
+
+def test_language_rows_are_bounded_whatever_the_ids(spark):
+    rows = [(None, f"text number {i} without id", "aa") for i in range(300)] + [(7, "the very same row", "aa")] * 200 + [(7, f"other text {i}", "bb") for i in range(200)] + [(i, "same words", "cc") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = collections.Counter(r.label for r in langid.chosen_rows(df, "lang", "text", "doc_id", 20).collect())
+    assert got == {"aa": 20, "bb": 20, "cc": 9}
+    long = spark.createDataFrame([(1, "wort " * 4000, "de")], "doc_id long, text string, lang string")
+    assert langid.chosen_rows(long, "lang", "text", "doc_id", 20).first().text == "wort " * 4000
+
+
 # 8 -------------------------------------------------------------------------------------------------
 def test_line_dedup(spark, odd, empty):
     line = "the common footer of many sites"
