@@ -10,13 +10,13 @@ from .common import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("_m"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("_m")))
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "_m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("_m"))
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("_m")))
     moved = down.join(least, "a").filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
     return moved.unionByName(least.select("a", F.col("_m").alias("b"))).filter("a <> b").distinct()
 
@@ -24,9 +24,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) for every node of ``edges`` (columns ``a``, ``b``: long).
 
-    Each step joins edges with the minimum of their end's neighbours, a minimum that combines before the
-    shuffle, so a node with very many edges is split over tasks. The number of rounds grows with the
-    logarithm of the longest path. Loops are ignored; an empty table has no nodes.
+    Each step joins edges with the minimum of their end's neighbours. The minimum combines before the shuffle
+    and is written before the join, so that the join is of known size and plain: broadcast if small, else
+    with the edges of a node that has very many split over tasks (adaptive skew join). The number of rounds
+    grows with the logarithm of the longest path. Loops are ignored; an empty table has no nodes.
     """
     now = materialize(edges.select("a", "b").filter("a <> b").distinct())
     before = None

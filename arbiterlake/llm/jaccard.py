@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hold, map_arrow, materialize, shuffle_partitions
@@ -26,6 +26,8 @@ from .components import connected_components
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the frequent-shingle filter, and shingles counted as frequent. Both only shape the order.
 FILTER_BITS, FREQUENT = 1 << 24, 8
+#: What tells one set from another: its size and two 64-bit fingerprints.
+SET = ["n", "p1", "p2"]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -83,7 +85,7 @@ def _first(keys: np.ndarray, percent: int) -> np.ndarray:
 
 
 def described(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id``, ``n`` (set size), ``cls`` (hash of the set: equal sets, equal class) for every row."""
+    """``id``, ``n`` (set size), ``p1``, ``p2`` (fingerprints: equal sets, equal class) for every row."""
     id_type = dict(df.dtypes)[id_col]
 
     def run(batch):
@@ -91,8 +93,7 @@ def described(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
         one, two = _prints(sets)
         return {"id": batch.column(id_col), "n": [len(s) for s in sets], "p1": one, "p2": two}
 
-    made = map_arrow(df.select(id_col, text_col), run, f"id {id_type}, n long, p1 long, p2 long")
-    return made.select("id", "n", F.xxhash64("n", "p1", "p2").alias("cls"))
+    return map_arrow(df.select(id_col, text_col), run, f"id {id_type}, n long, p1 long, p2 long")
 
 
 def frequent_filter(df: DataFrame, text_col: str, width: int, percent: int, most: int = 1 << 20) -> np.ndarray:
@@ -118,7 +119,7 @@ def _ordered(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.sort(tokens.astype(np.int64) + (hot.astype(np.int64) << 62))
 
 
-def leading(df: DataFrame, text_col: str, width: int, percent: int, bits: np.ndarray) -> DataFrame:
+def leading(df: DataFrame, classes: DataFrame, text_col: str, width: int, percent: int, bits: np.ndarray) -> DataFrame:
     """One row per class: ``cls``, ``n``, ``lead`` (its leading keys)."""
 
     def run(batch):
@@ -127,7 +128,7 @@ def leading(df: DataFrame, text_col: str, width: int, percent: int, bits: np.nda
         return {"n": [len(s) for s in sets], "p1": one, "p2": two, "lead": [_first(_ordered(s, bits), percent) for s in sets]}
 
     made = map_arrow(df.select(text_col), run, "n long, p1 long, p2 long, lead array<long>").filter("n > 0")
-    return made.select(F.xxhash64("n", "p1", "p2").alias("cls"), "n", "lead").groupBy("cls", "n").agg(F.any_value("lead").alias("lead"))
+    return made.groupBy(*SET).agg(F.any_value("lead").alias("lead")).join(classes, SET).select("cls", "n", "lead")
 
 
 def candidate_edges(leads: DataFrame, percent: int, longest: int = 64) -> DataFrame:
@@ -138,13 +139,10 @@ def candidate_edges(leads: DataFrame, percent: int, longest: int = 64) -> DataFr
     lists join all their classes to one of them.
     """
     classes = leads.select("cls", "n", F.size("lead").cast("long").alias("p"), F.element_at("lead", -1).alias("last"))
-    in_list = Window.partitionBy("key")
-    lists = materialize(
-        leads.select("cls", F.explode("lead").alias("key"))
-        .withColumn("df", F.count("*").over(in_list))
-        .withColumn("head", F.min("cls").over(in_list))
-        .filter("df > 1")
-    )
+    keys = leads.select("cls", F.explode("lead").alias("key"))
+    # counted with map-side combine and written, so that the join back is plain and a hot key's list is split over tasks
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("df"), F.min("cls").alias("head")).filter("df > 1"))
+    lists = materialize(keys.join(shared, "key"))
     star = lists.filter(F.col("df") > longest).select(F.col("head").alias("a"), F.col("cls").alias("b")).filter("a <> b").distinct()
     crowd = lists.groupBy("cls").agg(F.count_if(F.col("df") > longest).alias("long"))
     short = lists.filter(F.col("df") <= longest).join(classes, "cls").join(crowd, "cls")
@@ -288,7 +286,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Two documents link when 100 * intersection >= ``percent`` * union of their shingle sets.
     ``component_id`` is the smallest id reachable by links, ``n_links`` the number of other rows linked
-    directly, ``class_id`` a hash of the shingle set.
+    directly, ``class_id`` the size and a 128-bit fingerprint of the shingle set.
 
     Texts that are null, empty or without words have the empty set, no links, and are their own component.
     Repeated rows link like any copies. Null ids take part; they come after all others as smallest id.
@@ -300,15 +298,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     docs = df.select(id_col, text_col)
     rows = materialize(described(docs, id_col, text_col, width))
-    classes = materialize(rows.filter("n > 0").groupBy("cls", "n").agg(F.min("id").alias("rep"), F.count("*").alias("docs")))
+    kinds = rows.filter("n > 0").groupBy(*SET).agg(F.min("id").alias("rep"), F.count("*").alias("docs"))
+    classes = materialize(kinds.withColumn("cls", F.monotonically_increasing_id()))  # numbered once, as written
     bits = frequent_filter(docs, text_col, width, percent)
-    leads = materialize(leading(docs, text_col, width, percent, bits))
+    leads = materialize(leading(docs, classes, text_col, width, percent, bits))
     edges = candidate_edges(leads, percent)
     families = connected_components(edges)
 
     # Sets of the candidate classes only, each from one of its documents.
     counts = families.groupBy("component").agg(F.count("*").alias("size"))
-    members = families.join(counts, "component").join(classes, families["node"] == classes["cls"]).select("cls", "n", "docs", "rep", "component", "size")
+    members = families.join(counts, "component").join(classes, families["node"] == classes["cls"]).select("cls", *SET, "docs", "rep", "component", "size")
     reps = members.select(F.col("rep").alias("_rep")).distinct().hint("shuffle_hash")
     wanted = docs.join(reps, F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi")
 
@@ -317,14 +316,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         one, two = _prints(made)
         return {"n": [len(s) for s in made], "p1": one, "p2": two, "tokens": [s.astype(np.int64).tobytes() for s in made]}
 
-    tokens = map_arrow(wanted.select(text_col), sets, "n long, p1 long, p2 long, tokens binary").select(
-        F.xxhash64("n", "p1", "p2").alias("cls"), "tokens"
-    )
-    once = tokens.groupBy("cls").agg(F.any_value("tokens").alias("tokens"))
+    tokens = map_arrow(wanted.select(text_col), sets, "n long, p1 long, p2 long, tokens binary")
+    once = tokens.groupBy(*SET).agg(F.any_value("tokens").alias("tokens"))
     chunks = F.ceil(F.col("size") / block).cast("int")
     chunk = F.pmod(F.xxhash64("cls"), chunks).cast("int")
     shipped = (
-        members.join(once, "cls")
+        members.join(once, SET)
         .withColumn("_mine", chunk)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
         .select(
@@ -341,22 +338,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = named.join(least, "component").join(degree, "cls", "left").select(
-        "cls", "component_id", (F.coalesce("others", F.lit(0)) + F.col("docs") - 1).alias("n_links")
+        *SET, "component_id", (F.coalesce("others", F.lit(0)) + F.col("docs") - 1).alias("n_links")
     )
-    return rows.join(of_class, "cls", "left").select(
+    return rows.join(materialize(of_class), SET, "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.col("cls").alias("class_id"),
+        F.concat_ws("-", F.col("n").cast("string"), F.hex("p1"), F.hex("p2")).alias("class_id"),
     )
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their component, all columns unchanged.
 
-    Rows with the same id count as one document and stay or go together; null ids likewise.
+    Rows with the same id count as one document and stay or go together; null ids likewise. Texts without
+    words link with nothing and stay; very long texts are read whole; columns of any name pass through; an
+    empty table gives an empty result.
     """
     joined = jaccard_components(df, id_col, text_col, width, percent)
-    first = joined.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return df.join(first.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    first = joined.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct()
+    hidden = {c: f"_in_{i}" for i, c in enumerate(df.columns)}  # no input column meets a working one
+    inner = df.select(*(F.col(f"`{c}`").alias(h) for c, h in hidden.items()))
+    kept = inner.join(materialize(first).hint("shuffle_hash"), F.col(hidden[id_col]).eqNullSafe(F.col("_first")), "left_semi")
+    return kept.select(*(F.col(h).alias(c) for c, h in hidden.items()))

@@ -56,11 +56,6 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cleaned(linededup.remove_site_boilerplate(_read(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
-def op8_line_dedup_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator 8 over lines of any length that hold a word."""
-    return _cleaned(linededup.remove_site_boilerplate(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), min_chars=None))
-
-
 def _cleaned(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").alias("clean_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"))
 
@@ -96,7 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
-    "op8_line_dedup_every_line": op8_line_dedup_every_line,
     "op9_pii": op9_pii,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
@@ -128,13 +122,6 @@ SELECT s.doc_id, len(g) AS n_shingles, (SELECT min(b) FROM c WHERE c.a = s.doc_i
 """,
     "op8_line_dedup": """
 WITH l AS (SELECT doc_id, source, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)),
-b AS (SELECT trim(line) AS x, min(doc_id * 1000000 + i) AS first FROM l WHERE length(trim(line)) >= 16 GROUP BY 1 HAVING count(DISTINCT source) >= 5),
-m AS (SELECT l.*, b.x IS NOT NULL AND doc_id * 1000000 + i <> first AS gone FROM l LEFT JOIN b ON trim(line) = x AND length(trim(line)) >= 16),
-d AS (SELECT doc_id, count(*)::INT AS n_lines, count_if(gone)::INT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS clean FROM m GROUP BY 1)
-SELECT doc_id, n_lines, n_removed, length(clean)::INT AS clean_chars, md5(clean) AS clean_md5 FROM d
-""",
-    "op8_line_dedup_every_line": """
-WITH l AS (SELECT doc_id, source, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)),
 k AS (SELECT *, CASE WHEN regexp_matches(line, '[^\\x20\\x09-\\x0D]') THEN trim(line) END AS x FROM l),
 b AS (SELECT x, min(doc_id * 1000000 + i) AS first FROM k WHERE x IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) >= 5),
 m AS (SELECT k.*, b.x IS NOT NULL AND doc_id * 1000000 + i <> first AS gone FROM k LEFT JOIN b ON k.x = b.x),

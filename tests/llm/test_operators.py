@@ -247,7 +247,7 @@ def test_jaccard(spark, empty):
     got = jaccard.jaccard_components(df, block=32).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted((tuple(r) for r in got), key=str) == plain_jaccard(rows)
     assert jaccard.jaccard_components(empty).count() == 0
-    kept = [r.doc_id for r in jaccard.drop_near_duplicates(df.withColumn("cls", F.lit(0))).collect()]
+    kept = [r.doc_id for r in jaccard.drop_near_duplicates(df.withColumn("cls", F.lit(0)).withColumn("_keep", F.lit(0)).withColumn("_first", F.lit(0))).collect()]
     assert sum(1 for d in kept if d is not None and 1000 <= d < 2000) == len({r[2] for r in plain_jaccard(rows) if r[0] is not None and 1000 <= r[0] < 2000 and r[2] == r[0]})
 
 
@@ -359,6 +359,10 @@ def test_line_dedup(spark, odd, empty):
     assert all("rare footer" in got[10 + i].text for i in range(6))  # three sites only
     assert got[20].text is None and got[20].n_lines == 0 and got[21].n_lines == 1 and got[22].text == ""
     assert linededup.remove_site_boilerplate(odd).count() == len(ODD) and linededup.remove_site_boilerplate(empty).count() == 0
+    clash = linededup.remove_site_boilerplate(df.withColumn("_key", F.lit("k")).withColumn("_gone", F.lit(1)).withColumn("_line", F.lit(None).cast("string")))
+    assert {(r.doc_id, r.text, r._key, r._gone) for r in clash.collect()} == {(d, r.text, "k", 1) for d, r in got.items()}
+    long = spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(20_000)), f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    assert sorted(r.n_removed for r in linededup.remove_site_boilerplate(long).collect()) == [0] + [20_000] * 5
 
 
 def test_short_lines_of_many_sites_go(spark):
