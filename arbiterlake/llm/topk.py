@@ -4,7 +4,9 @@ Vectors are cut into equal segments, few at the coarse level and more at each fi
 components with means a, b and deviations s, t the inner product is at most n (a b + s t) - the same fact
 that bounds Euclidean distance from below by n ((a - b)^2 + (s - t)^2). Summed over segments this bounds the
 score of a pair from above; a pair whose bound is under the query's current k-th score at some level is
-dropped, and only what passes all levels is computed exactly. Queries come in blocks of bounded size.
+dropped. What passes all levels is computed exactly, the largest bounds first, so that the k-th score rises
+early and drops more of the rest. The finest level has segments of two components: it still tells apart
+vectors without any structure, which coarser ones do not. Queries come in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = (1, 4, 16)
+from .common import materialize
+
+#: Segments of each level as divisors of the dimension: segments of 1/1, 1/4, 1/16 of it, and of two components.
+LEVELS = (1, 4, 16, None)
 
 
 def quantised(vectors: list, scale: float = 1024.0) -> tuple[list[int], list[np.ndarray]]:
@@ -29,9 +34,9 @@ def quantised(vectors: list, scale: float = 1024.0) -> tuple[list[int], list[np.
     return at, made
 
 
-def statistics(x: np.ndarray, segments: int) -> np.ndarray:
-    """Per vector and segment sqrt(n) times mean and deviation: inner products of these rows are the bounds."""
-    parts = np.array_split(x, min(segments, x.shape[1]), axis=1)
+def statistics(x: np.ndarray, segments: int | None) -> np.ndarray:
+    """Per vector and segment (None: of two components) sqrt(n) times mean and deviation: inner products of these rows are the bounds."""
+    parts = np.array_split(x, min(segments or -(-x.shape[1] // 2), x.shape[1]), axis=1)
     return np.concatenate([np.sqrt(p.shape[1]) * f(p, axis=1, keepdims=True) for f in (np.mean, np.std) for p in parts], axis=1)
 
 
@@ -45,40 +50,52 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """Best ``k`` candidates of every query of one dimension so far; candidates come in batches."""
+    """Best ``k`` candidates of every query of one dimension so far; candidates come in batches.
+
+    ``passed`` counts pairs: all, those that pass each level, and those computed exactly.
+    """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, levels: tuple = LEVELS):
         self.ids, self.vectors, self.k, self.levels = ids, vectors, k, levels
         self.stats = [statistics(vectors, s) for s in levels]
         self.norm = np.sqrt((vectors**2).sum(axis=1))
         self.best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
         self.least = np.full(len(ids), -np.inf)  # k-th score, once there are k
+        self.passed = [0] * (len(levels) + 2)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         norm = np.sqrt((x**2).sum(axis=1))
         open_ = self.ids[:, None] != ids[None, :]
-        for stats, segments in zip(self.stats, self.levels):
+        self.passed[0] += int(open_.sum())
+        rows = cols = bound = None
+        for i, (stats, segments) in enumerate(zip(self.stats, self.levels)):
             rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
             if not len(rows) or not len(cols):
                 return
-            bound = stats[rows] @ statistics(x[cols], segments).T
             slack = 1e-9 * self.norm[rows][:, None] * norm[cols][None, :] + 0.5  # rounding of the bound itself
-            open_[np.ix_(rows, cols)] &= bound + slack >= self.least[rows][:, None]
-        rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
-        if not len(rows) or not len(cols):
-            return
-        scores, names = exact(self.vectors[rows], x[cols]), ids[cols]
+            bound = stats[rows] @ statistics(x[cols], segments).T + slack
+            open_[np.ix_(rows, cols)] &= bound >= self.least[rows][:, None]
+            self.passed[i + 1] += int(open_.sum())
         for r, row in enumerate(rows):
-            new = np.flatnonzero(open_[row, cols] & (scores[r] >= self.least[row]))
-            if len(new):
-                score, name = np.concatenate([self.best[row][0], scores[r, new]]), np.concatenate([self.best[row][1], names[new]])
-                if len(score) > 4 * self.k:
-                    cut = score >= np.partition(score, -self.k)[-self.k]
-                    score, name = score[cut], name[cut]
-                order = np.lexsort((name, -score))[: self.k]
-                self.best[row] = score[order], name[order]
-                if len(order) == self.k:
-                    self.least[row] = score[order[-1]]
+            left = np.flatnonzero(open_[row, cols])
+            left = left[np.argsort(-bound[r, left], kind="stable")]
+            for part in (slice(0, 4 * self.k), slice(4 * self.k, None)):
+                now = left[part]
+                now = now[bound[r, now] >= self.least[row]]
+                if len(now):
+                    self.passed[-1] += len(now)
+                    self._take(row, exact(self.vectors[row : row + 1], x[cols[now]])[0], ids[cols[now]])
+
+    def _take(self, row: int, scores: np.ndarray, names: np.ndarray) -> None:
+        new = scores >= self.least[row]
+        score, name = np.concatenate([self.best[row][0], scores[new]]), np.concatenate([self.best[row][1], names[new]])
+        if len(score) > 4 * self.k:
+            cut = score >= np.partition(score, -self.k)[-self.k]
+            score, name = score[cut], name[cut]
+        order = np.lexsort((name, -score))[: self.k]
+        self.best[row] = score[order], name[order]
+        if len(order) == self.k:
+            self.least[row] = score[order[-1]]
 
 
 def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: float = 1024.0, block: int = 4096) -> DataFrame:
@@ -91,18 +108,20 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: st
     appears once per row, and a repeated query id is searched with each of its vectors, which share its ``k``.
     Scores beyond the range of long are clipped to it. Other columns are not read.
 
-    Queries are collected in blocks of about ``block`` vectors, each block meeting all rows in one pass.
+    The queries are written once, then collected one block of about ``block`` vectors at a time; each block
+    meets all rows in one pass, of which every task keeps ``k`` rows a query. A hundredth of the rows as queries
+    makes the work queries times rows, by definition; the bounds only cut the factor.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null")
-    asked = df.filter(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    plain = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), queries.alias("asked"))
+    rows = plain.filter("id is not null and v is not null").select("id", "v")
+    asked = materialize(plain.filter("asked and id is not null and v is not null").select("id", "v"))
     blocks = max(1, -(-asked.count() // block))
-    parts = []
+    found = None
     for b in range(blocks):
         table = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        parts.append(_against(rows, np.asarray(table.column("id"), dtype=np.int64), table.column("v").to_pylist(), k, scale))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+        part = _against(rows, np.asarray(table.column("id"), dtype=np.int64), table.column("v").to_pylist(), k, scale)
+        part = materialize(part) if blocks > 1 else part
+        found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

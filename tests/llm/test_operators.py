@@ -207,6 +207,23 @@ def test_top_k_searches_every_vector_of_a_query_id(spark):
         assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=4, scale=1.0, block=block).collect()} == want
 
 
+def test_top_k_bounds_prune_and_lose_nothing():
+    rng = np.random.default_rng(11)
+    centers = rng.normal(0, 300, (20, 64))
+    clustered = np.floor(centers[rng.integers(0, 20, 8000)] + rng.normal(0, 60, (8000, 64)))
+    spread = np.floor(rng.normal(0, 120, (8000, 64)))
+    for x, most in ((clustered, 0.25), (spread, 0.6)):
+        ids = np.arange(len(x))
+        search = topk.Search(ids[::100], x[::100], 10)
+        for a in range(0, len(x), 2048):
+            search.add(ids[a : a + 2048], x[a : a + 2048])
+        for i, (score, name) in zip(ids[::100], search.best):
+            all_ = x @ x[i]
+            order = [j for j in np.lexsort((ids, -all_)) if j != i][:10]
+            assert name.tolist() == order and score.tolist() == all_[order].tolist()
+        assert search.passed == sorted(search.passed, reverse=True) and search.passed[-1] < most * search.passed[0], search.passed
+
+
 def test_top_k_large_numbers():
     q, x = np.array([[2.0**40, 3.0]]), np.array([[2.0**40, 1.0]])
     assert topk.exact(q, x)[0, 0] == 2**63 - 1
