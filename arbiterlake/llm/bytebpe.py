@@ -29,8 +29,8 @@ def parse_ranks(contents: str) -> dict[bytes, int]:
 class ByteBpe:
     """Codec of a rank table and a pattern that cuts texts into pieces."""
 
-    #: Entries of the memos of pieces and of pairs before they start anew.
-    PIECES, PAIRS = 400_000, 1_000_000
+    #: Entries of the memos of pieces and of pairs before they start anew; characters of a piece that is kept.
+    PIECES, PAIRS, LONG = 400_000, 1_000_000, 64
 
     def __init__(self, contents: str, pattern: str):
         self.rank = parse_ranks(contents)
@@ -49,16 +49,16 @@ class ByteBpe:
 
         class Pieces(dict):
             def __missing__(self, piece: str) -> tuple[int, ...]:
-                self[piece] = made = tuple(outer.piece(piece.encode("utf-8")))
+                made = tuple(outer.piece(piece.encode("utf-8")))
+                if len(piece) <= outer.LONG:
+                    if len(self) >= outer.PIECES:
+                        self.clear()
+                    self[piece] = made
                 return made
 
         self.pieces = Pieces()
 
     def encode(self, text: str | None) -> list[int]:
-        if len(self.pieces) > self.PIECES:
-            self.pieces.clear()
-        if len(self.pairs) > self.PAIRS:
-            self.pairs.clear()
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text)))) if text else []
 
     def decode(self, ids) -> bytes:
@@ -92,6 +92,8 @@ class ByteBpe:
     def compatible(self, left: int, right: int) -> bool:
         key = left << 32 | right
         if (known := self.pairs.get(key)) is None:
+            if len(self.pairs) >= self.PAIRS:
+                self.pairs.clear()
             known = self.pairs[key] = self.merge(self.token[left] + self.token[right]) == [left, right]
         return known
 
@@ -125,7 +127,11 @@ def codec(contents: str, pattern: str) -> ByteBpe:
 
 
 def encode_documents(df: DataFrame, contents: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``ids`` (array of int) for every row; a null or empty text has none; rows correspond one to one."""
+    """``id_col`` and ``ids`` (array of int) for every row.
+
+    A null or empty text has none; very long texts are encoded whole; null ids pass through; repeated rows
+    correspond one to one; other columns are not read; an empty table gives an empty result.
+    """
     id_type = dict(df.dtypes)[id_col]
 
     def run(batch):
@@ -136,7 +142,11 @@ def encode_documents(df: DataFrame, contents: str, pattern: str, id_col: str = "
 
 
 def decode_documents(df: DataFrame, contents: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col`` and ``raw`` (the decoded bytes) for every row; null ids decode to nothing."""
+    """``id_col`` and ``raw`` (the decoded bytes) for every row.
+
+    A null or empty ``ids_col`` decodes to nothing; very long ones are decoded whole; nulls in ``id_col`` pass
+    through; repeated rows correspond one to one; other columns are not read; an empty table gives an empty result.
+    """
     id_type = dict(df.dtypes)[id_col]
 
     def run(batch):
@@ -150,7 +160,7 @@ def digest_documents(df: DataFrame, contents: str, pattern: str, id_col: str = "
     """``id_col``, ``n_tokens`` and SHA-256 of the ids (decimal, joined by blanks) and of the bytes they decode to.
 
     Encodes and decodes every whole text where it is, so that neither ids nor bytes leave the task. A null or
-    empty text has no tokens and the digests of nothing; null ids pass through; repeated rows correspond one
+    empty text has no tokens and the digests of nothing; very long texts are taken whole; null ids pass through; repeated rows correspond one
     to one; other columns are not read; an empty table gives an empty result.
     """
     id_type = dict(df.dtypes)[id_col]

@@ -179,9 +179,11 @@ def identify(df: DataFrame, net: Network, text_col: str = "text", keep: tuple[st
     """The columns ``keep`` with ``lang_pred`` and ``score`` (mean window probability, normalised) for every row.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was learned.
-    Rows correspond one to one; kept columns named like an output give way; an empty table gives an empty result.
+    Very long texts are read whole; nulls in kept columns pass through; rows correspond one to one; kept columns
+    named like an output come back with ``_in`` added to their names; an empty table gives an empty result.
     """
-    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
+    df = df.select(*(F.col(f"`{c}`").alias(f"{c}_in" if c in ("lang_pred", "score") else c) for c in keep), F.col(f"`{text_col}`").alias("_text"))
+    keep, text_col = tuple(c for c in df.columns if c != "_text"), "_text"
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def run(batch):
@@ -206,4 +208,4 @@ def identify(df: DataFrame, net: Network, text_col: str = "text", keep: tuple[st
         return {**{c: batch.column(c) for c in keep}, "lang_pred": label, "score": score}
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"])
-    return map_arrow(df.select(*keep, *([text_col] if text_col not in keep else [])), run, schema)
+    return map_arrow(df, run, schema)

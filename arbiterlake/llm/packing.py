@@ -124,15 +124,15 @@ def pack_documents(
     ``length``, ``ids_crc32``, ``sequence_id``, ``offset`` and, with ``with_ids``, ``ids`` (little-endian
     unsigned 32-bit).
 
-    A null or empty text is its end id alone; null ids pass through; repeated rows are packed once each;
-    other columns are not read; an empty table gives an empty result.
+    A null or empty text is its end id alone; very long texts are cut into pieces; null ids pass through;
+    repeated rows are packed once each; other columns are not read; an empty table gives an empty result.
     """
     pieces = materialize(tokenized_pieces(df, tokenizer, id_col, text_col, capacity, end_id, with_ids))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = best_fit_decreasing(histogram, capacity)
 
     # Rank among pieces of the same length: a common length is ranked in many buckets, each with its offset.
-    buckets = max(64, shuffle_partitions(df.sparkSession))
+    buckets = max(64, shuffle_partitions(df.sparkSession), sum(histogram.values()) // 100_000)  # grows with the data
     spread = pieces.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = spread.groupBy("length", "_bucket").count()
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -201,8 +201,8 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     """``id_col`` and ``spans`` for every row: an array of (kind, start, stop, base, value) sorted by start, then kind.
 
     ``kind`` indexes ``KINDS``; ``base`` tells spans of the strict base patterns, which always stay. Null and
-    empty texts have no spans; null ids and repeated rows pass through one to one; other columns are not
-    read; an empty table gives an empty result and a classifier that knows nothing.
+    empty texts have no spans; very long texts are read whole; null ids and repeated rows pass through one to
+    one; other columns are not read; an empty table gives an empty result and a classifier that knows nothing.
     """
     found = materialize(df.select(id_col, candidates(text_col).alias("spans")))  # spans only, no texts
     _, weights = train(found)

@@ -189,9 +189,12 @@ def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id_col``, the features, ``base_failed``, ``quality`` (posterior of good) and ``kept`` for every row.
 
     Rows correspond one to one, repeated rows included. Null or empty texts measure zero and fail the base
-    rule. Null ids pass through. An empty table gives an empty result. Other columns are not read.
+    rule; very long texts are measured whole. Null ids pass through. An empty table gives an empty result. Other
+    columns are not read. An id column named like a feature or an output comes back with ``_id`` added to its name.
     """
-    features = materialize(measured(df, text_col, keep=(id_col,)))  # a few numbers a row; the texts are read once
+    name = id_col if id_col not in (*FEATURES, "base_failed", "quality", "kept") else f"{id_col}_id"
+    plain = df.select(F.col(f"`{id_col}`").alias(name), F.col(f"`{text_col}`").alias("_text"))
+    features = materialize(measured(plain, "_text", keep=(name,)))  # a few numbers a row; the texts are read once
     model = fit(features, rules)
     return (
         features.withColumn("base_failed", F.expr(BASE_FAILED))
@@ -204,7 +207,8 @@ def filter_quality(df: DataFrame, text_col: str = "text", threshold: float = 0.5
     """The rows of ``df`` that the base rule passes and whose posterior reaches ``threshold``, all columns unchanged.
 
     The texts are measured twice, once to fit and once to filter, which moves no text through a shuffle or a table.
-    Input columns named like a feature are kept as they came.
+    Input columns named like a feature are kept as they came; null and empty texts fail the base rule; nulls in
+    other columns and repeated rows pass one to one; an empty table gives an empty result.
     """
     model = fit(measured(df, text_col), rules)
     hidden = {c: f"_in_{i}" for i, c in enumerate(df.columns)}

@@ -43,9 +43,9 @@ def shard_by_bytes(
     kept = [c for c in carry if c not in (id_col, "size", "text_crc32", "shard", "slot")]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(
-        F.col(id_col), *kept, text_size(text_col).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_tie")
+        F.col(id_col), *kept, text_size(text_col).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_tie"), F.monotonically_increasing_id().alias("_place")
     )
-    order = [F.col(id_col).asc_nulls_first(), F.col("_tie")]
+    order = [F.col(id_col).asc_nulls_first(), F.col("_tie"), F.col("_place")]  # the last one spreads equal rows, which are interchangeable
     # Written out once: range bounds come from a sample, so a recomputed partition must not see other bounds.
     placed = materialize(rows.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()))
 
@@ -73,7 +73,11 @@ def shard_by_bytes(
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``df`` with its texts under ``path``, one folder per shard, rows of a shard sorted by slot inside each file."""
+    """Write ``df`` with its texts under ``path``, one folder per shard, rows of a shard sorted by slot inside each file.
+
+    All columns are written, but for those named like an output of ``shard_by_bytes``, which give way to it;
+    nulls, empty and very long texts and repeated rows as there; an empty table writes no row.
+    """
     carry = tuple(c for c in df.columns if c != id_col)
     placed = shard_by_bytes(df, n_shards, id_col, text_col, carry=carry)
     parts = max(n_shards, shuffle_partitions(df.sparkSession))

@@ -28,8 +28,8 @@ class WordBpe:
     """Encoder over the contents of a tokenizer file. ``encode(text)`` gives little-endian unsigned 32-bit ids as bytes."""
 
     END = "</w>"
-    #: Entries of the two memos (about 200 bytes each) before they start anew, and bytes of a very long piece.
-    CHUNKS, PIECES, LONG = 300_000, 800_000, 200
+    #: Entries of the two memos (about 200 bytes each) before they start anew, characters of what they keep, and bytes of a very long piece.
+    CHUNKS, PIECES, KEPT, LONG = 300_000, 800_000, 64, 200
 
     def __init__(self, contents: str):
         from tokenizers import Tokenizer
@@ -52,16 +52,16 @@ class WordBpe:
 
         class Chunks(dict):
             def __missing__(self, chunk: str) -> bytes:
-                self[chunk] = made = outer._chunk(chunk)
+                made = outer._chunk(chunk)
+                if len(chunk) <= outer.KEPT:
+                    if len(self) >= outer.CHUNKS:
+                        self.clear()
+                    self[chunk] = made
                 return made
 
         self.chunks = Chunks()
 
     def encode(self, text: str | None) -> bytes:
-        if len(self.chunks) > self.CHUNKS:
-            self.chunks.clear()
-        if len(self.pieces) > self.PIECES:
-            self.pieces.clear()
         if text and any(map(text.__contains__, self.added)):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
@@ -99,7 +99,11 @@ class WordBpe:
                 pairs[at] = find(token << 32 | ids[at + 1], none)
             if at:
                 pairs[at - 1] = find(ids[at - 1] << 32 | token, none)
-        made = self.pieces[piece] = array("I", ids).tobytes()
+        made = array("I", ids).tobytes()
+        if len(piece) <= self.KEPT:
+            if len(known := self.pieces) >= self.PIECES:
+                known.clear()
+            known[piece] = made
         return made
 
 

@@ -146,6 +146,10 @@ def plain_base_counts(text):
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), sum(x in lines[:i] for i, x in enumerate(lines)), repeats, len(words) < 10 or 100 * repeats > 20 * len(words))
 
 
+def rule_holds(sql, row):
+    return eval(re.sub(r"(\w+) between ([^a]+) and (.+)", r"\2 <= \1 <= \3", sql).replace("false", "False"), {}, row)  # noqa: S307
+
+
 def test_quality_counts_and_verdict_equal_plain(spark):
     rng = random.Random(12)
     texts = ["".join(rng.choice(["a", "b", "cé", "#", "|", "日本", " ", " ", "\n", "\t", "\x0b", "\u00a0", "\x1c"]) for _ in range(rng.randint(0, 160))) for _ in range(400)] + [None, "", " \n "]
@@ -158,8 +162,7 @@ def test_quality_counts_and_verdict_equal_plain(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_base_counts(texts[r.doc_id])
         odds = np.log(model.prior / (1 - model.prior))
         for rule, ratios in zip(quality.RULES, model.ratios):
-            holds = lambda sql: eval(re.sub(r"(\w+) between ([^a]+) and (.+)", r"\2 <= \1 <= \3", sql).replace("false", "False"), {}, r.asDict())  # noqa: B023, E731, S307
-            odds += ratios[0] if holds(rule.bad) else ratios[2] if holds(rule.good) else ratios[1]
+            odds += ratios[0] if rule_holds(rule.bad, r.asDict()) else ratios[2] if rule_holds(rule.good, r.asDict()) else ratios[1]
         assert abs(r.quality - 1 / (1 + np.exp(-odds))) < 1e-9 and r.kept == (not r.base_failed and r.quality >= 0.5)
 
 
@@ -307,6 +310,12 @@ def test_language_id_on_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_ids_named_like_outputs_come_back(spark):
+    df = spark.createDataFrame([(5, "some words of plain text", "en")], "n_words long, text string, lang_pred string")
+    assert quality.score_quality(df, id_col="n_words").first().n_words_id == 5 and quality.score_quality(df, id_col="n_words").first().n_words == 5
+    assert langid.identify(df, small_network()[0], keep=("n_words", "lang_pred")).first().lang_pred_in == "en"
+
+
 def test_language_id_edges(spark, odd, empty):
     net = langid.fit(odd.withColumn("lang", F.lit("xx")))
     assert {r.doc_id: r.lang_pred for r in langid.identify(odd.filter("doc_id < 3"), net).collect()} == {1: "und", 2: "und"}
@@ -497,12 +506,18 @@ def test_label_model_finds_who_errs():
 
 # 10 ------------------------------------------------------------------------------------------------
 def test_word_bpe_equals_library():
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
     own = wordbpe.WordBpe(contents("word_bpe_49k.json"))
     rng = random.Random(4)
     texts = ["it's I'LL don't x'd", "a\x1cb c d", "ΣΑΣ Привет мир", "日本語テキスト 🎉!!", "é École ﬁ½² İstanbul", "<|endoftext|> hi", "a" * 3000, "!?" * 500, "\t\ttabs\r\nnew", ""]
     texts += ["".join(rng.choices("abcde thnsé'.,\n19", k=60)) for _ in range(500)]
+    texts += pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    library = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
     for t in texts:
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == own.library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
 def test_word_bpe_knows_added_tokens():
@@ -547,13 +562,119 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty, vocabulary).count() == 0
 
 
-def test_pipeline(spark):
+def plain_rules(model, rows):
+    """Ids that the base rule and the label model keep, from rows of features."""
+    kept = set()
+    for r in rows:
+        odds = np.log(model.prior / (1 - model.prior))
+        for rule, ratios in zip(quality.RULES, model.ratios):
+            odds += ratios[0] if rule_holds(rule.bad, r) else ratios[2] if rule_holds(rule.good, r) else ratios[1]
+        if not plain_base_counts(r["_text"])[-1] and odds >= 0:
+            kept.add(r["_text"])
+    return kept
+
+
+def plain_line_dedup(rows, min_sites=5):
+    """(id, text) without lines of five or more sites, the first occurrence by id apart."""
+    sites, first = collections.defaultdict(set), {}
+    for d, text, site in sorted(rows):
+        for i, line in enumerate(text.split("\n")):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                sites[line.strip(" ")].add(site)
+                first.setdefault(line.strip(" "), (d, i))
+    out = {}
+    for d, text, _ in rows:
+        lines = text.split("\n")
+        left = [x for i, x in enumerate(lines) if not (len(sites.get(x.strip(" "), ())) >= min_sites and first[x.strip(" ")] != (d, i))]
+        if len(left) == len(lines) or re.search(r"[^\x20\x09-\x0D]", "\n".join(left)):
+            out[d] = "\n".join(left)
+    return out
+
+
+def plain_redaction(text, spans):
+    merged = []
+    for s in spans:
+        if merged and s.start < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], s.stop)
+        else:
+            merged.append([s.start, s.stop, s.kind])
+    for start, stop, kind in reversed(merged):
+        text = text[:start] + f"<{pii.KINDS[kind].upper()}>" + text[stop:]
+    return text
+
+
+def test_pipeline_stages_equal_plain_versions(spark):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 400 or length(text) < 1500")
+    source = docs.collect()
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "line_dedup", "near_duplicates", "redact", "pack"]
+
+    good = pii.materialize(stages["quality_rules"](spark, docs, ""))
+    features = [{**r.asDict()} for r in quality.measured(docs.withColumnRenamed("text", "_text"), "_text", keep=("_text",)).collect()]
+    want = plain_rules(quality.fit(quality.measured(docs)), features)
+    kept = good.collect()
+    assert good.columns == docs.columns and sorted(kept) == sorted(r for r in source if r.text in want) and 0 < len(kept) < len(source)
+
+    lines = pii.materialize(stages["line_dedup"](spark, good, ""))
+    cleaned = lines.collect()
+    assert {r.doc_id: r.text for r in cleaned} == plain_line_dedup([(r.doc_id, r.text, r.source) for r in kept])
+    assert all(r.n_chars == len(r.text) for r in cleaned) and lines.columns == docs.columns
+
+    single = pii.materialize(stages["near_duplicates"](spark, lines, ""))
+    first = {d for d, _, least, _ in plain_jaccard([(r.doc_id, r.text) for r in cleaned]) if d == least}
+    assert sorted(single.collect()) == sorted(r for r in cleaned if r.doc_id in first) and len(first) < len(cleaned)
+
+    clean = pii.materialize(stages["redact"](spark, single, ""))
+    spans = {r.doc_id: r.spans for r in pii.find_pii(single).collect()}
+    redacted = {r.doc_id: r.text for r in clean.collect()}
+    assert redacted == {r.doc_id: plain_redaction(r.text, spans[r.doc_id]) for r in single.collect()} and any("<EMAIL>" in t for t in redacted.values())
+
+    library = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    ids = {d: [*library.encode(t, add_special_tokens=False).ids, 1] for d, t in redacted.items()}
+    packed = stages["pack"](spark, clean, "").collect()
+    check_packing(packed, ids, 4096)
+    ran = []
+    try:
+        spark.catalog.clearCache()
+        before, corpus_pipeline.STAGES = corpus_pipeline.STAGES, [(n, lambda s, d, f, g=g: ran.append(d.columns) or g(s, d, f)) for n, g in corpus_pipeline.STAGES]
+        assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100 and len(ran) == 5
+    finally:
+        corpus_pipeline.STAGES = before
+
+
+def check_packing(rows, ids, capacity):
+    """All ids, cut only where too long, laid gapless into sequences, and as few of them as best-fit decreasing opens."""
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    cut = lambda x: [x[a : a + capacity] for a in range(0, len(x), capacity)]
+    assert {d: sorted(v) for d, v in by_doc.items()} == {d: [(i, i * capacity, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for i, p in enumerate(cut(x))] for d, x in ids.items()}
+    for v in by_sequence.values():
+        v.sort()
+        assert [o for o, _ in v] == np.cumsum([0] + [n for _, n in v])[:-1].tolist() and sum(n for _, n in v) <= capacity
+    left = []
+    for n in sorted((len(p) for x in ids.values() for p in cut(x)), reverse=True):
+        at = bisect.bisect_left(left, n)
+        room = left.pop(at) if at < len(left) else capacity
+        bisect.insort(left, room - n)
+    assert len(by_sequence) == len(left)
+
+
+def test_pipeline_on_odd_tables(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, "")
-        assert out.columns == docs.columns, name
-        assert out.select("doc_id").subtract(docs.select("doc_id")).count() == 0
-        docs = out
-    assert docs.count() > 100
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _key string, spans long"
+    empty, nulls = spark.createDataFrame([], columns), spark.createDataFrame([(None,) * 7] * 3, columns)
+    same = spark.createDataFrame([(7, "the very same words stand here ten times or more in this text", None, None, None, "k", 1)] * 4, columns)
+    for docs, left in ((empty, 0), (nulls, 0), (same, 4)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns, name
+            docs = pii.materialize(out)
+        assert docs.count() == left and stage is not None
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == left
