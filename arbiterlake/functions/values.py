@@ -46,12 +46,21 @@ def number(c: Column, default: float = 0.0) -> Column:
 
 
 def rate(part: Column, whole: Column, places: int = 4) -> Column:
-    """part / whole from whole numbers, rounded half up at ``places``; zero if the whole is zero."""
+    """part / whole from whole numbers, zero if the whole is zero; rounded like the floating-point quotient itself.
+
+    Whole numbers tell which side of a tie the quotient is on. An exact tie goes where the nearest double lies,
+    and to the even side if the tie is a double. The double's distance from the tie is exact: it is taken apart
+    into a part of 24 bits and the rest, whose products with the scale are doubles.
+    """
     scale = 10**places
     a, b = part.cast("long"), whole.cast("long")
-    twice = 2 * b
-    above = 2 * a * scale + b
-    return F.when(b == 0, 0.0).otherwise(((above - above % twice) / twice) / float(scale))
+    rest = (a * scale) % b
+    down = (a * scale - rest) / b
+    x = a.cast("double") / b.cast("double")
+    high = x.cast("float").cast("double")
+    beyond = (high * (2.0 * scale) - (2 * down + 1)) + (x - high) * (2.0 * scale)
+    tie = F.when(beyond > 0, 1).when(beyond < 0, 0).otherwise(down.cast("long") % 2)
+    return F.when(b == 0, 0.0).otherwise((down + F.when(2 * rest > b, 1).when(2 * rest < b, 0).otherwise(tie)) / float(scale))
 
 
 def first_of(order: Sequence[str], present: Column, otherwise: str) -> Column:

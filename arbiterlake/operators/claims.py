@@ -58,12 +58,13 @@ def json_strings(df: DataFrame, column: str) -> DataFrame:
         return texts.map(one)
 
     looks = clean(column).rlike(r"^[\[{\"]")
-    return df.withColumn(column, F.when(looks, values(F.col(column))).otherwise(F.col(column)))
+    return df.withColumn(column, F.when(looks, values(F.when(looks, F.col(column)))).otherwise(F.col(column)))  # only such texts travel
 
 
 def split_claims(outputs: DataFrame, text_col: str = "output_text") -> DataFrame:
-    """One row per claim with its place from 1; all other columns stay."""
-    return outputs.select("*", F.posexplode(claims_of_text(F.col(text_col))).alias("_pos", "claim")).withColumn("claim_index", F.col("_pos") + 1).drop("_pos")
+    """One row per claim with its place from 1; a JSON answer is split value by value. All columns stay as they came."""
+    outputs = json_strings(outputs.withColumn("_claimed", F.col(text_col)), "_claimed")
+    return outputs.select("*", F.posexplode(claims_of_text(F.col("_claimed"))).alias("_pos", "claim")).withColumn("claim_index", F.col("_pos") + 1).drop("_pos", "_claimed")
 
 
 def reviewable(claim: Column, markers: Markers) -> Column:
@@ -82,9 +83,11 @@ def entailment(claims: DataFrame, sources: DataFrame, markers: Markers, allowed:
     top k, and meet its claims as one array.
     """
     bundle = sources.filter(clean("source_id") != "").groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct(clean("source_id").alias("id"), content_tokens(F.col("text")).alias("words"), clean("text").alias("text")))).alias("_sources")
-    )
-    base = claims.join(bundle, "run_id", "left").withColumn("_sources", F.coalesce("_sources", F.array().cast("array<struct<id:string,words:array<string>,text:string>>")))
+        F.array_sort(F.collect_list(F.struct(clean("source_id").alias("id"), content_tokens(F.col("text")).alias("words"), has_any(clean("text"), markers.denying).alias("denies")))).alias("_sources")
+    ).withColumn("_every", F.array_distinct(F.flatten(F.transform("_sources", lambda s: s["words"]))))  # once a run; no text travels with the claims
+    base = claims.join(bundle, "run_id", "left").withColumns({
+        "_sources": F.coalesce("_sources", F.array().cast("array<struct<id:string,words:array<string>,denies:boolean>>")), "_every": F.coalesce("_every", F.array().cast("array<string>")),
+    })
     base = base.join(allowed, "run_id", "left") if allowed is not None else base.withColumn("allowed_source_ids", F.array().cast("array<string>"))
     base = base.withColumns({
         "_words": content_tokens(F.col("claim")), "cited_source_ids": source_ids(F.col("claim")), "_ids": F.transform("_sources", lambda s: s["id"]),
@@ -96,19 +99,18 @@ def entailment(claims: DataFrame, sources: DataFrame, markers: Markers, allowed:
     })
     words = F.col("_words")
     score = lambda w: F.when((F.size(words) == 0) | (F.size(w) == 0), 0.0).otherwise(F.round(F.size(F.array_intersect(words, w)) / F.size(words), 3))
-    scored = F.transform("_checked", lambda s: F.struct(score(s["words"]).alias("score"), s["id"].alias("id"), s["text"].alias("text")))
-    top = F.aggregate(scored, F.lit(None).cast("struct<score:double,id:string,text:string>"), lambda a, s: F.when(a.isNull() | (s["score"] > a["score"]), s).otherwise(a))
-    every = F.array_distinct(F.flatten(F.transform("_sources", lambda s: s["words"])))
+    scored = F.transform("_checked", lambda s: F.struct(score(s["words"]).alias("score"), s["id"].alias("id"), s["denies"].alias("denies")))
+    top = F.aggregate(scored, F.lit(None).cast("struct<score:double,id:string,denies:boolean>"), lambda a, s: F.when(a.isNull() | (s["score"] > a["score"]), s).otherwise(a))
     together = F.array_distinct(F.flatten(F.transform("_checked", lambda s: s["words"])))
     cited = F.size("cited_source_ids") > 0
-    base = base.withColumns({"_top": top, "_all": score(every), "_together": F.when(cited, score(together)).otherwise(0.0)})
+    base = base.withColumns({"_top": top, "_all": score(F.col("_every")), "_together": F.when(cited, score(together)).otherwise(0.0)})
     single = F.coalesce(F.col("_top")["score"], F.col("_all"))
     best = F.greatest(single, F.col("_together"), F.when(cited, 0.0).otherwise(F.col("_all")))
     combined = (F.col("_together") > single) & (F.size("_checked") > 1) & cited
     base = base.withColumns({
         "single_source_support_score": single, "combined_cited_support_score": F.col("_together"), "support_score": best,
         "best_source_id": F.when(combined, "COMBINED_CITED_SOURCES").otherwise(F.coalesce(F.col("_top")["id"], F.lit(""))),
-        "_contradicted": ~combined & F.col("_top").isNotNull() & contradicts(F.col("claim"), F.col("_top")["text"], markers),
+        "_contradicted": ~combined & F.col("_top").isNotNull() & ~has_any(F.col("claim"), markers.limiting) & has_any(F.col("claim"), markers.asserting) & F.col("_top")["denies"],
     })
     label = (
         F.when(F.size("fabricated_source_ids") > 0, "fabricated_citation").when(F.size("out_of_scope_source_ids") > 0, "out_of_scope_source")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import time
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean
 from ..functions.values import hash_modulo
+from ..sources.scratch import materialize
 
 #: Fixed shape of a call's result.
 CALL = "answer string, error string, input_tokens long, output_tokens long"
@@ -36,6 +38,17 @@ def render(template: str, columns: Sequence[str], hidden: Sequence[str] = (), li
     return F.concat(*parts)
 
 
+def turn_prompt(template: str, history: Column, latest: Column) -> Column:
+    """A multi-turn prompt: the turns so far as ``role: content`` lines, and the latest message, in a template with ``{history}`` and ``{message}``."""
+    lines = F.array_join(F.transform(F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>")), lambda t: F.concat(clean(t["role"]), F.lit(": "), clean(t["content"]))), "\n")
+    parts = []
+    for text, name, _, _ in string.Formatter().parse(template):
+        parts.append(F.lit(text))
+        if name:
+            parts.append({"history": lines, "message": clean(latest)}[name])
+    return F.concat(*parts)
+
+
 def context_block(contexts: DataFrame, key: str = "run_id") -> DataFrame:
     """Retrieved sources of every run as one text, in rank order."""
     rows = contexts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "source_id", clean("text").alias("text")))).alias("_rows"))
@@ -55,10 +68,11 @@ def mock_answer(key: Column, prompt: Column, styles: Sequence[str]) -> Column:
     return F.concat(F.get(F.array(*map(F.lit, styles)), hash_modulo(key, len(styles)).cast("int")), F.lit(" "), F.left(prompt, F.lit(40)))
 
 
-def call_model(prompts: DataFrame, client: Callable[[], Callable[[str], tuple[str, dict]]], attempts: int = 3) -> DataFrame:
+def call_model(prompts: DataFrame, client: Callable[[], Callable[[str], tuple[str, dict]]], attempts: int = 3, pause: float = 1.0, longest: float = 8.0) -> DataFrame:
     """``prompts`` with answer, error and token counts of an external model.
 
-    ``client`` builds the connection once a task; a call that keeps failing becomes a row with its error.
+    ``client`` builds the connection once a task. A failed call is tried again after ``pause`` seconds, twice as
+    long each time up to ``longest``; one that keeps failing becomes a row with its error.
     """
     names = prompts.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields] + [CALL])
@@ -76,6 +90,8 @@ def call_model(prompts: DataFrame, client: Callable[[], Callable[[str], tuple[st
                     except Exception as error:  # the failure is the row's result
                         if not left:
                             rows.append(("", str(error), None, None))
+                        else:
+                            time.sleep(min(longest, pause * 2 ** (attempts - 1 - left)))
             made = pd.DataFrame(rows, columns=["answer", "error", "input_tokens", "output_tokens"], index=batch.index)
             for c in ("input_tokens", "output_tokens"):
                 made[c] = made[c].astype("Int64")
@@ -92,7 +108,8 @@ def execute_plan(plan: DataFrame, samples: DataFrame, call: Callable[[DataFrame]
     def answered(df: DataFrame) -> DataFrame:
         return call(df.withColumn("prompt", render(template, df.columns)))
 
-    first = answered(rows.filter(F.col("version") == base).withColumn("base_answer", F.lit("")))
+    # written before two branches read it: every base prompt is sent once, and later versions see the recorded answer
+    first = materialize(answered(rows.filter(F.col("version") == base).withColumn("base_answer", F.lit(""))))
     known = first.select("sample_id", "model_alias", F.col("answer").alias("_base"))
     rest = rows.filter(F.col("version") != base).join(known, ["sample_id", "model_alias"], "left")
     rest = rest.withColumn("base_answer", F.when(F.col("version") == builds_on, F.coalesce("_base", F.lit(""))).otherwise("")).drop("_base")

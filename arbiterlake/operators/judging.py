@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alias_key, clean
-from ..functions.values import ASSET_ROUTES, canonical, error_tags, hash_bits, number, parse_bool, tag_names
+from ..functions.values import ASSET_ROUTES, POLICIES, canonical, error_tags, hash_bits, number, parse_bool, tag_names
 from .routing import route
 
 #: Fixed vocabularies of the score sheet.
@@ -70,21 +72,41 @@ def exclude_self(pairs: DataFrame) -> DataFrame:
     return marked.withColumns({"_free": F.min(F.col("_self").cast("int")).over(run), "_no": first}).filter(~F.col("_self") | ((F.col("_free") == 1) & (F.col("_no") == 1))).drop("_self", "_free", "_no")
 
 
-def disagreement(scores: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """Per run: gap of the primary judges' scores, differing critical tags or policies, and whether to arbitrate."""
-    primary = scores.filter(F.col("judge_role") == "primary")
+#: Primary routes that the router gives.
+DATA_ROUTES = ("human_review", "badcase", "preference", "sft", "eval")
+
+
+def _most_common(column: str, words: tuple[str, ...]) -> Column:
+    """The most common of the words, ties going to the judge that comes first by ``judge_order``."""
+    one = lambda w: F.struct(F.count_if(F.col(column) == w).alias("n"), -F.min(F.when(F.col(column) == w, F.col("judge_order"))).alias("o"), F.lit(w).alias("w"))
+    return F.greatest(*map(one, words))["w"]
+
+
+def _by_role(scores: DataFrame) -> DataFrame:
+    """One row per run and judge role: routed where the rows are, then dealt by run once for all aggregates to come."""
     names = F.array_sort(F.array_distinct(F.array_intersect(tag_names(error_tags(F.col("error_tags").cast("string"))), F.array(*map(F.lit, CRITICAL)))))
-    policies = route(primary.withColumn("run_id", F.struct("run_id", "judge_model_alias"))).select(F.col("run_id")["run_id"].alias("run_id"), F.col("run_id")["judge_model_alias"].alias("judge_model_alias"), "response_policy")
-    rows = primary.withColumn("_critical", F.array_join(names, "|")).join(policies, ["run_id", "judge_model_alias"])
-    score = number(F.col("score_rate"))
-    made = rows.groupBy("run_id").agg(
-        F.count("*").alias("primary_judge_count"), F.round(F.max(score) - F.min(score), 3).alias("score_gap"), F.countDistinct("_critical").alias("_sets"), F.countDistinct("response_policy").alias("_policies")
+    rows = scores.filter(F.col("judge_role").isin("primary", "arbiter")).withColumns({"_critical": F.array_join(names, "|"), "_score": number(F.col("score_rate")), "_risk": clean("risk_level")})
+    routed = route(rows, ("judge_role", "judge_order", "_critical", "_score", "_risk")).repartition("run_id")
+    level = F.when(F.col("_risk").isin(*RISKS), F.array_position(F.array(*map(F.lit, RISKS)), F.col("_risk")) - 1).otherwise(1)
+    return routed.groupBy("run_id", "judge_role").agg(
+        F.count("*").alias("n"), F.round(F.max("_score") - F.min("_score"), 3).alias("gap"), (F.min("_critical") != F.max("_critical")).alias("tags_differ"),
+        (F.min("response_policy") != F.max("response_policy")).alias("policies_differ"), F.round(F.avg(F.col("_score").cast("decimal(18,6)")).cast("double"), 3).alias("score"),
+        F.max_by("_risk", F.struct(level, -F.col("judge_order"))).alias("risk"), F.max((F.col("response_policy") == "block").cast("int")).alias("block"),
+        F.flatten(F.collect_set("data_asset_routes")).alias("routes"), _most_common("response_policy", POLICIES).alias("policy"), _most_common("data_route", DATA_ROUTES).alias("route"),
     )
-    reasons = F.concat_ws("|", *(F.when(c, F.lit(t)) for c, t in (
-        (F.col("primary_judge_count") < 2, "single_primary_after_self_eval_exclusion"), (F.col("score_gap") >= threshold, "score_gap"),
-        (F.col("_sets") > 1, "critical_failure_mismatch"), (F.col("_policies") > 1, "response_policy_mismatch"),
+
+
+def _reasons(n: Column, gap: Column, tags: Column, policies: Column, threshold: float) -> Column:
+    return F.concat_ws("|", *(F.when(c, F.lit(t)) for c, t in (
+        (n < 2, "single_primary_after_self_eval_exclusion"), (gap >= threshold, "score_gap"), (tags, "critical_failure_mismatch"), (policies, "response_policy_mismatch"),
     )))
-    return made.withColumn("disagreement_reasons", reasons).withColumn("requires_arbitration", F.col("disagreement_reasons") != "").drop("_sets", "_policies")
+
+
+def disagreement(scores: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """Per run: gap of the primary judges' scores, differing critical tags or policies, and whether to arbitrate."""
+    rows = _by_role(scores.filter(F.col("judge_role") == "primary"))
+    made = rows.select("run_id", F.col("n").alias("primary_judge_count"), F.col("gap").alias("score_gap"), _reasons(F.col("n"), F.col("gap"), F.col("tags_differ"), F.col("policies_differ"), threshold).alias("disagreement_reasons"))
+    return made.withColumn("requires_arbitration", F.col("disagreement_reasons") != "")
 
 
 def ensemble_summary(scores: DataFrame, threshold: float = 0.2) -> DataFrame:
@@ -92,31 +114,52 @@ def ensemble_summary(scores: DataFrame, threshold: float = 0.2) -> DataFrame:
 
     The most common policy wins, ties going to the judge that comes first by ``judge_order``.
     """
-    gaps = disagreement(scores, threshold)
-    run = Window.partitionBy("run_id")
-    marked = scores.withColumn("_arbited", F.max((F.col("judge_role") == "arbiter").cast("int")).over(run))
-    chosen = marked.filter(F.col("judge_role") == F.when(F.col("_arbited") == 1, "arbiter").otherwise("primary"))
-    decided = route(chosen.withColumn("run_id", F.struct("run_id", "judge_model_alias"))).select(
-        F.col("run_id")["run_id"].alias("run_id"), F.col("run_id")["judge_model_alias"].alias("judge_model_alias"), "response_policy", "data_route", "data_asset_routes"
-    )
-    rows = chosen.select("run_id", "judge_model_alias", "judge_order", number(F.col("score_rate")).alias("_score"), clean("risk_level").alias("_risk"), "_arbited").join(decided, ["run_id", "judge_model_alias"])
-    common = lambda c: rows.groupBy("run_id", c).agg(F.count("*").alias("_n"), F.min("judge_order").alias("_o")).groupBy("run_id").agg(F.max_by(c, F.struct("_n", -F.col("_o"))).alias(f"_common_{c}"))
-    level = F.coalesce(F.array_position(F.array(*map(F.lit, RISKS)), F.col("_risk")) - 1, F.lit(1))
-    made = rows.groupBy("run_id").agg(
-        F.round(F.avg(F.col("_score").cast("decimal(18,6)")).cast("double"), 3).alias("final_score_rate"),
-        F.max_by("_risk", F.struct(F.when(F.col("_risk").isin(*RISKS), level).otherwise(1), -F.col("judge_order"))).alias("final_risk_level"),
-        F.max((F.col("response_policy") == "block").cast("int")).alias("_block"), F.flatten(F.collect_set("data_asset_routes")).alias("_routes"), F.max("_arbited").alias("_arbited"),
-    ).join(common("response_policy"), "run_id").join(common("data_route"), "run_id").join(gaps, "run_id", "left")
-    open_ = F.coalesce("requires_arbitration", F.lit(False)) & (F.col("_arbited") == 0)
-    policy = F.when(F.col("_block") == 1, "block").when(open_, "human_review").otherwise(F.col("_common_response_policy"))
-    made = made.withColumn("final_response_policy", policy)
+    rows = _by_role(scores)
+    whole = F.struct(*(c for c in rows.columns if c not in ("run_id", "judge_role")))
+    of = lambda role: F.any_value(F.when(F.col("judge_role") == role, whole), True)
+    made = rows.groupBy("run_id").agg(of("primary").alias("_p"), of("arbiter").alias("_a")).withColumn("_c", F.coalesce("_a", "_p"))
+    p, c, arbited = F.col("_p"), F.col("_c"), F.col("_a").isNotNull()
+    reasons = F.coalesce(F.when(p.isNotNull(), _reasons(p["n"], p["gap"], p["tags_differ"], p["policies_differ"], threshold)), F.lit(""))
+    made = made.withColumn("disagreement_reasons", reasons).withColumn("requires_arbitration", F.col("disagreement_reasons") != "")
+    open_ = F.col("requires_arbitration") & ~arbited
+    made = made.withColumn("final_response_policy", F.when(c["block"] == 1, "block").when(open_, "human_review").otherwise(c["policy"]))
     held = F.col("final_response_policy").isin("human_review", "block")
     return made.select(
-        "run_id", F.when(F.col("_arbited") == 1, "arbitrated").when(F.col("requires_arbitration"), "needs_human_calibration").otherwise("stable").alias("ensemble_status"),
-        "final_score_rate", "final_risk_level",
+        "run_id", F.when(arbited, "arbitrated").when(F.col("requires_arbitration"), "needs_human_calibration").otherwise("stable").alias("ensemble_status"),
+        c["score"].alias("final_score_rate"), c["risk"].alias("final_risk_level"),
         F.when(F.col("final_response_policy") == "block", "blocked").when(F.col("final_response_policy") == "human_review", "pending_review").otherwise("released").alias("final_workflow_status"),
-        "final_response_policy", canonical(ASSET_ROUTES, F.col("_routes")).alias("final_data_asset_routes"),
-        F.when(held, "human_review").otherwise(F.col("_common_data_route")).alias("final_data_route"),
-        F.coalesce("requires_arbitration", F.lit(False)).alias("requires_arbitration"), (held | open_).alias("requires_human_calibration"),
-        F.coalesce("disagreement_reasons", F.lit("")).alias("disagreement_reasons"),
+        "final_response_policy", canonical(ASSET_ROUTES, c["routes"]).alias("final_data_asset_routes"),
+        F.when(held, "human_review").otherwise(c["route"]).alias("final_data_route"), "requires_arbitration", (held | open_).alias("requires_human_calibration"), "disagreement_reasons",
     )
+
+
+#: Fixed results of runs that no judge can score: subtype of the tag, reason.
+UNSCORED = {
+    "empty_output": ("empty_model_output", "API call completed but returned empty answer content"),
+    "failed": ("model_run_failed", "model run failed before judging"),
+    "unparsed": ("judge_parse_failed", "judge output parse failed"),
+}
+
+
+def judge_pass(runs: DataFrame, raw: str = "raw_judge_output", status: str = "run_status") -> DataFrame:
+    """Score rows of runs and their judge's raw output.
+
+    The first JSON object of the output is normalised. A run that is not ``ok``, and an output without such an
+    object, scores zero with high risk, low confidence and a tag that sends it to review; only the latter
+    counts as not parsed.
+    """
+    from ..functions.jsontext import first_object  # its function needs a session
+
+    ok = clean(status) == "ok"
+    made = runs.withColumn("_found", F.when(ok, first_object(F.col(raw))))
+    case = F.when(clean(status) == "empty_output", "empty_output").when(~ok, "failed").when(F.col("_found").isNull(), "unparsed")
+
+    def substitute(kind: str) -> Column:
+        subtype, reason = UNSCORED[kind]
+        return F.lit(json.dumps({"error_tags": [{"coarse_error_tag": "needs_human_review", "error_subtype": subtype}], "risk_level": "high", "judge_confidence": "low", "judge_reason": reason, "needs_human_review": True}))
+
+    payload = F.col("_found")
+    for kind in UNSCORED:
+        payload = F.when(F.col("_case") == kind, substitute(kind)).otherwise(payload)
+    made = made.withColumn("_case", F.coalesce(case, F.lit(""))).withColumn("payload", payload)
+    return normalize_payload(made).withColumn("parsed_ok", F.col("_case") != "unparsed").drop("_found", "_case", "payload")

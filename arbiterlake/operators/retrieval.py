@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, tokens
+from ..sources.scratch import materialize
 
 K1, B = 1.5, 0.75
 
@@ -15,53 +16,97 @@ def document_text() -> Column:
     return F.concat_ws(" ", *(clean(c) for c in ("source_id", "title", "source_type", "text", "tags")))
 
 
+def query_text() -> Column:
+    """Text of a sample row that searches."""
+    return F.concat_ws(" ", *(clean(c) for c in ("user_question", "known_facts", "legal_concepts", "task_type")))
+
+
+def term_counts(words: Column) -> Column:
+    """(token, tf) of every distinct token of an array, from its sorted form: no row leaves its place to be counted."""
+    ordered = F.array_sort(words)
+
+    def counted(own: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(own)))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(F.get(own, s).alias("token"), (e - s).alias("tf")))
+
+    return F.when(F.size(words) > 0, F.flatten(F.transform(F.array(ordered), counted)))
+
+
 def bm25(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """``query_id``, ``source_id``, ``bm25_score`` of all pairs that share a token.
 
     ``queries`` has ``query_id`` and ``query``; ``corpus`` has ``source_id`` and ``doc``. The corpus is
-    tokenised once; only tokens that some query has are shuffled, one row per document and token.
+    tokenised once, into a table of counts without texts; only tokens that some query has go on, and the
+    weights of the tokens, not the corpus, are what the join spreads as long as they are few.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
     words = corpus.select("source_id", tokens(F.col("doc")).alias("_tokens"))
-    stats = words.agg(F.count("*").alias("docs"), F.sum(F.size("_tokens")).alias("total"))  # one row
-    wanted = asked.select("token").distinct()
-    counted = (
-        words.select("source_id", F.size("_tokens").alias("len"), F.explode("_tokens").alias("token")).join(wanted, "token", "left_semi")
-        .groupBy("source_id", "len", "token").agg(F.count("*").alias("tf"))
-    )
-    spread = counted.groupBy("token").agg(F.count("*").alias("df"))
+    terms = materialize(words.select("source_id", F.size("_tokens").alias("len"), term_counts(F.col("_tokens")).alias("_terms")))
+    stats = terms.agg(F.count("*").alias("docs"), F.sum("len").alias("total"))  # one row
+    counted = terms.select("source_id", "len", F.explode("_terms").alias("_t")).select("source_id", "len", "_t.token", "_t.tf").join(asked.select("token").distinct(), "token", "left_semi")
     weight = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = spread.crossJoin(F.broadcast(stats)).select("token", weight.alias("idf"), F.greatest(F.col("total") / F.greatest("docs", F.lit(1)), F.lit(1.0)).alias("avgdl"))
+    idf = counted.groupBy("token").agg(F.count("*").alias("df")).crossJoin(stats).select("token", weight.alias("idf"), F.greatest(F.col("total") / F.greatest("docs", F.lit(1)), F.lit(1.0)).alias("avgdl"))
+    weighted = materialize(asked.join(idf, "token"))
     part = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))))
-    return (
-        asked.join(counted, "token").join(idf, "token").groupBy("query_id", "source_id")
-        .agg(F.round(F.sum(part), 6).alias("bm25_score"))
-    )
+    return weighted.join(counted, "token").groupBy("query_id", "source_id").agg(F.round(F.sum(part), 6).alias("bm25_score"))
+
+
+def name_boosts(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``query_id``, ``source_id``, ``tags``, ``named``: how many tags of the source stand in the query, and whether its id does.
+
+    A tag or id may stand anywhere in the query, not at word borders: the query's pieces of the lengths that tags
+    and ids have meet them in an equi join, so the work grows with the queries' length, not with queries times sources.
+    """
+    tags = F.filter(F.split(F.lower(clean("tags")), r"[;；,\s]+"), lambda t: t != "")
+    names = corpus.select("source_id", F.explode(F.concat(
+        F.transform(tags, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tag"), F.lit(0).alias("id"))),
+        F.array(F.struct(F.lower(clean("source_id")).alias("term"), F.lit(0).alias("tag"), F.lit(1).alias("id"))),
+    )).alias("_n")).select("source_id", "_n.*").filter("term <> ''")
+    lengths = sorted(r[0] for r in names.select(F.length("term")).distinct().collect())  # a few small numbers
+    low = F.lower(clean("query"))
+    pieces = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: low.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    found = queries.select("query_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(pieces, lengths)))).alias("term"))
+    return names.join(found, "term").groupBy("query_id", "source_id").agg(F.sum("tag").alias("tags"), F.max("id").alias("named"))
+
+
+#: Boosts by source type: types, words of which the query must hold one, boost.
+TypeRules = tuple[tuple[tuple[str, ...], tuple[str, ...], float], ...]
 
 
-def metadata_boost(query: Column, source_id: Column, tags: Column, source_type: Column, rules: dict[tuple[str, ...], tuple[tuple[str, ...], float]] | None = None) -> Column:
-    """0.12 for each tag in the query, 2 for the id itself, and per source type a boost if the query has one of its words."""
-    low = F.lower(clean(query))
-    listed = F.filter(F.split(F.lower(clean(tags)), r"[;；,\s]+"), lambda t: (t != "") & F.contains(low, t))
-    total = 0.12 * F.size(listed) + F.when(F.contains(low, F.lower(clean(source_id))), 2.0).otherwise(0.0)
-    for types, (words, boost) in (rules or {}).items():
-        found = F.lit(False)
-        for w in words:
-            found = found | F.contains(query, F.lit(w))
-        total = total + F.when(clean(source_type).isin(*types) & found, boost).otherwise(0.0)
-    return F.round(total, 6)
+def _type_boost(flags: Column, kind: Column, rules: TypeRules) -> Column:
+    total = F.lit(0.0)
+    for i, (types, _, boost) in enumerate(rules):
+        total = total + F.when(kind.isin(*types) & F.get(flags, i), boost).otherwise(0.0)
+    return total
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, top_k: int = 4) -> DataFrame:
-    """The ``top_k`` sources of every query by score, then id; sources that share no token follow with score zero.
+def retrieve(queries: DataFrame, corpus: DataFrame, top_k: int = 4, min_score: float = 0.0, boost: bool = False, rules: TypeRules = ()) -> DataFrame:
+    """The ``top_k`` sources of every query by score, then id, of those that reach ``min_score``.
 
-    Zero-score sources can only matter below the ``top_k`` smallest ids, so those alone are added.
+    The score is BM25, with ``boost`` plus 0.12 for each tag that the query holds, 2 for the id itself and what the
+    type ``rules`` give. ``corpus`` then has ``tags`` and ``source_type``. Sources that share nothing with a query
+    score zero and can only matter with the smallest ids (of each type that a rule names), so those alone are added.
     """
-    scored = bm25(queries, corpus)
-    fillers = corpus.select("source_id").orderBy("source_id").limit(top_k)
-    zero = queries.select("query_id").crossJoin(F.broadcast(fillers)).join(scored.select("query_id", "source_id"), ["query_id", "source_id"], "left_anti").withColumn("bm25_score", F.lit(0.0))
-    best = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "source_id")
-    return scored.unionByName(zero).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k).select("query_id", "rank", "source_id", "bm25_score")
+    scored = bm25(queries, corpus).select("query_id", "source_id", "bm25_score", F.lit(0).cast("long").alias("tags"), F.lit(0).alias("named"))
+    by_id = Window.partitionBy("_kind").orderBy("source_id")
+    kinds = [t for types, _, _ in rules for t in types] if boost else []
+    kind = clean("source_type") if kinds else F.lit("")
+    fillers = corpus.select("source_id", F.when(kind.isin(*kinds), kind).otherwise("").alias("_kind") if kinds else kind.alias("_kind")).withColumn("_no", F.row_number().over(by_id)).filter(F.col("_no") <= top_k).select("source_id")
+    fillers = materialize(fillers)  # top_k rows a kind
+    zero = queries.select("query_id").crossJoin(fillers).select("query_id", "source_id", F.lit(0.0).alias("bm25_score"), F.lit(0).cast("long").alias("tags"), F.lit(0).alias("named"))
+    every = scored.unionByName(zero)
+    if boost:
+        every = every.unionByName(name_boosts(queries, corpus).select("query_id", "source_id", F.lit(0.0).alias("bm25_score"), "tags", "named"))
+    pairs = every.groupBy("query_id", "source_id").agg(F.max("bm25_score").alias("bm25_score"), F.max("tags").alias("_tags"), F.max("named").alias("_named"))
+    extra = F.round(0.12 * F.col("_tags") + 2.0 * F.col("_named"), 6)
+    if kinds:
+        flags = F.array(*(F.coalesce(F.lit(False), F.lit(False)) if not words else F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.coalesce("query", F.lit("")), w)) for _, words, _ in rules))
+        pairs = pairs.join(queries.select("query_id", flags.alias("_flags")), "query_id").join(corpus.select("source_id", clean("source_type").alias("_kind")), "source_id")
+        extra = F.round(extra + _type_boost(F.col("_flags"), F.col("_kind"), rules), 6)
+    made = pairs.withColumn("metadata_boost", extra).withColumn("retrieval_score", F.round(F.col("bm25_score") + F.col("metadata_boost"), 6)).filter(F.col("retrieval_score") >= min_score)
+    best = Window.partitionBy("query_id").orderBy(F.desc("retrieval_score"), "source_id")
+    return made.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k).select("query_id", "rank", "source_id", "bm25_score", "metadata_boost", "retrieval_score")
 
 
 def retrieval_quality(retrieved: Column, expected: Column) -> dict[str, Column]:

@@ -76,7 +76,7 @@ def run_plan(samples: DataFrame, models: DataFrame, full: list[str], deep: list[
 
     def cross(ids: DataFrame, versions: list[str], scope: str) -> DataFrame:
         listed = F.explode(F.array(*map(F.lit, versions)).cast("array<string>"))
-        return ids.select("sample_id").crossJoin(F.broadcast(models.select("model_alias"))).select(
+        return ids.select("sample_id").crossJoin(models.select("model_alias")).select(
             "sample_id", "model_alias", listed.alias("version"), F.lit(scope).alias("run_scope")
         )
 
@@ -86,8 +86,11 @@ def run_plan(samples: DataFrame, models: DataFrame, full: list[str], deep: list[
     return first.unionByName(rest).select(run_id.alias("run_id"), "sample_id", "model_alias", "version", "run_scope")
 
 
-def route(scores: DataFrame) -> DataFrame:
-    """Response policy, workflow status, asset routes, primary route and priority of every score row."""
+def route(scores: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Response policy, workflow status, asset routes, primary route and priority of every score row.
+
+    ``keep`` names further columns that come along, so that who needs both joins nothing; none of them may be named like an output.
+    """
     scores = with_defaults(
         scores, error_tags=None, risk_level="", judge_confidence="", needs_human_review=None, score_rate=None, parsed_ok=None, run_status="",
         retrieval_required=None, citation_required=None, rag_enabled=None, retrieval_status="", rag_source_ids=None,
@@ -131,6 +134,7 @@ def route(scores: DataFrame) -> DataFrame:
     )
     routes = canonical(ASSET_ROUTES, chosen)
     keys = [c for c in ("sample_id", "run_id", "source_dataset", "task_category", "model_alias", "version") if c in scores.columns]
+    keys += [c for c in keep if c not in keys]
     decided = base.select(
         *keys, "_tags", "_names", main.alias("main_error_type"), risk.alias("risk_level"), policy.alias("response_policy"), routes.alias("data_asset_routes"),
         data_route.alias("data_route"), (parsed & ~failed).alias("_usable"),
@@ -252,19 +256,24 @@ def claim_summary(claims: DataFrame, *keys: str) -> DataFrame:
 GATE_KEYS = ("task_category", "model_vendor", "model_family", "model_alias", "workflow_condition", "workflow_name")
 
 
-def release_gate(runs: DataFrame, scores: DataFrame, routing: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+def release_gate(runs: DataFrame, scores: DataFrame, routing: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
     """One decision per task, model and workflow, with the measures it rests on. Null keys form a group.
 
-    Claims are summed per run before they meet the runs, so the wide join never multiplies claim rows.
+    Without ``routing`` every score row is routed where it is, which saves the join of two tables of its size. Claims are summed per run before they meet the runs, so the wide join never multiplies claim rows.
     """
     if "workflow_condition" not in runs.columns:
         version = F.col("version") if "version" in runs.columns else F.lit("")
         runs = runs.withColumns({"workflow_condition": version, "workflow_name": version})
     runs = with_defaults(runs, model_vendor="", model_family="", workflow_name="", latency_ms=0, estimated_cost=0)
     scores = with_defaults(scores, parsed_ok=True)
-    merged = scores.drop("model_vendor", "model_family", "workflow_condition", "workflow_name", "latency_ms", "estimated_cost").join(
-        canonical_routing(routing).select("run_id", "response_policy"), "run_id", "left"
-    ).join(runs.select("run_id", "model_vendor", "model_family", "workflow_condition", "workflow_name", "latency_ms", "estimated_cost"), "run_id", "left")
+    bare = scores.drop("model_vendor", "model_family", "workflow_condition", "workflow_name", "latency_ms", "estimated_cost", "response_policy")
+    if routing is None:
+        raw = {c: f"_in_{c}" for c in ("error_tags", "risk_level")}  # the router's own columns of these names are made canonical
+        routed = route(bare.withColumns({h: F.col(c) for c, h in raw.items()}), (*raw.values(), "score_rate", "parsed_ok"))
+        merged = routed.select("run_id", "task_category", "model_alias", "score_rate", "parsed_ok", "response_policy", *(F.col(h).alias(c) for c, h in raw.items()))
+    else:
+        merged = bare.join(canonical_routing(routing).select("run_id", "response_policy"), "run_id", "left")
+    merged = merged.join(runs.select("run_id", "model_vendor", "model_family", "workflow_condition", "workflow_name", "latency_ms", "estimated_cost"), "run_id", "left")
     if claims is not None:
         merged = merged.join(claim_summary(claims), "run_id", "left")
     merged = with_defaults(merged, **dict.fromkeys(CLAIM_COUNTS, 0)).na.fill(0, list(CLAIM_COUNTS))

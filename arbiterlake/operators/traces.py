@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.text import clean, fact_hit, has_any
 
 
+#: Fixed values of the over-claim rule: characters before a promise that can negate it, the near ones among them, and those after it.
+BEFORE, NEAR, AFTER = 48, 12, 4
+
+
 @dataclass(frozen=True)
 class TracePack:
     """Language pack of the trace rules; every list is literal text to look for."""
@@ -34,28 +38,25 @@ def history(turns: DataFrame, key: str = "trace_id", order: str = "turn_index")
 def overclaims(text: Column, pack: TracePack) -> Column:
     """True if some promise stands un-negated: no negation close before or within it, no disclaimer since the last boundary.
 
-    Scopes end at boundaries of variable place, so Arrow batches go through Python.
+    Every promise is looked for by itself, so one inside a longer, negated one counts too. Scopes end at
+    boundaries of variable place, so Arrow batches go through Python.
     """
     import re
 
     from pyspark.sql.functions import pandas_udf
 
-    promises = re.compile("|".join(map(re.escape, pack.promises))) if pack.promises else None
+    promises = [re.compile(re.escape(p)) for p in pack.promises if p]
     boundary = re.compile("|".join(map(re.escape, sorted(pack.boundaries, key=len, reverse=True)))) if pack.boundaries else None
 
     @pandas_udf("boolean")
     def found(texts: pd.Series) -> pd.Series:
-        def open_promise(t: str) -> bool:
-            for hit in promises.finditer(t):
-                scope = t[max(0, hit.start() - 48) : hit.start()]
-                if boundary is not None:
-                    scope = boundary.split(scope)[-1]
-                near = scope[-12:] + t[hit.start() : hit.end() + 4]
-                if not any(n in near for n in pack.negations) and not any(n in scope for n in pack.scoped_negations):
-                    return True
-            return False
-
-        return texts.map(lambda t: bool(t) and promises is not None and open_promise(t)).astype(bool)
+        def bare(t: str, start: int, stop: int) -> bool:
+            scope = t[max(0, start - BEFORE) : start]
+            scope = boundary.split(scope)[-1] if boundary else scope
+            near = scope[-NEAR:] + t[start : stop + AFTER]
+            return not any(n in near for n in pack.negations) and not any(n in scope for n in pack.scoped_negations)
+
+        return texts.map(lambda t: any(bare(t, *hit.span()) for p in promises for hit in p.finditer(t)) if t else False).astype(bool)
 
     return found(F.coalesce(text, F.lit("")))
 

@@ -16,16 +16,37 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*(F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else F.col(f"`{f.name}`") for f in df.schema.fields))
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """``single``: one file, for small reports only."""
+def write_csv(df: DataFrame, path: str, single: bool = False, mark: bool = True) -> None:
+    """UTF-8, with a byte-order mark before the header if ``mark``. ``single``: one file, for small reports only."""
     out = flat(df)
+    if mark and out.columns:
+        out = out.withColumnRenamed(out.columns[0], f"\ufeff{out.columns[0]}")
     (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_dashboard(sheets: dict[str, DataFrame], folder: str) -> None:
-    """One table per sheet."""
+def write_dashboard(sheets: dict[str, DataFrame], folder: str, wide: Sequence[str] = ("score_delta", "runs", "scores", "routing")) -> None:
+    """One table per sheet; summaries as one file, the ``wide`` ones, which grow with the runs, as many."""
     for name, df in sheets.items():
-        write_csv(df, f"{folder}/{name}", single=True)
+        write_csv(df, f"{folder}/{name}", single=name not in wide)
+
+
+def replace_all(df: DataFrame, key: str, path: str) -> None:
+    """Write ``df`` in place of what is at ``path``; raises if a key repeats."""
+    again = [r[0] for r in df.groupBy(key).count().filter("count > 1").limit(10).collect()]
+    if again:
+        raise ValueError(f"repeated keys {again}")
+    df.write.mode("overwrite").parquet(path)
+
+
+def next_attempt(ledger: DataFrame, key: str = "asset_id") -> DataFrame:
+    """Next attempt number of every key."""
+    return ledger.groupBy(key).agg((F.max("attempt") + 1).alias("attempt"))
+
+
+def official_attempts(ledger: DataFrame, key: str = "asset_id") -> DataFrame:
+    """The last completed attempt of every key; keys without one have none."""
+    last = Window.partitionBy(key).orderBy(F.desc("attempt"))
+    return ledger.filter(F.col("status") == "completed").withColumn("_no", F.row_number().over(last)).filter("_no = 1").drop("_no")
 
 
 def append_log(log: DataFrame, new: DataFrame, key: str, path: str) -> int:

@@ -6,7 +6,7 @@ import os
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -41,11 +41,20 @@ def read_bundle(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
-    """Parsed objects, and the lines that are not objects of the schema."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("_row"), F.try_parse_json("value").isNotNull().alias("_json"))
-    good = F.col("_json") & F.ltrim("value").startswith("{")
-    return parsed.filter(good).select("_row.*"), parsed.filter(~good).select("value")
+    """Parsed objects, and ``file``, ``line`` (from 1) and ``value`` of the lines that are not objects of the schema.
+
+    A line's number is its place in its split plus the lines of the splits before it in the file: one small
+    table of line counts, so that no line leaves its task for being numbered.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", place.alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    before = Window.partitionBy("_split.file").orderBy("_split.start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    full = lines.filter(F.trim("value") != "")
+    good = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
+    parsed = full.filter(good).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("_row")).select("_row.*")
+    bad = full.filter(~good).join(counts, "_split")
+    return parsed, bad.select(F.col("_split.file").alias("file"), (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line"), "value")
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
@@ -75,6 +84,35 @@ def load_corpus(df: DataFrame, required: Sequence[str] = ("source_id", "title",
     return made
 
 
+def lookup(keys: DataFrame, table: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """The first row by ``order`` of every asked key, and the keys that the table lacks."""
+    first = Window.partitionBy(key).orderBy(order)
+    wanted = keys.select(key).distinct()
+    found = table.join(wanted, key, "left_semi").withColumn("_no", F.row_number().over(first)).filter("_no = 1").drop("_no")
+    return found, wanted.join(table, key, "left_anti")
+
+
+def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join in which every left key must have a match; raises and names the first that lack one."""
+    missing = [r[0] for r in left.select(key).distinct().join(right, key, "left_anti").limit(10).collect()]
+    if missing:
+        raise ValueError(f"no match for {missing}")
+    return left.join(right, key)
+
+
+def listed(df: DataFrame, **wanted: str | None) -> DataFrame:
+    """Rows whose columns have one of the comma-separated values; an empty list keeps all, an unknown value raises."""
+    for column, text in wanted.items():
+        values = [v.strip() for v in (text or "").split(",") if v.strip()]
+        if not values:
+            continue
+        known = {r[0] for r in df.filter(F.col(column).isin(*values)).select(column).distinct().collect()}  # at most the values asked for
+        if unknown := sorted(set(values) - {str(k) for k in known}):
+            raise ValueError(f"unknown {column}: {unknown}")
+        df = df.filter(F.col(column).isin(*values))
+    return df
+
+
 def nest_rubrics(gold: DataFrame, rubrics: DataFrame, key: str = "sample_id") -> DataFrame:
     """Gold rows with their rubric rows as an array, empty if there are none."""
     rest = [c for c in rubrics.columns if c != key]
