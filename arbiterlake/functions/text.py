@@ -73,7 +73,9 @@ def has_any(c: Column, markers: Sequence[str]) -> Column:
 def support_score(claim: Column, source: Column) -> Column:
     """Share of the claim's content tokens that the source has, three places; zero if either is empty."""
     a, b = content_tokens(claim), content_tokens(source)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.round(F.size(F.array_intersect(a, b)) / F.size(a), 3))
+    from .values import rate
+
+    return F.when(F.size(b) == 0, 0.0).otherwise(rate(F.size(F.array_intersect(a, b)), F.size(a), 3))
 
 
 def fact_hit(output: Column, fact: Column, share: float = 0.35) -> Column:

@@ -289,3 +289,17 @@ def bundle_errors(pending: DataFrame, decisions: DataFrame) -> DataFrame:
     made = made.unionByName(say(decisions.groupBy("asset_id").count().filter("count > 1"), "more than one decision"))
     made = made.unionByName(say(decisions.filter(~F.col("decision").isin("approve", "rework", "reject")), "unknown decision"))
     return made.unionByName(say(decisions.filter((F.col("decision") != "approve") & ~filled("reason")), "a reason is required"))
+
+
+def blind_payload(df: DataFrame, snapshot: str, allowed: Sequence[str], forbidden: Sequence[str]) -> DataFrame:
+    """``df`` with only the allowed keys of the snapshot map; raises if a forbidden column or allowed key would show an earlier label."""
+    if shown := sorted((set(df.columns) | set(allowed)) & set(forbidden)):
+        raise ValueError(f"blind payload shows {shown}")
+    return df.withColumn(snapshot, F.map_filter(snapshot, lambda k, _: k.isin(*allowed)))
+
+
+def release_cohort(assets: DataFrame, roles: Sequence[str] | None = None, without: Sequence[str] = ()) -> DataFrame:
+    """Accepted assets of a release: all that train, and the regression assets whose evaluation role is one of ``roles`` (None: any) and none of ``without``."""
+    role = clean("evaluation_role")
+    chosen = (role.isin(*roles) if roles is not None else F.lit(True)) & ~role.isin(*without)
+    return assets.filter((F.col("asset_status") == "accepted") & (F.col("asset_type").isin("sft", "preference") | ((F.col("asset_type") == "regression") & chosen)))

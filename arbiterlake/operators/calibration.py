@@ -124,3 +124,9 @@ def calibration_summary(reviewed: DataFrame) -> DataFrame:
         F.col("pairs").alias("reviewer_pair_labeled_rows"), F.round("observed_agreement", 3).alias("reviewer_observed_agreement_rate"), F.round("kappa", 3).alias("reviewer_cohen_kappa")
     )
     return figures.crossJoin(pairs)
+
+
+def in_sheet_order(sample: DataFrame) -> DataFrame:
+    """The review sheet's rows: reasons for review first, then task, risk, sample, model and version."""
+    reasons = ("legal_review_required", "critical_for_review", "citation_or_claim_review", "ensemble_review")
+    return sample.orderBy(*map(F.desc, reasons), "task_category", "risk_level", "sample_id", "model_alias", "version")

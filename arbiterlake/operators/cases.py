@@ -77,3 +77,18 @@ def numbered_items(c: Column) -> Column:
     """Items of a numbered list: what follows 1. 2) （3） and the like."""
     parts = F.split(clean(c), r"(?=(?:^|\n)\s*[（(]?[0-9]{1,2}[.)、）])")
     return F.filter(F.transform(parts, lambda p: clean(F.regexp_replace(p, r"^\s*[（(]?[0-9]{1,2}[.)、）]", ""))), lambda p: p != "")
+
+
+#: Fixed values of the slices.
+HARD_SLICES = ("hard_legal_reasoning", "risk_calibration", "adversarial_trap", "counterfactual_pair")
+MEDIUM_RISK_SLICES = ("hard_legal_reasoning", "citation_grounding", "counterfactual_pair")
+
+
+def slice_columns(task_type: Column, slice_name: Column, expects_review: Column) -> dict[str, Column]:
+    """Task category, difficulty and risk level of an imported case."""
+    kind, part = clean(task_type), clean(slice_name)
+    return {
+        "task_category": F.when(kind == "document_drafting", kind).when(kind.isin("case_analysis", "grounded_qa"), "case_analysis").otherwise("consultation"),
+        "difficulty": F.when(part.isin(*HARD_SLICES), "hard").when(part == "citation_grounding", "medium").otherwise("normal"),
+        "risk_level": F.when(expects_review, "high").when(part.isin(*MEDIUM_RISK_SLICES), "medium").otherwise("low"),
+    }

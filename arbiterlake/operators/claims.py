@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import claims_of_text, clean, content_tokens, has_any, source_ids
+from ..functions.values import rate
 
 
 @dataclass(frozen=True)
@@ -98,7 +99,7 @@ def entailment(claims: DataFrame, sources: DataFrame, markers: Markers, allowed:
         "_checked": F.filter("_sources", lambda s: (F.size("cited_source_ids") == 0) | F.array_contains("cited_source_ids", s["id"])),
     })
     words = F.col("_words")
-    score = lambda w: F.when((F.size(words) == 0) | (F.size(w) == 0), 0.0).otherwise(F.round(F.size(F.array_intersect(words, w)) / F.size(words), 3))
+    score = lambda w: F.when((F.size(words) == 0) | (F.size(w) == 0), 0.0).otherwise(rate(F.size(F.array_intersect(words, w)), F.size(words), 3))
     scored = F.transform("_checked", lambda s: F.struct(score(s["words"]).alias("score"), s["id"].alias("id"), s["denies"].alias("denies")))
     top = F.aggregate(scored, F.lit(None).cast("struct<score:double,id:string,denies:boolean>"), lambda a, s: F.when(a.isNull() | (s["score"] > a["score"]), s).otherwise(a))
     together = F.array_distinct(F.flatten(F.transform("_checked", lambda s: s["words"])))

@@ -84,3 +84,18 @@ def focus_cases(spark, ids: Sequence[str], cases: DataFrame) -> DataFrame:
     """One row per wanted case, blanks where the case is unknown."""
     wanted = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "sample_id string, place int")
     return wanted.join(cases, "sample_id", "left").na.fill("").orderBy("place").drop("place")
+
+
+def worst_samples(runs: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` runs with most blockers, then most open issues, those for review first, the lowest score first, then by id."""
+    return runs.orderBy(F.desc("all_claim_source_boundary_blocker_count"), F.desc("reviewable_claim_needs_review_count"), F.desc("needs_human_review"), "score_rate", "run_id").limit(n)
+
+
+def created_range(rows: DataFrame, column: str = "created_at") -> DataFrame:
+    """First and last non-empty time stamp, as text."""
+    return rows.filter(F.coalesce(F.col(column), F.lit("")) != "").agg(F.min(column).alias("first_created_at"), F.max(column).alias("last_created_at"))
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC, ISO form with seconds."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

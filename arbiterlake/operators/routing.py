@@ -253,6 +253,29 @@ def claim_summary(claims: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def claim_rates(claims: DataFrame, *keys: str) -> DataFrame:
+    """The claim summary with citation coverage, gate issue and boundary blocker rates; zero where nothing is counted.
+
+    ``cited_source_ids`` is a JSON list as text.
+    """
+    claims = with_defaults(claims, cited_source_ids="", reviewable_legal_claim=False)
+    keys = keys or ("run_id",)
+    cited = parse_bool(F.col("reviewable_legal_claim").cast("string")) & (F.size(json_items(F.col("cited_source_ids").cast("string"))) > 0)
+    # both are counted by the same keys, so the join moves nothing again
+    covered = claims.filter(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.count_if(cited).alias("cited_reviewable_claim_count"))
+    made = claim_summary(claims, *keys).join(covered, list(keys))
+    share = lambda part, whole: rate(F.col(part), F.col(whole))
+    return made.withColumns({
+        "citation_coverage_rate": share("cited_reviewable_claim_count", "reviewable_claim_count"), "citation_gate_issue_rate": share("citation_gate_issue_count", "reviewable_claim_count"),
+        "all_claim_source_boundary_blocker_rate": share("all_claim_source_boundary_blocker_count", "claim_entailment_rows"),
+    })
+
+
+def in_gate_order(gate: DataFrame) -> DataFrame:
+    """The gate's rows by task, workflow and model."""
+    return gate.orderBy("task_category", "workflow_condition", "model_alias")
+
+
 GATE_KEYS = ("task_category", "model_vendor", "model_family", "model_alias", "workflow_condition", "workflow_name")
 
 
