@@ -61,8 +61,11 @@ RUNS, SCORES, CLAIMS, REVIEWS, STATES, ASSETS = (dt.text(x) for x in (dt.RUNS, d
 _NAMES = "list_transform(CAST(json(error_tags) AS JSON[]), lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN json_extract_string(x, '$.coarse_error_tag') ELSE json_extract_string(x, '$') END)"
 _KNOWN = f"list_transform({_NAMES}, lambda x: CASE WHEN x IN {vs.COARSE_TAGS} THEN x ELSE 'needs_human_review' END)"
 
-_ROUTED = f"""
-(WITH t AS (SELECT *, {_KNOWN} AS tags FROM {SCORES} source),
+
+def _routed_sql(source: str) -> str:
+    """Every score row of ``source`` with its decision."""
+    return f"""
+(WITH t AS (SELECT *, {_KNOWN} AS tags FROM {source} source),
 f AS (SELECT *, list_has_any(tags, ['fabricated_citation', 'unsafe_action_suggestion']) OR run_status = 'failed' AS blocking,
   risk_level = 'high' OR judge_confidence = 'low' OR needs_human_review = 'True' OR parsed_ok = 'no' AS review,
   coalesce(list_filter({list(routing.PRIORITY)}, lambda p: list_contains(tags, p))[1], 'no_detected_error') AS main FROM t)
@@ -82,6 +85,9 @@ SELECT run_id, sample_id, task_category, model_alias, version, score_rate, risk_
     OR (r = 'eval' AND (list_has_any(tags, ['weak_fact_rule_application', 'jurisdiction_risk']) OR len(tags) = 0))) AS asset_routes
 FROM f)
 """
+
+
+_ROUTED = _routed_sql(SCORES)
 _STATUS = "CASE response_policy WHEN 'block' THEN 'blocked' WHEN 'human_review' THEN 'pending_review' ELSE 'released' END"
 _PRIORITY = "CASE WHEN response_policy IN ('block', 'human_review') OR risk_level = 'high' THEN 'P0' WHEN risk_level = 'medium' THEN 'P1' ELSE 'P2' END"
 
@@ -383,7 +389,25 @@ PACK = claims.Markers(reviewable=("the", "de", "und"), exempt=("http",), conditi
 TRACE_PACK = traces.TracePack(challenge=("not", "no"), review=("review", "the"), redirect=("for",), promises=("always", "sure"), negations=("not", "never"), scoped_negations=("cannot",))
 
 
-@query()
+_CLAIMED = r"""(SELECT doc_id AS run_id, idx AS claim_index, regexp_replace(regexp_replace(part, '^[ \-0-9.、:：]+', ''), '[ \-0-9.、:：]+$', '') AS claim FROM
+ (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS idx FROM
+  (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[\n。；;!?！？]+'), lambda p: length(regexp_replace(p, '^\s+|\s+$', '', 'g')) >= 8) AS parts FROM documents)))"""
+_CONTENT = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9_]+'), lambda w: length(w) > 1))"
+_CITED = r"""list_sort(list_distinct(list_concat(regexp_extract_all(claim, '\[([A-Z][A-Z0-9_-]{2,})\]', 1), regexp_extract_all(claim, '(?:^|[^A-Z0-9_-])([A-Z][A-Z0-9]+(?:-[A-Z0-9]+)+)(?:$|[^A-Z0-9_-])', 1))))"""
+_ANY = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@query(f"""
+WITH c AS (SELECT *, {_CONTENT('claim')} AS words, {_CITED} AS cited FROM {_CLAIMED}),
+j AS (SELECT c.*, b.item_id, b.text AS source, {_CONTENT("coalesce(b.text, '')")} AS held, concat('SRC-', b.item_id) AS id FROM c LEFT JOIN benchmark b ON c.run_id = b.item_id),
+s AS (SELECT *, item_id IS NOT NULL AND (len(cited) = 0 OR list_contains(cited, id)) AS checked, NOT {_ANY('claim', ('http',))} AND {_ANY('claim', ('the', 'de', 'und'))} AS open,
+  CASE WHEN len(held) = 0 THEN 0.0 ELSE {_rate('len(list_intersect(words, held))', 'len(words)', 1000)} END AS score FROM j),
+l AS (SELECT *, CASE WHEN len(list_filter(cited, lambda x: item_id IS NULL OR x <> id)) > 0 THEN 'fabricated_citation' WHEN NOT open THEN 'not_reviewable' WHEN len(cited) = 0 THEN 'no_citation'
+  WHEN checked AND NOT contains(claim, 'without') AND contains(claim, 'with') AND contains(source, 'not') THEN 'contradicted' WHEN score >= 0.45 THEN 'supported' WHEN score >= 0.25 THEN 'partially_supported'
+  WHEN {_ANY('claim', ('if', 'si'))} AND score >= 0.12 THEN 'partially_supported' ELSE 'unsupported' END AS entailment_label FROM s)
+SELECT run_id, claim_index, open AS reviewable_legal_claim, CASE WHEN checked THEN id ELSE '' END AS best_source_id, score AS support_score, entailment_label,
+  CASE entailment_label {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in claims.PRODUCT_ACTIONS.items())} ELSE 'not_applicable' END AS product_action FROM l
+""")
 def claim_entailment(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     texts = docs.select(F.col("doc_id").alias("run_id"), F.col("text").alias("output_text"))
@@ -432,7 +456,13 @@ def review_sample(spark, sf_dir):
     return calibration.review_sample(calibration.review_base(_rel(spark, sf_dir, dt.SCORES), _routed(spark, sf_dir))).select("run_id", "review_bucket")
 
 
-@query()
+@query(f"""
+WITH b AS (SELECT s.run_id, s.task_category, s.model_alias, s.risk_level, r.response_policy, list_has_any({_NAMES}, ['fabricated_citation', 'unsafe_action_suggestion', 'needs_human_review']) OR s.risk_level = 'high' OR s.judge_confidence = 'low'
+  OR s.needs_human_review = 'True' AS due, sha256(concat('42|', s.run_id)) AS h FROM {SCORES} s JOIN (SELECT run_id, response_policy FROM {_ROUTED}) r USING (run_id)),
+g AS (SELECT greatest(1, ceil(50.0 / count(*))) AS share FROM (SELECT DISTINCT task_category, model_alias, risk_level FROM b WHERE NOT due)),
+x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_category, model_alias, risk_level ORDER BY h, run_id) AS no FROM b WHERE NOT due), g WHERE no <= share ORDER BY h, run_id LIMIT 50)
+SELECT run_id, 'critical_failure' AS review_bucket, response_policy AS auto_triage_label FROM b WHERE due UNION ALL SELECT run_id, 'random_calibration', response_policy FROM x
+""")
 def review_sample_random(spark, sf_dir):
     base = calibration.review_base(_rel(spark, sf_dir, dt.SCORES), _routed(spark, sf_dir))
     return calibration.review_sample(base, random_min=50).select("run_id", "review_bucket", "auto_triage_label")
@@ -448,19 +478,76 @@ def _judged(spark, sf_dir):
     return first.unionByName(second)
 
 
-@query(f"""
-SELECT run_id, 2 AS primary_judge_count, round(abs(CAST(run_id * 7 % 101 AS DOUBLE) / 100 - CAST(run_id * 11 % 101 AS DOUBLE) / 100), 3) AS score_gap FROM {SCORES}
-""")
+_SECOND = f"""(SELECT * REPLACE (CAST(run_id * 11 % 101 AS DOUBLE) / 100 AS score_rate, CASE WHEN run_id % 6 = 0 THEN '[{{"coarse_error_tag":"fabricated_citation"}}]' ELSE error_tags END AS error_tags) FROM {SCORES})"""
+_BOTH = f"""
+(SELECT a.run_id, a.risk_level, a.response_policy AS policy, a.data_route AS route, a.asset_routes AS routes_a, b.asset_routes AS routes_b, a.response_policy = 'block' OR b.response_policy = 'block' AS blocked,
+  round(abs(CAST(a.run_id * 7 % 101 AS DOUBLE) / 100 - CAST(a.run_id * 11 % 101 AS DOUBLE) / 100), 3) AS score_gap, (a.run_id * 7 % 101 + a.run_id * 11 % 101) * 5 / 1000 AS score,
+  concat_ws('|', CASE WHEN round(abs(CAST(a.run_id * 7 % 101 AS DOUBLE) / 100 - CAST(a.run_id * 11 % 101 AS DOUBLE) / 100), 3) >= 0.2 THEN 'score_gap' END,
+    CASE WHEN list_sort(list_distinct(list_intersect(a.tags, {list(judging.CRITICAL)}))) <> list_sort(list_distinct(list_intersect(b.tags, {list(judging.CRITICAL)}))) THEN 'critical_failure_mismatch' END,
+    CASE WHEN a.response_policy <> b.response_policy THEN 'response_policy_mismatch' END) AS reasons
+ FROM {_ROUTED} a JOIN {_routed_sql(_SECOND)} b USING (run_id))
+"""
+
+
+@query(f"SELECT run_id, 2 AS primary_judge_count, score_gap, reasons AS disagreement_reasons, reasons <> '' AS requires_arbitration FROM {_BOTH}")
 def judge_disagreement(spark, sf_dir):
-    return judging.disagreement(_judged(spark, sf_dir)).select("run_id", "primary_judge_count", "score_gap")
+    return judging.disagreement(_judged(spark, sf_dir))
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT *, CASE WHEN blocked THEN 'block' WHEN reasons <> '' THEN 'human_review' ELSE policy END AS final FROM {_BOTH})
+SELECT run_id, CASE WHEN reasons <> '' THEN 'needs_human_calibration' ELSE 'stable' END AS ensemble_status, score AS final_score_rate, risk_level AS final_risk_level,
+  CASE final WHEN 'block' THEN 'blocked' WHEN 'human_review' THEN 'pending_review' ELSE 'released' END AS final_workflow_status, final AS final_response_policy,
+  array_to_string(list_filter({list(vs.ASSET_ROUTES)}, lambda r: list_contains(routes_a, r) OR list_contains(routes_b, r)), ',') AS final_data_asset_routes,
+  CASE WHEN final IN ('human_review', 'block') THEN 'human_review' ELSE route END AS final_data_route, reasons <> '' AS requires_arbitration, final IN ('human_review', 'block') OR reasons <> '' AS requires_human_calibration,
+  reasons AS disagreement_reasons FROM p
+""")
 def ensemble_summary(spark, sf_dir):
     made = judging.ensemble_summary(_judged(spark, sf_dir))
     return made.withColumn("final_data_asset_routes", F.array_join("final_data_asset_routes", ","))
 
 
+_RAW = """CASE WHEN run_id % 7 = 0 THEN 'no object here' WHEN run_id % 7 = 1 THEN 'so: {"risk_level": "HIGH", "error_tags": ["overclaim", {"coarse_error_tag": "odd"}], "needs_human_review": "yes"} end'
+  ELSE '{"dimension_scores": {"risk_coverage": 2, "legal_grounding": 9, "overclaim_control": -1}, "atomic_scores": [{"rubric_id": "R1", "score": 3, "max_score": 2}], "judge_confidence": "low", "judge_reason": " fine "}' END"""
+
+
+@query(f"""
+WITH j AS (SELECT run_id, run_status, {_RAW} AS raw FROM {RUNS}), c AS (SELECT run_id, CASE WHEN run_status <> 'ok' THEN 'failed' WHEN run_id % 7 = 0 THEN 'unparsed' WHEN run_id % 7 = 1 THEN 'tags' ELSE 'scores' END AS kind FROM j)
+SELECT run_id, CASE kind WHEN 'scores' THEN 6 ELSE 0 END AS total_score, CASE kind WHEN 'scores' THEN 20 ELSE 18 END AS max_score, CASE kind WHEN 'scores' THEN 0.3 ELSE 0.0 END AS score_rate,
+  'high' AS risk_level, CASE kind WHEN 'tags' THEN 'medium' ELSE 'low' END AS judge_confidence, kind <> 'scores' AS needs_human_review,
+  CASE kind WHEN 'failed' THEN 'model run failed before judging' WHEN 'unparsed' THEN 'judge output parse failed' WHEN 'tags' THEN '' ELSE 'fine' END AS judge_reason,
+  CASE kind WHEN 'failed' THEN 'needs_human_review:model_run_failed' WHEN 'unparsed' THEN 'needs_human_review:judge_parse_failed' WHEN 'tags' THEN 'overclaim:,needs_human_review:non_standard_error_tag' ELSE '' END AS tags,
+  kind <> 'unparsed' AS parsed_ok FROM c
+""")
+def judge_pass(spark, sf_dir):
+    """Score rows from raw judge outputs: failed runs, outputs without an object, clipped scores."""
+    made = judging.judge_pass(_rel(spark, sf_dir, dt.RUNS).select("run_id", "run_status").withColumn("raw_judge_output", F.expr(_RAW)))
+    tags = F.array_join(F.transform("error_tags", lambda t: F.concat_ws(":", t["coarse_error_tag"], t["error_subtype"])), ",")
+    return made.select("run_id", "total_score", "max_score", "score_rate", "risk_level", "judge_confidence", "needs_human_review", "judge_reason", tags.alias("tags"), "parsed_ok")
+
+
+@query(f"""
+WITH c AS (SELECT *, reviewable_legal_claim = 'yes' AS open, run_id % 3 = 0 AS cited FROM {CLAIMS})
+SELECT run_id, count(*) AS claim_entailment_rows, count_if(open AND cited) AS cited_reviewable_claim_count, {_rate('count_if(open AND cited)', 'count_if(open)')} AS citation_coverage_rate,
+  {_rate(f'count_if(open AND entailment_label IN {routing.ISSUE_LABELS})', 'count_if(open)')} AS citation_gate_issue_rate, {_rate(f'count_if(entailment_label IN {routing.BLOCKER_LABELS})', 'count(*)')} AS all_claim_source_boundary_blocker_rate
+FROM c GROUP BY run_id
+""")
+def claim_rates(spark, sf_dir):
+    claims_ = _rel(spark, sf_dir, dt.CLAIMS).withColumn("cited_source_ids", F.when(F.col("run_id") % 3 == 0, '["SRC-1"]').otherwise("[]"))
+    return routing.claim_rates(claims_).select("run_id", "claim_entailment_rows", "cited_reviewable_claim_count", "citation_coverage_rate", "citation_gate_issue_rate", "all_claim_source_boundary_blocker_rate")
+
+
+@query(f"""
+SELECT run_id, coalesce(b, 0) AS all_claim_source_boundary_blocker_count, coalesce(i, 0) AS reviewable_claim_needs_review_count, needs_human_review, score_rate FROM {SCORES}
+LEFT JOIN (SELECT run_id, count_if(entailment_label IN {routing.BLOCKER_LABELS}) AS b, count_if(reviewable_legal_claim = 'yes' AND entailment_label IN {routing.ISSUE_LABELS}) AS i FROM {CLAIMS} GROUP BY 1) USING (run_id)
+ORDER BY 2 DESC, 3 DESC, needs_human_review DESC, score_rate, run_id LIMIT 20
+""")
+def worst_samples(spark, sf_dir):
+    counts = ("all_claim_source_boundary_blocker_count", "reviewable_claim_needs_review_count")
+    rows = _rel(spark, sf_dir, dt.SCORES).join(routing.claim_summary(_rel(spark, sf_dir, dt.CLAIMS)), "run_id", "left").na.fill(0, list(counts))
+    return reports.worst_samples(rows).select("run_id", *counts, "needs_human_review", "score_rate")
+
+
 @query("""
 SELECT conv_id AS trace_id, turn AS turn_index, count(*) OVER w AS n_before, coalesce(string_agg(role, ',') OVER w, '') AS roles_before FROM conversations
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
@@ -533,7 +620,16 @@ def append_new_events(spark, sf_dir):
     return rows
 
 
-@query()
+@query(f"""
+WITH a AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM {ASSETS}), h AS (SELECT sha256(t) AS h, min(asset_id) = max(asset_id) AS alone FROM a GROUP BY 1),
+c AS (SELECT source_case_id, count(*) > 1 AND count_if(asset_type = 'regression') > 0 AS shared FROM a GROUP BY 1), n AS (SELECT source_snapshot_id, count(*) AS n, count_if(asset_type = 'regression') AS r FROM a WHERE trim(source_snapshot_id) <> '' GROUP BY 1),
+k AS (SELECT asset_id, NOT (regexp_matches(text, '(^|[^0-9])1[3-9][0-9]{{9}}($|[^0-9])') OR regexp_matches(text, '(^|[^0-9])[0-9]{{17}}[0-9Xx]($|[^0-9])') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS pii, alone,
+  trim(source_snapshot_id) <> '' AS traced, greatest(CASE WHEN c.shared THEN 1 ELSE 0 END, CASE WHEN coalesce(n.n, 0) > 1 AND coalesce(n.r, 0) > 0 THEN 1 ELSE 0 END) = 1 AS overlap,
+  t <> '' AND len(regexp_extract_all(t, '\\*\\*')) % 2 = 0 AND len(regexp_extract_all(t, '```')) % 2 = 0 AND NOT (length(t) >= 200 AND position(right(t, 1) IN '.。!！?？)）]】"”''’`}}') = 0) AS whole
+  FROM a JOIN h ON sha256(a.t) = h.h LEFT JOIN c USING (source_case_id) LEFT JOIN n USING (source_snapshot_id))
+SELECT asset_id, CASE WHEN pii THEN 'passed' ELSE 'failed' END AS pii_check, CASE WHEN alone THEN 'passed' ELSE 'failed' END AS duplicate_check, CASE WHEN traced THEN 'passed' ELSE 'failed' END AS source_traceability,
+  'passed' AS law_effective_date_check, CASE WHEN overlap THEN 'not_applicable' ELSE 'passed' END AS contamination_check, CASE WHEN whole THEN 'passed' ELSE 'failed' END AS type_specific_check, pii AND alone AND traced AND whole AS passed FROM k
+""")
 def quality_check(spark, sf_dir):
     rows = _rel(spark, sf_dir, dt.ASSETS)
     corrections = rows.select("asset_id", F.lit(1).alias("revision_number"), F.col("text").alias("corrected_answer"), F.lit("a").alias("chosen_answer"), F.lit("b").alias("rejected_answer"), F.lit("").alias("preference_reason"))
@@ -541,7 +637,10 @@ def quality_check(spark, sf_dir):
     return assets.quality_checks(corrections, candidates)
 
 
-@query()
+@query("""
+SELECT CAST(conv_id AS VARCHAR) AS asset_id, h AS content_hash, first_seq, row_number() OVER (PARTITION BY conv_id ORDER BY first_seq) AS version_no, concat('SNAP-', substr(h, 1, 20)) AS snapshot_id
+FROM (SELECT conv_id, sha256(text) AS h, min(turn) AS first_seq FROM conversations GROUP BY 1, 2)
+""")
 def source_versions(spark, sf_dir):
     snaps = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("asset_id"), F.col("text").alias("content"), F.col("turn").alias("seq"))
     return assets.snapshot_versions(snaps)
@@ -570,7 +669,10 @@ def public_redaction(spark, sf_dir):
     return sinks.public_columns(_table(spark, sf_dir, "documents"), ["doc_id"], ["text"])
 
 
-@query()
+@query("""
+WITH t AS (SELECT doc_id, NOT contains(text, 'password') AS forbidden_ok, contains(regexp_replace(text, '\\s+', '', 'g'), 'the') AS a, contains(regexp_replace(text, '\\s+', '', 'g'), 'Licensed') OR contains(regexp_replace(text, '\\s+', '', 'g'), 'der') AS b FROM documents)
+SELECT doc_id, true AS expected_policy_ok, forbidden_ok, a::INT + b::INT AS topics_hit, a AND b AS topics_ok, true AS citation_ok, forbidden_ok AND a AND b AS passed FROM t
+""")
 def assertion_results(spark, sf_dir):
     outputs = _table(spark, sf_dir, "documents").select(
         "doc_id", F.col("text").alias("output_text"), F.array(F.lit("auto_answer")).alias("expected_response_policy"), F.array(F.lit("password")).alias("forbidden_claims"), F.array(F.lit("the"), F.lit("license")).alias("required_topics"),
@@ -616,24 +718,20 @@ def claim_totals(spark, sf_dir):
     return reports.claim_totals(_rel(spark, sf_dir, dt.CLAIMS)).select("claim_entailment_rows", "supported_claim_count", "contradicted_claim_count", "no_citation_claim_count")
 
 
-@query("""
-SELECT e.conv_id AS run_id, concat('[', CAST(e.turn AS VARCHAR), '] ', trim(e.text)) AS context FROM conversations e WHERE e.turn = 0
-""")
-def context_blocks(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("run_id"), F.lit(1).alias("rank"), F.col("turn").cast("string").alias("source_id"), "text")
-    return execution.context_block(turns)
-
-
 @query("""
 SELECT conv_id AS run_id, string_agg(concat('[', CAST(turn AS VARCHAR), '] ', trim(text)), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id
 """)
-def conversation_contexts(spark, sf_dir):
+def context_blocks(spark, sf_dir):
     """All turns of every conversation, the first with rank 1, as one text in turn order."""
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("rank"), F.col("turn").cast("string").alias("source_id"), "text")
     return execution.context_block(turns)
 
 
-@query()
+@query(f"""
+WITH p AS ({{PLAN}}), s AS (SELECT p.run_id, p.sample_id, p.model_alias, p.version, trim(n_name) AS q, ['a', 'b', 'c', 'd'][('0x' || right(sha256(p.run_id), 1))::INT % 4 + 1] AS style FROM p JOIN nation ON n_nationkey = p.sample_id),
+b AS (SELECT sample_id, model_alias, concat(style, ' ', substr(concat(q, chr(10)), 1, 40)) AS base FROM s WHERE version = 'V0')
+SELECT run_id, version, 'ok' AS run_status, concat(style, ' ', substr(concat(q, chr(10), CASE WHEN version = 'V2' THEN regexp_replace(coalesce(base, ''), '\\s+$', '') ELSE '' END), 1, 40)) AS output_text FROM s LEFT JOIN b USING (sample_id, model_alias)
+""".replace("{PLAN}", ORACLE_SQL["run_plan"]))
 def mock_runs(spark, sf_dir):
     plan = run_plan(spark, sf_dir)
     samples = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sample_id"), F.col("n_name").alias("user_question"))

@@ -52,5 +52,5 @@ def test_contexts_of_conversations_hold_every_turn(spark):
     want = {}
     for r in turns.orderBy("conv_id", "turn").collect():
         want[r.conv_id] = want.get(r.conv_id, []) + [f"[{r.turn}] {r.text.strip()}"]
-    got = {r.run_id: r.context for r in library.QUERIES["conversation_contexts"](spark, FOLDER).collect()}
+    got = {r.run_id: r.context for r in library.QUERIES["context_blocks"](spark, FOLDER).collect()}
     assert turns.count() > len(want) and got == {k: "\n".join(v) for k, v in want.items()}

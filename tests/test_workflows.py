@@ -154,3 +154,127 @@ def test_badcase_cards_fill_up_and_errors_choose_in_turn(spark):
     # a takes s2 before b can, so b takes s3 and c, with s2 only, takes none
     assert cards(80) == [("r1", 1), ("r2", 2), ("r4", 2), ("r3", 4), ("r5", 4), ("r6", 4)]
     assert cards(4) == [("r1", 1), ("r2", 2), ("r4", 2), ("r3", 4)]
+
+
+def test_overclaims_equal_plain_rule(spark):
+    import random
+
+    from arbiterlake.operators import traces
+
+    pack = traces.TracePack(promises=("absolutely certain to win", "win", "sure"), negations=("not", "never"), scoped_negations=("cannot say",))
+
+    def plain(text):
+        for promise in pack.promises:
+            at = text.find(promise)
+            while at >= 0:
+                scope = text[max(0, at - 48) : at]
+                cut = max([scope.rfind(b) + len(b) for b in pack.boundaries if b in scope], default=0)
+                scope = scope[cut:]
+                near = scope[-12:] + text[at : at + len(promise) + 4]
+                if not any(n in near for n in pack.negations) and not any(n in scope for n in pack.scoped_negations):
+                    return True
+                at = text.find(promise, at + len(promise))
+        return False
+
+    rng = random.Random(3)
+    words = ["absolutely certain to win", "win", "sure", "not", "never", "we cannot say", ".", "; ", "a", "long words between", "\n", "。"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(400)] + [None, "", "not absolutely certain to win"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", traces.overclaims(F.col("t"), pack).alias("y")).collect()
+    assert {r.i: r.y for r in got} == {i: plain(t or "") for i, t in enumerate(texts)} and plain("not absolutely certain to win")
+
+
+def test_rates_round_like_the_quotient(spark):
+    from arbiterlake.functions import values as vs
+
+    pairs = [(a, b) for b in (8, 16, 32, 64, 96, 160, 320, 640, 1280, 2000, 20000, 40000) for a in range(0, b + 1, max(1, b // 400))] + [(7, 0), (0, 5), (625, 20000), (1875, 20000), (10**9, 3 * 10**9)]
+    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", vs.rate(F.col("a"), F.col("b")).alias("four"), vs.rate(F.col("a"), F.col("b"), 3).alias("three"))
+    for r in df.collect():
+        assert (r.four, r.three) == ((round(r.a / r.b, 4), round(r.a / r.b, 3)) if r.b else (0.0, 0.0)), r
+
+
+def test_bad_lines_come_with_their_number(spark, tmp_path):
+    from arbiterlake.sources import tables
+
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\nnot json\n[1]\n{"x": 2}\n{"x": \n')
+    (tmp_path / "b.jsonl").write_text('5\n{"x": 3}\n')
+    good, bad = tables.read_jsonl(spark, str(tmp_path), "x int")
+    assert sorted(r.x for r in good.collect()) == [1, 2, 3]
+    assert sorted((r.file.rpartition("/")[2], r.line, r.value) for r in bad.collect()) == [("a.jsonl", 3, "not json"), ("a.jsonl", 4, "[1]"), ("a.jsonl", 6, '{"x": '), ("b.jsonl", 1, "5")]
+    many = "\n".join('{"x": 1}' if i % 1000 else f"bad {i}" for i in range(20_000))
+    (tmp_path / "large").mkdir()
+    (tmp_path / "large" / "c.jsonl").write_text(many)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        _, bad = tables.read_jsonl(spark, str(tmp_path / "large"), "x int")
+        assert sorted((r.line, r.value) for r in bad.collect()) == [(i + 1, f"bad {i}") for i in range(0, 20_000, 1000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_base_prompts_are_sent_once(spark, tmp_path):
+    plan = spark.createDataFrame([("r0", "s", "m", "V0"), ("r2", "s", "m", "V2"), ("r3", "s", "m", "V3")], "run_id string, sample_id string, model_alias string, version string")
+    samples = spark.createDataFrame([("s", "why")], "sample_id string, user_question string")
+    folder = str(tmp_path)
+
+    def client():
+        import uuid
+
+        def ask(prompt):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(prompt)
+            return uuid.uuid4().hex, {}
+
+        return ask
+
+    got = {r.run_id: r for r in execution.execute_plan(plan, samples, lambda df: execution.call_model(df, client), "{user_question}|{base_answer}").collect()}
+    sent = sorted(p.read_text() for p in tmp_path.iterdir())
+    assert sent == sorted(["why|", "why|", f"why|{got['r0'].output_text}"])
+
+
+def test_claims_of_json_answers(spark):
+    from arbiterlake.operators import claims
+
+    df = spark.createDataFrame([(1, '{"a": "first claim here", "b": [{"c": "second claim; third claim there"}], "n": 5}'), (2, "plain claim one! {not json"), (3, None)], "run_id int, output_text string")
+    got = sorted((r.run_id, r.claim_index, r.claim) for r in claims.split_claims(df).collect())
+    assert got == [(1, 1, "first claim here"), (1, 2, "second claim"), (1, 3, "third claim there"), (2, 1, "plain claim one"), (2, 2, "{not json")]
+    assert claims.split_claims(df).columns == ["run_id", "output_text", "claim", "claim_index"]
+
+
+def test_marked_csv_reads_back(spark, tmp_path):
+    from arbiterlake.sources import sinks, tables
+
+    sinks.write_csv(spark.createDataFrame([("é", [1, 2])], "name string, list array<int>"), f"{tmp_path}/t.csv", single=True)
+    part = next(p for p in (tmp_path / "t.csv").iterdir() if p.name.startswith("part"))
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfname,")
+    row = tables.read_csv(spark, f"{tmp_path}/t.csv").first()
+    assert (row.name, row.list) == ("é", "[1,2]")
+
+
+def test_look_ups_and_lists(spark):
+    from arbiterlake.sources import sinks, tables
+
+    table = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z")], "k string, no int, v string")
+    found, missing = tables.lookup(spark.createDataFrame([("a",), ("c",)], "k string"), table, "k", "no")
+    assert [r.v for r in found.collect()] == ["y"] and [r.k for r in missing.collect()] == ["c"]
+    assert tables.listed(table, k="a, b", v="z").count() == 1 and tables.listed(table, k="").count() == 3
+    for call in (lambda: tables.listed(table, k="a,q"), lambda: tables.matched(spark.createDataFrame([("q",)], "k string"), table, "k"), lambda: sinks.replace_all(table, "k", "/nowhere")):
+        with pytest.raises(ValueError):
+            call()
+    ledger = spark.createDataFrame([("a", 1, "completed"), ("a", 2, "failed"), ("b", 1, "failed")], "asset_id string, attempt int, status string")
+    assert {r.asset_id: r.attempt for r in sinks.next_attempt(ledger).collect()} == {"a": 3, "b": 2}
+    assert [(r.asset_id, r.attempt) for r in sinks.official_attempts(ledger).collect()] == [("a", 1)]
+
+
+def test_turn_prompt_blind_payload_and_cohort(spark):
+    df = spark.createDataFrame([([("user", "hi"), ("assistant", "yes")], "now", {"a": "1", "score": "9"})], "h array<struct<role:string,content:string>>, m string, snap map<string,string>")
+    assert df.select(execution.turn_prompt("Turns:\n{history}\nLast: {message}", F.col("h"), F.col("m")).alias("p")).first().p == "Turns:\nuser: hi\nassistant: yes\nLast: now"
+    assert assets.blind_payload(df, "snap", ("a",), ("label",)).first().snap == {"a": "1"}
+    with pytest.raises(ValueError):
+        assets.blind_payload(df.withColumn("label", F.lit(1)), "snap", ("a",), ("label",))
+    rows = spark.createDataFrame([("s", "sft", "", "accepted"), ("r", "regression", "independent", "accepted"), ("q", "regression", "other", "accepted"), ("x", "sft", "", "rejected")], "asset_id string, asset_type string, evaluation_role string, asset_status string")
+    ids = lambda **k: {r.asset_id for r in assets.release_cohort(rows, **k).collect()}
+    assert (ids(), ids(roles=("independent",)), ids(without=("independent",))) == ({"s", "r", "q"}, {"s", "r"}, {"s", "q"})
+    made = spark.createDataFrame([("grounded_qa", "citation_grounding", False), ("", "adversarial_trap", True)], "t string, s string, e boolean")
+    got = made.select(*(v.alias(k) for k, v in cases.slice_columns(F.col("t"), F.col("s"), F.col("e")).items())).collect()
+    assert [tuple(r) for r in got] == [("case_analysis", "medium", "medium"), ("consultation", "hard", "high")]
