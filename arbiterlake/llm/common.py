@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -14,61 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, the separators of every word definition used here.
-SPACES = b" \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, the context's checkpoint folder, or, in local mode alone, a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_dir.isDefined():
-        return set_dir.get()
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "arbiterlake-scratch")
-
-
-_roots: set[str] = set()
-
-
-def _scratch(spark: SparkSession) -> str:
-    """This application's folder for intermediate tables; it goes when the driver's Python ends."""
-    root = f"{shared_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
-    if root not in _roots:
-        _roots.add(root)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+from ..sources.scratch import forget, materialize, shared_dir
 
-        def clear() -> None:
-            try:
-                path = jvm.org.apache.hadoop.fs.Path(root)
-                path.getFileSystem(conf).delete(path, True)
-            except Exception:  # the JVM has gone before; nothing can be deleted any more
-                pass
+__all__ = ["arrow_batches", "forget", "give_back", "hold", "id_bucket", "map_arrow", "materialize", "shared_dir", "shuffle_partitions", "words_of"]
 
-        atexit.register(clear)
-    return root
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote and that nothing reads any more."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        if f"{_scratch(df.sparkSession).split('://')[-1]}/" in f"{folder}/":
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The columns come back in the same order; every column becomes nullable.
-    """
-    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII white space, the separators of every word definition used here.
+SPACES = b" \t\n\x0b\x0c\r"
 
 
 @contextmanager

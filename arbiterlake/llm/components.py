@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     now = materialize(edges.select("a", "b").filter("a <> b").distinct())
     before = None
     for _ in range(rounds):
-        now = materialize(_small_star(_large_star(now)))
+        old, now = now, materialize(_small_star(_large_star(now)))
+        forget(old)
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first())
         if mark == before:
             break
