@@ -18,8 +18,12 @@ __all__ = ["arrow_batches", "forget", "give_back", "hold", "id_bucket", "map_arr
 SPACES = b" \t\n\x0b\x0c\r"
 
 
+#: Rows, and so texts, that a Python worker holds at once.
+BATCH_ROWS = 2000
+
+
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """Jobs that run inside pass at most ``rows`` rows at once to a Python worker, so that it holds few texts; the session's own setting comes back."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
@@ -47,6 +51,8 @@ def hold(owner: str, release: Callable[[], None] | None = None) -> None:
     if _holder[0] != owner:
         if _holder[1]:
             _holder[1]()
+        if _holder[0]:
+            give_back()
         _holder[:] = [owner, release]
 
 
@@ -63,7 +69,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | Iterable[dict
     target = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, BATCH_ROWS) for whole in batches for a in range(0, whole.num_rows, BATCH_ROWS)):
             made = fn(batch)
             for cols in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_arrays(

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, map_arrow, materialize, shuffle_partitions
+from .common import arrow_batches, hold, map_arrow, materialize, shuffle_partitions
 from .components import connected_components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -295,6 +295,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A family of m candidate classes costs about m * m / ``block`` shipped sets; families arise only among
     documents most of whose shingles are shared, near copies in practice.
     """
+    with arrow_batches(df.sparkSession):
+        return _components(df, id_col, text_col, width, percent, block)
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, block: int) -> DataFrame:
     spark = df.sparkSession
     docs = df.select(id_col, text_col)
     rows = materialize(described(docs, id_col, text_col, width))
@@ -306,7 +311,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     families = connected_components(edges)
 
     # Sets of the candidate classes only, each from one of its documents.
-    counts = families.groupBy("component").agg(F.count("*").alias("size"))
+    counts = materialize(families.groupBy("component").agg(F.count("*").alias("size")))  # written, so that the join back is plain
     members = families.join(counts, "component").join(classes, families["node"] == classes["cls"]).select("cls", *SET, "docs", "rep", "component", "size")
     reps = members.select(F.col("rep").alias("_rep")).distinct().hint("shuffle_hash")
     wanted = docs.join(reps, F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi")
@@ -336,7 +341,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     degree = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("others"))
 
     named = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = materialize(named)
+    least = materialize(named.groupBy("component").agg(F.min("rep").alias("component_id")))
     of_class = named.join(least, "component").join(degree, "cls", "left").select(
         *SET, "component_id", (F.coalesce("others", F.lit(0)) + F.col("docs") - 1).alias("n_links")
     )

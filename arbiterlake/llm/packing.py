@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, shuffle_partitions
+from .common import arrow_batches, map_arrow, materialize, shuffle_partitions
 from .wordbpe import encoder
 
 
@@ -127,7 +127,8 @@ def pack_documents(
     A null or empty text is its end id alone; very long texts are cut into pieces; null ids pass through;
     repeated rows are packed once each; other columns are not read; an empty table gives an empty result.
     """
-    pieces = materialize(tokenized_pieces(df, tokenizer, id_col, text_col, capacity, end_id, with_ids))
+    with arrow_batches(df.sparkSession):
+        pieces = materialize(tokenized_pieces(df, tokenizer, id_col, text_col, capacity, end_id, with_ids))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = best_fit_decreasing(histogram, capacity)
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, map_arrow, materialize, words_of
+from .common import arrow_batches, hold, map_arrow, materialize, words_of
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -194,7 +194,8 @@ def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     name = id_col if id_col not in (*FEATURES, "base_failed", "quality", "kept") else f"{id_col}_id"
     plain = df.select(F.col(f"`{id_col}`").alias(name), F.col(f"`{text_col}`").alias("_text"))
-    features = materialize(measured(plain, "_text", keep=(name,)))  # a few numbers a row; the texts are read once
+    with arrow_batches(df.sparkSession):
+        features = materialize(measured(plain, "_text", keep=(name,)))  # a few numbers a row; the texts are read once
     model = fit(features, rules)
     return (
         features.withColumn("base_failed", F.expr(BASE_FAILED))
@@ -210,7 +211,8 @@ def filter_quality(df: DataFrame, text_col: str = "text", threshold: float = 0.5
     Input columns named like a feature are kept as they came; null and empty texts fail the base rule; nulls in
     other columns and repeated rows pass one to one; an empty table gives an empty result.
     """
-    model = fit(measured(df, text_col), rules)
+    with arrow_batches(df.sparkSession):
+        model = fit(measured(df, text_col), rules)
     hidden = {c: f"_in_{i}" for i, c in enumerate(df.columns)}
     inner = df.select(*(F.col(f"`{c}`").alias(h) for c, h in hidden.items()))
     judged = measured(inner, hidden[text_col], keep=tuple(hidden.values()))
