@@ -281,7 +281,7 @@ def compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, StructType([StructField(c, LongType()) for c in ("a", "b", "links")]))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 128) -> DataFrame:
     """One row per row of ``df``: ``id_col``, ``n_shingles``, ``component_id``, ``n_links``, ``class_id``.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their shingle sets.

@@ -140,13 +140,12 @@ def chosen_rows(df: DataFrame, label_col: str, text_col: str, id_col: str, per_l
     has outputs); a threshold on the hash then lets about twice as many through as are wanted, so that what
     meets to be ranked is small however common a label is. Rows that agree in all three count once.
     """
-    spark = df.sparkSession
     labelled = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     rows = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), label_col, text_col).alias("_key"))
     counts = rows.groupBy("label").agg(F.approx_count_distinct("_key", 0.02).alias("n")).collect()
-    limits = [(r["label"], -(2**63) + min(2**64 - 1, int(2**64 * (2 * per_label + 20) / max(r["n"], 1)))) for r in counts]
-    limits = spark.createDataFrame(limits, "label string, _limit long")
-    few = rows.join(limits, "label").filter("_key <= _limit").groupBy("label", "_key").agg(F.any_value("text").alias("text"))
+    limits = {r["label"]: -(2**63) + min(2**64 - 1, int(2**64 * (2 * per_label + 20) / max(r["n"], 1))) for r in counts}
+    limit = F.element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col("label")) if limits else F.lit(0)  # no join: no text moves that is not chosen
+    few = rows.filter(F.col("_key") <= limit).groupBy("label", "_key").agg(F.any_value("text").alias("text"))
     first = Window.partitionBy("label").orderBy("_key")
     return few.withColumn("_no", F.row_number().over(first)).filter(F.col("_no") <= per_label).select("label", "text")
 
