@@ -200,7 +200,7 @@ END_WORD = np.uint64(0xE0D)
 class _Counter:
     """Distinct keys and counts of a task, merged whenever the unmerged part grows, and full beyond ``most`` keys."""
 
-    def __init__(self, merge: int = 1_000_000, most: int = 2_000_000):
+    def __init__(self, merge: int = 500_000, most: int = 1_000_000):
         self.parts, self.size, self.merge, self.most = [], 0, merge, most
 
     def add(self, keys: np.ndarray) -> None:
