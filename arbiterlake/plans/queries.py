@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vs
-from ..operators import assets, calibration, claims, dashboard, execution, judging, reports, retrieval, routing, traces
+from ..operators import assets, calibration, claims, dashboard, execution, judging, regression, reports, retrieval, routing, traces
 from ..sources import sinks
 from . import driver_tables as dt
 
@@ -737,3 +737,82 @@ def mock_runs(spark, sf_dir):
     samples = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sample_id"), F.col("n_name").alias("user_question"))
     call = lambda df: df.withColumns({"answer": execution.mock_answer(F.col("run_id"), F.col("prompt"), ("a", "b", "c", "d")), "error": F.lit("")})
     return execution.execute_plan(plan, samples, call, "{user_question}\n{base_answer}").select("run_id", "version", "run_status", "output_text")
+
+
+def _assertions(spark, sf_dir):
+    """Two revisions for even documents, one for the others, none for every seventh; outputs; and recorded results of every fifth."""
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("A"), F.col("doc_id").cast("string")).alias("asset_id"), "doc_id", "text")
+    first = docs.filter("doc_id % 7 <> 0").select(
+        "asset_id", F.format_string("ASSERT-%s-%02d", "asset_id", F.lit(1)).alias("assertion_id"), F.lit(1).alias("revision_number"), F.array(F.lit("auto_answer")).alias("expected_response_policy"),
+        F.array(F.lit("password")).alias("forbidden_claims"), F.array(F.lit("the"), F.lit("license")).alias("required_topics"),
+        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>")).alias("required_topic_aliases"), F.lit(False).alias("citation_required"),
+    )
+    aliases = docs.filter("doc_id % 2 = 0").select("asset_id", F.create_map(F.lit("license"), F.array(F.lit("Licensed"), F.lit("der"))).alias("required_topic_aliases"))
+    logs = docs.select("asset_id", F.concat(F.lit("RR"), F.col("doc_id").cast("string")).alias("rerun_id"), F.col("text").alias("output_text"), F.array().cast("array<string>").alias("allowed_sources"))
+    earlier = docs.filter("doc_id % 5 = 0").select(
+        "asset_id", F.format_string("REG-%s-%02d", "asset_id", F.lit(1)).alias("regression_id"), F.concat(F.lit("RR"), F.col("doc_id").cast("string")).alias("rerun_id"), F.lit(1).alias("seq"),
+        F.array(*(F.lit(True) for _ in regression.CHECKS)).alias("checks"), F.lit("scoring-v1").alias("scoring_revision"),
+    )
+    return first, aliases, logs, earlier
+
+
+@query("""
+SELECT concat('A', doc_id) AS asset_id, concat('ASSERT-A', doc_id, '-02') AS assertion_id, 2 AS revision_number, 'Licensed,der' AS aliases, 'the,license' AS required_topics FROM documents WHERE doc_id % 2 = 0 AND doc_id % 7 <> 0
+""")
+def revised_assertions(spark, sf_dir):
+    first, aliases, _, _ = _assertions(spark, sf_dir)
+    made, _ = regression.revise_assertions(first, aliases)
+    return made.select("asset_id", "assertion_id", "revision_number", F.array_join(F.col("required_topic_aliases")["license"], ",").alias("aliases"), F.array_join("required_topics", ",").alias("required_topics"))
+
+
+_BARE = "regexp_replace(text, '\\s+', '', 'g')"
+_LICENSE = f"CASE WHEN doc_id % 2 = 0 THEN contains({_BARE}, 'Licensed') OR contains({_BARE}, 'der') ELSE contains({_BARE}, 'license') END"
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, NOT contains(text, 'password') AS f, contains({_BARE}, 'the') AND {_LICENSE} AS t, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS v, doc_id % 5 = 0 AS known FROM documents WHERE doc_id % 7 <> 0)
+SELECT concat('A', doc_id) AS asset_id, concat('REG-A', doc_id, CASE WHEN known THEN '-02' ELSE '-01' END) AS regression_id, concat('RR', doc_id) AS rerun_id, CASE WHEN f AND t THEN 'passed' ELSE 'failed' END AS regression_status,
+  concat_ws(',', CASE WHEN NOT f THEN 'forbidden_ok' END, CASE WHEN NOT t THEN 'topics_ok' END) AS failure_reason, concat('scoring-v', v) AS scoring_revision,
+  CASE WHEN known THEN concat('REG-A', doc_id, '-01') ELSE '' END AS source_regression_id FROM c WHERE NOT (known AND f AND t AND v = 1)
+""")
+def regression_scores(spark, sf_dir):
+    """Outputs scored under the latest assertion of their asset; what is recorded already gives nothing new."""
+    first, aliases, logs, earlier = _assertions(spark, sf_dir)
+    second, _ = regression.revise_assertions(first, aliases)
+    made, _ = regression.score_runs(logs, first.unionByName(second), earlier)
+    return made.select("asset_id", "regression_id", "rerun_id", "regression_status", "failure_reason", "scoring_revision", "source_regression_id")
+
+
+@query(f"""
+SELECT concat('A', doc_id) AS asset_id, concat('RR', doc_id) AS rerun_id, 'required_topic' AS assertion_kind, 'the' AS assertion_value, contains({_BARE}, 'the') AS matched, '["the"]' AS aliases FROM documents WHERE doc_id % 7 <> 0
+UNION ALL SELECT concat('A', doc_id), concat('RR', doc_id), 'required_topic', 'license', {_LICENSE}, CASE WHEN doc_id % 2 = 0 THEN '["Licensed","der"]' ELSE '["license"]' END FROM documents WHERE doc_id % 7 <> 0
+""")
+def assertion_audit(spark, sf_dir):
+    first, aliases, logs, _ = _assertions(spark, sf_dir)
+    second, _ = regression.revise_assertions(first, aliases)
+    return regression.assertion_audit(logs, first.unionByName(second))
+
+
+@query(f"""
+WITH k AS (SELECT c_custkey AS sample_id, c_mktsegment AS gold FROM customer), b AS (SELECT sample_id, run_id FROM {RUNS} WHERE version = 'V0' AND run_status = 'ok'),
+n AS (SELECT sample_id, min(run_id) AS run_id, count(*) AS n FROM b GROUP BY 1), r AS (SELECT run_id, response_policy FROM {_ROUTED})
+SELECT k.sample_id, n.run_id, gold, response_policy FROM k JOIN n ON k.sample_id = n.sample_id AND n.n = 1 JOIN nation ON n_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = k.sample_id) LEFT JOIN r USING (run_id)
+""")
+def baseline_runs(spark, sf_dir):
+    """Cases with their gold row, metadata and exactly one baseline run, and the run's policy."""
+    customers = _table(spark, sf_dir, "customer")
+    gold = customers.select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("gold"))
+    metadata = customers.join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("sample_id"), "n_name")
+    runs = _rel(spark, sf_dir, dt.RUNS).select("run_id", "sample_id", "version", "run_status")
+    made, _ = regression.baselines(gold.select("sample_id"), gold, metadata, runs, _routed(spark, sf_dir).select("run_id", "response_policy"), F.expr("version = 'V0' and run_status = 'ok'"))
+    return made.select("sample_id", "run_id", "gold", "response_policy")
+
+
+@query(f"""
+WITH r AS (SELECT r.*, d.text AS output_text FROM {REVIEWS} r JOIN documents d ON d.doc_id = r.run_id)
+SELECT unnest(['priority_review_row_count', 'rows_with_nonempty_answer', 'rows_with_empty_answer', 'completed_final_review_rows', 'reviewer_level_a_b_label_rows']) AS metric,
+  unnest([count(*), count_if(trim(output_text) <> ''), count_if(trim(output_text) = ''), count_if(human_pass_fail <> '' OR human_critical_failure <> ''), count_if(reviewer_a_triage_label <> '' AND reviewer_b_triage_label <> '')]) AS value FROM r
+""")
+def review_evidence(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("output_text"))
+    return regression.review_evidence(_rel(spark, sf_dir, dt.REVIEWS).join(docs, "run_id"), ("human_pass_fail", "human_critical_failure"))

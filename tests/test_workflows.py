@@ -278,3 +278,23 @@ def test_turn_prompt_blind_payload_and_cohort(spark):
     made = spark.createDataFrame([("grounded_qa", "citation_grounding", False), ("", "adversarial_trap", True)], "t string, s string, e boolean")
     got = made.select(*(v.alias(k) for k, v in cases.slice_columns(F.col("t"), F.col("s"), F.col("e")).items())).collect()
     assert [tuple(r) for r in got] == [("case_analysis", "medium", "medium"), ("consultation", "hard", "high")]
+
+
+def test_regression_figures_and_guards(spark):
+    from arbiterlake.operators import regression
+
+    results = spark.createDataFrame([("a", "passed", "scoring-v2"), ("b", "failed", "scoring-v2"), ("c", "passed", "scoring-v3")], "asset_id string, regression_status string, scoring_revision string")
+    metrics = spark.createDataFrame([("regression_pass_rate", "0"), ("other", "7")], "metric string, value string")
+    fresh, several = regression.refresh_metrics(metrics, results)
+    assert {tuple(r) for r in fresh.collect()} == {("regression_pass_rate", "0.6667"), ("other", "7")} and several.count() == 2
+    assert regression.refresh_metrics(metrics, results.filter("scoring_revision = 'scoring-v2'"))[1].count() == 0
+    files = spark.createDataFrame([(1, "b.csv", "h2"), (1, "a.csv", "h1"), (2, "a.csv", "h3")], "attempt int, name string, sha256 string")
+    assert {(r.event_id, r.event_type, tuple(sorted(r.file_sha256.items()))) for r in regression.attempt_events(files).collect()} == {
+        ("REG-ATTEMPT-01-RECORDED", "attempt_recorded", (("a.csv", "h1"), ("b.csv", "h2"))), ("REG-ATTEMPT-02-RECORDED", "attempt_recorded", (("a.csv", "h3"),)),
+    }
+    one = lambda *rows: spark.createDataFrame([(r,) for r in rows], "sample_id string")
+    runs = spark.createDataFrame([("r1", "s1", "V0"), ("r2", "s2", "V0"), ("r3", "s2", "V0"), ("r4", "s1", "V1")], "run_id string, sample_id string, version string")
+    routing = spark.createDataFrame([("r1", "clarify"), ("r1", "clarify")], "run_id string, response_policy string")
+    made, wrong = regression.baselines(one("s1", "s2", "s3"), one("s1", "s2"), one("s1", "s2", "s3"), runs, routing, F.col("version") == "V0")
+    assert [(r.sample_id, r.run_id, r.response_policy) for r in made.collect()] == [("s1", "r1", "clarify")]
+    assert {tuple(r) for r in wrong.collect()} == {("s2", "expected one baseline run, found 2"), ("s3", "expected one baseline run, found 0"), ("s3", "missing gold")}
