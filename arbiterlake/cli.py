@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import assets, calibration, cases, claims, dashboard, execution, judging, reports, routing, traces
+from .operators import assets, calibration, cases, claims, dashboard, execution, judging, regression, reports, retrieval, routing, traces
 from .sources import sinks, tables
+from .sources.scratch import materialize
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +80,50 @@ def _validate_cases(t):
     return t["cases"].groupBy().count()
 
 
+def _all(t):
+    """From recorded runs with their judge's raw output to scores, routing, gate and dashboard."""
+    runs = routing.output_status(t["runs"])
+    judged = judging.judge_pass(runs)
+    scores = judged.select(
+        *(c for c in ("run_id", "sample_id", "source_dataset", "task_category", "model_alias", "version") if c in judged.columns), "total_score", "max_score", "score_rate",
+        F.to_json("error_tags").alias("error_tags"), "risk_level", "judge_confidence", "needs_human_review", "parsed_ok", "run_status",
+    )
+    scores = materialize(scores)  # three branches read it
+    routed = routing.route(scores)
+    sheets = _summarize({"runs": runs, "scores": scores, "routing": routed})
+    return {**sheets, "release_gate": routing.in_gate_order(routing.release_gate(runs, scores)), "review_sheet": calibration.in_sheet_order(calibration.review_sample(calibration.review_base(scores, routed)))}
+
+
+def _retrieve(t):
+    queries = t["samples"].select(F.col("sample_id").alias("query_id"), retrieval.query_text().alias("query"))
+    corpus = tables.load_corpus(t["corpus"])
+    return retrieval.retrieve(queries, corpus.withColumn("doc", retrieval.document_text()), boost=True)
+
+
+def _validate_release(t):
+    counts = {r["asset_type"]: r["wanted"] for r in t["expected"].select("asset_type", F.col("wanted").cast("long").alias("wanted")).collect()}  # one row a type
+    errors = assets.release_errors(t["assets"], t["members"], t["qa"], counts)
+    must_be_empty(errors, "invalid release")
+    return assets.release_metrics(assets.reviewer_conflicts(t["reviews"]), t["qa"])
+
+
+def _apply_bundle(t):
+    must_be_empty(assets.bundle_errors(t["pending"], t["decisions"]), "invalid decisions")
+    return t["pending"].join(t["decisions"], "asset_id")
+
+
+def _upgrade(t):
+    made, missing = regression.revise_assertions(t["registry"], t["aliases"])
+    must_be_empty(missing, "assets without assertion")
+    return made
+
+
+def _rescore(t):
+    made, missing = regression.score_runs(t["logs"], t["registry"], t["results"])
+    must_be_empty(missing, "logs without assertion")
+    return made
+
+
 #: command -> (input tables, function of the loaded tables)
 COMMANDS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "validate-cases": (("cases",), _validate_cases),
@@ -104,6 +149,17 @@ COMMANDS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "check-contamination": (("train", "test"), lambda t: assets.contamination(t["train"], t["test"])),
     "replay-states": (("events",), lambda t: assets.replay(t["events"])),
     "run-asset-regression": (("outputs",), lambda t: assets.evaluate_assertions(t["outputs"])),
+    "all": (("runs",), _all),
+    "judge-runs": (("runs",), lambda t: judging.judge_pass(t["runs"])),
+    "retrieve-contexts": (("samples", "corpus"), _retrieve),
+    "claim-rates": (("claims",), lambda t: routing.claim_rates(t["claims"])),
+    "build-expert-review-bundle": (("states", "corrections", "candidates"), lambda t: assets.review_bundle(t["states"], t["corrections"], t["candidates"])),
+    "apply-expert-review-bundle": (("pending", "decisions"), _apply_bundle),
+    "validate-dataset-release": (("assets", "members", "qa", "reviews", "expected"), _validate_release),
+    "upgrade-regression-assertions": (("registry", "aliases"), _upgrade),
+    "rescore-regression": (("logs", "registry", "results"), _rescore),
+    "audit-assertions": (("logs", "registry"), lambda t: regression.assertion_audit(t["logs"], t["registry"])),
+    "refresh-release": (("metrics", "results"), lambda t: dict(zip(("metrics", "revisions"), regression.refresh_metrics(t["metrics"], t["results"])))),
     "rescore-topics": (("outputs",), lambda t: assets.topic_results(t["outputs"])),
 }
 

@@ -140,6 +140,7 @@ def model_patterns(scores: DataFrame) -> DataFrame:
 
 def kpis(runs: DataFrame, scores: DataFrame, routing: DataFrame) -> DataFrame:
     """One row of dashboard figures."""
+    runs = with_defaults(runs, latency_ms=0, estimated_cost=0, output_text="")
     score = number(F.col("score_rate"))
     of_version = lambda v: mean(F.when(F.col("version") == v, score), 3)
     a = scores.agg(

@@ -603,6 +603,17 @@ def split_contamination(spark, sf_dir):
     return made.withColumn("matching_signals", F.array_join("matching_signals", ","))
 
 
+@query(f"""
+WITH l AS (SELECT asset_id, split, unnest(['source_case_id', 'source_snapshot_id', 'normalized_user_prompt_hash']) AS field, unnest([source_case_id, trim(source_snapshot_id), h]) AS value FROM {_PRINTED})
+SELECT field, value, count(DISTINCT asset_id) FILTER (split = 'train') AS train_assets, count(DISTINCT asset_id) FILTER (split = 'test') AS test_assets, min(asset_id) FILTER (split = 'train') AS first_train_asset_id,
+  min(asset_id) FILTER (split = 'test') AS first_test_asset_id FROM l WHERE value <> '' GROUP BY 1, 2 HAVING count_if(split = 'train') > 0 AND count_if(split = 'test') > 0
+""")
+def shared_fingerprints(spark, sf_dir):
+    rows = _rel(spark, sf_dir, dt.ASSETS).withColumn("normalized_user_prompt_hash", tx.prompt_hash(F.col("text")))
+    fields = ("source_case_id", "source_snapshot_id", "normalized_user_prompt_hash")
+    return assets.shared_fingerprints(rows.filter("split = 'train'"), rows.filter("split = 'test'"), fields)
+
+
 @query(f"""
 SELECT asset_id, source_case_id, asset_type, CASE WHEN asset_type <> 'regression' THEN 'train' WHEN count(*) OVER (PARTITION BY source_case_id) > 1 THEN 'bug_reproduction' ELSE 'test' END AS split FROM {ASSETS}
 """)

@@ -298,3 +298,27 @@ def test_regression_figures_and_guards(spark):
     made, wrong = regression.baselines(one("s1", "s2", "s3"), one("s1", "s2"), one("s1", "s2", "s3"), runs, routing, F.col("version") == "V0")
     assert [(r.sample_id, r.run_id, r.response_policy) for r in made.collect()] == [("s1", "r1", "clarify")]
     assert {tuple(r) for r in wrong.collect()} == {("s2", "expected one baseline run, found 2"), ("s3", "expected one baseline run, found 0"), ("s3", "missing gold")}
+
+
+def test_command_line_from_judge_output_to_gate(spark, tmp_path):
+    rows = [(f"r{i}", f"s{i % 3}", "core", "consultation", "m", f"V{i % 4}", "text", "failed" if i == 5 else "ok", "" if i == 4 else '{"risk_level": "low", "error_tags": ["missing_facts"], "dimension_scores": {"legal_grounding": 2}}') for i in range(8)]
+    runs = spark.createDataFrame(rows, "run_id string, sample_id string, source_dataset string, task_category string, model_alias string, version string, output_text string, run_status string, raw_judge_output string")
+    runs.write.parquet(f"{tmp_path}/runs.parquet")
+    assert cli.main(["all", "--runs", f"{tmp_path}/runs.parquet", "--output", f"{tmp_path}/out"]) == 0
+    from arbiterlake.sources import tables
+
+    gate = tables.read_csv(spark, f"{tmp_path}/out/release_gate")
+    assert sum(int(r.runs) for r in gate.collect()) == 8 and {r.release_gate_decision for r in gate.collect()} <= {"blocked", "limited_release"}
+    routed = tables.read_csv(spark, f"{tmp_path}/out/routing")
+    assert {r.response_policy for r in routed.filter("run_id = 'r5'").collect()} == {"block"} and {r.response_policy for r in routed.filter("run_id = 'r1'").collect()} == {"clarify"}
+    assert routed.filter("run_id = 'r4'").first().response_policy == "human_review"
+
+
+def test_command_line_retrieval(spark, tmp_path):
+    samples = spark.createDataFrame([("q1", "what of the deposit", "", "", "qa")], "sample_id string, user_question string, known_facts string, legal_concepts string, task_type string")
+    corpus = spark.createDataFrame([("C1", "t", "note", "x", "deposit rules", "deposit"), ("C2", "t", "note", "x", "other things", "")], "source_id string, title string, source_type string, jurisdiction string, text string, tags string")
+    for name, df in (("samples", samples), ("corpus", corpus)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert cli.main(["retrieve-contexts", "--samples", f"{tmp_path}/samples.parquet", "--corpus", f"{tmp_path}/corpus.parquet", "--output", f"{tmp_path}/out.parquet"]) == 0
+    got = spark.read.parquet(f"{tmp_path}/out.parquet").orderBy("rank").collect()
+    assert [(r.source_id, r.metadata_boost) for r in got] == [("C1", 0.12), ("C2", 0.0)] and got[0].retrieval_score > got[1].retrieval_score
