@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, filled
 from ..functions.values import error_tags, overlaps, parse_bool, rate, tag_names
+from ..sources.scratch import materialize
 from .routing import canonical_routing, with_defaults
 
 #: Fixed words of the review sheet.
@@ -69,6 +70,7 @@ def review_base(scores: DataFrame, routing: DataFrame, citations: DataFrame | No
 
 def review_sample(base: DataFrame, min_samples: int = 20, sample_rate: float = 0.2, random_min: int = 0, seed: int = 42) -> DataFrame:
     """All rows that need review, topped up by a stratified sample to the target and to a floor of random rows."""
+    base = materialize(base)  # the target, the strata and both samples read it
     counts = base.agg(F.count("*").alias("n"), F.count_if("legal_review_required").alias("due")).first()
     target = min(counts["n"], max(min_samples, math.ceil(counts["n"] * sample_rate)))
     due, rest = base.filter("legal_review_required"), base.filter("not legal_review_required")
