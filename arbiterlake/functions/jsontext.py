@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _first_object(texts: pd.Series) -> pd.Series:
     decoder = json.JSONDecoder()
 

@@ -177,10 +177,13 @@ def snapshot_versions(snapshots: DataFrame) -> DataFrame:
 
 
 def assign_split(assets: DataFrame) -> DataFrame:
-    """Split of every released asset: train, or for regression assets test, or bug_reproduction if they share a source with another."""
-    cases = assets.groupBy("source_case_id").agg(F.count("*").alias("_n"))
-    split = F.when(F.col("asset_type") != "regression", "train").when(F.col("_n") > 1, "bug_reproduction").otherwise("test")
-    return assets.join(cases, "source_case_id", "left").withColumn("split", split).drop("_n")
+    """Split of every released asset: train, or for regression assets test, or bug_reproduction if they share a fingerprint with one that trains."""
+    fields = [f for f in FINGERPRINTS if f in assets.columns]
+    regression = F.coalesce(F.col("asset_type") == "regression", F.lit(False))
+    taken = _fingerprints(assets.filter(~regression), "asset_id", fields).select("field", "value").distinct()
+    shared = _fingerprints(assets.filter(regression), "asset_id", fields).join(taken, ["field", "value"], "left_semi").select("asset_id").distinct()
+    split = F.when(~regression, "train").when(F.col("_shared"), "bug_reproduction").otherwise("test")
+    return assets.join(shared.withColumn("_shared", F.lit(True)), "asset_id", "left").withColumn("split", split).drop("_shared")
 
 
 def infer_policy(output: Column, review: Sequence[str], clarify: Sequence[str]) -> Column:

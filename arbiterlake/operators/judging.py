@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import first_object
 from ..functions.text import alias_key, clean
 from ..functions.values import ASSET_ROUTES, POLICIES, canonical, error_tags, hash_bits, number, parse_bool, tag_names
 from .routing import route
@@ -148,7 +149,6 @@ def judge_pass(runs: DataFrame, raw: str = "raw_judge_output", status: str = "ru
     object, scores zero with high risk, low confidence and a tag that sends it to review; only the latter
     counts as not parsed.
     """
-    from ..functions.jsontext import first_object  # its function needs a session
 
     ok = clean(status) == "ok"
     made = runs.withColumn("_found", F.when(ok, first_object(F.col(raw))))

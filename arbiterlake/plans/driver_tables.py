@@ -82,6 +82,17 @@ SELECT concat('A', CAST(doc_id AS STRING)) AS asset_id, concat('case', CAST(doc_
 FROM {documents}
 """
 
+REVIEW_EVENTS = """
+SELECT concat('A', CAST(doc_id AS STRING)) AS asset_id, n AS seq, role AS review_role, CASE WHEN n = 3 THEN 'legal_expert' ELSE 'ai' END AS review_actor_type,
+       concat('REV-A', CAST(doc_id AS STRING), '-', role, '-01') AS event_id, CASE WHEN n = 3 OR doc_id % 41 = 0 THEN '' ELSE 'blind-v2' END AS review_protocol_version,
+       CASE WHEN doc_id * n % 7 = 3 THEN 'rework' ELSE 'approve' END AS decision, CASE WHEN (doc_id + n) % 5 = 0 THEN 'clarify' ELSE 'auto_answer' END AS response_policy,
+       doc_id % (n + 10) <> 0 AS legal_conclusion_supported, true AS critical_facts_covered, false AS dangerous_action_advice, 'full' AS citation_support, false AS should_clarify,
+       doc_id % 13 = 0 AND n = 2 AS should_human_review, doc_id % 10 = 0 AS expert_override, CAST(doc_id % 601 AS DOUBLE) AS review_elapsed_seconds, concat('S', CAST(doc_id AS STRING)) AS source_snapshot_id,
+       concat('COR-A', CAST(doc_id AS STRING), CASE WHEN doc_id % 4 = 0 THEN '-02' ELSE '-01' END) AS correction_id, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS correction_revision,
+       CASE WHEN doc_id % 17 = 0 AND n = 2 THEN 'stale' WHEN doc_id % 4 = 0 THEN concat(text, ' ') ELSE text END AS answer
+FROM {documents} CROSS JOIN (VALUES ('reviewer_a', 1), ('reviewer_b', 2), ('final_expert', 3)) AS roles(role, n)
+"""
+
 
 def relation(spark: SparkSession, sf_dir: str, sql: str, **more: DataFrame) -> DataFrame:
     """The relation over the Parquet tables of ``sf_dir``."""

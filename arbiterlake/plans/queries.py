@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vs
-from ..operators import assets, calibration, claims, dashboard, execution, judging, regression, reports, retrieval, routing, traces
+from ..operators import assets, calibration, claims, dashboard, execution, judging, regression, releases, reports, retrieval, routing, traces
 from ..sources import sinks
 from . import driver_tables as dt
 
@@ -615,10 +615,13 @@ def shared_fingerprints(spark, sf_dir):
 
 
 @query(f"""
-SELECT asset_id, source_case_id, asset_type, CASE WHEN asset_type <> 'regression' THEN 'train' WHEN count(*) OVER (PARTITION BY source_case_id) > 1 THEN 'bug_reproduction' ELSE 'test' END AS split FROM {ASSETS}
+WITH f AS (SELECT p.asset_id, asset_type, unnest(['case', 'snapshot', 'prompt']) AS field, unnest([p.source_case_id, trim(p.source_snapshot_id), h]) AS value FROM {_PRINTED} p JOIN {ASSETS} a USING (asset_id)),
+t AS (SELECT DISTINCT field, value FROM f WHERE asset_type <> 'regression' AND value <> ''), s AS (SELECT DISTINCT asset_id FROM f SEMI JOIN t USING (field, value))
+SELECT asset_id, source_case_id, asset_type, CASE WHEN asset_type <> 'regression' THEN 'train' WHEN asset_id IN (SELECT asset_id FROM s) THEN 'bug_reproduction' ELSE 'test' END AS split FROM {ASSETS}
 """)
 def release_splits(spark, sf_dir):
-    return assets.assign_split(_rel(spark, sf_dir, dt.ASSETS).drop("split")).select("asset_id", "source_case_id", "asset_type", "split")
+    rows = _rel(spark, sf_dir, dt.ASSETS).drop("split").withColumn("normalized_user_prompt_hash", tx.prompt_hash(F.col("text")))
+    return assets.assign_split(rows).select("asset_id", "source_case_id", "asset_type", "split")
 
 
 @query("""
@@ -827,3 +830,124 @@ SELECT unnest(['priority_review_row_count', 'rows_with_nonempty_answer', 'rows_w
 def review_evidence(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("output_text"))
     return regression.review_evidence(_rel(spark, sf_dir, dt.REVIEWS).join(docs, "run_id"), ("human_pass_fail", "human_critical_failure"))
+
+
+_KIND = "CASE doc_id % 3 WHEN 0 THEN 'sft' WHEN 1 THEN 'preference' ELSE 'regression' END"
+_EVENTS = f"(SELECT *, sha256(answer) AS corrected_answer_hash, CAST(substr(asset_id, 2) AS BIGINT) AS doc_id FROM {dt.text(dt.REVIEW_EVENTS)})"
+
+
+def _release(spark, sf_dir):
+    """Assets made of documents, their corrections (a second one for every fourth) and their reviews."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").selectExpr("concat('A', doc_id) AS asset_id", "doc_id", "text", "concat('S', doc_id) AS source_snapshot_id", f"{_KIND} AS asset_type")
+    revisions = lambda n, answer: docs.select("asset_id", F.format_string("COR-%s-%02d", "asset_id", F.lit(n)).alias("correction_id"), F.lit(n).alias("revision_number"), answer.alias("corrected_answer"), "doc_id")
+    corrections = revisions(1, F.col("text")).unionByName(revisions(2, F.concat("text", F.lit(" "))).filter("doc_id % 4 = 0")).drop("doc_id")
+    events = _rel(spark, sf_dir, dt.REVIEW_EVENTS).withColumn("corrected_answer_hash", F.sha2("answer", 256))
+    return docs, corrections, events
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, concat('A', doc_id) AS asset_id, CASE WHEN doc_id % 3 = 2 THEN 'test' ELSE 'train' END AS split, doc_id % 3 = 2 AND doc_id % 4 = 0 AS stale FROM documents)
+SELECT concat('MEM-r1-', asset_id, '-', CASE WHEN stale THEN 'train' ELSE split END) AS dataset_membership_id, asset_id, 'r1' AS dataset_release_id, CASE WHEN stale THEN 'train' ELSE split END AS split, CASE WHEN stale THEN 'deprecated' ELSE 'included' END AS status FROM d WHERE doc_id % 2 = 0
+UNION ALL SELECT concat('MEM-r0-', asset_id, '-train'), asset_id, 'r0', 'train', 'included' FROM d WHERE doc_id % 5 = 0
+UNION ALL SELECT concat('MEM-r1-', asset_id, '-', split), asset_id, 'r1', split, 'included' FROM d WHERE doc_id % 2 = 1 OR stale
+""")
+def release_memberships(spark, sf_dir):
+    """A log in which even documents are members, some of the wrong split, and older members of another release."""
+    docs, _, _ = _release(spark, sf_dir)
+    split = docs.withColumn("split", F.expr("CASE WHEN doc_id % 3 = 2 THEN 'test' ELSE 'train' END"))
+    known = assets.memberships(split.filter("doc_id % 2 = 0").withColumn("split", F.expr("CASE WHEN doc_id % 4 = 0 THEN 'train' ELSE split END")), "r1")
+    log = known.unionByName(assets.memberships(docs.filter("doc_id % 5 = 0").withColumn("split", F.lit("train")), "r0"))
+    made, _ = releases.update_memberships(log, split, "r1")
+    return made
+
+
+_CONFLICTS = f"""
+SELECT doc_id, asset_id, a.decision AS decision, concat_ws(',', CASE WHEN a.decision <> b.decision THEN 'decision' END, CASE WHEN a.response_policy <> b.response_policy THEN 'response_policy' END,
+  CASE WHEN a.legal_conclusion_supported <> b.legal_conclusion_supported THEN 'legal_conclusion_supported' END) AS conflicts, a.should_human_review <> b.should_human_review AS other, a.review_protocol_version = 'blind-v2' AS blind,
+  a.correction_id, a.corrected_answer_hash FROM (SELECT * FROM {_EVENTS} WHERE seq = 1) a JOIN (SELECT asset_id, decision, response_policy, legal_conclusion_supported, should_human_review FROM {_EVENTS} WHERE seq = 2) b USING (asset_id)
+"""
+
+
+@query(f"""
+SELECT concat('ADJ-', asset_id, CASE WHEN doc_id % 6 = 0 THEN '-02' ELSE '-01' END) AS adjudication_id, asset_id, conflicts, CASE WHEN conflicts = '' THEN 'not_required' ELSE 'adjudication_pending' END AS status,
+  CASE WHEN conflicts = '' THEN decision END AS proposed_decision, correction_id, corrected_answer_hash FROM ({_CONFLICTS})
+""")
+def adjudications(spark, sf_dir):
+    docs, corrections, events = _release(spark, sf_dir)
+    made, _ = releases.adjudicate(events, releases.current_corrections(corrections, docs), docs.filter("doc_id % 6 = 0"))
+    return made.select("adjudication_id", "asset_id", F.array_join("conflicts", ",").alias("conflicts"), "status", "proposed_decision", "correction_id", "corrected_answer_hash")
+
+
+@query("""
+WITH d AS (SELECT doc_id, concat('A', doc_id) AS asset_id, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS n, text FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 5 <> 0 AND doc_id * 3 % 7 <> 3)
+SELECT concat('EAB-', asset_id, '-0', n) AS binding_id, asset_id, concat('COR-', asset_id, '-0', n) AS correction_id, n AS correction_revision, sha256(CASE WHEN n = 2 THEN concat(text, ' ') ELSE text END) AS corrected_answer_hash,
+  concat('REV-', asset_id, '-final_expert-01') AS original_review_event_id FROM d
+""")
+def approval_bindings(spark, sf_dir):
+    """Every ninth document has no accepted submission, every fifth one gives a reason that no expert wrote."""
+    docs, corrections, events = _release(spark, sf_dir)
+    sent = docs.select(
+        "asset_id", F.lit(1).alias("seq"), F.expr("CASE WHEN doc_id % 9 = 0 THEN 'rejected' ELSE 'accepted' END").alias("expert_decision"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("corrected_answer"),
+        F.expr("CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE 'fine' END").alias("expert_override_reason"), F.lit("sheet.csv").alias("submission_file"), F.lit("0").alias("submission_file_sha256"),
+    )
+    bound, _ = releases.bind_approvals(sent, corrections, events.withColumn("findings", F.array(F.lit("fine"))), docs.withColumn("asset_status", F.lit("accepted")))
+    return bound.select("binding_id", "asset_id", "correction_id", "correction_revision", "corrected_answer_hash", "original_review_event_id")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, concat('A', doc_id) AS asset_id, {_KIND} AS asset_type FROM documents), c AS ({_CONFLICTS}),
+w AS (SELECT DISTINCT concat('A', asset_id) AS asset_id FROM {STATES} WHERE to_status = 'rework_required'),
+g AS (SELECT count(*) AS n, count_if(asset_type = 'sft') AS accepted_sft, count_if(asset_type = 'preference') AS accepted_preference, count_if(asset_type = 'regression') AS accepted_regression,
+  count_if(blind AND conflicts = '' AND NOT other) AS agreed, count_if(conflicts <> '') AS conflicting, count_if(doc_id % 10 = 0) AS overridden, count_if(doc_id % 8 = 0) AS diverged,
+  count(*) - count_if(asset_id IN (SELECT asset_id FROM w)) AS first_pass, count_if(doc_id % 11 = 0) AS qa_failure_count, median(doc_id % 601)::DOUBLE AS seconds FROM d JOIN c USING (doc_id, asset_id))
+SELECT accepted_sft, accepted_preference, accepted_regression, {_rate('agreed', 'n')} AS ai_exact_agreement_rate, {_rate('conflicting', 'n')} AS ai_conflict_rate, {_rate('overridden', 'n')} AS recorded_expert_override_rate_legacy,
+  {_rate('diverged', 'n')} AS expert_vs_blind_v2_divergence_rate, {_rate('first_pass', 'n')} AS first_pass_acceptance_rate, qa_failure_count, seconds AS median_self_reported_review_entry_seconds FROM g
+""")
+def release_figures(spark, sf_dir):
+    docs, corrections, events = _release(spark, sf_dir)
+    ruled, _ = releases.adjudicate(events, releases.current_corrections(corrections, docs), docs.limit(0))
+    ruled = ruled.withColumns({"seq": F.lit(1), "review_protocol_version": F.lit("blind-v2"), "proposed_decision": F.expr("CASE WHEN CAST(substr(asset_id, 2) AS BIGINT) % 8 = 0 THEN 'rework' ELSE 'approve' END")})
+    states = _rel(spark, sf_dir, dt.STATES).withColumn("asset_id", F.concat(F.lit("A"), "asset_id"))
+    return releases.release_figures(docs, events, ruled, states, docs.select("asset_id", F.expr("doc_id % 11 <> 0").alias("passed")))
+
+
+@query("""
+WITH d AS (SELECT doc_id, concat('A', doc_id) AS asset_id, CASE doc_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rework_required' ELSE 'rejected' END AS to_status, doc_id % 2 = 0 AS expert_override FROM documents)
+SELECT concat('REV-', asset_id, '-final_expert-02') AS event_id, asset_id, to_status, CASE doc_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'rework' ELSE 'reject' END AS decision, sha256(concat_ws('|', asset_id, to_status, 'read', 'legal_phd')) AS input_hash,
+  expert_override, CASE WHEN expert_override THEN 'read' ELSE '' END AS expert_override_reason, concat('COR-', asset_id, CASE WHEN doc_id % 4 = 0 THEN '-02' ELSE '-01' END) AS correction_id FROM d
+""")
+def expert_decisions(spark, sf_dir):
+    """A valid bundle over all documents: second expert events and the states they lead to."""
+    docs, corrections, events = _release(spark, sf_dir)
+    rows = docs.select(
+        "asset_id", F.expr("CASE doc_id % 3 WHEN 0 THEN ' accepted ' WHEN 1 THEN 'rework_required' ELSE 'rejected' END").alias("expert_decision"), F.lit(" read").alias("expert_override_reason"),
+        F.expr("CASE WHEN doc_id % 2 = 0 THEN 'Yes' ELSE 'no' END").alias("expert_override"), F.lit("30").alias("review_elapsed_seconds"), F.lit("legal_phd").alias("reviewer_role"),
+    )
+    made = releases.expert_events(rows, releases.current_corrections(corrections, docs), events)
+    return made.select("event_id", "asset_id", "to_status", "decision", "input_hash", "expert_override", "expert_override_reason", "correction_id")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, concat('A', doc_id) AS asset_id, text, doc_id % 41 <> 0 AS blind, doc_id % 37 <> 0 AS bound, doc_id % 3 = 2 AS regression FROM documents)
+SELECT asset_id, message FROM (SELECT asset_id, unnest([
+  CASE WHEN doc_id % 29 = 0 THEN 'asset not accepted' END, CASE WHEN regexp_replace(text, '\\s', '', 'g') = '' THEN 'missing corrected answer' END, CASE WHEN NOT blind THEN 'missing blind review roles' END,
+  CASE WHEN doc_id * 3 % 7 = 3 THEN 'missing final expert approval' END, CASE WHEN doc_id % 11 = 0 THEN 'final quality check not passed' END, CASE WHEN doc_id % 19 = 0 THEN 'final quality check lineage mismatch' END,
+  CASE WHEN doc_id % 23 = 0 THEN 'missing adjudication evidence' END, CASE WHEN NOT bound THEN 'missing expert approval binding' END, CASE WHEN bound AND doc_id % 43 = 0 THEN 'missing expert submission evidence' END,
+  CASE WHEN doc_id % 47 = 0 THEN 'missing source snapshot version' END, CASE WHEN doc_id % 31 = 0 THEN 'asset not marked included' END, CASE WHEN doc_id % 53 = 0 THEN 'asset missing included membership' END,
+  CASE WHEN regression AND (doc_id % 53 = 0 OR doc_id % 59 = 0) THEN 'invalid regression split' END, CASE WHEN regression AND doc_id % 61 = 0 THEN 'missing regression assertion' END,
+  CASE WHEN blind AND doc_id % 17 = 0 THEN 'blind review corrected_answer_hash mismatch: reviewer_b' END, CASE WHEN blind AND doc_id % 67 = 0 THEN 'blind review has no raw output: reviewer_a' END]) AS message FROM d) WHERE message IS NOT NULL
+""")
+def release_record_errors(spark, sf_dir):
+    """A release over all documents with one fault of each kind planted at another spacing."""
+    docs, corrections, events = _release(spark, sf_dir)
+    expert = events.filter("seq = 3").withColumn("doc_id", F.expr("CAST(substr(asset_id, 2) AS BIGINT)"))  # one row an asset with its lineage
+    accepted = docs.withColumns({"asset_status": F.expr("CASE WHEN doc_id % 29 = 0 THEN 'rework_required' ELSE 'accepted' END"), "dataset_membership_status": F.expr("CASE WHEN doc_id % 31 = 0 THEN 'proposed' ELSE 'included' END")})
+    checks = expert.withColumns({c: F.lit("passed") for c in (*releases.QUALITY_CHECKS, "contamination_check")}).withColumns({
+        "pii_check": F.expr("CASE WHEN doc_id % 11 = 0 THEN 'failed' ELSE 'passed' END"), "correction_revision": F.expr("CASE WHEN doc_id % 19 = 0 THEN 9 ELSE correction_revision END"),
+    })
+    rulings = expert.filter("doc_id % 23 <> 0").withColumns({"status": F.lit("not_required"), "review_protocol_version": F.lit("blind-v2")})
+    bindings = expert.filter("doc_id % 37 <> 0").withColumn("submission_file_sha256", F.lit("0"))
+    members = docs.filter("doc_id % 53 <> 0").select("asset_id", F.expr("CASE WHEN doc_id % 3 = 2 AND doc_id % 59 <> 0 THEN 'test' ELSE 'train' END").alias("split"), F.lit("included").alias("status"))
+    hashed = events.withColumns({"output_hash": F.lit("0"), "doc_id": F.expr("CAST(substr(asset_id, 2) AS BIGINT)")})
+    evidence = hashed.filter("NOT (seq = 1 AND doc_id % 67 = 0) AND NOT (seq = 3 AND doc_id % 43 = 0)").select("asset_id", "review_role", "output_hash")
+    return releases.release_record_errors(accepted, corrections, hashed, checks, rulings, bindings, members, docs.filter("doc_id % 47 <> 0"), docs.filter("doc_id % 61 <> 0"), evidence)
