@@ -14,6 +14,13 @@ from ..functions.values import ASSET_ROUTES
 PRIVATE = r"(?i)(password|secret|api[_-]?key|1[3-9][0-9]{9}|[0-9]{17}[0-9x])"
 
 
+#: Fixed texts and names of imported cases.
+CONTEXT_ONLY = "仅可使用以下提供材料作答："
+NO_CONTEXT = "未提供额外背景材料；用户问题中包含模型可见事实。"
+NOTHING_TO_ASK = "如事实不足，应明确说明无需补充或列出待核验事项。"
+CRITICAL_DIMENSIONS = ("citation_fidelity", "risk_calibration", "human_review_routing")
+
+
 def keyword_case(c: Column, rules: Sequence[tuple[Sequence[str], str]], otherwise: str) -> Column:
     """The value of the first rule of which some word is in the lower-cased text."""
     text, made = F.lower(clean(c)), F.lit(otherwise)
@@ -25,17 +32,48 @@ def keyword_case(c: Column, rules: Sequence[tuple[Sequence[str], str]], otherwis
     return made
 
 
-def import_cases(cases: DataFrame) -> dict[str, DataFrame]:
-    """Evaluation input, gold and rubric tables of a case bank with ``case_id``, ``user_prompt``, ``rubric`` and lists."""
-    listed = lambda c: F.array_join(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: clean(x) != ""), "；")
-    rubric = cases.select("case_id", F.posexplode("rubric").alias("_pos", "r")).select(
-        F.col("case_id").alias("sample_id"), F.format_string("%s-R%02d", "case_id", F.col("_pos") + 1).alias("rubric_id"), "r.dimension", F.col("r.criterion").alias("item"),
-        F.least(F.greatest(F.col("r.weight").cast("int"), F.lit(1)), F.lit(2)).alias("max_score"),
+def import_cases(cases: DataFrame, source: str = "case_bank", jurisdiction: str = "", snapshot: str = "", boundary: str = "", rules: tuple[str, str, str] = ("", "", ""), negative: str = "") -> dict[str, DataFrame]:
+    """Evaluation input, gold, rubric and metadata of a case bank with ``case_id``, ``user_prompt``, ``rubric`` and lists.
+
+    Columns that the bank lacks count as empty. ``provided_context`` is an array of ``source_id``, ``text``. A rubric
+    weight that is missing or zero counts as one; ``rules`` are the scoring rules for two, one and no points.
+    """
+    text = lambda c: clean(c) if c in cases.columns else F.lit("")
+    listed = lambda c: F.array_join(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), clean), lambda x: x != ""), "；") if c in cases.columns else F.lit("")
+    joined = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda p: p != ""), "；")
+    labelled = lambda label, c: F.when(listed(c) != "", F.concat(F.lit(label), listed(c))).otherwise("")
+    review = F.coalesce(F.col("expected_human_review").cast("boolean"), F.lit(False)) if "expected_human_review" in cases.columns else F.lit(False)
+    part = slice_columns(text("task_type"), text("slice"), review)
+    yes = lambda c: F.when(c, "yes").otherwise("no")
+    context = F.lit("")
+    if "provided_context" in cases.columns:
+        line = lambda x: F.when(clean(x["source_id"]) != "", F.concat(F.lit("["), clean(x["source_id"]), F.lit("] "), clean(x["text"]))).otherwise(clean(x["text"]))
+        context = F.array_join(F.filter(F.transform(F.coalesce("provided_context", F.array().cast(cases.schema["provided_context"].dataType)), line), lambda x: x != ""), "\n")
+    common = (clean("case_id").alias("sample_id"), F.lit(source).alias("source_dataset"), part["task_category"].alias("task_category"))
+    pair = lambda c: F.when(text(c) != "", F.concat(F.lit(f"{c}="), text(c))).otherwise("")
+    weight = F.col("r.weight").cast("int")
+    rubric = cases.select(*common, F.posexplode("rubric").alias("_pos", "r")).select(
+        "sample_id", "source_dataset", "task_category", F.format_string("%s-R%02d", "sample_id", F.col("_pos") + 1).alias("rubric_id"), clean("r.dimension").alias("rubric_dimension"), clean("r.criterion").alias("atomic_rubric_item"),
+        F.when(weight.isNull() | (weight == 0), 1).otherwise(weight).alias("max_score"), *(F.lit(rule).alias(f"scoring_rule_{2 - i}") for i, rule in enumerate(rules)),
+        F.when(clean("r.dimension").isin(*CRITICAL_DIMENSIONS), "high").otherwise("medium").alias("criticality"), F.lit(negative).alias("negative_rule"),
     )
     return {
-        "eval_input": cases.select(F.col("case_id").alias("sample_id"), F.col("user_prompt").alias("user_question"), "jurisdiction", "slice"),
-        "gold_labels": cases.select(F.col("case_id").alias("sample_id"), listed(F.col("critical_facts")).alias("critical_facts"), listed(F.col("forbidden_claims")).alias("forbidden_claims"), "expected_behavior"),
+        "eval_input": cases.select(
+            *common, text("user_prompt").alias("user_question"), F.when(context != "", F.concat(F.lit(CONTEXT_ONLY + "\n"), context)).otherwise(NO_CONTEXT).alias("known_facts"),
+            F.concat(F.lit("task_type="), text("task_type"), F.lit("；product_boundary_eval_visible_context_only")).alias("legal_concepts"),
+            *(F.when(text(c) != "", text(c)).otherwise(d).alias(c) for c, d in (("jurisdiction", jurisdiction), ("law_snapshot_date", snapshot))), text("task_type").alias("task_type"), F.lit(boundary).alias("legal_advice_boundary"),
+        ),
+        "gold_labels": cases.select(
+            *common, listed("missing_facts").alias("key_missing_facts"), F.when(listed("missing_facts") != "", F.concat(F.lit("应追问："), listed("missing_facts"))).otherwise(NOTHING_TO_ASK).alias("expected_clarification_questions"),
+            joined(text("expected_behavior"), labelled("关键事实：", "critical_facts"), labelled("允许来源：", "allowed_sources")).alias("expected_answer_points"),
+            F.concat(F.lit("禁止主张："), listed("forbidden_claims"), F.lit("；关键失败："), listed("critical_failure_triggers"), F.lit("；expected_human_review="), F.initcap(review.cast("string"))).alias("risk_points"), text("expected_behavior").alias("expected_behavior"),
+            joined(F.concat(F.lit("slice="), text("slice")), F.concat(F.lit("expected_data_asset_routes="), listed("expected_data_asset_routes")), pair("pair_id"), pair("pair_variant")).alias("human_review_note"),
+        ),
         "rubric_items": rubric,
+        "sample_metadata": cases.select(
+            *common, text("slice").alias("legal_domain"), part["difficulty"].alias("difficulty"), part["risk_level"].alias("risk_level"), F.lit("Eval_Input visible to agent; gold/rubric visible only to judge and human review.").alias("visibility_policy"),
+            yes(text("slice") == "normal_practice").alias("core_sample_flag"), yes(text("slice").isin("risk_calibration", "adversarial_trap")).alias("deep_badcase_flag"), yes(review).alias("human_review_required"),
+        ),
     }
 
 

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, fact_hit, has_any
+from ..functions.text import clean, fact_hit, filled, has_any
+from ..sources.scratch import materialize
+from .execution import turn_prompt
 
 
 #: Fixed values of the over-claim rule: characters before a promise that can negate it, the near ones among them, and those after it.
 BEFORE, NEAR, AFTER = 48, 12, 4
+#: Fixed columns of the tables of evidence.
+TURN_COLUMNS = (
+    "trace_id", "case_id", "model_alias", "turn_index", "user_behavior", "legal_domain", "expected_agent_move", "api_call_status", "content_status", "has_nonempty_output", "status", "agent_message_length",
+    "agent_message_sha256_12", "latency_ms", "input_tokens", "output_tokens", "total_tokens", "estimated_cost",
+)
+REVIEWER_COLUMNS = (
+    "human_material_fact_elicitation_0_2", "human_elicitation_priority_0_2", "human_bad_premise_challenge_0_2", "human_user_behavior_adaptation_0_2", "human_overclaim_control_0_2", "human_escalation_timing_0_2",
+    "human_safe_redirection_0_2", "human_trace_coherence_0_2", "human_critical_failure", "reviewer_a_id", "reviewer_a_triage_label", "reviewer_b_id", "reviewer_b_triage_label", "adjudicated_triage_label", "adjudication_mode",
+    "agreement_type", "human_trace_review_recommendation", "human_response_policy", "human_workflow_status", "human_data_asset_routes", "human_notes",
+)
 
 
 @dataclass(frozen=True)
@@ -110,3 +123,66 @@ def trace_case_errors(cases: DataFrame, required: Sequence[str], recommendations
     ]
     made = cases.select("case_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in checks)))).alias("message"))
     return made.unionByName(cases.groupBy("case_id").count().filter("count > 1").select("case_id", F.lit("duplicate case_id").alias("message")))
+
+
+def run_traces(cases: DataFrame, models: DataFrame, call: Callable[[DataFrame], DataFrame], template: str) -> DataFrame:
+    """Turn rows of every case and model: each turn is asked with the turns before it, answers included.
+
+    ``cases``: ``case_id``, ``turn_plan`` (array of ``turn``, ``user_message``); turns go in plan order. ``call`` adds
+    ``answer`` and ``error`` to rows with ``prompt``. A failed call gives a failed row with an empty message, and the
+    trace goes on. Every round of turns is written before the next one reads it, so no prompt is sent twice; there are
+    as many rounds as the longest plan has turns.
+    """
+    plan = cases.select("case_id", F.posexplode("turn_plan").alias("_pos", "_turn")).join(models.select("model_alias"))
+    plan = materialize(plan.select(
+        "case_id", "model_alias", F.format_string("TRACE-%s-%s", "case_id", "model_alias").alias("trace_id"), "_pos", F.coalesce(F.col("_turn.turn").cast("int"), F.col("_pos") + 1).alias("turn_index"), clean("_turn.user_message").alias("user_message")
+    ))
+    said = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    past, rounds = None, []
+    for i in range((plan.agg(F.max("_pos")).first()[0] if not plan.isEmpty() else -1) + 1):
+        rows = plan.filter(F.col("_pos") == i)
+        rows = rows.withColumn("_past", F.array().cast("array<struct<role:string,content:string>>")) if past is None else rows.join(past, "trace_id")
+        asked = materialize(call(rows.withColumn("prompt", turn_prompt(template, F.col("_past"), F.col("user_message")))).withColumn("agent_message", F.when(F.col("error") != "", "").otherwise(F.coalesce("answer", F.lit("")))))
+        past = asked.select("trace_id", F.concat("_past", F.array(said("user", "user_message"), said("assistant", "agent_message"))).alias("_past"))
+        rounds.append(asked.drop("_past", "_pos", "prompt", "answer"))
+    if not rounds:
+        return turn_status(plan.drop("_pos").withColumns({"error": F.lit(""), "agent_message": F.lit("")}))
+    return turn_status(reduce(DataFrame.unionByName, rounds))
+
+
+def turn_status(turns: DataFrame) -> DataFrame:
+    """Turns with call, content and overall status, message length and hash; columns that are there already stay.
+
+    A turn failed if its ``error`` says so, or, without that column, its ``status``; a null message is empty.
+    """
+    text = F.coalesce("agent_message", F.lit(""))
+    failed = filled("error") if "error" in turns.columns else (clean("status") == "failed") if "status" in turns.columns else F.lit(False)
+    full = F.col("has_nonempty_output").cast("boolean") if "has_nonempty_output" in turns.columns else clean(text) != ""
+    made = {
+        "has_nonempty_output": full, "api_call_status": F.when(failed, "failed").otherwise("completed"), "content_status": F.when(failed, "not_available").when(full, "nonempty").otherwise("empty"),
+        "status": F.when(failed, "failed").when(full, "ok").otherwise("empty_output"), "agent_message_length": F.length(text), "agent_message_sha256_12": F.left(F.sha2(text, 256), F.lit(12)),
+    }
+    return turns.withColumns({k: v for k, v in made.items() if k not in turns.columns})
+
+
+def evidence(evaluated: DataFrame, turns: DataFrame) -> dict[str, DataFrame]:
+    """The five tables that may be shown of a trace run: figures, turns without texts, counts by risk and route, traces with hashes of their turns, and the empty sheet of the reviewers."""
+    turns = turn_status(turns)
+    keys = ("trace_id", "case_id", "model_alias", "legal_domain", "user_behavior", "turn_count")
+    marks = ("material_fact_coverage", "bad_premise_challenged", "human_review_recommended", "safe_redirection", "lexical_overclaim_flag", "trace_review_recommendation")
+    hashes = turns.groupBy("trace_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "agent_message_sha256_12"))), lambda t: t["agent_message_sha256_12"])).alias("turn_output_hashes"))
+    known = evaluated.select(*(F.col(c) if c in evaluated.columns else F.lit("").alias(c) for c in (*keys, *marks)))
+    shown = known.join(hashes, "trace_id", "left").withColumn("turn_output_hashes", F.coalesce("turn_output_hashes", F.lit("[]")))
+    of_turns = turns.agg(
+        F.count("*").alias("turns"), F.count_if(F.col("api_call_status") == "completed").alias("api_completed_turns"), F.count_if("has_nonempty_output").alias("nonempty_answer_turns"), F.count_if(F.col("content_status") == "empty").alias("empty_answer_turns")
+    )
+    of_traces = known.agg(F.count("*").alias("traces"), F.count_distinct("case_id").alias("cases"), F.count_distinct("model_alias").alias("models"), F.count_if("lexical_overclaim_flag").alias("lexical_overclaim_trace_count"))
+    long = lambda one: one.unpivot([], one.columns, "metric", "value").withColumn("value", F.col("value").cast("string"))
+    fixed = evaluated.sparkSession.createDataFrame([("human_calibration_status", "pending"), ("model_behavior_pass_rate_reported", "False"), ("raw_traces_committed", "False")], "metric string, value string")
+    return {
+        "trace_metrics_summary": long(of_traces).unionByName(long(of_turns)).unionByName(fixed),
+        "turn_level_summary": turns.select(*(F.col(c) if c in turns.columns else F.lit("").alias(c) for c in TURN_COLUMNS)),
+        "risk_route_summary": known.groupBy("user_behavior", "legal_domain", "trace_review_recommendation").agg(F.count("*").alias("trace_count")),
+        "redacted_trace_samples": shown.withColumn("redaction_note", F.lit("texts and model outputs left out")),
+        "human_trace_calibration_template": shown.select("*", *(F.lit("").alias(c) for c in REVIEWER_COLUMNS)),
+    }

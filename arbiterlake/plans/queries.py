@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vs
-from ..operators import assets, calibration, claims, dashboard, execution, judging, regression, releases, reports, retrieval, routing, traces
+from ..operators import assets, calibration, cases, claims, dashboard, execution, judging, regression, releases, reports, retrieval, routing, traces
 from ..sources import sinks
 from . import driver_tables as dt
 
@@ -951,3 +951,39 @@ def release_record_errors(spark, sf_dir):
     hashed = events.withColumns({"output_hash": F.lit("0"), "doc_id": F.expr("CAST(substr(asset_id, 2) AS BIGINT)")})
     evidence = hashed.filter("NOT (seq = 1 AND doc_id % 67 = 0) AND NOT (seq = 3 AND doc_id % 43 = 0)").select("asset_id", "review_role", "output_hash")
     return releases.release_record_errors(accepted, corrections, hashed, checks, rulings, bindings, members, docs.filter("doc_id % 47 <> 0"), docs.filter("doc_id % 61 <> 0"), evidence)
+
+
+@query("""
+SELECT conv_id AS trace_id, turn AS turn_index, CASE WHEN turn % 5 = 4 THEN 'failed' ELSE 'completed' END AS api_call_status, CASE WHEN turn % 5 = 4 THEN 'not_available' WHEN trim(m) <> '' THEN 'nonempty' ELSE 'empty' END AS content_status,
+  CASE WHEN turn % 5 = 4 THEN 'failed' WHEN trim(m) <> '' THEN 'ok' ELSE 'empty_output' END AS status, trim(m) <> '' AS has_nonempty_output, length(m) AS agent_message_length, substr(sha256(m), 1, 12) AS agent_message_sha256_12
+FROM (SELECT *, CASE WHEN turn % 7 = 3 THEN '  ' ELSE text END AS m FROM conversations)
+""")
+def turn_records(spark, sf_dir):
+    """All turns as model answers; some calls failed, some answers are blank."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("turn_index"), F.expr("CASE WHEN turn % 7 = 3 THEN '  ' ELSE text END").alias("agent_message"), F.expr("CASE WHEN turn % 5 = 4 THEN 'timeout' ELSE '' END").alias("error"))
+    return traces.turn_status(turns).select("trace_id", "turn_index", "api_call_status", "content_status", "status", "has_nonempty_output", "agent_message_length", "agent_message_sha256_12")
+
+
+_SLICES = "['normal_practice', 'citation_grounding', 'adversarial_trap', 'hard_legal_reasoning']"
+
+
+@query(f"""
+WITH c AS (SELECT concat('C', doc_id) AS sample_id, lang, source, {_SLICES}[(doc_id % 4 + 1)::INT] AS slice, ['grounded_qa', 'document_drafting', 'other'][(doc_id % 3 + 1)::INT] AS kind, doc_id % 5 = 0 AS review, doc_id % 2 = 0 AS asks, text FROM documents)
+SELECT c.sample_id, CASE kind WHEN 'grounded_qa' THEN 'case_analysis' WHEN 'document_drafting' THEN kind ELSE 'consultation' END AS task_category, CASE WHEN asks THEN concat('应追问：', lang, '；', source) ELSE '{cases.NOTHING_TO_ASK}' END AS expected_clarification_questions,
+  concat('answer；关键事实：', source) AS expected_answer_points, concat('禁止主张：never；关键失败：；expected_human_review=', CASE WHEN review THEN 'True' ELSE 'False' END) AS risk_points, concat('slice=', slice, '；expected_data_asset_routes=eval') AS human_review_note,
+  CASE slice WHEN 'normal_practice' THEN 'normal' WHEN 'citation_grounding' THEN 'medium' ELSE 'hard' END AS difficulty, CASE WHEN review THEN 'high' WHEN slice IN ('citation_grounding', 'hard_legal_reasoning') THEN 'medium' ELSE 'low' END AS risk_level,
+  concat(c.sample_id, '-R02') AS rubric_id, 2 AS max_score, 'high' AS criticality, concat('{cases.CONTEXT_ONLY}', chr(10), '[', lang, '] context') AS known_facts FROM c
+""")
+def imported_cases(spark, sf_dir):
+    """Documents as a case bank: gold, metadata, input and the second rubric item of every case."""
+    docs = _table(spark, sf_dir, "documents").withColumns({"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))})
+    bank = docs.select(
+        F.format_string("C%d", "doc_id").alias("case_id"), F.col("text").alias("user_prompt"), F.expr(f"element_at(array{_SLICES.replace('[', '(').replace(']', ')')}, CAST(doc_id % 4 + 1 AS INT))").alias("slice"),
+        F.expr("element_at(array('grounded_qa', 'document_drafting', 'other'), CAST(doc_id % 3 + 1 AS INT))").alias("task_type"), F.expr("doc_id % 5 = 0").alias("expected_human_review"), F.lit(" answer").alias("expected_behavior"),
+        F.expr("CASE WHEN doc_id % 2 = 0 THEN array(lang, ' ', source) END").alias("missing_facts"), F.array("source").alias("critical_facts"), F.array(F.lit("never")).alias("forbidden_claims"), F.array(F.lit("eval")).alias("expected_data_asset_routes"),
+        F.expr("array(named_struct('source_id', lang, 'text', 'context'))").alias("provided_context"), F.expr("array(named_struct('criterion', 'x', 'dimension', 'style', 'weight', 0), named_struct('criterion', 'y', 'dimension', 'risk_calibration', 'weight', 2))").alias("rubric"),
+    )
+    made = cases.import_cases(bank)
+    item = made["rubric_items"].filter("rubric_id LIKE '%-R02'").select("sample_id", "rubric_id", "max_score", "criticality")
+    rows = made["gold_labels"].join(made["sample_metadata"].select("sample_id", "difficulty", "risk_level"), "sample_id").join(made["eval_input"].select("sample_id", "known_facts"), "sample_id").join(item, "sample_id")
+    return rows.select("sample_id", "task_category", "expected_clarification_questions", "expected_answer_points", "risk_points", "human_review_note", "difficulty", "risk_level", "rubric_id", "max_score", "criticality", "known_facts")

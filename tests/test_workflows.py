@@ -65,8 +65,8 @@ def test_case_bank(spark):
         ("c2", "missing user_prompt"), ("c2", "invalid slice"), ("c2", "rubric needs positive weights"), ("c2", "invalid asset route"), ("c2", "private data"), ("c2", "duplicate case_id"), ("c1", "incomplete pair"),
     }
     made = cases.import_cases(df.filter("case_id = 'c1'"))
-    assert [(r.rubric_id, r.max_score) for r in made["rubric_items"].orderBy("rubric_id").collect()] == [("c1-R01", 2), ("c1-R02", 1)]
-    assert made["gold_labels"].first().critical_facts == "f"
+    assert [(r.rubric_id, r.max_score) for r in made["rubric_items"].orderBy("rubric_id").collect()] == [("c1-R01", 5), ("c1-R02", 1)]
+    assert made["gold_labels"].first().expected_answer_points == "b；关键事实：f"
     moved = cases.migrate_routes(df, "expected_data_asset_routes", {"other": "sft"})
     assert moved.filter("user_prompt = ''").first().expected_data_asset_routes == ["sft"]
 
