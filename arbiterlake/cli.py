@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import assets, calibration, cases, claims, dashboard, execution, judging, regression, reports, retrieval, routing, traces
-from .sources import sinks, tables
+from .operators import assets, calibration, cases, claims, dashboard, execution, judging, regression, releases, reports, retrieval, routing, traces
+from .sources import datasets, sinks, tables
 from .sources.scratch import materialize
 
 
@@ -124,6 +124,56 @@ def _rescore(t):
     return made
 
 
+def _decide(t):
+    must_be_empty(releases.decision_errors(t["pending"], t["decisions"]), "invalid decisions")
+    return releases.expert_events(t["decisions"], releases.current_corrections(t["corrections"], t["candidates"]), t["reviews"])
+
+
+def _bind(t):
+    made, wrong = releases.bind_approvals(t["submissions"], t["corrections"], t["reviews"], t["candidates"])
+    must_be_empty(wrong, "approvals that cannot be bound")
+    return made
+
+
+def _settle(t):
+    made, wrong = releases.adjudicate(t["reviews"], releases.current_corrections(t["corrections"], t["candidates"]), t["adjudications"])
+    must_be_empty(wrong, "assets without both reviews")
+    return made
+
+
+def _blind(t, role):
+    made, wrong = releases.review_events(t["answers"], releases.current_corrections(t["corrections"], t["candidates"]), role)
+    must_be_empty(wrong, "answers without an object")
+    return made
+
+
+def _replace(t):
+    made, wrong = releases.replacements(t["wanted"], t["reviewed"], t["runs"])
+    must_be_empty(wrong, "cases without an answer")
+    return made
+
+
+def _mock_traces(t):
+    call = lambda df: df.withColumns({"answer": execution.mock_answer(F.col("trace_id"), F.col("user_message"), ("It depends on", "Please tell me about", "Review is advised for")), "error": F.lit("")})
+    return traces.run_traces(t["cases"], t["models"], call, "{history}\n{message}")
+
+
+def _check_package(spark, a):
+    said = datasets.read_config(spark, a["manifest"]).get("files") or {}
+    hashes = {n: m["sha256"] for n, m in said.items() if isinstance(m, dict) and "sha256" in m}
+    must_be_empty(datasets.file_errors(spark, a["folder"], hashes), "invalid package")
+    must_be_empty(datasets.width_errors(spark, a["folder"]), "rows that do not fit their header")
+    return spark.createDataFrame([(a["folder"], len(hashes))], "folder string, files int")
+
+
+#: command -> (arguments, function of the session and the arguments), for commands that read folders or take values
+FOLDER_COMMANDS: dict[str, tuple[tuple[str, ...], Callable]] = {
+    "prepare-data": (("workbook", "source"), lambda s, a: datasets.build_dataset(s, a["workbook"], a["source"])),
+    "prepare-practice-benchmark": (("items", "kind", "prefix", "source", "order", "limit"), lambda s, a: cases.import_benchmark(load(s, a["items"]), a["kind"], a["prefix"], a["source"], a["order"], int(a["limit"]))),
+    "validate": (("manifest",), lambda s, a: datasets.load_dataset(s, a["manifest"])),
+    "check-package": (("folder", "manifest"), _check_package),
+}
+
 #: command -> (input tables, function of the loaded tables)
 COMMANDS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "validate-cases": (("cases",), _validate_cases),
@@ -160,6 +210,17 @@ COMMANDS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "rescore-regression": (("logs", "registry", "results"), _rescore),
     "audit-assertions": (("logs", "registry"), lambda t: regression.assertion_audit(t["logs"], t["registry"])),
     "refresh-release": (("metrics", "results"), lambda t: dict(zip(("metrics", "revisions"), regression.refresh_metrics(t["metrics"], t["results"])))),
+    "validate-traces": (("cases",), lambda t: traces.trace_case_errors(t["cases"], ("case_id", "initial_user_message"), ("blocked", "human_review_required", "candidate_limited_release"))),
+    "run-traces": (("cases", "models"), _mock_traces),
+    "trace-evidence": (("traces", "turns"), lambda t: traces.evidence(t["traces"], t["turns"])),
+    "run-blind-review-a": (("answers", "corrections", "candidates"), lambda t: _blind(t, "reviewer_a")),
+    "run-blind-review-b": (("answers", "corrections", "candidates"), lambda t: _blind(t, "reviewer_b")),
+    "settle-adjudications": (("reviews", "corrections", "candidates", "adjudications"), _settle),
+    "finalize-assets": (("pending", "decisions", "corrections", "candidates", "reviews"), _decide),
+    "backfill-asset-lineage": (("submissions", "corrections", "reviews", "candidates"), _bind),
+    "requeue-incomplete-corrections": (("candidates", "corrections"), lambda t: releases.requeue(t["candidates"], t["corrections"])),
+    "build-replacement-candidates": (("wanted", "reviewed", "runs"), _replace),
+    "release-figures": (("members", "reviews", "adjudications", "states", "checks"), lambda t: reports.long_metrics(releases.release_figures(t["members"], t["reviews"], t["adjudications"], t["states"], t["checks"]))),
     "rescore-topics": (("outputs",), lambda t: assets.topic_results(t["outputs"])),
 }
 
@@ -167,7 +228,7 @@ COMMANDS: dict[str, tuple[tuple[str, ...], Callable]] = {
 def parser() -> argparse.ArgumentParser:
     made = argparse.ArgumentParser(prog="arbiterlake")
     commands = made.add_subparsers(dest="command", required=True)
-    for name, (inputs, _) in COMMANDS.items():
+    for name, (inputs, _) in {**COMMANDS, **FOLDER_COMMANDS}.items():
         one = commands.add_parser(name)
         for table in inputs:
             one.add_argument(f"--{table}", required=True)
@@ -178,8 +239,12 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"arbiterlake {args.command}").getOrCreate()
-    inputs, run = COMMANDS[args.command]
-    made = run({t: load(spark, getattr(args, t)) for t in inputs})
+    if args.command in FOLDER_COMMANDS:
+        inputs, run = FOLDER_COMMANDS[args.command]
+        made = run(spark, {t: getattr(args, t) for t in inputs})
+    else:
+        inputs, run = COMMANDS[args.command]
+        made = run({t: load(spark, getattr(args, t)) for t in inputs})
     if isinstance(made, dict):
         for name, df in made.items():
             save(df, f"{args.output}/{name}")

@@ -140,7 +140,11 @@ def shorten(c: Column, limit: int) -> Column:
     return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit - 1)), F.lit("…"))).otherwise(flat)
 
 
+#: Fixed ways to write points in a rubric.
+POINTS = r"(?U)[+＋]\s*[0-9]+\s*分|（\s*[0-9]+\s*分\s*）|\([0-9]+\s*分\)"
+
+
 def points(c: Column, default: int = 1) -> Column:
-    """Largest number of points written as +N分 or （N分）."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?:\+|[（(])\s*([0-9]{1,4})\s*分"), F.lit(1))
-    return F.coalesce(F.array_max(F.transform(found, lambda x: x.cast("int"))), F.lit(default))
+    """Largest number of points written as +N分, （N分） or (N分)."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(POINTS), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(found, lambda x: F.regexp_extract(x, "[0-9]+", 0).try_cast("int"))), F.lit(default))

@@ -105,15 +105,15 @@ def current_evidence(events: DataFrame, corrections: DataFrame) -> DataFrame:
     return events.join(last, keys, "left_semi")
 
 
-def _fingerprints(df: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
+def fingerprints(df: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
     """One row per asset and non-empty fingerprint: ``name`` (the asset), ``field``, ``value``."""
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), clean(f).alias("value")) for f in fields)))
     return df.select(F.col("asset_id").alias(name), pairs.alias("p")).select(name, "p.field", "p.value").filter("value <> ''").distinct()
 
 
-def shared_fingerprints(train: DataFrame, test: DataFrame, fields: Sequence[str] = FINGERPRINTS) -> DataFrame:
+def sharedfingerprints(train: DataFrame, test: DataFrame, fields: Sequence[str] = FINGERPRINTS) -> DataFrame:
     """Fingerprints that stand on both sides, with how many assets of each side hold them and the least of each: one row a fingerprint, however many hold it."""
-    side = lambda df, name: _fingerprints(df, "asset_id", fields).groupBy("field", "value").agg(F.count("*").alias(f"{name}_assets"), F.min("asset_id").alias(f"first_{name}_asset_id"))
+    side = lambda df, name: fingerprints(df, "asset_id", fields).groupBy("field", "value").agg(F.count("*").alias(f"{name}_assets"), F.min("asset_id").alias(f"first_{name}_asset_id"))
     return side(train, "train").join(side(test, "test"), ["field", "value"])
 
 
@@ -123,7 +123,7 @@ def contamination(train: DataFrame, test: DataFrame, fields: Sequence[str] = FIN
     Fields are unpivoted to (field, value), so the *or* of equalities is one equi join. A fingerprint of m train and n
     test assets gives m times n pairs: look at ``shared_fingerprints`` first where there may be large groups.
     """
-    return _fingerprints(train, "train_asset_id", fields).join(_fingerprints(test, "test_asset_id", fields), ["field", "value"]).groupBy("train_asset_id", "test_asset_id").agg(
+    return fingerprints(train, "train_asset_id", fields).join(fingerprints(test, "test_asset_id", fields), ["field", "value"]).groupBy("train_asset_id", "test_asset_id").agg(
         F.array_sort(F.collect_set("field")).alias("matching_signals")
     )
 
@@ -180,8 +180,8 @@ def assign_split(assets: DataFrame) -> DataFrame:
     """Split of every released asset: train, or for regression assets test, or bug_reproduction if they share a fingerprint with one that trains."""
     fields = [f for f in FINGERPRINTS if f in assets.columns]
     regression = F.coalesce(F.col("asset_type") == "regression", F.lit(False))
-    taken = _fingerprints(assets.filter(~regression), "asset_id", fields).select("field", "value").distinct()
-    shared = _fingerprints(assets.filter(regression), "asset_id", fields).join(taken, ["field", "value"], "left_semi").select("asset_id").distinct()
+    taken = fingerprints(assets.filter(~regression), "asset_id", fields).select("field", "value").distinct()
+    shared = fingerprints(assets.filter(regression), "asset_id", fields).join(taken, ["field", "value"], "left_semi").select("asset_id").distinct()
     split = F.when(~regression, "train").when(F.col("_shared"), "bug_reproduction").otherwise("test")
     return assets.join(shared.withColumn("_shared", F.lit(True)), "asset_id", "left").withColumn("split", split).drop("_shared")
 
@@ -274,8 +274,8 @@ def release_errors(assets: DataFrame, members: DataFrame, qa: DataFrame, expecte
     failed = qa.join(members, "asset_id", "left_semi").filter(~F.col("passed")).select(F.col("asset_id").alias("subject"), F.lit("failed quality check").alias("message"))
     split = lambda s: assets.join(members.filter((F.col("split") == s) & (F.col("status") == "included")).select("asset_id"), "asset_id", "left_semi")
     fields = [f for f in FINGERPRINTS if f in assets.columns]
-    both = shared_fingerprints(split("train"), split("test"), fields).select("field", "value")
-    overlap = _fingerprints(split("train"), "subject", fields).join(both, ["field", "value"]).select("subject", F.lit("train and test overlap").alias("message")).distinct()
+    both = sharedfingerprints(split("train"), split("test"), fields).select("field", "value")
+    overlap = fingerprints(split("train"), "subject", fields).join(both, ["field", "value"]).select("subject", F.lit("train and test overlap").alias("message")).distinct()
     return wrong.unionByName(unknown).unionByName(failed).unionByName(overlap)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, filled
+from ..functions.text import clean, filled, points, shorten
 from ..functions.values import ASSET_ROUTES
 
 #: Words of a row that must not leave the house.
@@ -18,6 +18,8 @@ PRIVATE = r"(?i)(password|secret|api[_-]?key|1[3-9][0-9]{9}|[0-9]{17}[0-9x])"
 CONTEXT_ONLY = "仅可使用以下提供材料作答："
 NO_CONTEXT = "未提供额外背景材料；用户问题中包含模型可见事实。"
 NOTHING_TO_ASK = "如事实不足，应明确说明无需补充或列出待核验事项。"
+TOTAL = "总分"
+CASE_DIMENSIONS = ((("结论",), "Case Conclusion"), (("案情", "事实"), "Legal Facts"), (("分析", "推理"), "Legal Reasoning"), (("法条", "依据"), "Statute Basis"))
 CRITICAL_DIMENSIONS = ("citation_fidelity", "risk_calibration", "human_review_routing")
 
 
@@ -111,6 +113,83 @@ def with_provenance(corpus: DataFrame, official: Sequence[str]) -> DataFrame:
     return corpus.withColumns({"provenance_status": status, "content_sha256": F.sha2(F.coalesce("text", F.lit("")), 256), "publishable_as_authoritative_source": F.col("source_type").isin(*official)})
 
 
+def rubric_items(c: Column, dimension: str, most: int = 12) -> Column:
+    """Items (``dimension``, ``points``, ``item``) of a rubric whose numbered points start lines; the whole text if there is none.
+
+    Totals, and short lines that name no points, are no items. ``most`` is the importer's own limit.
+    """
+    text = F.replace(clean(c), F.lit("\r\n"), F.lit("\n"))
+    item = lambda t: F.struct(F.lit(dimension).alias("dimension"), points(t, 2).alias("points"), shorten(t, 900).alias("item"))
+    parts = F.transform(F.split(text, r"\n(?=\s*[0-9]+[.、．])"), clean)
+    found = F.filter(parts, lambda t: (t != "") & ~F.startswith(t, F.lit(TOTAL)) & (F.contains(t, F.lit("分")) | (F.length(t) >= 12)))
+    return F.when(F.size(found) > 0, F.transform(F.slice(found, 1, most), item)).otherwise(F.array(item(text)))
+
+
+def section_items(c: Column, dimension: str = "Document Rubric", most: int = 12) -> Column:
+    """Items of a rubric in sections 一、二、三: the heading without its points is the dimension; numbered items if there is no section."""
+    text = F.replace(clean(c), F.lit("\r\n"), F.lit("\n"))
+    parts = F.transform(F.split(F.concat(F.lit("\n"), text), r"\n(?=[一二三四五六七八九十]+[、.．])"), clean)
+    found = F.filter(parts, lambda t: (t != "") & ~F.startswith(t, F.lit(TOTAL)))
+
+    def item(t: Column) -> Column:
+        heading = F.regexp_replace(F.regexp_replace(clean(F.split(t, "\n")[0]), r"（.*?分.*?）|\(.*?分.*?\)", ""), r"^[ 、.．]+|[ 、.．]+$", "")
+        return F.struct(F.when(heading != "", heading).otherwise(dimension).alias("dimension"), points(t, 10).alias("points"), shorten(t, 1000).alias("item"))
+
+    return F.when(F.size(found) > 0, F.transform(F.slice(found, 1, most), item)).otherwise(rubric_items(c, dimension, most))
+
+
+def benchmark_rubrics(rows: DataFrame, kind: str, source: str, rules: tuple[str, str, str] = ("", "", ""), negative: str = "") -> DataFrame:
+    """Rubric rows of an imported benchmark: ``sample_id``, and ``rubrics`` as text (*consultation*, *document_drafting*) or as an array of ``criterion``, ``tags``, ``points`` (*case_analysis*)."""
+    if kind == "case_analysis":
+        def named(r: Column) -> Column:
+            worth = F.when(clean(r["points"]) != "", clean(r["points"]).try_cast("double").cast("int")).otherwise(points(r["criterion"], 5))
+            return F.struct(keyword_case(r["tags"], CASE_DIMENSIONS, "Case Analysis").alias("dimension"), worth.alias("points"), shorten(r["criterion"], 1000).alias("item"))
+
+        made = F.transform("rubrics", named)
+    else:
+        made = rubric_items(F.col("rubrics"), "Clarification Coverage") if kind == "consultation" else section_items(F.col("rubrics"))
+    high = 3 if kind == "consultation" else 2
+    return rows.select("sample_id", F.posexplode(made).alias("_pos", "r")).select(
+        "sample_id", F.lit(source).alias("source_dataset"), F.lit(kind).alias("task_category"), F.format_string("%s-R%02d", "sample_id", F.col("_pos") + 1).alias("rubric_id"), F.col("r.dimension").alias("rubric_dimension"),
+        F.col("r.item").alias("atomic_rubric_item"), F.col("r.points").alias("max_score"), *(F.lit(rule).alias(f"scoring_rule_{2 - i}") for i, rule in enumerate(rules)), F.when(F.col("_pos") < high, "high").otherwise("medium").alias("criticality"), F.lit(negative).alias("negative_rule"),
+    )
+
+
+def import_benchmark(items: DataFrame, kind: str, prefix: str, source: str, order: str, limit: int, fixed: Mapping[str, str] | None = None, **rubric) -> dict[str, DataFrame]:
+    """The four tables of the first ``limit`` items of a benchmark by ``order``.
+
+    *case_analysis* asks ``question`` about ``context`` under ``label``; *consultation* and *document_drafting* work on a
+    ``conversation``, the latter under ``tag``. ``fixed`` gives the texts of other columns. Only the limited items are numbered.
+    """
+    text = lambda c, default="": F.when(filled(c), clean(c)).otherwise(default) if c in items.columns else F.lit(default)
+    say = dict(fixed or {})
+    given = lambda c: F.lit(say.get(c, ""))
+    first = items.orderBy(order).limit(limit).withColumn("_no", F.row_number().over(Window.orderBy(order)))  # a stated, small number of items
+    rows = first.withColumn("sample_id", F.format_string(f"{prefix}-%03d", F.col("_no")))
+    case, document = kind == "case_analysis", kind == "document_drafting"
+    domain = text("label", say.get("label", "")) if case else text("tag", say.get("task_type", "")) if document else given("legal_concepts")
+    common = ("sample_id", F.lit(source).alias("source_dataset"), F.lit(kind).alias("task_category"))
+    asked = {
+        "user_question": text("question") if case else text("conversation") if document else given("user_question"), "known_facts": text("context") if case else given("known_facts") if document else text("conversation"), "legal_concepts": domain,
+    }
+    rubrics = text("rubrics") if not case else F.array_join(F.transform("rubrics", lambda r: shorten(r["criterion"], 180)), "；")
+    facts = rubrics if kind == "consultation" else None
+    level = "medium" if case else "high"
+    flag = "no" if case else "yes"
+    return {
+        "eval_input": rows.select(*common, *(c.alias(n) for n, c in asked.items()), *(given(c).alias(c) for c in ("jurisdiction", "law_snapshot_date", "task_type", "legal_advice_boundary"))),
+        "gold_labels": rows.select(
+            *common, *((facts if facts is not None else given(c)).alias(c) for c in ("key_missing_facts", "expected_clarification_questions")), (given("expected_answer_points") if facts is not None else rubrics).alias("expected_answer_points"),
+            *(given(c).alias(c) for c in ("risk_points", "expected_behavior", "human_review_note")),
+        ),
+        "rubric_items": benchmark_rubrics(rows, kind, source, **rubric),
+        "sample_metadata": rows.select(
+            *common, domain.alias("legal_domain"), F.lit("medium" if case else "hard").alias("difficulty"), F.lit(level).alias("risk_level"), given("visibility_policy").alias("visibility_policy"), F.lit("no").alias("core_sample_flag"),
+            *(F.lit(flag).alias(c) for c in ("deep_badcase_flag", "human_review_required")),
+        ),
+    }
+
+
 def numbered_items(c: Column) -> Column:
     """Items of a numbered list: what follows 1. 2) （3） and the like."""
     parts = F.split(clean(c), r"(?=(?:^|\n)\s*[（(]?[0-9]{1,2}[.)、）])")

@@ -14,15 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import fenced_object
-from ..functions.text import clean, filled
-from ..functions.values import rate
-from .assets import REVIEW_FIELDS, latest, memberships, reviewer_conflicts
+from ..functions.text import clean, completeness_issues, filled
+from ..functions.values import POLICIES, rate
+from .assets import FINGERPRINTS, REVIEW_FIELDS, fingerprints, latest, memberships, reviewer_conflicts
 
 #: Fixed names of the review records.
 LINEAGE = ("correction_id", "correction_revision", "source_snapshot_id", "corrected_answer_hash")
 ADJUDICATED_FIELDS = ("decision", "response_policy", "legal_conclusion_supported", "critical_facts_covered")
 DECISIONS = {"accepted": "approve", "rework_required": "rework", "rejected": "reject"}
 BLIND, DISCLOSED, EXPERT_ROLE = "blind-v2", "same_source_bug_reproduction", "legal_phd"
+CITATION_SUPPORT = ("passed", "failed", "not_applicable")
 QUALITY_CHECKS = ("pii_check", "duplicate_check", "source_traceability", "law_effective_date_check", "type_specific_check")
 
 
@@ -278,3 +279,73 @@ def release_result_errors(results: DataFrame, logs: DataFrame, events: DataFrame
         (chosen.agg(F.count_if(F.col("attempt") == official).alias("n")).filter("n = 0"), "official attempt was never selected"), (share.join(told, ~share["_rate"].eqNullSafe(told["_rate"])), "regression pass rate mismatch"),
     ]
     return reduce(DataFrame.unionByName, (one(df, text) for df, text in found))
+
+
+def review_events(answers: DataFrame, current: DataFrame, role: str) -> tuple[DataFrame, DataFrame]:
+    """Blind review events from model answers (``asset_id``, ``prompt``, ``answer``), and messages for answers without a JSON object.
+
+    A decision or policy that is not known becomes rework or human review, a missing judgement stays null. ``current``
+    is the lineage the reviewer saw; assets without a correction give no event.
+    """
+    rows = answers.join(current.filter("correction_id is not null").select("asset_id", *LINEAGE), "asset_id").withColumn("_json", fenced_object(F.col("answer")))
+    given = lambda k: F.get_json_object("_json", f"$.{k}")
+    known = lambda k, names, default: F.when(given(k).isin(*names), given(k)).otherwise(default)
+    texts = lambda k: F.filter(F.transform(F.coalesce(F.from_json(given(k), "array<string>"), F.array().cast("array<string>")), clean), lambda x: x != "")
+    flag = lambda k: given(k).try_cast("boolean")
+    made = rows.filter("_json is not null").select(
+        F.format_string(f"REV-%s-{role}-{BLIND}-%02d", F.col("asset_id"), F.col("correction_revision").cast("int")).alias("event_id"), "asset_id", F.lit("ai_model").alias("review_actor_type"), F.lit(role).alias("review_role"),
+        known("decision", DECISIONS.values(), "rework").alias("decision"), texts("findings").alias("findings"), known("response_policy", POLICIES, "human_review").alias("response_policy"),
+        *(flag(k).alias(k) for k in ("legal_conclusion_supported", "critical_facts_covered", "dangerous_action_advice")), texts("unsupported_claims").alias("unsupported_claims"),
+        known("citation_support", CITATION_SUPPORT, "not_applicable").alias("citation_support"), *(F.coalesce(flag(k), F.lit(False)).alias(k) for k in ("should_clarify", "should_human_review")),
+        F.sha2(F.coalesce("prompt", F.lit("")), 256).alias("input_hash"), F.sha2("answer", 256).alias("output_hash"), *LINEAGE, F.lit(BLIND).alias("review_protocol_version"),
+    )
+    return made, rows.filter("_json is null").select("asset_id", F.lit("the answer holds no JSON object").alias("message"))
+
+
+def requeue(candidates: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Assets in work whose latest correction looks cut off, with the signs and the step back to rework."""
+    open_ = candidates.filter(~F.col("asset_status").isin("accepted", "rejected", "proposed", "correction_drafting", "rework_required")).select("asset_id", "asset_status")
+    last = latest(corrections, "asset_id", "revision_number").select("asset_id", completeness_issues(F.col("corrected_answer")).alias("issues"))
+    return open_.join(last, "asset_id").filter(F.size("issues") > 0).select("asset_id", F.col("asset_status").alias("from_status"), F.lit("rework_required").alias("to_status"), "issues")
+
+
+def replacements(wanted: DataFrame, reviewed: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For every wanted case (``asset_id``, ``source_case_id``) its worst reviewed run with an answer, failures first, and messages for cases without one."""
+    severity = F.coalesce(F.array_position(F.array(*map(F.lit, ("fail", "partial", "pass"))), clean("human_pass_fail")), F.lit(0))
+    ranked = reviewed.filter(filled("output_text")).select(F.col("sample_id").alias("source_case_id"), F.struct(F.when(severity == 0, 4).otherwise(severity).alias("rank"), F.col("run_id"), F.col("output_text").alias("text"), clean("human_pass_fail").alias("outcome")).alias("_r"))
+    worst = ranked.groupBy("source_case_id").agg(F.min("_r").alias("_r"))
+    outputs = runs.groupBy("run_id").agg(F.min("output_text").alias("_output"))
+    made = wanted.join(worst, "source_case_id").select("asset_id", "source_case_id", F.col("_r.run_id").alias("run_id"), F.col("_r.outcome").alias("human_pass_fail"), F.col("_r.text").alias("_text")).join(outputs, "run_id", "left")
+    source = F.when(filled("_output"), F.col("_output")).otherwise(F.col("_text"))
+    return made.select("asset_id", "source_case_id", F.col("run_id").alias("source_run_id"), "human_pass_fail", source.alias("source_output")), wanted.join(worst, "source_case_id", "left_anti").select("asset_id", F.lit("no reviewed answer for the case").alias("message"))
+
+
+def review_batch_errors(batch: DataFrame, pending: DataFrame, training: DataFrame, corrections: DataFrame, reviews: DataFrame, rulings: DataFrame, checks: DataFrame, assertions: DataFrame, versions: DataFrame) -> DataFrame:
+    """Messages for a batch of regression assets before the expert sees it.
+
+    ``pending``: candidates awaiting the expert, with fingerprints, ``evaluation_role``, ``source_license_status`` and
+    ``source_run_evidence_type``. ``reviews``, ``rulings`` and ``checks`` are current ones.
+    """
+    one = lambda df, text: df.select("asset_id", F.lit(text).alias("message")).distinct()
+    last = current_corrections(corrections, pending).select("asset_id", "corrected_answer")
+    roles = reviews.filter(F.col("review_protocol_version") == BLIND).groupBy("asset_id").agg(F.array_sort(F.collect_set("review_role")).alias("_roles"))
+    ruled = rulings.filter(F.col("review_protocol_version") == BLIND).select("asset_id", F.lit(True).alias("_ruled")).distinct()
+    passed = latest(checks, "asset_id", "seq").select("asset_id", F.col("passed").alias("_passed"))
+    asserted = assertions.groupBy("asset_id").agg(F.max("revision_number").alias("_revision"))
+    versioned = versions.select("asset_id", F.lit(True).alias("_versioned")).distinct()
+    sheet = batch.select("asset_id", F.struct(*(c for c in batch.columns if c != "asset_id")).alias("_row"))
+    rows = pending.join(sheet, "asset_id")
+    for part in (last, roles, ruled, passed, asserted, versioned):
+        rows = rows.join(part, "asset_id", "left")
+    blank = [(F.coalesce(clean(F.col(f"_row.{c}")), F.lit("")) != "", f"{c} must be blank before the review") for c in ("expert_decision", "expert_override", "expert_override_reason", "review_elapsed_seconds") if c in batch.columns]
+    made = say(rows, [
+        (clean("evaluation_role") != "independent", "candidate is not independent"), (clean("source_license_status") != "self_authored_internal", "source is not self-authored"),
+        (clean("source_run_evidence_type") != "synthetic_mock_baseline", "baseline evidence boundary missing"), (~filled("corrected_answer"), "missing current correction"),
+        (~F.col("_roles").eqNullSafe(F.array(F.lit("reviewer_a"), F.lit("reviewer_b"))), "missing current blind reviews"), (F.col("_ruled").isNull(), "missing current blind adjudication"),
+        (~F.coalesce("_passed", F.lit(False)), "missing passed quality check"), (F.coalesce("_revision", F.lit(0)) < 2, "missing assertion of revision 2 or later"), (F.col("_versioned").isNull(), "missing source snapshot version"),
+        (~F.col("_row.source_snapshot_id").eqNullSafe(F.col("source_snapshot_id")), "batch row has another snapshot"), (~F.col("_row.corrected_answer").eqNullSafe(F.col("corrected_answer")), "batch row has another correction"), *blank,
+    ])
+    fields = [f for f in FINGERPRINTS if f in pending.columns and f in training.columns]
+    overlap = fingerprints(pending, "asset_id", fields).join(fingerprints(training, "_train", fields).select("field", "value").distinct(), ["field", "value"], "left_semi")
+    return made.unionByName(one(overlap, "source overlaps training data")).unionByName(one(pending.join(batch, "asset_id", "left_anti"), "asset is missing from the batch")).unionByName(
+        one(batch.join(pending, "asset_id", "left_anti"), "asset is not pending")).unionByName(one(batch.groupBy("asset_id").count().filter("count > 1"), "asset is listed twice"))

@@ -211,3 +211,39 @@ def public_package(made: Mapping[str, DataFrame], allowed: Mapping[str, Sequence
     for n, df in shown.items():
         write_csv(df, f"{folder}/{n}")
     return {n: df.count() for n, df in shown.items()}
+
+
+def file_errors(spark: SparkSession, folder: str, expected: Mapping[str, str]) -> DataFrame:
+    """Messages for files of a package that are missing or whose SHA-256 is not the manifest's."""
+    from .sinks import file_hashes
+
+    wanted = spark.createDataFrame(list(expected.items()), "subject string, wanted string")
+    found = file_hashes(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("subject"), "sha256")
+    rows = wanted.join(found, "subject", "left")
+    return rows.filter("sha256 is null or sha256 <> wanted").select("subject", F.when(F.col("sha256").isNull(), "missing file").otherwise("hash mismatch").alias("message"))
+
+
+def table_errors(df: DataFrame, name: str, required: Sequence[str] = (), forbidden: Sequence[str] = (), least: int = 0, most: int | None = None, private: str | None = None) -> DataFrame:
+    """Messages for a published table: columns that lack or leak, a row count out of bounds, rows that match ``private``."""
+    spark = df.sparkSession
+    said = [f"missing column {c}" for c in required if c not in df.columns] + [f"restricted column {c}" for c in forbidden if c in df.columns]
+    made = spark.createDataFrame([(name, m) for m in said], "subject string, message string")
+    out = F.col("n") < least if most is None else (F.col("n") < least) | (F.col("n") > most)
+    made = made.unionByName(df.agg(F.count("*").alias("n")).filter(out).select(F.lit(name).alias("subject"), F.format_string("unexpected number of rows: %d", "n").alias("message")))
+    if private and df.columns:
+        found = df.agg(F.count_if(F.to_json(F.struct(*(f"`{c}`" for c in df.columns))).rlike(private)).alias("n")).filter("n > 0")
+        made = made.unionByName(found.select(F.lit(name).alias("subject"), F.format_string("private data in %d rows", "n").alias("message")))
+    return made
+
+
+def width_errors(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` and ``n_rows`` of CSV files with rows of more or fewer fields than their header; quoted fields may hold line breaks."""
+    files = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path).select("path").collect()]  # one row a file of a package
+    made = spark.createDataFrame([], "file string, n_rows long")
+    for f in files:
+        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("columnPruning", False)
+        schema = ", ".join(f"`_c{i}` string" for i in range(len(reader.csv(f).columns))) + ", _bad string"
+        rows = reader.option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).schema(schema).csv(f)
+        full = rows.agg(F.count("_bad").alias("n_rows"), F.count_if(F.col("_c0").isNotNull() | F.col("_bad").isNotNull()).alias("_n"))  # Spark does not read the bad rows' column alone
+        made = made.unionByName(full.filter("n_rows > 0 and _n >= n_rows").select(F.lit(f).alias("file"), "n_rows"))
+    return made

@@ -5,6 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from arbiterlake import cli
+from arbiterlake.functions import text as tx
+from arbiterlake.operators import cases as case_bank
 from arbiterlake.operators import traces
 from arbiterlake.sources import datasets
 
@@ -95,3 +98,50 @@ def test_traces_see_their_own_answers(spark):
     assert [tuple(r) for r in frames["risk_route_summary"].collect()] == [("u", "d", "blocked", 1)]
     assert len(json.loads(frames["redacted_trace_samples"].first().turn_output_hashes)) == 3
     assert "agent_message" not in frames["turn_level_summary"].columns and frames["human_trace_calibration_template"].first().human_notes == ""
+
+
+def test_rubrics_of_benchmarks(spark):
+    numbered = "总分10分\n1. 指出主体（3分）\r\n2、short\n3. a longer line without any points here\n4．依据 ＋5分"
+    sections = "一、格式（共20分）\n标题 (5分)\n二、 事实\n时间 +8分"
+    df = spark.createDataFrame([(numbered, sections)], "n string, s string")
+    r = df.select(case_bank.rubric_items(F.col("n"), "D").alias("n"), case_bank.section_items(F.col("s")).alias("s"), case_bank.section_items(F.lit("plain")).alias("p"), case_bank.section_items(F.lit("总分5分")).alias("t"), tx.points(F.lit("（5分钟）"), 7).alias("q")).first()
+    assert [(x.points, x.item[:2]) for x in r.n] == [(3, "1."), (2, "3."), (5, "4．")]
+    assert [(x.dimension, x.points) for x in r.s] == [("一、格式", 5), ("二、 事实", 8)]
+    assert [(x.dimension, x.points, x.item) for x in r.p] == [("plain", 10, "plain")] and r.q == 7
+    assert [(x.dimension, x.points, x.item) for x in r.t] == [("Document Rubric", 2, "总分5分")]
+    rows = [(2, "q2", "ctx", "", [("要点（4分）", "事实认定", ""), ("y", "结论", "3.0")]), (1, "q1", "ctx", "lab", [("z", None, None)]), (3, "q3", "", "", [])]
+    bank = spark.createDataFrame(rows, "no int, question string, context string, label string, rubrics array<struct<criterion:string,tags:string,points:string>>")
+    made = case_bank.import_benchmark(bank, "case_analysis", "PB-CASE", "pb", "no", 2, {"label": "实务案例"})
+    assert [(r.sample_id, r.user_question, r.legal_concepts) for r in made["eval_input"].orderBy("sample_id").collect()] == [("PB-CASE-001", "q1", "lab"), ("PB-CASE-002", "q2", "实务案例")]
+    assert [(r.rubric_id, r.rubric_dimension, r.max_score, r.criticality) for r in made["rubric_items"].orderBy("rubric_id").collect()] == [("PB-CASE-001-R01", "Case Analysis", 5, "high"), ("PB-CASE-002-R01", "Legal Facts", 4, "high"), ("PB-CASE-002-R02", "Case Conclusion", 3, "high")]
+    talks = spark.createDataFrame([(1, "talk", numbered)], "no int, conversation string, rubrics string")
+    asked = case_bank.import_benchmark(talks, "consultation", "PB-CONS", "pb", "no", 5)
+    assert asked["eval_input"].first().known_facts == "talk" and asked["rubric_items"].count() == 3 and asked["sample_metadata"].first().human_review_required == "yes"
+
+
+def test_package_checks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,"2\n3"\n4\n5,6,7\n')
+    (tmp_path / "b.csv").write_text("x,y\n1,2\n")
+    import hashlib
+
+    right = hashlib.sha256((tmp_path / "b.csv").read_bytes()).hexdigest()
+    got = datasets.file_errors(spark, str(tmp_path), {"a.csv": "0", "b.csv": right, "c.csv": "0"})
+    assert {tuple(r) for r in got.collect()} == {("a.csv", "hash mismatch"), ("c.csv", "missing file")}
+    assert [(r.file.rsplit("/", 1)[-1], r.n_rows) for r in datasets.width_errors(spark, str(tmp_path)).collect()] == [("a.csv", 2)]
+    df = spark.createDataFrame([("1", "secret")], "id string, note string")
+    got = datasets.table_errors(df, "t", ["id", "gone"], ["note"], least=2, private="secret")
+    assert {r.message for r in got.collect()} == {"missing column gone", "restricted column note", "unexpected number of rows: 1", "private data in 1 rows"}
+    assert datasets.table_errors(df, "t", ["id"], most=1).count() == 0
+
+
+def test_commands_over_folders(spark, tmp_path):
+    sheet(tmp_path, "Eval_Input", "sample_id,user_question", "s1,why")
+    sheet(tmp_path, "Gold_Labels", "sample_id,key_missing_facts", "s1,f1")
+    sheet(tmp_path, "Rubric_Items", "sample_id,rubric_id", "s1,R1")
+    assert cli.main(["prepare-data", "--workbook", str(tmp_path), "--source", "core", "--output", str(tmp_path / "out")]) == 0
+    made = spark.read.option("header", True).csv(str(tmp_path / "out" / "eval_input"))
+    assert [r.user_question for r in made.collect()] == ["why"]
+    bad = tmp_path / "manifest.json"
+    bad.write_text('{"files": {"gone.csv": {"sha256": "0"}}}')
+    with pytest.raises(SystemExit, match="gone.csv"):
+        cli.main(["check-package", "--folder", str(tmp_path), "--manifest", str(bad), "--output", str(tmp_path / "o")])

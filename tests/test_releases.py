@@ -104,3 +104,42 @@ def test_official_results(spark, fault, message):
     metrics = spark.createDataFrame([("regression_pass_rate", f["rate"])], "metric string, value string")
     got = messages(releases.release_result_errors(results, logs, events, spark.createDataFrame([(x,) for x in f["folders"]], "attempt int"), metrics, f["official"], "scoring-v2", 2), "subject")
     assert (not got) if message is None else ("release", message) in got
+
+
+def test_blind_reviews_from_answers(spark):
+    current = spark.createDataFrame([("a", "s", "k", 2, "t", "h"), ("b", "s", "k", 1, "t", "h"), ("c", "s", None, None, None, None)], "asset_id string, source_snapshot_id string, correction_id string, correction_revision int, corrected_answer string, corrected_answer_hash string")
+    said = '```{"decision": "approve", "findings": [" x ", ""], "response_policy": "odd", "legal_conclusion_supported": true, "should_clarify": true}```'
+    answers = spark.createDataFrame([("a", "p", said), ("b", "p", "no"), ("c", "p", said)], "asset_id string, prompt string, answer string")
+    made, wrong = releases.review_events(answers, current, "reviewer_a")
+    r = made.collect()[0]
+    assert made.count() == 1 and (r.event_id, r.decision, r.findings, r.response_policy, r.citation_support) == ("REV-a-reviewer_a-blind-v2-02", "approve", ["x"], "human_review", "not_applicable")
+    assert (r.legal_conclusion_supported, r.critical_facts_covered, r.should_clarify, r.should_human_review) == (True, None, True, False)
+    assert messages(wrong) == [("b", "the answer holds no JSON object")]
+
+
+def test_requeue_and_replacements(spark):
+    candidates = spark.createDataFrame([("a", "qa_pending"), ("b", "qa_pending"), ("c", "accepted")], "asset_id string, asset_status string")
+    corrections = spark.createDataFrame([("a", 1, "fine."), ("a", 2, "**cut"), ("b", 1, "fine."), ("c", 1, "")], "asset_id string, revision_number int, corrected_answer string")
+    assert [(r.asset_id, r.issues, r.to_status) for r in releases.requeue(candidates, corrections).collect()] == [("a", ["unbalanced_bold"], "rework_required")]
+    wanted = spark.createDataFrame([("n1", "s1"), ("n2", "s2")], "asset_id string, source_case_id string")
+    reviewed = spark.createDataFrame([("s1", "r1", "pass", "x"), ("s1", "r3", "fail", "y"), ("s1", "r2", "fail", "z"), ("s1", "r0", "fail", " "), ("s2", "r9", "", "")], "sample_id string, run_id string, human_pass_fail string, output_text string")
+    runs = spark.createDataFrame([("r2", "full z")], "run_id string, output_text string")
+    made, wrong = releases.replacements(wanted, reviewed, runs)
+    assert [tuple(r) for r in made.collect()] == [("n1", "s1", "r2", "fail", "full z")] and messages(wrong) == [("n2", "no reviewed answer for the case")]
+
+
+def test_review_batches(spark):
+    role, license_, baseline = "independent", "self_authored_internal", "synthetic_mock_baseline"
+    pending = spark.createDataFrame([("a", "c1", "s1", role, license_, baseline), ("b", "c2", "s2", "", "", "")], "asset_id string, source_case_id string, source_snapshot_id string, evaluation_role string, source_license_status string, source_run_evidence_type string")
+    batch = spark.createDataFrame([("a", "s1", "t", ""), ("b", "other", "u", "accepted"), ("x", "s", "t", "")], "asset_id string, source_snapshot_id string, corrected_answer string, expert_decision string")
+    training = spark.createDataFrame([("t", "c2", "s9")], "asset_id string, source_case_id string, source_snapshot_id string")
+    corrections = spark.createDataFrame([("a", "k", 1, "t"), ("b", "k", 1, "t")], "asset_id string, correction_id string, revision_number int, corrected_answer string")
+    reviews = spark.createDataFrame([("a", "reviewer_a"), ("a", "reviewer_b"), ("b", "reviewer_a")], "asset_id string, review_role string").withColumn("review_protocol_version", F.lit("blind-v2"))
+    only = reviews.filter("asset_id = 'a'")
+    checks = only.select("asset_id", F.lit(1).alias("seq"), F.lit(True).alias("passed"))
+    got = messages(releases.review_batch_errors(batch, pending, training, corrections, reviews, only, checks, only.select("asset_id", F.lit(2).alias("revision_number")), only))
+    assert [m for a, m in got if a == "a"] == [] and [m for a, m in got if a == "x"] == ["asset is not pending"]
+    assert {m for a, m in got if a == "b"} == {
+        "candidate is not independent", "source is not self-authored", "baseline evidence boundary missing", "missing current blind reviews", "missing current blind adjudication", "missing passed quality check",
+        "missing assertion of revision 2 or later", "missing source snapshot version", "batch row has another snapshot", "batch row has another correction", "expert_decision must be blank before the review", "source overlaps training data",
+    }
