@@ -106,8 +106,8 @@ def current_evidence(events: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def fingerprints(df: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
-    """One row per asset and non-empty fingerprint: ``name`` (the asset), ``field``, ``value``."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), clean(f).alias("value")) for f in fields)))
+    """One row per asset and non-empty fingerprint, as it stands: ``name`` (the asset), ``field``, ``value``."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("value")) for f in fields)))
     return df.select(F.col("asset_id").alias(name), pairs.alias("p")).select(name, "p.field", "p.value").filter("value <> ''").distinct()
 
 

@@ -604,7 +604,7 @@ def split_contamination(spark, sf_dir):
 
 
 @query(f"""
-WITH l AS (SELECT asset_id, split, unnest(['source_case_id', 'source_snapshot_id', 'normalized_user_prompt_hash']) AS field, unnest([source_case_id, trim(source_snapshot_id), h]) AS value FROM {_PRINTED})
+WITH l AS (SELECT asset_id, split, unnest(['source_case_id', 'source_snapshot_id', 'normalized_user_prompt_hash']) AS field, unnest([source_case_id, source_snapshot_id, h]) AS value FROM {_PRINTED})
 SELECT field, value, count(DISTINCT asset_id) FILTER (split = 'train') AS train_assets, count(DISTINCT asset_id) FILTER (split = 'test') AS test_assets, min(asset_id) FILTER (split = 'train') AS first_train_asset_id,
   min(asset_id) FILTER (split = 'test') AS first_test_asset_id FROM l WHERE value <> '' GROUP BY 1, 2 HAVING count_if(split = 'train') > 0 AND count_if(split = 'test') > 0
 """)
@@ -615,7 +615,7 @@ def shared_fingerprints(spark, sf_dir):
 
 
 @query(f"""
-WITH f AS (SELECT p.asset_id, asset_type, unnest(['case', 'snapshot', 'prompt']) AS field, unnest([p.source_case_id, trim(p.source_snapshot_id), h]) AS value FROM {_PRINTED} p JOIN {ASSETS} a USING (asset_id)),
+WITH f AS (SELECT p.asset_id, asset_type, unnest(['case', 'snapshot', 'prompt']) AS field, unnest([p.source_case_id, p.source_snapshot_id, h]) AS value FROM {_PRINTED} p JOIN {ASSETS} a USING (asset_id)),
 t AS (SELECT DISTINCT field, value FROM f WHERE asset_type <> 'regression' AND value <> ''), s AS (SELECT DISTINCT asset_id FROM f SEMI JOIN t USING (field, value))
 SELECT asset_id, source_case_id, asset_type, CASE WHEN asset_type <> 'regression' THEN 'train' WHEN asset_id IN (SELECT asset_id FROM s) THEN 'bug_reproduction' ELSE 'test' END AS split FROM {ASSETS}
 """)
