@@ -147,6 +147,12 @@ def _blind(t, role):
     return made
 
 
+def _draft(t):
+    made, wrong = releases.draft_corrections(t["candidates"], t["corrections"], t["answers"])
+    must_be_empty(wrong, "blank answers")
+    return made
+
+
 def _replace(t):
     made, wrong = releases.replacements(t["wanted"], t["reviewed"], t["runs"])
     must_be_empty(wrong, "cases without an answer")
@@ -213,6 +219,7 @@ COMMANDS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "validate-traces": (("cases",), lambda t: traces.trace_case_errors(t["cases"], ("case_id", "initial_user_message"), ("blocked", "human_review_required", "candidate_limited_release"))),
     "run-traces": (("cases", "models"), _mock_traces),
     "trace-evidence": (("traces", "turns"), lambda t: traces.evidence(t["traces"], t["turns"])),
+    "draft-corrections": (("candidates", "corrections", "answers"), _draft),
     "run-blind-review-a": (("answers", "corrections", "candidates"), lambda t: _blind(t, "reviewer_a")),
     "run-blind-review-b": (("answers", "corrections", "candidates"), lambda t: _blind(t, "reviewer_b")),
     "settle-adjudications": (("reviews", "corrections", "candidates", "adjudications"), _settle),

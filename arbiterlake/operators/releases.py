@@ -23,6 +23,7 @@ LINEAGE = ("correction_id", "correction_revision", "source_snapshot_id", "correc
 ADJUDICATED_FIELDS = ("decision", "response_policy", "legal_conclusion_supported", "critical_facts_covered")
 DECISIONS = {"accepted": "approve", "rework_required": "rework", "rejected": "reject"}
 BLIND, DISCLOSED, EXPERT_ROLE = "blind-v2", "same_source_bug_reproduction", "legal_phd"
+CUT_OFF = ("length", "max_tokens", "max_output_tokens")
 CITATION_SUPPORT = ("passed", "failed", "not_applicable")
 QUALITY_CHECKS = ("pii_check", "duplicate_check", "source_traceability", "law_effective_date_check", "type_specific_check")
 
@@ -92,16 +93,19 @@ def propose(open_: DataFrame, answers: DataFrame) -> DataFrame:
     }).drop("_json")
 
 
-def json_client(client: Callable[[], Callable[[str], tuple[str, dict]]]) -> Callable[[], Callable[[str], tuple[str, dict]]]:
-    """A client for ``execution.call_model`` whose answers must hold a JSON object: one that does not is asked again."""
+Client = Callable[[], Callable[[str], tuple[str, dict]]]
+
+
+def checked_client(client: Client, issue: Callable[[str, dict], str]) -> Client:
+    """A client for ``execution.call_model`` that fails, and so is asked again, where ``issue`` names a fault of its answer."""
+
     def connect():
         ask = client()
 
         def once(prompt: str) -> tuple[str, dict]:
             text, usage = ask(prompt)
-            start, end = text.find("{"), text.rfind("}")
-            if not isinstance(json.loads(text[start : end + 1] or "null"), dict):
-                raise ValueError("the answer holds no JSON object")
+            if fault := issue(text or "", usage or {}):
+                raise ValueError(fault)
             return text, usage
 
         return once
@@ -109,6 +113,43 @@ def json_client(client: Callable[[], Callable[[str], tuple[str, dict]]]) -> Call
     return connect
 
 
+def json_client(client: Client) -> Client:
+    """Answers must hold a JSON object."""
+
+    def issue(text: str, _: dict) -> str:
+        found = json.loads(text[text.find("{") : text.rfind("}") + 1] or "null")  # a fault of its own if it does not parse
+        return "" if isinstance(found, dict) else "the answer holds no JSON object"
+
+    return checked_client(client, issue)
+
+
+def whole_client(client: Client) -> Client:
+    """Answers must have text and must not be reported as cut off."""
+
+    def issue(text: str, usage: dict) -> str:
+        reason = str(usage.get("finish_reason") or "").strip().lower()
+        return "empty output" if not text.strip() else f"truncated output ({reason})" if reason in CUT_OFF else ""
+
+    return checked_client(client, issue)
+
+
+def draft_corrections(candidates: DataFrame, earlier: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New revisions of corrections from a model's answers (``asset_id``, ``answer``), and messages for assets whose answer is blank.
+
+    ``candidates``: ``asset_id``, ``asset_type``, ``source_output``. A preference asset with a source output takes the
+    answer as chosen and that output as rejected.
+    """
+    before = earlier.groupBy("asset_id").agg(F.max("revision_number").alias("_last"))
+    rows = candidates.select("asset_id", "asset_type", "source_output").join(answers.select("asset_id", clean("answer").alias("corrected_answer")), "asset_id").join(before, "asset_id", "left")
+    number = (F.coalesce("_last", F.lit(0)) + 1).cast("int")
+    rejected = F.when(F.col("asset_type").eqNullSafe("preference"), F.coalesce("source_output", F.lit(""))).otherwise("")
+    made = rows.filter("corrected_answer <> ''").select(
+        F.format_string("COR-%s-%02d", F.col("asset_id"), number).alias("correction_id"), "asset_id", number.alias("revision_number"), "corrected_answer",
+        F.when(rejected != "", F.col("corrected_answer")).otherwise("").alias("chosen_answer"), rejected.alias("rejected_answer"), F.lit("ai_model").alias("author_type"),
+    )
+    return made, rows.filter("corrected_answer = ''").select("asset_id", F.lit("empty output").alias("message"))
+
+
 def bind_approvals(submissions: DataFrame, corrections: DataFrame, reviews: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted assets bound to the correction whose text the expert was sent, and messages for those that cannot be.
 

@@ -987,3 +987,16 @@ def imported_cases(spark, sf_dir):
     item = made["rubric_items"].filter("rubric_id LIKE '%-R02'").select("sample_id", "rubric_id", "max_score", "criticality")
     rows = made["gold_labels"].join(made["sample_metadata"].select("sample_id", "difficulty", "risk_level"), "sample_id").join(made["eval_input"].select("sample_id", "known_facts"), "sample_id").join(item, "sample_id")
     return rows.select("sample_id", "task_category", "expected_clarification_questions", "expected_answer_points", "risk_points", "human_review_note", "difficulty", "risk_level", "rubric_id", "max_score", "criticality", "known_facts")
+
+
+@query("""
+WITH d AS (SELECT doc_id, concat('A', doc_id) AS asset_id, CASE WHEN doc_id % 4 = 0 THEN 3 ELSE 2 END AS n, sha256(regexp_replace(concat('new ', text), '^\\s+|\\s+$', '', 'g')) AS h, doc_id % 3 = 1 AND doc_id % 5 <> 0 AS pair FROM documents WHERE doc_id % 13 <> 0)
+SELECT concat('COR-', asset_id, '-0', n) AS correction_id, asset_id, n AS revision_number, h AS answer_hash, CASE WHEN pair THEN h ELSE sha256('') END AS chosen_hash, CASE WHEN pair THEN 'old' ELSE '' END AS rejected_answer FROM d
+""")
+def correction_drafts(spark, sf_dir):
+    """Another revision for every document whose model answer is not blank."""
+    docs, corrections, _ = _release(spark, sf_dir)
+    candidates = docs.select("asset_id", "asset_type", F.expr("CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'old' END").alias("source_output"))
+    answers = docs.select("asset_id", F.expr("CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE concat('\\n new ', text) END").alias("answer"))
+    made, _ = releases.draft_corrections(candidates, corrections, answers)
+    return made.select("correction_id", "asset_id", "revision_number", F.sha2("corrected_answer", 256).alias("answer_hash"), F.sha2("chosen_answer", 256).alias("chosen_hash"), "rejected_answer")

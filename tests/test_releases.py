@@ -143,3 +143,22 @@ def test_review_batches(spark):
         "candidate is not independent", "source is not self-authored", "baseline evidence boundary missing", "missing current blind reviews", "missing current blind adjudication", "missing passed quality check",
         "missing assertion of revision 2 or later", "missing source snapshot version", "batch row has another snapshot", "batch row has another correction", "expert_decision must be blank before the review", "source overlaps training data",
     }
+
+
+def test_cut_off_answers_are_asked_again(spark):
+    def client():
+        given = iter([("", {}), ("half", {"finish_reason": "Length"}), ("whole.", {"finish_reason": "stop"})])
+        return lambda prompt: next(given)
+
+    df = spark.createDataFrame([("p",)], "prompt string")
+    assert [(r.answer, r.error) for r in execution.call_model(df, releases.whole_client(client), pause=0.0).collect()] == [("whole.", "")]
+    assert "truncated" in execution.call_model(df, releases.whole_client(client), attempts=2, pause=0.0).collect()[0].error
+
+
+def test_drafts_number_after_the_last_revision(spark):
+    candidates = spark.createDataFrame([("a", "preference", "bad"), ("b", "preference", ""), ("c", "sft", "bad")], "asset_id string, asset_type string, source_output string")
+    earlier = spark.createDataFrame([("a", 9)], "asset_id string, revision_number int")
+    answers = spark.createDataFrame([("a", " good "), ("b", "good"), ("c", " ")], "asset_id string, answer string")
+    made, wrong = releases.draft_corrections(candidates, earlier, answers)
+    assert sorted((r.correction_id, r.corrected_answer, r.chosen_answer, r.rejected_answer) for r in made.collect()) == [("COR-a-10", "good", "good", "bad"), ("COR-b-01", "good", "", "")]
+    assert messages(wrong) == [("c", "empty output")]
