@@ -70,8 +70,9 @@ def _entailment(t):
 
 
 def _release(t):
-    made = assets.assign_split(t["assets"])
-    return {"assets": made, "memberships": assets.memberships(made, "release")}
+    made, wrong = releases.build_release(t["assets"], "release", *(t[n] for n in ("memberships", "corrections", "reviews", "adjudications", "checks", "bindings", "assertions", "versions")))
+    must_be_empty(wrong, "invalid release")
+    return made
 
 
 def _validate_cases(t):
@@ -201,7 +202,8 @@ COMMANDS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "build-independent-regression-candidates": (("candidates", "used"), lambda t: assets.independent_candidates(t["candidates"], t["used"])),
     "adjudicate-assets": (("reviews",), lambda t: assets.reviewer_conflicts(t["reviews"])),
     "run-asset-qa": (("corrections", "candidates"), lambda t: assets.quality_checks(t["corrections"], t["candidates"])),
-    "build-dataset-release": (("assets",), _release),
+    "split-assets": (("assets",), lambda t: assets.assign_split(t["assets"])),
+    "build-dataset-release": (("assets", "memberships", "corrections", "reviews", "adjudications", "checks", "bindings", "assertions", "versions"), _release),
     "check-contamination": (("train", "test"), lambda t: assets.contamination(t["train"], t["test"])),
     "replay-states": (("events",), lambda t: assets.replay(t["events"])),
     "run-asset-regression": (("outputs",), lambda t: assets.evaluate_assertions(t["outputs"])),

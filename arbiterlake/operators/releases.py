@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.jsontext import fenced_object
 from ..functions.text import clean, completeness_issues, filled
 from ..functions.values import POLICIES, rate
-from .assets import FINGERPRINTS, REVIEW_FIELDS, fingerprints, latest, memberships, reviewer_conflicts
+from .assets import FINGERPRINTS, REVIEW_FIELDS, assign_split, fingerprints, latest, memberships, release_cohort, reviewer_conflicts, shared_fingerprints
 
 #: Fixed names of the review records.
 LINEAGE = ("correction_id", "correction_revision", "source_snapshot_id", "corrected_answer_hash")
@@ -322,6 +322,44 @@ def release_result_errors(results: DataFrame, logs: DataFrame, events: DataFrame
     return reduce(DataFrame.unionByName, (one(df, text) for df, text in found))
 
 
+def build_release(
+    candidates: DataFrame, release: str, log: DataFrame, corrections: DataFrame, reviews: DataFrame, adjudications: DataFrame, checks: DataFrame, bindings: DataFrame, assertions: DataFrame, versions: DataFrame,
+    expected: dict[str, int] | None = None, limitations: str = "Redacted sample; not legal advice.",
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables of a release, and messages for what forbids it.
+
+    Accepted assets of the cohort get a split and a membership; their records carry the latest correction, adjudication,
+    quality check, assertion and binding, all current reviews and all source versions (a few an asset). Public samples are
+    the assets that may be shown, with nothing but their answer. ``expected`` gives the number of assets a type.
+    """
+    cohort = assign_split(release_cohort(candidates))
+    members, again = update_memberships(log, cohort, release)
+    known = cohort.select("asset_id")
+    last = lambda df, name, order="seq": latest(df.join(known, "asset_id", "left_semi"), "asset_id", order).select("asset_id", F.struct(*(c for c in df.columns if c not in ("asset_id", order) or c == "revision_number")).alias(name))
+    every = lambda df, name: df.join(known, "asset_id", "left_semi").groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("seq", *(c for c in df.columns if c not in ("asset_id", "seq"))))).alias(name))
+    records = cohort
+    for part in (
+        last(corrections, "correction", "revision_number"), last(adjudications, "adjudication"), last(checks, "quality_check"), last(assertions, "regression_assertion", "revision_number"), last(bindings, "expert_approval_binding"),
+        every(reviews, "review_events"), every(versions, "source_snapshot_versions"),
+    ):
+        records = records.join(part, "asset_id", "left")
+    shown = records.filter("public_visibility = 'public_redacted'").select("asset_id", "asset_type", "source_case_id", F.coalesce("correction.corrected_answer", F.lit("")).alias("corrected_answer"), F.lit(limitations).alias("limitations"))
+    fields = [f for f in FINGERPRINTS if f in cohort.columns]
+    tests = cohort.filter("split = 'test'")
+    common = shared_fingerprints(cohort.filter("split = 'train'"), tests, fields)
+    audit = tests.agg(F.count("*").alias("n")).select(
+        F.lit("train_vs_test").alias("scope"), F.when(F.col("n") > 0, "passed").otherwise("not_applicable").alias("status"), F.lit(",".join(fields)).alias("signals_checked"),
+        F.when(F.col("n") > 0, "no overlaps detected").otherwise("no independent test split; same-source regressions are bug_reproduction").alias("note"),
+    )
+    one = lambda df, subject, text: df.select(F.col(subject).alias("subject"), F.lit(text).alias("message"))
+    wrong = one(undisclosed_overlaps(cohort), "asset_id", "source overlaps training data without disclosure").unionByName(one(again, "dataset_membership_id", "membership id is in the log already")).unionByName(one(common, "value", "train and test overlap"))
+    if expected is not None:
+        wanted = candidates.sparkSession.createDataFrame(list(expected.items()), "asset_type string, wanted long")
+        counts = wanted.join(cohort.groupBy("asset_type").agg(F.count("*").alias("n")), "asset_type", "full").filter(~F.coalesce("wanted", F.lit(0)).eqNullSafe(F.coalesce("n", F.lit(0))))
+        wrong = wrong.unionByName(one(counts, "asset_type", "unexpected number of assets"))
+    return {"accepted_assets": records, "dataset_memberships": members, "public_redacted_samples": shown, "contamination_audit": audit}, wrong
+
+
 def review_events(answers: DataFrame, current: DataFrame, role: str) -> tuple[DataFrame, DataFrame]:
     """Blind review events from model answers (``asset_id``, ``prompt``, ``answer``), and messages for answers without a JSON object.
 

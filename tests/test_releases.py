@@ -162,3 +162,22 @@ def test_drafts_number_after_the_last_revision(spark):
     made, wrong = releases.draft_corrections(candidates, earlier, answers)
     assert sorted((r.correction_id, r.corrected_answer, r.chosen_answer, r.rejected_answer) for r in made.collect()) == [("COR-a-10", "good", "good", "bad"), ("COR-b-01", "good", "", "")]
     assert messages(wrong) == [("c", "empty output")]
+
+
+def test_release_tables(spark):
+    rows = [("a", "sft", "accepted", "", "c1", "s1", "public_redacted"), ("b", "regression", "accepted", "", "c1", "s2", ""), ("c", "regression", "accepted", "", "c2", "s3", ""), ("d", "sft", "rejected", "", "c2", "s3", "public_redacted")]
+    candidates = spark.createDataFrame(rows, "asset_id string, asset_type string, asset_status string, evaluation_role string, source_case_id string, source_snapshot_id string, public_visibility string")
+    log = spark.createDataFrame([], "dataset_membership_id string, asset_id string, dataset_release_id string, split string, status string")
+    corrections = spark.createDataFrame([("a", "k1", 1, "old"), ("a", "k2", 2, "new"), ("d", "k", 1, "x")], "asset_id string, correction_id string, revision_number int, corrected_answer string")
+    events = spark.createDataFrame([("a", 2, "second"), ("a", 1, "first")], "asset_id string, seq int, event_id string")
+    assertions = spark.createDataFrame([("c", 1, "t")], "asset_id string, revision_number int, topic string")
+    made, wrong = releases.build_release(candidates, "r", log, corrections, events, events, events, events, assertions, events, {"sft": 1, "regression": 1})
+    records = {r.asset_id: r for r in made["accepted_assets"].collect()}
+    assert {k: r.split for k, r in records.items()} == {"a": "train", "b": "bug_reproduction", "c": "test"}
+    assert records["a"].correction.corrected_answer == "new" and records["a"].adjudication.event_id == "second" and [e.event_id for e in records["a"].review_events] == ["first", "second"]
+    assert records["b"].correction is None and records["c"].regression_assertion.topic == "t"
+    assert [(r.asset_id, r.corrected_answer) for r in made["public_redacted_samples"].collect()] == [("a", "new")]
+    assert made["dataset_memberships"].count() == 3 and made["contamination_audit"].first().status == "passed"
+    assert messages(wrong, "subject") == [("b", "source overlaps training data without disclosure"), ("regression", "unexpected number of assets")]
+    again, wrong = releases.build_release(candidates, "r", made["dataset_memberships"], corrections, events, events, events, events, assertions, events)
+    assert again["dataset_memberships"].count() == 3 and messages(wrong, "subject") == [("b", "source overlaps training data without disclosure")]
