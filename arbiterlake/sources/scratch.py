@@ -53,11 +53,16 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder name below this application's intermediate tables, for files that no Spark writer makes."""
+    return f"{_scratch(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
 
     The columns come back in the same order; every column becomes nullable.
     """
-    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
