@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, jaccard, langid, linededup, packing, pii, ppm, quality, sharding, topk
+from . import align, bytebpe, jaccard, langid, linededup, packing, pii, ppm, quality, sharding, topk
 from .common import id_bucket
 
 
@@ -82,6 +82,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), contents, capacity=4096, end_id=1, with_ids=False)
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        second = f.read()
+    return align.align_documents(_read(spark, sf_dir, "documents"), tokenizer_contents("byte_bpe_50k.json"), second)[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
@@ -93,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 #: CRC-32 of a text in SQL: the table from its polynomial, then one step a byte.
