@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bytebpe, jaccard, langid, linededup, packing, pii, ppm, quality, sharding, topk
+from . import align, bytebpe, jaccard, langid, linededup, packing, pii, ppm, quality, sharding, topk, vectorcodes
 from .common import id_bucket
 
 
@@ -82,6 +82,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), contents, capacity=4096, end_id=1, with_ids=False)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcodes.compress_vectors(_read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096.0)
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_vector_codes": op12_vector_codes,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
@@ -114,7 +120,30 @@ crc AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(4
 #: Words of a text, lower-cased A-Z, cut at the six ASCII spaces.
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+
+def _lloyd_sql(rounds: int) -> str:
+    """The rounds one after the other: distances to every entry, the nearest, floors of means."""
+    floor = "CASE WHEN s % n <> 0 AND s < 0 THEN s // n - 1 ELSE s // n END"
+    steps = [
+        """WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, k AS part, e[k * len(e) // 8 + 1 : (k + 1) * len(e) // 8] AS x FROM v, range(8) t(k)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM v QUALIFY idx < 16),
+c0 AS MATERIALIZED (SELECT part, idx, x AS c FROM p JOIN s USING (vec_id))"""
+    ]
+    near = "SELECT vec_id, label, part, min_by(idx, k) AS idx, min(k).d AS d FROM (SELECT vec_id, label, part, idx, {{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'i': idx}} AS k FROM p JOIN c{0} USING (part)) GROUP BY ALL"
+    near = near.replace("GROUP BY ALL", "GROUP BY vec_id, label, part")
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(r)})")
+        steps.append(f"""m{r} AS (SELECT part, idx, list({floor} ORDER BY pos) AS c FROM (SELECT part, idx, pos, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT part, idx, generate_subscripts(x, 1) AS pos, unnest(x) AS y FROM a{r} JOIN p USING (vec_id, part)) GROUP BY part, idx, pos) GROUP BY part, idx),
+c{r + 1} AS MATERIALIZED (SELECT part, idx, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (part, idx))""")
+    steps.append(f"f AS MATERIALIZED ({near.format(rounds)})")
+    steps.append("r AS (SELECT vec_id, label, string_agg(format('{:02x}', idx), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM f GROUP BY vec_id, label)")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, idx)) FROM c{rounds}) AS codebooks_sha256 FROM r"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_vector_codes": _lloyd_sql(6),
     "op4_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
