@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import forget, materialize, shared_dir
+from ..sources.scratch import forget, fresh_folder, materialize, shared_dir
 
-__all__ = ["arrow_batches", "forget", "give_back", "hold", "id_bucket", "map_arrow", "materialize", "shared_dir", "shuffle_partitions", "words_of"]
+__all__ = ["arrow_batches", "forget", "fresh_folder", "give_back", "hold", "id_bucket", "map_arrow", "materialize", "shared_dir", "shuffle_partitions", "words_of"]
 
 #: ASCII white space, the separators of every word definition used here.
 SPACES = b" \t\n\x0b\x0c\r"

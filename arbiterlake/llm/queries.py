@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bytebpe, jaccard, langid, linededup, packing, pii, ppm, quality, sharding, topk, vectorcodes
-from .common import id_bucket
+from . import align, bytebpe, jaccard, langid, linededup, packing, pii, ppm, quality, sharding, topk, vectorcodes, warc
+from .common import fresh_folder, id_bucket
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,6 +82,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), contents, capacity=4096, end_id=1, with_ids=False)
 
 
+def op11_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = _read(spark, sf_dir, "pages"), fresh_folder(spark)
+    warc.write_bundles(pages, path, min_bytes=0)
+    id_type = dict(pages.dtypes)["page_id"]
+    read = warc.read_bundles(spark, path, with_payload=False)
+    return read.select(F.col("id").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vectorcodes.compress_vectors(_read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096.0)
     return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
@@ -106,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_warc_bundles": op11_warc_bundles,
     "op12_vector_codes": op12_vector_codes,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
@@ -143,6 +152,12 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_warc_bundles": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+  row_number() OVER (PARTITION BY h ORDER BY page_id) AS k, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to FROM d
+""",
     "op12_vector_codes": _lloyd_sql(6),
     "op4_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
