@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import assets, calibration, cases, claims, dashboard, execution, judging, regression, releases, reports, retrieval, routing, traces
+from .operators import assets, calibration, cases, claims, dashboard, execution, judging, markers, regression, releases, reports, retrieval, routing, traces
 from .sources import datasets, sinks, tables
 from .sources.scratch import materialize
 
@@ -66,7 +66,9 @@ def _mock_runs(t):
 
 
 def _entailment(t):
-    return claims.entailment(claims.split_claims(t["runs"]).select("run_id", "claim_index", "claim"), t["contexts"], claims.Markers(reviewable=("",)))
+    """With the pack of markers that ``--markers`` names; without one every claim is open to review."""
+    pack = markers.load_pack(t["runs"].sparkSession, t["markers"], claims.Markers) if t.get("markers") else claims.Markers(reviewable=("",))
+    return claims.entailment(claims.split_claims(t["runs"]).select("run_id", "claim_index", "claim"), t["contexts"], pack)
 
 
 def _release(t):
@@ -234,6 +236,10 @@ COMMANDS: dict[str, tuple[tuple[str, ...], Callable]] = {
 }
 
 
+#: Files that a command may also read, by option.
+OPTIONS = {"build-claim-entailment": ("markers",)}
+
+
 def parser() -> argparse.ArgumentParser:
     made = argparse.ArgumentParser(prog="arbiterlake")
     commands = made.add_subparsers(dest="command", required=True)
@@ -241,6 +247,8 @@ def parser() -> argparse.ArgumentParser:
         one = commands.add_parser(name)
         for table in inputs:
             one.add_argument(f"--{table}", required=True)
+        for option in OPTIONS.get(name, ()):
+            one.add_argument(f"--{option}")
         one.add_argument("--output", required=True)
     return made
 
@@ -253,7 +261,7 @@ def main(argv: list[str] | None = None) -> int:
         made = run(spark, {t: getattr(args, t) for t in inputs})
     else:
         inputs, run = COMMANDS[args.command]
-        made = run({t: load(spark, getattr(args, t)) for t in inputs})
+        made = run({t: load(spark, getattr(args, t)) for t in inputs} | {o: getattr(args, o) for o in OPTIONS.get(args.command, ())})
     if isinstance(made, dict):
         for name, df in made.items():
             save(df, f"{args.output}/{name}")

@@ -39,6 +39,35 @@ def fenced_object(c: Column) -> Column:
     return F.when((inner != "") & F.try_parse_json(inner).isNotNull(), inner)
 
 
+#: A JSON string literal; a colon after it makes it a key. Possessive throughout, so no text is too long for it.
+_LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?'
+
+
+def parses(c: Column) -> Column:
+    """True if the text is JSON other than null (objects that repeat a key are not)."""
+    maybe = F.coalesce(c, F.lit("")).rlike(r'^\s*+(?:[\[{"0-9-]|true|false)')
+    return F.when(maybe, F.try_parse_json(c).isNotNull()).otherwise(False)
+
+
+def string_values(c: Column) -> Column:
+    """All string values of a JSON text, at whatever depth, in the order of the text; null if it does not parse.
+
+    Values stand in the text as they are ordered in it, so their literals are enough: no schema, no walk, no
+    worker. The literals that no colon follows are decoded together as one JSON list.
+    """
+    values = F.filter(F.regexp_extract_all(c, F.lit(_LITERAL), F.lit(0)), lambda m: ~F.endswith(m, F.lit(":")))
+    return F.when(parses(c), F.from_json(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>"))
+
+
+def canonical(c: Column) -> Column:
+    """The JSON text with keys sorted at every depth and no blanks between; a text that does not parse as it is.
+
+    Object fields of a VARIANT are held in the order of their names, so writing it sorts them. Numbers come in
+    their shortest form (1.50 as 1.5).
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
+
+
 def list_or_scalar(c: Column) -> Column:
     """Elements of a JSON list, or the text itself as the one element; empty for no text."""
     none = F.array().cast("array<string>")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import canonical
 from ..functions.text import clean, completeness_issues, filled, has_any, pii_kinds, prompt_hash, topic_hit
 
 #: Fixed states and transitions.
@@ -170,10 +171,16 @@ def reviewer_conflicts(reviews: DataFrame, fields: Sequence[str] = REVIEW_FIELDS
 
 
 def snapshot_versions(snapshots: DataFrame) -> DataFrame:
-    """Distinct contents of every asset's source, numbered by first appearance."""
-    first = snapshots.withColumn("content_hash", F.sha2(F.coalesce("content", F.lit("")), 256)).groupBy("asset_id", "content_hash").agg(F.min("seq").alias("first_seq"))
-    named = F.concat(F.lit("SNAP-"), F.left(F.col("content_hash"), F.lit(20)))
-    return first.withColumn("version_no", F.row_number().over(Window.partitionBy("asset_id").orderBy("first_seq"))).withColumn("snapshot_id", named)
+    """Distinct contents of every asset's source, numbered by first appearance.
+
+    JSON contents count as their canonical form, so neither blanks nor the order of keys make a new version.
+    """
+    first = snapshots.withColumn("content_hash", F.sha2(F.coalesce(canonical(F.col("content")), F.lit("")), 256)).groupBy("asset_id", "content_hash").agg(F.min("seq").alias("first_seq"))
+    numbered_ = first.withColumn("version_no", F.row_number().over(Window.partitionBy("asset_id").orderBy("first_seq", "content_hash")))
+    return numbered_.withColumns({
+        "snapshot_id": F.concat(F.lit("SNAP-"), F.left(F.col("content_hash"), F.lit(20))),
+        "snapshot_version_id": F.format_string("SSV-%s-%02d-%s", F.col("asset_id"), F.col("version_no"), F.left(F.col("content_hash"), F.lit(10))),
+    })
 
 
 def assign_split(assets: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import string_values
 from ..functions.text import claims_of_text, clean, content_tokens, has_any, source_ids
 from ..functions.values import rate
 
@@ -32,40 +32,10 @@ PRODUCT_ACTIONS = {
 }
 
 
-def json_strings(df: DataFrame, column: str) -> DataFrame:
-    """Replace ``column`` by its nested string values, one a line, where it is JSON; other texts stay.
-
-    JSON of unknown depth has no fixed schema, so Arrow batches go through Python.
-    """
-    import json
-
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def values(texts: pd.Series) -> pd.Series:
-        def walk(v):
-            if isinstance(v, str):
-                yield v
-            elif isinstance(v, (list, dict)):
-                for x in v.values() if isinstance(v, dict) else v:
-                    yield from walk(x)
-
-        def one(t):
-            try:
-                return "\n".join(walk(json.loads(t)))
-            except (TypeError, ValueError):
-                return t
-
-        return texts.map(one)
-
-    looks = clean(column).rlike(r"^[\[{\"]")
-    return df.withColumn(column, F.when(looks, values(F.when(looks, F.col(column)))).otherwise(F.col(column)))  # only such texts travel
-
-
 def split_claims(outputs: DataFrame, text_col: str = "output_text") -> DataFrame:
     """One row per claim with its place from 1; a JSON answer is split value by value. All columns stay as they came."""
-    outputs = json_strings(outputs.withColumn("_claimed", F.col(text_col)), "_claimed")
-    return outputs.select("*", F.posexplode(claims_of_text(F.col("_claimed"))).alias("_pos", "claim")).withColumn("claim_index", F.col("_pos") + 1).drop("_pos", "_claimed")
+    text = F.coalesce(F.array_join(string_values(F.col(text_col)), "\n"), F.col(text_col))
+    return outputs.select("*", F.posexplode(claims_of_text(text)).alias("_pos", "claim")).withColumn("claim_index", F.col("_pos") + 1).drop("_pos")
 
 
 def reviewable(claim: Column, markers: Markers) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, tokens
 from ..sources.scratch import materialize
+from .markers import marker_hits
 
 K1, B = 1.5, 0.75
 
@@ -21,52 +22,107 @@ def query_text() -> Column:
     return F.concat_ws(" ", *(clean(c) for c in ("user_question", "known_facts", "legal_concepts", "task_type")))
 
 
-def term_counts(words: Column) -> Column:
-    """(token, tf) of every distinct token of an array, from its sorted form: no row leaves its place to be counted."""
-    ordered = F.array_sort(words)
+def _impact(tf: Column, length: Column, mean_length: float) -> Column:
+    """What a token's count in a document of this length gives, before the token's weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean_length)))
 
-    def counted(own: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
-        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(own)))
-        return F.zip_with(starts, ends, lambda s, e: F.struct(F.get(own, s).alias("token"), (e - s).alias("tf")))
 
-    return F.when(F.size(words) > 0, F.flatten(F.transform(F.array(ordered), counted)))
+def written_terms(corpus: DataFrame) -> tuple[DataFrame, int, float]:
+    """The corpus as written rows (``source_id``, ``len``, ``token``, ``tf``), its number of documents and their mean length, at least 1.
 
+    Tokens are counted where their document is; what is shuffled is a narrow row a distinct token, without texts.
+    """
+    words = corpus.select("source_id", tokens(F.col("doc")).alias("_tokens"))
+    rows = words.select("source_id", F.size("_tokens").alias("len"), F.explode("_tokens").alias("token"))
+    terms = materialize(rows.groupBy("source_id", "len", "token").agg(F.count("*").cast("int").alias("tf")))
+    docs, total = corpus.count(), terms.agg(F.sum("tf")).first()[0] or 0
+    return terms, docs, max(total / max(docs, 1), 1.0)
 
-def bm25(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``query_id``, ``source_id``, ``bm25_score`` of all pairs that share a token.
 
-    ``queries`` has ``query_id`` and ``query``; ``corpus`` has ``source_id`` and ``doc``. The corpus is
-    tokenised once, into a table of counts without texts; only tokens that some query has go on, and the
-    weights of the tokens, not the corpus, are what the join spreads as long as they are few.
+def token_weights(queries: DataFrame, terms: DataFrame, docs: int, mean_length: float) -> DataFrame:
+    """``query_id``, ``token``, ``idf`` and ``bound``, the most that the token gives any document; written.
+
+    Counts and largest impacts are added up where the documents are: a task sends a row a token, not a row a document.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
-    words = corpus.select("source_id", tokens(F.col("doc")).alias("_tokens"))
-    terms = materialize(words.select("source_id", F.size("_tokens").alias("len"), term_counts(F.col("_tokens")).alias("_terms")))
-    stats = terms.agg(F.count("*").alias("docs"), F.sum("len").alias("total"))  # one row
-    counted = terms.select("source_id", "len", F.explode("_terms").alias("_t")).select("source_id", "len", "_t.token", "_t.tf").join(asked.select("token").distinct(), "token", "left_semi")
-    weight = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = counted.groupBy("token").agg(F.count("*").alias("df")).crossJoin(stats).select("token", weight.alias("idf"), F.greatest(F.col("total") / F.greatest("docs", F.lit(1)), F.lit(1.0)).alias("avgdl"))
-    weighted = materialize(asked.join(idf, "token"))
-    part = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))))
-    return weighted.join(counted, "token").groupBy("query_id", "source_id").agg(F.round(F.sum(part), 6).alias("bm25_score"))
+    known = terms.groupBy("token").agg(F.count("*").alias("df"), F.max(_impact(F.col("tf"), F.col("len"), mean_length)).alias("top"))
+    idf = F.ln(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return materialize(asked.join(known, "token").select("query_id", "token", idf.alias("idf"), (idf * F.col("top")).alias("bound")))
+
+
+def exact_scores(pairs: DataFrame, terms: DataFrame, weights: DataFrame, mean_length: float) -> DataFrame:
+    """``query_id``, ``source_id``, ``bm25_score`` of written ``pairs`` that share a token: only the documents of pairs are opened."""
+    met = pairs.join(terms, "source_id").join(weights, ["query_id", "token"])
+    return met.groupBy("query_id", "source_id").agg(F.round(F.sum(F.col("idf") * _impact(F.col("tf"), F.col("len"), mean_length)), 6).alias("bm25_score"))
+
+
+#: Share of the threshold that closed tokens may reach together: less opens more tokens, more leaves more pairs to score.
+CLOSED = 0.4
+#: Room for the rounding of scores when a bound is compared with them.
+MARGIN = 1e-5
+
+
+def closed_candidates(weights: DataFrame, terms: DataFrame, mean_length: float, top_k: int, least: float = 0.0, slack: DataFrame | None = None) -> DataFrame:
+    """Pairs (``query_id``, ``source_id``) that can be among the ``top_k`` of their query; no pair that can is missing.
+
+    A query's threshold is its k-th score among the documents in which its tokens count most (the first k by
+    impact of each token, found map-side). Its tokens stand in the order of their bounds; once all from one on
+    together stay below the threshold, a document that has none before it cannot reach the top, so such tokens
+    are closed and bring no rows, however many documents hold them. A row of an open token goes on only if its
+    own impact and the bounds of all other tokens reach the threshold, a pair only if its open tokens and the
+    bounds of the closed ones do. ``least`` is a score that must be reached anyway, ``slack`` (``query_id``,
+    ``slack``) the most that others add to a score of the query.
+    """
+    impact = _impact(F.col("tf"), F.col("len"), mean_length)
+    postings = terms.select("source_id", "token", impact.alias("impact"))
+    asked = weights.select("token").distinct()
+    best = Window.partitionBy("token").orderBy(F.desc("impact"), "source_id")
+    first = postings.join(asked, "token", "left_semi").withColumn("_no", F.row_number().over(best)).filter(F.col("_no") <= top_k)
+    seeds = materialize(weights.join(first, "token").select("query_id", "source_id").distinct())
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"))
+    kth = exact_scores(seeds, terms, weights, mean_length).withColumn("_no", F.row_number().over(by_score)).filter(F.col("_no") == top_k)
+    from_here = Window.partitionBy("query_id").orderBy(F.desc("bound"), "token").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = Window.partitionBy("query_id")
+    added = slack if slack is not None else weights.select("query_id", F.lit(0.0).alias("slack")).limit(0)
+    limits = weights.select("query_id").distinct().join(kth.select("query_id", "bm25_score"), "query_id", "left").join(added, "query_id", "left")
+    reach = F.greatest(F.coalesce("bm25_score", F.lit(0.0)), F.lit(float(least))) - F.coalesce("slack", F.lit(0.0)) - F.lit(MARGIN)
+    placed = weights.join(limits.select("query_id", reach.alias("threshold")), "query_id")
+    placed = placed.withColumn("open", F.sum("bound").over(from_here) >= CLOSED * F.col("threshold"))
+    placed = placed.withColumn("closed", F.sum(F.when(~F.col("open"), F.col("bound")).otherwise(0.0)).over(whole)).withColumn("others", F.sum("bound").over(whole) - F.col("bound"))
+    opened = materialize(placed.filter("open").select("query_id", "token", "idf", "threshold", "closed", "others"))
+    met = opened.join(postings, "token").filter(F.col("idf") * F.col("impact") + F.col("others") >= F.col("threshold"))
+    got = met.groupBy("query_id", "source_id").agg(F.sum(F.col("idf") * F.col("impact")).alias("got"), F.first("threshold").alias("threshold"), F.first("closed").alias("closed"))
+    return got.filter(F.col("got") + F.col("closed") >= F.col("threshold")).select("query_id", "source_id")
+
+
+def bm25(queries: DataFrame, corpus: DataFrame, top_k: int | None = None, least: float = 0.0, slack: DataFrame | None = None) -> DataFrame:
+    """``query_id``, ``source_id``, ``bm25_score`` of all pairs that share a token, or of those that can be among the ``top_k``.
+
+    ``queries`` has ``query_id`` and ``query``; ``corpus`` has ``source_id`` and ``doc``, each id once. The corpus is
+    tokenised once, into a table of counts without texts.
+    """
+    terms, docs, mean_length = written_terms(corpus)
+    weights = token_weights(queries, terms, docs, mean_length)
+    if top_k is None:
+        part = F.col("idf") * _impact(F.col("tf"), F.col("len"), mean_length)
+        return weights.join(terms, "token").groupBy("query_id", "source_id").agg(F.round(F.sum(part), 6).alias("bm25_score"))
+    pairs = closed_candidates(weights, terms, mean_length, top_k, least, slack)
+    return exact_scores(materialize(pairs), terms, weights, mean_length)
 
 
 def name_boosts(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """``query_id``, ``source_id``, ``tags``, ``named``: how many tags of the source stand in the query, and whether its id does.
 
-    A tag or id may stand anywhere in the query, not at word borders: the query's pieces of the lengths that tags
-    and ids have meet them in an equi join, so the work grows with the queries' length, not with queries times sources.
+    A tag or id may stand anywhere in the query, not at word borders: one automaton over all tags and ids finds
+    those of a query in one pass over it, and the terms found meet their sources in an equi join.
     """
     tags = F.filter(F.split(F.lower(clean("tags")), r"[;；,\s]+"), lambda t: t != "")
     names = corpus.select("source_id", F.explode(F.concat(
         F.transform(tags, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tag"), F.lit(0).alias("id"))),
         F.array(F.struct(F.lower(clean("source_id")).alias("term"), F.lit(0).alias("tag"), F.lit(1).alias("id"))),
     )).alias("_n")).select("source_id", "_n.*").filter("term <> ''")
-    lengths = sorted(r[0] for r in names.select(F.length("term")).distinct().collect())  # a few small numbers
-    low = F.lower(clean("query"))
-    pieces = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: low.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    found = queries.select("query_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(pieces, lengths)))).alias("term"))
+    asked = queries.select("query_id", F.lower(clean("query")).alias("low"))
+    found = marker_hits(asked, names, "query_id", "low", every=False).select("query_id", "term")
     return names.join(found, "term").groupBy("query_id", "source_id").agg(F.sum("tag").alias("tags"), F.max("id").alias("named"))
 
 
@@ -88,7 +144,12 @@ def retrieve(queries: DataFrame, corpus: DataFrame, top_k: int = 4, min_score: f
     type ``rules`` give. ``corpus`` then has ``tags`` and ``source_type``. Sources that share nothing with a query
     score zero and can only matter with the smallest ids (of each type that a rule names), so those alone are added.
     """
-    scored = bm25(queries, corpus).select("query_id", "source_id", "bm25_score", F.lit(0).cast("long").alias("tags"), F.lit(0).alias("named"))
+    named = materialize(name_boosts(queries, corpus)) if boost else None
+    most = None
+    if boost:  # no source of a query gets more than this on top of its score
+        of_names = named.groupBy("query_id").agg(F.max(0.12 * F.col("tags") + 2.0 * F.col("named")).alias("_most"))
+        most = queries.select("query_id").distinct().join(of_names, "query_id", "left").select("query_id", (F.coalesce("_most", F.lit(0.0)) + sum(b for _, _, b in rules if b > 0)).alias("slack"))
+    scored = bm25(queries, corpus, top_k, min_score, most).select("query_id", "source_id", "bm25_score", F.lit(0).cast("long").alias("tags"), F.lit(0).alias("named"))
     by_id = Window.partitionBy("_kind").orderBy("source_id")
     kinds = [t for types, _, _ in rules for t in types] if boost else []
     kind = clean("source_type") if kinds else F.lit("")
@@ -97,7 +158,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, top_k: int = 4, min_score: f
     zero = queries.select("query_id").crossJoin(fillers).select("query_id", "source_id", F.lit(0.0).alias("bm25_score"), F.lit(0).cast("long").alias("tags"), F.lit(0).alias("named"))
     every = scored.unionByName(zero)
     if boost:
-        every = every.unionByName(name_boosts(queries, corpus).select("query_id", "source_id", F.lit(0.0).alias("bm25_score"), "tags", "named"))
+        every = every.unionByName(named.select("query_id", "source_id", F.lit(0.0).alias("bm25_score"), "tags", "named"))
     pairs = every.groupBy("query_id", "source_id").agg(F.max("bm25_score").alias("bm25_score"), F.max("tags").alias("_tags"), F.max("named").alias("_named"))
     extra = F.round(0.12 * F.col("_tags") + 2.0 * F.col("_named"), 6)
     if kinds:

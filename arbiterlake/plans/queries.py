@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vs
-from ..operators import assets, calibration, cases, claims, dashboard, execution, judging, regression, releases, reports, retrieval, routing, traces
+from ..operators import assets, calibration, cases, claims, dashboard, execution, judging, markers, regression, releases, reports, retrieval, routing, traces
 from ..sources import sinks
 from . import driver_tables as dt
 
@@ -384,6 +384,30 @@ def split_claims(spark, sf_dir):
     return claims.split_claims(docs).select("run_id", "claim_index", "claim")
 
 
+@query(r"""
+WITH t AS (SELECT conv_id, string_agg(role || chr(10) || text, chr(10) ORDER BY turn) AS said FROM conversations GROUP BY 1)
+SELECT conv_id AS run_id, idx AS claim_index, regexp_replace(regexp_replace(part, '^[ \-0-9.、:：]+', ''), '[ \-0-9.、:：]+$', '') AS claim FROM
+ (SELECT conv_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS idx FROM
+  (SELECT conv_id, list_filter(regexp_split_to_array(regexp_replace(said, '^\s+|\s+$', '', 'g'), '[\n。；;!?！？]+'), lambda p: length(regexp_replace(p, '^\s+|\s+$', '', 'g')) >= 8) AS parts FROM t))
+""".replace("\\\\", "\\"))
+def nested_json_claims(spark, sf_dir):
+    """Claims of whole conversations, each one nested JSON document."""
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    nested = F.to_json(F.struct(F.lit(1).alias("version"), F.transform("turns", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("who"), F.struct(F.array(t["text"]).alias("text: said")).alias("what"))).alias("turns")))
+    return claims.split_claims(turns.select(F.col("conv_id").alias("run_id"), nested.alias("output_text"))).select("run_id", "claim_index", "claim")
+
+
+@query("""
+WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM benchmark)
+SELECT doc_id, term, (position(term IN lower(text)) - 1)::INT AS start FROM documents, v WHERE contains(lower(text), term)
+""")
+def marker_hits(spark, sf_dir):
+    """The first place of every long benchmark word in every document, inside longer words too."""
+    terms = _table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("term"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
+    return markers.marker_hits(docs, terms, "doc_id", "low", every=False)
+
+
 #: Marker packs for the driver's invented prose: frequent words of its languages.
 PACK = claims.Markers(reviewable=("the", "de", "und"), exempt=("http",), conditional=("if", "si"), limiting=("without",), asserting=("with",), denying=("not",))
 TRACE_PACK = traces.TracePack(challenge=("not", "no"), review=("review", "the"), redirect=("for",), promises=("always", "sure"), negations=("not", "never"), scoped_negations=("cannot",))
@@ -652,7 +676,8 @@ def quality_check(spark, sf_dir):
 
 
 @query("""
-SELECT CAST(conv_id AS VARCHAR) AS asset_id, h AS content_hash, first_seq, row_number() OVER (PARTITION BY conv_id ORDER BY first_seq) AS version_no, concat('SNAP-', substr(h, 1, 20)) AS snapshot_id
+SELECT CAST(conv_id AS VARCHAR) AS asset_id, h AS content_hash, first_seq, row_number() OVER (PARTITION BY conv_id ORDER BY first_seq) AS version_no, concat('SNAP-', substr(h, 1, 20)) AS snapshot_id,
+  format('SSV-{}-{:02d}-{}', conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY first_seq), substr(h, 1, 10)) AS snapshot_version_id
 FROM (SELECT conv_id, sha256(text) AS h, min(turn) AS first_seq FROM conversations GROUP BY 1, 2)
 """)
 def source_versions(spark, sf_dir):
@@ -660,6 +685,22 @@ def source_versions(spark, sf_dir):
     return assets.snapshot_versions(snaps)
 
 
+@query("""
+WITH j AS (SELECT conv_id, turn, concat('{"by":{"name":"', role, '","rank":', turn // 2, '},"text":', to_json(lower(substr(text, 1, 1)))::VARCHAR, '}') AS content FROM conversations),
+h AS (SELECT conv_id, sha256(content) AS h, min(turn) AS first_seq FROM j GROUP BY 1, 2)
+SELECT CAST(conv_id AS VARCHAR) AS asset_id, h AS content_hash, first_seq, row_number() OVER (PARTITION BY conv_id ORDER BY first_seq) AS version_no, concat('SNAP-', substr(h, 1, 20)) AS snapshot_id,
+  format('SSV-{}-{:02d}-{}', conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY first_seq), substr(h, 1, 10)) AS snapshot_version_id FROM h
+""")
+def json_source_versions(spark, sf_dir):
+    """Versions of JSON sources: blanks and the order of keys, which change from turn to turn, are no new version."""
+    letter = F.to_json(F.struct(F.lower(F.left("text", F.lit(1))).alias("text")))
+    inner = F.substr(letter, F.lit(2), F.length(letter) - 2)
+    by = F.when(F.col("turn") % 3 == 0, F.format_string('{"rank": %d, "name": "%s"}', F.floor(F.col("turn") / 2), F.col("role"))).otherwise(F.format_string('{"name":"%s","rank":%d}', F.col("role"), F.floor(F.col("turn") / 2)))
+    content = F.when(F.col("turn") % 2 == 0, F.format_string(' {%s, "by" : %s}', inner, by)).otherwise(F.format_string('{"by":%s,%s}', by, inner))
+    snaps = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("asset_id"), content.alias("content"), F.col("turn").alias("seq"))
+    return assets.snapshot_versions(snaps)
+
+
 @query(f"""
 SELECT run_id, response_policy, CASE WHEN run_id % 10 = 0 AND {_STATUS} = 'pending_review' THEN 'reviewed' ELSE {_STATUS} END AS workflow_status FROM {_ROUTED}
 """)

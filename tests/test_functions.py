@@ -117,7 +117,7 @@ def test_entailment_ladder(spark):
 
 def test_json_claims(spark):
     df = spark.createDataFrame([('{"a": ["first claim text", {"b": "second claim text"}]}',), ("plain",)], "output_text string")
-    assert [r[0] for r in claims.json_strings(df, "output_text").collect()] == ["first claim text\nsecond claim text", "plain"]
+    assert [r.claim for r in claims.split_claims(df).collect()] == ["first claim text", "second claim text"]
 
 
 def test_judge_payload(spark):
