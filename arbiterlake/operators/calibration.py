@@ -38,20 +38,49 @@ def hash_order(key: str, seed: int) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
 
 
+#: Hexadecimal digits of the hash order that place a row between 0 and 1.
+_DIGITS = 12
+
+
 def stratified(df: DataFrame, n: int, strata: tuple[str, ...], key: str = "run_id", seed: int = 42) -> DataFrame:
-    """At most ``n`` rows, an equal share of each stratum in hash order; may give fewer, as small strata do not pass on their share."""
+    """At most ``n`` rows, an equal share of each stratum in hash order; may give fewer, as small strata do not pass on their share.
+
+    The order is even over its range, so a stratum's size tells below which place its share lies, with room to
+    spare. Only rows below it are ranked; strata that come out short, as repeated keys can make them, look
+    further until they have their share or all their rows. So no stratum's rows meet in one task, however large it is.
+    """
     if n <= 0:
         return df.limit(0)
     strata = tuple(c for c in strata if c in df.columns)
     order = hash_order(key, seed)
     if strata:
-        groups = df.select(*strata).distinct().count()
-        share = max(1, math.ceil(n / max(1, groups)))
+        sizes = materialize(df.groupBy(*strata).agg(F.count("*").alias("_size")))
+        share = max(1, math.ceil(n / max(1, sizes.count())))
         best = Window.partitionBy(*strata).orderBy(order, key)
-        df = df.withColumn("_no", F.row_number().over(best)).filter(F.col("_no") <= share).drop("_no").dropDuplicates([key])
+        near = _nearest_rows(df, sizes, strata, share, order)
+        df = near.withColumn("_no", F.row_number().over(best)).filter(F.col("_no") <= share).drop("_no").dropDuplicates([key])
     return df.orderBy(order, key).limit(n)
 
 
+def _nearest_rows(df: DataFrame, sizes: DataFrame, strata: tuple[str, ...], share: int, order: Column) -> DataFrame:
+    """Rows of every stratum up to some place in the order, ``share`` of them or all at least; written."""
+    place = F.conv(F.left(order, F.lit(_DIGITS)), 16, 10).cast("double") / float(16**_DIGITS)
+    same = lambda names: [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in names]
+    room, wanted = share + 6 * math.sqrt(share) + 20, sizes.select(*(F.col(c).alias(f"_s_{c}") for c in strata), "_size")
+    found = None
+    while True:
+        near = materialize(df.join(wanted, same(strata)).filter(place < F.lit(room) / F.col("_size")))
+        counts = near.groupBy(*(f"_s_{c}" for c in strata)).agg(F.count("*").alias("_found"))
+        both = wanted.join(counts.select(*(F.col(f"_s_{c}").alias(c) for c in strata), "_found"), same(strata), "left")
+        done = F.coalesce("_found", F.lit(0)) >= F.least(F.col("_size"), F.lit(share))
+        both = materialize(both.select(*wanted.columns, done.alias("_done")))
+        marked = near.join(both.filter("_done").select(*(F.col(f"_s_{c}").alias(f"_d_{c}") for c in strata)), [F.col(f"_s_{c}").eqNullSafe(F.col(f"_d_{c}")) for c in strata], "left_semi").select(*df.columns)
+        found = marked if found is None else found.unionByName(marked)
+        wanted, room = both.filter("not _done").select(*wanted.columns), room * 16
+        if wanted.isEmpty():
+            return found
+
+
 def review_base(scores: DataFrame, routing: DataFrame, citations: DataFrame | None = None, ensemble: DataFrame | None = None) -> DataFrame:
     """Scores with policy and the three reasons for review."""
     scores = with_defaults(scores, judge_confidence="", needs_human_review=None, error_tags=None)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import error_tags, number, parse_bool, rate, tag_names
+from ..sources.scratch import materialize
 from .routing import canonical_routing, with_defaults
 
 #: Fixed texts: recommended action of each tag.
@@ -155,44 +156,72 @@ def kpis(runs: DataFrame, scores: DataFrame, routing: DataFrame) -> DataFrame:
     return a.crossJoin(b).crossJoin(c)  # one row each
 
 
+#: Fixed orders of the cards.
+CARD_POLICIES = ("block", "human_review", "clarify", "grounded_answer", "auto_answer")
+CARD_TASKS = ("consultation", "case_analysis", "document_drafting")
+_CARD = ("policy_rank", "task_category", "priority_rank", "score", "sample_id", "version", "model_alias", "run_id")
+
+
 def badcase_cards(routing: DataFrame, scores: DataFrame, limit: int = 80) -> DataFrame:
     """Diverse badcases: the first of each policy and task, then of each policy and error, then by rank.
 
-    Rows are ranked by policy, priority, score and id. The first three phases take rows whose sample, version
-    and policy are not taken yet; the errors of a policy choose in turn, the one with the best row first. The
-    fourth phase fills up with any other runs; at most ``limit`` rows are returned.
-    """
-    level = lambda c, order: F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.coalesce(c, F.lit(""))), F.lit(0))
-    joined = canonical_routing(routing).join(scores.select("run_id", number(F.col("score_rate"), 1.0).alias("score")).dropDuplicates(["run_id"]), "run_id", "left")
-    key = [level(F.col("response_policy"), ("block", "human_review", "clarify", "grounded_answer", "auto_answer")), level(F.col("priority"), ("P0", "P1", "P2")), F.coalesce("score", F.lit(1.0)), F.col("run_id")]
-    base = joined.withColumn("_key", F.struct(*(k.alias(f"k{i}") for i, k in enumerate(key)))).select("run_id", "sample_id", "version", "task_category", "response_policy", "main_error_type", "priority", "score", "_key")
-    best = lambda df, *cell: df.withColumn("_no", F.row_number().over(Window.partitionBy(*cell).orderBy("_key"))).filter("_no = 1").drop("_no")
-    same = ["sample_id", "version", "response_policy"]
-    one = best(base, "response_policy", "task_category").withColumn("phase", F.lit(1))
-    turns = base.withColumn("_turn", F.min("_key").over(Window.partitionBy("response_policy", "main_error_type")))
-    free = turns.join(one.select(*same).distinct(), same, "left_anti")
-    two = base.join(_in_turn(best(free, "main_error_type", *same), same), "run_id", "left_semi").withColumn("phase", F.lit(2))
-    taken = one.select(*same).unionByName(two.select(*same)).distinct()
-    three = best(base.join(taken, same, "left_anti"), *same).withColumn("phase", F.lit(3)).orderBy("_key").limit(limit)
-    new = one.unionByName(two).unionByName(three)
-    four = best(base.join(new.select("run_id"), "run_id", "left_anti"), "run_id").withColumn("phase", F.lit(4)).orderBy("_key").limit(limit)
-    return new.unionByName(four).orderBy("phase", "_key").limit(limit).drop("_key")
-
-
-def _in_turn(rows: DataFrame, same: list[str]) -> DataFrame:
-    """``run_id`` of the row that each error of a policy takes, errors in the order of their best rows, no ``same`` twice.
-
-    The errors before it take one key each, so an error needs no more rows than its policy has errors.
+    Rows are ranked by policy, task, priority, score, sample, version, model and id. The first three phases take
+    rows whose sample, version and policy are not taken yet; cells of the second choose in the order of their
+    first rows. The third fills up to ``limit`` by rank, the fourth with whatever runs are left. ``card_no`` is
+    the order of choice. Blank and null texts are the same; scores that are not numbers count as 1.
+
+    What is chosen from is bounded: a cell passes over no more keys than there are cells and cards, so each cell
+    keeps that many best keys (found map-side), and the choice runs over those few thousand rows alone.
     """
-    cell = Window.partitionBy("response_policy", "main_error_type")
-    kinds = rows.groupBy("response_policy").agg(F.countDistinct("_turn").alias("_kinds"))
-    rows = rows.withColumn("_no", F.row_number().over(cell.orderBy("_key"))).join(kinds, "response_policy").filter("_no <= _kinds")
-    one = F.struct("_turn", "_key", "run_id", F.struct(*same).alias("same"))
-    lists = rows.groupBy("response_policy").agg(F.array_sort(F.collect_list(one)).alias("_rows"))
-
-    def take(taken, row):
-        clash = F.exists(taken, lambda t: (t["_turn"] == row["_turn"]) | (t["same"].eqNullSafe(row["same"])))
-        return F.when(clash, taken).otherwise(F.concat(taken, F.array(row)))
-
-    picked = F.aggregate("_rows", F.filter("_rows", lambda r: F.lit(False)), take)
-    return lists.select(F.explode(picked).alias("_row")).select("_row.run_id")
+    level = lambda c, order: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.coalesce(c, F.lit(""))), F.lit(0)), F.lit(len(order) + 1)).cast("int")
+    of_scores = scores.groupBy("run_id").agg(F.min(F.coalesce(number(F.col("score_rate"), 1.0), F.lit(1.0))).alias("score"))
+    joined = with_defaults(canonical_routing(routing), model_alias="", main_error_type="", priority="", task_category="").join(of_scores, "run_id", "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    base = materialize(joined.select(
+        level(F.col("response_policy"), CARD_POLICIES).alias("policy_rank"), text("task_category"), level(F.col("priority"), ("P0", "P1", "P2")).alias("priority_rank"), F.coalesce("score", F.lit(1.0)).alias("score"),
+        "sample_id", text("version"), text("model_alias"), "run_id", text("response_policy"), text("main_error_type"), text("priority"),
+    ))
+    row = F.struct(*_CARD, "response_policy", "main_error_type", "priority").alias("row")
+    keys = ["response_policy", "sample_id", "version"]
+    cells = materialize(base.groupBy(*keys, "task_category", "main_error_type").agg(F.min(row).alias("row")))
+    n_cells = cells.select("response_policy", "main_error_type").distinct().count() + len(CARD_POLICIES) * len(CARD_TASKS)
+    depth = limit + n_cells
+    best = lambda *cell: cells.groupBy(*keys, *cell).agg(F.min("row").alias("row")).withColumn("_no", F.row_number().over(Window.partitionBy("response_policy", *cell).orderBy("row"))).filter(F.col("_no") <= depth).select("row")
+    by_task = best("task_category").filter(F.col("row.response_policy").isin(*CARD_POLICIES) & F.col("row.task_category").isin(*CARD_TASKS))
+    by_error = best("main_error_type")
+    free = cells.groupBy(*keys).agg(F.min("row").alias("row")).select("row").orderBy("row").limit(depth)
+    rest = base.select(row).orderBy("row").limit(depth)
+    found = by_task.withColumn("step", F.lit(1)).unionByName(by_error.withColumn("step", F.lit(2))).unionByName(free.withColumn("step", F.lit(3))).unionByName(rest.withColumn("step", F.lit(4)))
+    rows = sorted(((r["step"], r["row"]) for r in found.collect()), key=lambda x: tuple(x[1]))  # at most cells times depth
+    chosen = [(*(card[c] for c in ("run_id", "sample_id", "version", "task_category", "response_policy", "main_error_type", "priority", "score")), phase, no) for no, (card, phase) in enumerate(_choose(rows, limit), 1)]
+    types = dict(base.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in ("run_id", "sample_id", "version", "task_category", "response_policy", "main_error_type", "priority", "score")) + ", phase int, card_no int"
+    return base.sparkSession.createDataFrame(chosen, schema)
+
+
+def _choose(rows: list, limit: int) -> list:
+    """The cards and their phases, out of ranked (step, row)."""
+    taken: dict = {}
+    key_of = lambda r: (r["sample_id"], r["version"], r["response_policy"])
+    keys: set = set()
+
+    def take(cards, phase: int, most: int) -> None:
+        for r in cards:
+            if most <= 0:
+                return
+            if r["run_id"] not in taken and (phase == 4 or key_of(r) not in keys):
+                taken[r["run_id"]] = (r, phase)
+                keys.add(key_of(r))
+                most -= 1
+
+    cells: dict = {}
+    for step, r in rows:
+        cells.setdefault((step, r["response_policy"], r["task_category"] if step == 1 else r["main_error_type"] if step == 2 else "") if step < 3 else step, []).append(r)
+    for policy in CARD_POLICIES:
+        for task in CARD_TASKS:
+            take(cells.get((1, policy, task), ()), 1, 1)
+    for cell in [c for c in cells if c not in (3, 4) and c[0] == 2]:  # in the order of their first rows
+        take(cells[cell], 2, 1)
+    take(cells.get(3, ()), 3, limit - len(taken))
+    take(cells.get(4, ()), 4, limit - len(taken))
+    return list(taken.values())

@@ -6,8 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, fact_hit, filled, has_any
@@ -42,36 +41,38 @@ class TracePack:
     boundaries: Sequence[str] = (".", "!", "?", ";", "\n", "。", "！", "？", "；")
 
 
-def history(turns: DataFrame, key: str = "trace_id", order: str = "turn_index") -> DataFrame:
-    """Every turn with the turns before it, as an ordered array."""
-    past = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return turns.withColumn("history", F.collect_list(F.struct(F.col("role"), F.col("content"))).over(past))
+def told(turns: DataFrame, key: str = "trace_id", order: str = "turn_index") -> DataFrame:
+    """One row a trace with all its turns once, in order: ``key`` and ``told`` (place, role, content)."""
+    return turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("role"), F.col("content")))).alias("told"))
 
 
-def overclaims(text: Column, pack: TracePack) -> Column:
-    """True if some promise stands un-negated: no negation close before or within it, no disclaimer since the last boundary.
+def history(turns: DataFrame, stories: DataFrame, key: str = "trace_id", order: str = "turn_index") -> DataFrame:
+    """``turns`` with the turns before each as an ordered array, cut out of its trace's one array where it is asked for.
 
-    Every promise is looked for by itself, so one inside a longer, negated one counts too. Scopes end at
-    boundaries of variable place, so Arrow batches go through Python.
+    ``stories`` comes from ``told``; written, it is as long as the turns, and a turn is its trace and a place in
+    it. Turns of equal place do not see each other.
     """
-    import re
-
-    from pyspark.sql.functions import pandas_udf
-
-    promises = [re.compile(re.escape(p)) for p in pack.promises if p]
-    boundary = re.compile("|".join(map(re.escape, sorted(pack.boundaries, key=len, reverse=True)))) if pack.boundaries else None
+    past = F.transform(F.filter("told", lambda t: t["at"] < F.col(order)), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return turns.join(stories, key, "left").withColumn("history", F.coalesce(past, F.array().cast("array<struct<role:string,content:string>>"))).drop("told")
 
-    @pandas_udf("boolean")
-    def found(texts: pd.Series) -> pd.Series:
-        def bare(t: str, start: int, stop: int) -> bool:
-            scope = t[max(0, start - BEFORE) : start]
-            scope = boundary.split(scope)[-1] if boundary else scope
-            near = scope[-NEAR:] + t[start : stop + AFTER]
-            return not any(n in near for n in pack.negations) and not any(n in scope for n in pack.scoped_negations)
 
-        return texts.map(lambda t: any(bare(t, *hit.span()) for p in promises for hit in p.finditer(t)) if t else False).astype(bool)
+def overclaims(text: Column, pack: TracePack) -> Column:
+    """True if some promise stands un-negated: no negation close before or within it, no disclaimer since the last boundary.
 
-    return found(F.coalesce(text, F.lit("")))
+    Every promise is looked for by itself, so one inside a longer, negated one counts too. A pattern brings each
+    place of a promise with the characters before and after it; what stands before is cut at its last boundary.
+    """
+    safe, found = F.coalesce(text, F.lit("")), F.lit(False)
+    ends = "|".join(f"\\Q{b}\\E" for b in sorted(pack.boundaries, key=len, reverse=True))
+    for promise in (p for p in pack.promises if p):
+        literal = f"\\Q{promise}\\E"  # first, so that only its places look back
+        place = f"(?s){literal}(?<=(^.{{0,{BEFORE - 1}}}|.{{{BEFORE}}}){literal})(?=(.{{0,{AFTER}}}))"
+        before, after = (F.regexp_extract_all(safe, F.lit(place), F.lit(i)) for i in (1, 2))
+        scope = F.transform(before, lambda b: F.regexp_replace(b, f"(?s)^.*(?:{ends})", "")) if ends else before
+        words = F.lit(promise)
+        bare = F.zip_with(scope, after, lambda s, a: ~has_any(F.concat(F.right(s, F.lit(NEAR)), words, a), pack.negations) & ~has_any(s, pack.scoped_negations))
+        found = found | F.exists(bare, lambda x: x)
+    return found
 
 
 def trace_texts(turns: DataFrame, key: str = "trace_id", order: str = "turn_index", text: str = "agent_message") -> DataFrame:
@@ -137,17 +138,17 @@ def run_traces(cases: DataFrame, models: DataFrame, call: Callable[[DataFrame],
     plan = materialize(plan.select(
         "case_id", "model_alias", F.format_string("TRACE-%s-%s", "case_id", "model_alias").alias("trace_id"), "_pos", F.coalesce(F.col("_turn.turn").cast("int"), F.col("_pos") + 1).alias("turn_index"), clean("_turn.user_message").alias("user_message")
     ))
-    said = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
-    past, rounds = None, []
+    rounds = []
     for i in range((plan.agg(F.max("_pos")).first()[0] if not plan.isEmpty() else -1) + 1):
         rows = plan.filter(F.col("_pos") == i)
-        rows = rows.withColumn("_past", F.array().cast("array<struct<role:string,content:string>>")) if past is None else rows.join(past, "trace_id")
-        asked = materialize(call(rows.withColumn("prompt", turn_prompt(template, F.col("_past"), F.col("user_message")))).withColumn("agent_message", F.when(F.col("error") != "", "").otherwise(F.coalesce("answer", F.lit("")))))
-        past = asked.select("trace_id", F.concat("_past", F.array(said("user", "user_message"), said("assistant", "agent_message"))).alias("_past"))
-        rounds.append(asked.drop("_past", "_pos", "prompt", "answer"))
+        said = [r.select("trace_id", (2 * F.col("_pos") + n).alias("_at"), F.lit(role).alias("role"), F.col(c).alias("content")) for r in rounds for n, (role, c) in enumerate((("user", "user_message"), ("assistant", "agent_message")))]
+        past = history(rows.withColumn("_at", 2 * F.col("_pos")), told(reduce(DataFrame.unionByName, said), order="_at"), order="_at") if said else rows.withColumn("history", F.lit(None).cast("array<struct<role:string,content:string>>"))
+        answered = call(past.withColumn("prompt", turn_prompt(template, F.col("history"), F.col("user_message"))))
+        answered = answered.withColumn("agent_message", F.when(F.col("error") != "", "").otherwise(F.coalesce("answer", F.lit(""))))
+        rounds.append(materialize(answered.drop("history", "prompt", "answer", "_at")))  # a turn's own texts, not those before it
     if not rounds:
         return turn_status(plan.drop("_pos").withColumns({"error": F.lit(""), "agent_message": F.lit("")}))
-    return turn_status(reduce(DataFrame.unionByName, rounds))
+    return turn_status(reduce(DataFrame.unionByName, (r.drop("_pos") for r in rounds)))
 
 
 def turn_status(turns: DataFrame) -> DataFrame:

@@ -319,7 +319,26 @@ def dashboard_kpis(spark, sf_dir):
     return dashboard.kpis(_runs(spark, sf_dir), _rel(spark, sf_dir, dt.SCORES), _routed(spark, sf_dir))
 
 
-@query()
+_CARDS = f"""
+WITH RECURSIVE j AS (SELECT r.*, {_PRIORITY} AS priority, coalesce(list_position(['block', 'human_review', 'clarify', 'grounded_answer', 'auto_answer'], response_policy), 6) AS pr FROM {_ROUTED} r),
+b AS MATERIALIZED (SELECT *, concat(sample_id, '|', version, '|', response_policy) AS k, row_number() OVER (ORDER BY pr, task_category, priority, score_rate, sample_id, version, model_alias, run_id) AS n FROM j),
+cells AS MATERIALIZED (SELECT row_number() OVER (ORDER BY kind, o) AS no, * FROM (
+  SELECT 1 AS kind, (pr - 1) * 3 + list_position(['consultation', 'case_analysis', 'document_drafting'], task_category) AS o, concat(response_policy, '/', task_category) AS cell FROM b GROUP BY ALL
+  UNION ALL SELECT 2, min(n), concat(response_policy, '/', main_error_type) FROM b GROUP BY 3)),
+m AS MATERIALIZED (SELECT c.no, c.kind, b.k, min(b.n) AS n FROM cells c JOIN b ON c.cell = CASE c.kind WHEN 1 THEN concat(response_policy, '/', task_category) ELSE concat(response_policy, '/', main_error_type) END GROUP BY 1, 2, 3),
+g AS (SELECT 0::BIGINT AS step, CAST([] AS VARCHAR[]) AS ks, CAST([] AS BIGINT[]) AS ns, CAST([] AS INT[]) AS ps
+  UNION ALL SELECT g.step + 1, CASE WHEN min(m.n) IS NULL THEN g.ks ELSE list_append(g.ks, min_by(m.k, m.n)) END, CASE WHEN min(m.n) IS NULL THEN g.ns ELSE list_append(g.ns, min(m.n)) END,
+    CASE WHEN min(m.n) IS NULL THEN g.ps ELSE list_append(g.ps, any_value(c.kind)) END
+  FROM g JOIN cells c ON c.no = g.step + 1 LEFT JOIN m ON m.no = c.no AND NOT list_contains(g.ks, m.k) GROUP BY g.step, g.ks, g.ns, g.ps),
+e AS MATERIALIZED (SELECT * FROM g ORDER BY step DESC LIMIT 1),
+p12 AS (SELECT unnest(ns) AS n, unnest(ps) AS phase, generate_subscripts(ns, 1) AS card_no FROM e),
+p3 AS (SELECT n, 3 AS phase, row_number() OVER (ORDER BY n) + (SELECT count(*) FROM p12) AS card_no FROM (SELECT k, min(n) AS n FROM b WHERE NOT list_contains((SELECT ks FROM e), k) GROUP BY k) QUALIFY card_no <= 80),
+p4 AS (SELECT n, 4 AS phase, row_number() OVER (ORDER BY n) + (SELECT count(*) FROM p12) + (SELECT count(*) FROM p3) AS card_no FROM b WHERE n NOT IN (SELECT n FROM p12) AND n NOT IN (SELECT n FROM p3) QUALIFY card_no <= 80)
+SELECT run_id, sample_id, version, task_category, response_policy, main_error_type, priority, score_rate AS score, phase, card_no::INT AS card_no FROM b JOIN (SELECT * FROM p12 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) USING (n)
+"""
+
+
+@query(_CARDS)
 def badcase_cards(spark, sf_dir):
     return dashboard.badcase_cards(_routed(spark, sf_dir), _rel(spark, sf_dir, dt.SCORES))
 
@@ -410,7 +429,7 @@ def marker_hits(spark, sf_dir):
 
 #: Marker packs for the driver's invented prose: frequent words of its languages.
 PACK = claims.Markers(reviewable=("the", "de", "und"), exempt=("http",), conditional=("if", "si"), limiting=("without",), asserting=("with",), denying=("not",))
-TRACE_PACK = traces.TracePack(challenge=("not", "no"), review=("review", "the"), redirect=("for",), promises=("always", "sure"), negations=("not", "never"), scoped_negations=("cannot",))
+TRACE_PACK = traces.TracePack(challenge=("not", "no"), review=("review", "the"), redirect=("for",), promises=("always", "ver ", "ie"), negations=("not", "en"), scoped_negations=("th",))
 
 
 _CLAIMED = r"""(SELECT doc_id AS run_id, idx AS claim_index, regexp_replace(regexp_replace(part, '^[ \-0-9.、:：]+', ''), '[ \-0-9.、:：]+$', '') AS claim FROM
@@ -578,10 +597,21 @@ WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING
 """)
 def turn_history(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("turn_index"), "role", F.col("text").alias("content"))
-    return traces.history(turns).select("trace_id", "turn_index", F.size("history").cast("long").alias("n_before"), F.array_join(F.transform("history", lambda h: h["role"]), ",").alias("roles_before"))
+    return traces.history(turns, traces.told(turns)).select("trace_id", "turn_index", F.size("history").cast("long").alias("n_before"), F.array_join(F.transform("history", lambda h: h["role"]), ",").alias("roles_before"))
+
 
+_BARE = lambda p: f"""len(list_filter(list_transform(range(1, len(string_split(t, '{p}'))), lambda i: {{'b': regexp_replace(right(array_to_string(string_split(t, '{p}')[1:i], '{p}'), 48), '(?s)^.*[.!?;\\n。！？；]', ''),
+  'a': substr(t, length(array_to_string(string_split(t, '{p}')[1:i], '{p}')) + {len(p) + 1}, 4)}}), lambda x: NOT {_ANY(f"(right(x.b, 12) || '{p}' || x.a)", TRACE_PACK.negations)} AND NOT {_ANY('x.b', TRACE_PACK.scoped_negations)})) > 0"""
 
-@query()
+
+@query(f"""
+WITH m AS (SELECT conv_id AS trace_id, string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) ORDER BY turn) AS t FROM conversations WHERE role = 'assistant' GROUP BY 1),
+f AS (SELECT *, (CASE WHEN contains(t, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'und') THEN 1 ELSE 0 END)::INT AS hits, trace_id % 2 <> 0 OR {_ANY('t', TRACE_PACK.challenge)} AS challenged, {_ANY('t', TRACE_PACK.review)} AS recommended,
+  {' OR '.join(_BARE(p) for p in TRACE_PACK.promises)} AS over FROM m)
+SELECT trace_id, hits AS material_fact_hit_count, hits / 2 AS material_fact_coverage, challenged AS bad_premise_challenged, recommended AS human_review_recommended, over AS lexical_overclaim_flag,
+  CASE WHEN over OR NOT challenged THEN 'blocked' WHEN trace_id % 3 = 0 OR recommended THEN 'human_review_required' ELSE 'candidate_limited_release' END AS trace_review_recommendation,
+  hits >= 2 AND NOT over AND challenged AND (trace_id % 3 <> 0 OR recommended) AS deterministic_trace_triage_flag FROM f
+""")
 def trace_evaluation(spark, sf_dir):
     talks = _table(spark, sf_dir, "conversations")
     agent = talks.filter("role = 'assistant'").select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("turn_index"), F.col("text").alias("agent_message"))
