@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import assets, calibration, cases, claims, dashboard, execution, judging, markers, regression, releases, reports, retrieval, routing, traces
-from .sources import datasets, sinks, tables
+from .sources import datasets, sinks, tables, workbook
 from .sources.scratch import materialize
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
+    """A table by path; ``book.xlsx#Sheet`` is a sheet of a workbook."""
+    if ".xlsx#" in path.lower():
+        return workbook.read_sheet(spark, *path.rsplit("#", 1))
     if path.endswith(".csv"):
         return tables.read_csv(spark, path)
     if path.endswith((".jsonl", ".json")):
@@ -262,7 +265,9 @@ def main(argv: list[str] | None = None) -> int:
     else:
         inputs, run = COMMANDS[args.command]
         made = run({t: load(spark, getattr(args, t)) for t in inputs} | {o: getattr(args, o) for o in OPTIONS.get(args.command, ())})
-    if isinstance(made, dict):
+    if isinstance(made, dict) and args.output.lower().endswith(".xlsx"):
+        sinks.write_dashboard(made, args.output)
+    elif isinstance(made, dict):
         for name, df in made.items():
             save(df, f"{args.output}/{name}")
     else:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import values as vs
 from ..operators import assets, calibration, cases, claims, dashboard, execution, judging, markers, regression, releases, reports, retrieval, routing, traces
-from ..sources import sinks
+from ..sources import sinks, workbook
+from ..sources.scratch import fresh_folder
 from . import driver_tables as dt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,6 +272,22 @@ def cost_latency(spark, sf_dir):
     return made.join(runs.groupBy(*keys).agg(F.sum("latency_ms").alias("total_latency_ms")), keys)
 
 
+@query(f"""
+SELECT task_category, model_alias, version, workflow_condition, workflow_name, count(*) AS runs, round(CAST(sum(estimated_cost::DECIMAL(18,6)) AS DOUBLE), 6) AS total_estimated_cost FROM {RUNS} GROUP BY ALL
+""")
+def dashboard_workbook(spark, sf_dir):
+    """The dashboard's summaries written as one workbook, and a sheet of it read back."""
+    runs, scores, routed = _runs(spark, sf_dir), _rel(spark, sf_dir, dt.SCORES), _routed(spark, sf_dir)
+    keys = ["task_category", "model_alias", "version", "workflow_condition", "workflow_name"]
+    sheets = {
+        "Dataset_Coverage": dashboard.coverage(runs), "Task_Category_Summary": dashboard.task_summary(scores, routed), "Version_Summary": dashboard.version_summary(scores),
+        "Cost_Latency": dashboard.cost_latency(runs).select(*keys, "runs", "total_estimated_cost"), "Data_Routing_Summary": dashboard.route_summary(routed), "Response_Policy": dashboard.policy_summary(routed),
+    }
+    path = f"{fresh_folder(spark)}.xlsx"
+    workbook.write_workbook(sheets, path)
+    return workbook.read_sheet(spark, path, "Cost_Latency").withColumn("total_estimated_cost", F.round(F.col("total_estimated_cost").cast("double"), 6))
+
+
 @query(f"""
 WITH b AS (SELECT s.task_category, u.workflow_condition, u.workflow_name, s.risk_level, r.response_policy FROM {SCORES} s JOIN (SELECT run_id, response_policy FROM {_ROUTED}) r USING (run_id) JOIN {RUNS} u USING (run_id)),
 g AS (SELECT task_category, workflow_condition, workflow_name, count(*) AS runs, {_rate("count_if(risk_level = 'high')", 'count(*)')} AS high_risk_rate,

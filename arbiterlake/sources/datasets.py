@@ -1,6 +1,6 @@
 """Evaluation datasets: folders of sheets, manifests, configuration, templates, public packages and evidence files.
 
-A workbook is a folder with one CSV table per sheet. Manifests and configuration are JSON, or YAML where the library is installed.
+A workbook is an .xlsx file or a folder with one CSV table per sheet. Manifests and configuration are JSON, or YAML where the library is installed.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import clean, filled
 from ..operators.cases import keyword_case
-from . import tables
+from . import tables, workbook
 
 #: Fixed columns of the dataset's tables.
 VISIBLE = ("sample_id", "source_dataset", "task_category", "user_question", "known_facts", "legal_concepts", "jurisdiction", "law_snapshot_date", "task_type", "legal_advice_boundary")
@@ -75,18 +75,25 @@ def read_templates(spark: SparkSession, folder: str, suffix: str = ".md") -> dic
 
 
 def read_sheet(spark: SparkSession, folder: str, sheet: str) -> DataFrame:
-    """A sheet without empty columns and rows, with trimmed text."""
+    """A sheet without empty columns and rows, with trimmed text; ``folder`` may be a workbook."""
+    if _is_workbook(folder):
+        return _trimmed(workbook.read_sheet(spark, folder, sheet))
     return _trimmed(tables.drop_empty(tables.read_csv(spark, f"{folder}/{sheet}.csv", fill=False)))
 
 
+def _is_workbook(folder: str) -> bool:
+    return folder.lower().endswith(".xlsx")
+
+
 def _trimmed(df: DataFrame) -> DataFrame:
     return df.select(*(clean(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`") for f in df.schema.fields))
 
 
 def sheet_kind(spark: SparkSession, folder: str) -> str:
     """*normal* if the folder holds the evaluation, gold and rubric sheets, else *old* if it holds the task sheets; others raise."""
+    held = workbook.sheet_names(spark, folder) if _is_workbook(folder) else None
     for kind, names in (("normal", NORMAL_SHEETS), ("old", OLD_SHEETS)):
-        if all(tables.exists(spark, f"{folder}/{n}.csv") for n in names):
+        if all(n in held if held is not None else tables.exists(spark, f"{folder}/{n}.csv") for n in names):
             return kind
     raise FileNotFoundError(f"neither {NORMAL_SHEETS} nor {OLD_SHEETS} in {folder}")
 
@@ -145,7 +152,9 @@ def build_dataset(spark: SparkSession, folder: str, source: str, extended: Mappi
     if sheet_kind(spark, folder) == "normal":
         made = from_normal_sheets(*map(sheet, NORMAL_SHEETS), source, **defaults)
     else:
-        routing = sheet("Error_Tags_Data_Routing") if tables.exists(spark, f"{folder}/Error_Tags_Data_Routing.csv") else None
+        name = "Error_Tags_Data_Routing"
+        held = name in workbook.sheet_names(spark, folder) if _is_workbook(folder) else tables.exists(spark, f"{folder}/{name}.csv")
+        routing = sheet(name) if held else None
         made = from_old_sheets(*map(sheet, OLD_SHEETS), routing, source, **defaults)
     return {name: df.unionByName(extended[name]) if extended and name in extended else df for name, df in made.items()}
 

@@ -25,7 +25,14 @@ def write_csv(df: DataFrame, path: str, single: bool = False, mark: bool = True)
 
 
 def write_dashboard(sheets: dict[str, DataFrame], folder: str, wide: Sequence[str] = ("score_delta", "runs", "scores", "routing")) -> None:
-    """One table per sheet; summaries as one file, the ``wide`` ones, which grow with the runs, as many."""
+    """One table per sheet; summaries as one file, the ``wide`` ones, which grow with the runs, as many.
+
+    A ``folder`` that ends in .xlsx is a workbook: it holds the summaries alone.
+    """
+    if folder.lower().endswith(".xlsx"):
+        from .workbook import write_workbook
+
+        return write_workbook({name: df for name, df in sheets.items() if name not in wide}, folder)
     for name, df in sheets.items():
         write_csv(df, f"{folder}/{name}", single=name not in wide)
 
