@@ -223,21 +223,47 @@ def redact_pii(df: DataFrame, text_col: str = "text", threshold: float = 0.5) ->
     plain = df.select(*(F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(df.columns)))
     text = f"_in_{df.columns.index(text_col)}"
     found = plain.withColumn("spans", candidates(text)).withColumn("spans", _kept(weights, threshold))
-    tags = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    redacted = F.when(F.size("spans") == 0, F.col(text)).otherwise(_replaced(F.col(text), F.col("spans")))
+    return found.select(*(redacted.alias(c) if f"_in_{i}" == text else F.col(f"_in_{i}").alias(c) for i, c in enumerate(df.columns)))
 
-    def step(acc: Column, c: Column) -> Column:
-        more = F.struct(
-            c["stop"].alias("at"), F.concat(acc["out"], F.col(text).substr(acc["at"] + 1, c["start"] - acc["at"]), F.get(tags, c["kind"])).alias("out")
-        )
-        longer = F.struct(F.greatest(acc["at"], c["stop"]).alias("at"), acc["out"].alias("out"))
-        return F.when(c["start"] < acc["at"], longer).otherwise(more)
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.col(text).substr(acc["at"] + 1, F.length(text)))
+#: Characters of the blocks that a text is cut into, so that a piece is taken from where it stands and not from the start.
+BLOCK = 1000
 
-    redacted = F.when(F.size("spans") == 0, F.col(text)).otherwise(F.aggregate("spans", start, step, finish))
-    return found.select(*(redacted.alias(c) if f"_in_{i}" == text else F.col(f"_in_{i}").alias(c) for i, c in enumerate(df.columns)))
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of ``value``, which is made once however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with the spans, sorted by start, replaced; those that overlap together, by the kind of the first one.
+
+    A span starts anew if as many stops as there are spans before it lie at or before its start, which the
+    sorted stops tell at once; the stop before the next start is the end of what is replaced. So the work is
+    that of sorting the spans and of passing over the text once.
+    """
+    tags = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    cut = F.struct(
+        F.transform(spans, lambda c: c["start"]).alias("starts"), F.sort_array(F.transform(spans, lambda c: c["stop"])).alias("stops"), F.transform(spans, lambda c: c["kind"]).alias("kinds"),
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), F.length(text).alias("end"),
+    )
+
+    def piece(v: Column, start: Column, stop: Column) -> Column:
+        block = lambda at: F.floor(at / BLOCK).cast("int")
+        within = lambda at: (at % BLOCK).cast("int")
+        first, last = F.coalesce(F.get(v["blocks"], block(start)), F.lit("")), F.coalesce(F.get(v["blocks"], block(stop)), F.lit(""))
+        whole = F.array_join(F.slice(v["blocks"], block(start) + 2, F.greatest(block(stop) - block(start) - 1, F.lit(0))), "")
+        apart = F.concat(first.substr(within(start) + 1, F.lit(BLOCK)), whole, last.substr(F.lit(1), within(stop)))
+        return F.when(block(start) == block(stop), first.substr(within(start) + 1, stop - start)).otherwise(apart)
+
+    def joined(v: Column) -> Column:
+        fresh = F.filter(F.sequence(F.lit(0), F.size(v["starts"]) - 1), lambda i: (i == 0) | (F.get(v["stops"], i - 1) <= F.get(v["starts"], i)))
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(v["stops"], i - 1))
+        parts = F.transform(fresh, lambda i: F.concat(piece(v, before(i), F.get(v["starts"], i)), F.get(tags, F.get(v["kinds"], i))))
+        return F.concat(F.array_join(parts, ""), piece(v, F.array_max(v["stops"]), v["end"]))
+
+    return _bound(cut, joined)
 
 
 def listed(spans: Column) -> Column:
