@@ -183,6 +183,18 @@ def snapshot_versions(snapshots: DataFrame) -> DataFrame:
     })
 
 
+def drafts_stored(corrections: DataFrame, transitions: DataFrame) -> DataFrame:
+    """``asset_id`` and ``stored`` of every asset in either table: is its last correction at least as new as the last start of its drafting?
+
+    ``corrections``: ``asset_id``, ``revision_number``, ``created_at``; ``transitions``: ``asset_id``, ``seq``,
+    ``to_status``, ``created_at``. Times are ISO texts and compare as texts. False without a correction or a start.
+    """
+    last = corrections.groupBy("asset_id").agg(F.max_by("created_at", F.struct("revision_number", "created_at")).alias("_made"))
+    started = transitions.filter("to_status = 'correction_drafting'").groupBy("asset_id").agg(F.max_by("created_at", "seq").alias("_started"))
+    every = corrections.select("asset_id").union(transitions.select("asset_id")).distinct()
+    return every.join(last, "asset_id", "left").join(started, "asset_id", "left").select("asset_id", F.coalesce(F.col("_made") >= F.col("_started"), F.lit(False)).alias("stored"))
+
+
 def assign_split(assets: DataFrame) -> DataFrame:
     """Split of every released asset: train, or for regression assets test, or bug_reproduction if they share a fingerprint with one that trains."""
     fields = [f for f in FINGERPRINTS if f in assets.columns]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean
 from ..functions.values import hash_modulo
 from ..sources.scratch import materialize
+from ..sources.tables import exists
 
 #: Fixed shape of a call's result.
 CALL = "answer string, error string, input_tokens long, output_tokens long"
@@ -100,18 +101,73 @@ def call_model(prompts: DataFrame, client: Callable[[], Callable[[str], tuple[st
     return prompts.mapInPandas(run, schema)
 
 
-def execute_plan(plan: DataFrame, samples: DataFrame, call: Callable[[DataFrame], DataFrame], template: str, contexts: DataFrame | None = None, base: str = "V0", builds_on: str = "V2") -> DataFrame:
-    """Answers of a run plan in two passes: the base version first, whose answer the later version sees as ``base_answer``."""
+def in_levels(versions: DataFrame, needs: DataFrame) -> list[DataFrame]:
+    """``versions`` (``version``) in levels: none needs one of its own level or of a later one. A circle raises.
+
+    ``needs`` has ``version`` and ``needs``; what is not among the versions is not waited for. A level is what no
+    open version is needed by, found by anti-join; there are as many as the longest chain.
+    """
+    left, levels = materialize(versions.select("version").distinct()), []
+    while not left.isEmpty():
+        waits = needs.join(left.select(F.col("version").alias("needs")), "needs").select("version").distinct()
+        ready = materialize(left.join(waits, "version", "left_anti"))
+        if ready.isEmpty():
+            raise ValueError(f"versions need each other in a circle: {sorted(r[0] for r in left.limit(20).collect())}")
+        levels.append(ready)
+        left = materialize(left.join(ready, "version", "left_anti"))
+    return levels
+
+
+def execute_graph(
+    plan: DataFrame, samples: DataFrame, call: Callable[[DataFrame], DataFrame], template: str, needs: DataFrame, contexts: DataFrame | None = None, retrieval_versions: Sequence[str] | None = None, log: str | None = None
+) -> DataFrame:
+    """Answers of a run plan whose versions see the answers of the versions they need as ``base_answer``.
+
+    ``needs`` (``version``, ``needs``) is a graph without circles; several answers stand in the order of their
+    versions, a blank line between them, and one that failed or that the plan lacks counts as empty. Versions go
+    level by level, each level written before the next reads it, so no prompt is sent twice. ``contexts`` has
+    ``rank``, ``source_id`` and ``text`` by ``run_id`` or by ``sample_id``; with ``retrieval_versions`` only runs of
+    those see any. ``log`` is a folder to which each level's answers are appended: a plan that was cut off goes
+    on there, and runs that it holds without an error are not asked again.
+    """
     rows = plan.join(samples, "sample_id")
-    rows = rows.join(context_block(contexts), "run_id", "left") if contexts is not None else rows.withColumn("context", F.lit(""))
-
-    def answered(df: DataFrame) -> DataFrame:
-        return call(df.withColumn("prompt", render(template, df.columns)))
-
-    # written before two branches read it: every base prompt is sent once, and later versions see the recorded answer
-    first = materialize(answered(rows.filter(F.col("version") == base).withColumn("base_answer", F.lit(""))))
-    known = first.select("sample_id", "model_alias", F.col("answer").alias("_base"))
-    rest = rows.filter(F.col("version") != base).join(known, ["sample_id", "model_alias"], "left")
-    rest = rest.withColumn("base_answer", F.when(F.col("version") == builds_on, F.coalesce("_base", F.lit(""))).otherwise("")).drop("_base")
-    done = first.unionByName(answered(rest))
-    return done.withColumns({"run_status": F.when(F.col("error") != "", "failed").otherwise("ok"), "output_text": F.col("answer"), "error_message": F.col("error")}).drop("answer", "error", "prompt")
+    if contexts is not None:
+        at = plan if retrieval_versions is None else plan.filter(F.col("version").isin(*retrieval_versions))
+        key = "run_id" if "run_id" in contexts.columns else "sample_id"
+        of_runs = contexts.join(at.select("run_id", "sample_id").select(*dict.fromkeys(("run_id", key))), key)
+        rows = rows.join(context_block(of_runs.drop("sample_id") if key == "sample_id" else of_runs), "run_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    else:
+        rows = rows.withColumn("context", F.lit(""))
+    keys, spark = ("sample_id", "model_alias", "version"), plan.sparkSession
+    known = None  # answers so far
+    recorded = spark.read.parquet(log).filter("error = ''").dropDuplicates(["run_id"]) if log and exists(spark, log) else None
+    done = None
+    for level in in_levels(plan, needs):
+        now = rows.join(level, "version", "left_semi")
+        if known is None:
+            now = now.withColumn("base_answer", F.lit(""))
+        else:
+            asked = now.select("run_id", "sample_id", "model_alias", "version").join(needs, "version")
+            base = asked.join(known.select("sample_id", "model_alias", F.col("version").alias("needs"), "answer"), ["sample_id", "model_alias", "needs"])
+            base = base.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("needs", F.coalesce("answer", F.lit("")).alias("answer")))), lambda x: x["answer"]), "\n\n").alias("base_answer"))
+            now = now.join(base, "run_id", "left").withColumn("base_answer", F.coalesce("base_answer", F.lit("")))
+        fresh = now if recorded is None else now.join(recorded.select("run_id"), "run_id", "left_anti")
+        made = call(fresh.withColumn("prompt", render(template, fresh.columns))).drop("prompt")
+        if log:
+            made.write.mode("append").parquet(log)
+            written = spark.read.schema(made.schema).parquet(log).filter("error = ''").dropDuplicates(["run_id"])
+            failed = spark.read.schema(made.schema).parquet(log).filter("error <> ''").dropDuplicates(["run_id"]).join(written.select("run_id"), "run_id", "left_anti")
+            part = materialize(written.unionByName(failed).join(level, "version", "left_semi").join(plan.select("run_id"), "run_id", "left_semi"))
+        else:
+            part = materialize(made)
+        known = part.select(*keys, "answer") if known is None else known.unionByName(part.select(*keys, "answer"))
+        done = part if done is None else done.unionByName(part)
+    if done is None:
+        done = call(rows.withColumns({"base_answer": F.lit(""), "prompt": F.lit("")}).limit(0)).drop("prompt")
+    return done.withColumns({"run_status": F.when(F.col("error") != "", "failed").otherwise("ok"), "output_text": F.col("answer"), "error_message": F.col("error")}).drop("answer", "error")
+
+
+def execute_plan(plan: DataFrame, samples: DataFrame, call: Callable[[DataFrame], DataFrame], template: str, contexts: DataFrame | None = None, base: str = "V0", builds_on: str = "V2") -> DataFrame:
+    """Answers of a run plan in which one later version sees the answer of the base version."""
+    needs = plan.sparkSession.createDataFrame([(builds_on, base)], "version string, needs string")
+    return execute_graph(plan, samples, call, template, needs, contexts)

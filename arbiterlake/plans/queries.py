@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import values as vs
 from ..operators import assets, calibration, cases, claims, dashboard, execution, judging, markers, regression, releases, reports, retrieval, routing, traces
-from ..sources import sinks, workbook
+from ..sources import sinks, snapshots, workbook
 from ..sources.scratch import fresh_folder
 from . import driver_tables as dt
 
@@ -830,15 +830,49 @@ def context_blocks(spark, sf_dir):
 
 
 @query(f"""
-WITH p AS ({{PLAN}}), s AS (SELECT p.run_id, p.sample_id, p.model_alias, p.version, trim(n_name) AS q, ['a', 'b', 'c', 'd'][('0x' || right(sha256(p.run_id), 1))::INT % 4 + 1] AS style FROM p JOIN nation ON n_nationkey = p.sample_id),
-b AS (SELECT sample_id, model_alias, concat(style, ' ', substr(concat(q, chr(10)), 1, 40)) AS base FROM s WHERE version = 'V0')
-SELECT run_id, version, 'ok' AS run_status, concat(style, ' ', substr(concat(q, chr(10), CASE WHEN version = 'V2' THEN regexp_replace(coalesce(base, ''), '\\s+$', '') ELSE '' END), 1, 40)) AS output_text FROM s LEFT JOIN b USING (sample_id, model_alias)
+WITH p AS ({{PLAN}}), s AS (SELECT p.run_id, p.sample_id, p.model_alias, p.version, trim(n_name) AS q, CASE WHEN version IN ('V1', 'V3') THEN concat('[', r_name, '] ', n_name) ELSE '' END AS c,
+  concat(['a', 'b', 'c', 'd'][('0x' || right(sha256(p.run_id), 1))::INT % 4 + 1], ' ') AS style FROM p JOIN nation ON n_nationkey = p.sample_id JOIN region ON n_regionkey = r_regionkey),
+l0 AS (SELECT *, concat(style, substr(concat('|', c, '|', q), 1, 40)) AS a FROM s WHERE version IN ('V0', 'V1')),
+l1 AS (SELECT s.*, concat(s.style, substr(concat(regexp_replace(concat(z.a, chr(10), chr(10), o.a), '\\s+$', ''), '|', s.c, '|', s.q), 1, 40)) AS a FROM s JOIN l0 z USING (sample_id, model_alias) JOIN l0 o USING (sample_id, model_alias) WHERE s.version = 'V2' AND z.version = 'V0' AND o.version = 'V1'),
+l2 AS (SELECT s.*, concat(s.style, substr(concat(regexp_replace(coalesce(l1.a, ''), '\\s+$', ''), '|', s.c, '|', s.q), 1, 40)) AS a FROM s LEFT JOIN l1 USING (sample_id, model_alias) WHERE s.version = 'V3')
+SELECT run_id, version, 'ok' AS run_status, a AS output_text FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)
 """.replace("{PLAN}", ORACLE_SQL["run_plan"]))
 def mock_runs(spark, sf_dir):
+    """Three levels of versions: V2 sees V0 and V1, V3 sees V2; V1 and V3 see what was retrieved."""
     plan = run_plan(spark, sf_dir)
-    samples = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sample_id"), F.col("n_name").alias("user_question"))
+    nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    samples = nation.select(F.col("n_nationkey").alias("sample_id"), F.col("n_name").alias("user_question"))
+    found = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("sample_id"), F.lit(1).alias("rank"), F.col("r_name").alias("source_id"), F.col("n_name").alias("text"))
     call = lambda df: df.withColumns({"answer": execution.mock_answer(F.col("run_id"), F.col("prompt"), ("a", "b", "c", "d")), "error": F.lit("")})
-    return execution.execute_plan(plan, samples, call, "{user_question}\n{base_answer}").select("run_id", "version", "run_status", "output_text")
+    needs = spark.createDataFrame([("V2", "V0"), ("V2", "V1"), ("V3", "V2"), ("V3", "V9")], "version string, needs string")
+    made = execution.execute_graph(plan, samples, call, "{base_answer}|{context}|{user_question}", needs, found, ("V1", "V3"))
+    return made.select("run_id", "version", "run_status", "output_text")
+
+
+@query(f"""
+WITH t AS (SELECT *, format('2024-01-01T{{:010d}}', seq) AS created_at FROM {STATES}), c AS (SELECT asset_id, row_number() OVER (PARTITION BY asset_id ORDER BY seq) AS revision_number, created_at FROM t WHERE to_status = 'ai_review_pending')
+SELECT a.asset_id, coalesce(m.made >= s.started, false) AS stored FROM (SELECT DISTINCT asset_id FROM t) a LEFT JOIN (SELECT asset_id, max_by(created_at, revision_number) AS made FROM c GROUP BY 1) m USING (asset_id)
+  LEFT JOIN (SELECT asset_id, max_by(created_at, seq) AS started FROM t WHERE to_status = 'correction_drafting' GROUP BY 1) s USING (asset_id)
+""")
+def stored_drafts(spark, sf_dir):
+    """Assets whose last correction is not older than the last start of their drafting."""
+    moves = _rel(spark, sf_dir, dt.STATES).withColumn("created_at", F.format_string("2024-01-01T%010d", "seq"))
+    made = assets.numbered(moves.filter("to_status = 'ai_review_pending'"), "asset_id", "seq", "revision_number").select("asset_id", "revision_number", "created_at")
+    return assets.drafts_stored(made, moves)
+
+
+@query("""
+WITH f AS (SELECT concat(lang, '/', source) AS folder, concat(doc_id, '.txt') AS name, concat('file:', sha256(coalesce(text, ''))) AS mark FROM documents),
+l2 AS (SELECT folder AS path, sha256(string_agg(concat(name, chr(10), mark), chr(10) ORDER BY concat(name, chr(10), mark))) AS h FROM f GROUP BY 1),
+l1 AS (SELECT split_part(path, '/', 1) AS path, sha256(string_agg(concat(split_part(path, '/', 2), chr(10), 'folder:', h), chr(10) ORDER BY concat(split_part(path, '/', 2), chr(10), 'folder:', h))) AS h FROM l2 GROUP BY 1),
+l0 AS (SELECT '' AS path, sha256(string_agg(concat(path, chr(10), 'folder:', h), chr(10) ORDER BY concat(path, chr(10), 'folder:', h))) AS h FROM l1)
+SELECT path, h AS sha256 FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0
+""")
+def folder_hashes(spark, sf_dir):
+    """The documents as a tree of files by language and source, hashed folder by folder."""
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select(F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return snapshots.folder_hashes(files)
 
 
 def _assertions(spark, sf_dir):

@@ -322,3 +322,32 @@ def test_command_line_retrieval(spark, tmp_path):
     assert cli.main(["retrieve-contexts", "--samples", f"{tmp_path}/samples.parquet", "--corpus", f"{tmp_path}/corpus.parquet", "--output", f"{tmp_path}/out.parquet"]) == 0
     got = spark.read.parquet(f"{tmp_path}/out.parquet").orderBy("rank").collect()
     assert [(r.source_id, r.metadata_boost) for r in got] == [("C1", 0.12), ("C2", 0.0)] and got[0].retrieval_score > got[1].retrieval_score
+
+
+def test_versions_go_in_levels_and_go_on_where_they_were_cut_off(spark, tmp_path):
+    versions = ["V0", "V1", "V2", "V3", "V4"]
+    plan = spark.createDataFrame([(f"{s}-{v}", s, "m", v) for s in ("s", "t") for v in versions], "run_id string, sample_id string, model_alias string, version string")
+    samples = spark.createDataFrame([("s", "why"), ("t", "how")], "sample_id string, user_question string")
+    needs = spark.createDataFrame([("V2", "V0"), ("V2", "V1"), ("V4", "V2"), ("V4", "V9")], "version string, needs string")
+    assert [sorted(r[0] for r in x.collect()) for x in execution.in_levels(plan, needs)] == [["V0", "V1", "V3"], ["V2"], ["V4"]]
+    circle = needs.union(spark.createDataFrame([("V0", "V4")], needs.schema))
+    with pytest.raises(ValueError, match="circle"):
+        execution.in_levels(plan, circle)
+    asked = []
+
+    def call(df):
+        asked.append(sorted(r.run_id for r in df.select("run_id").collect()))
+        if len(asked) == 2 and len(asked[-1]) == 2:
+            raise RuntimeError("cut off")
+        failed = (F.col("run_id") == "t-V1") & F.lit(len(asked) == 1)
+        return df.withColumns({"answer": F.when(failed, "").otherwise(F.concat(F.lit("<"), F.col("prompt"), F.lit(">"))), "error": F.when(failed, "no answer").otherwise("")})
+
+    contexts = spark.createDataFrame([("s", 1, "S1", "text")], "sample_id string, rank int, source_id string, text string")
+    run = lambda: execution.execute_graph(plan, samples, call, "{user_question}{context}|{base_answer}", needs, contexts, ("V1",), log=str(tmp_path / "log"))
+    with pytest.raises(RuntimeError, match="cut off"):
+        run()
+    got = {r.run_id: (r.output_text, r.run_status) for r in run().collect()}
+    assert asked == [sorted(f"{s}-{v}" for s in "st" for v in ("V0", "V1", "V3")), ["s-V2", "t-V2"], ["t-V1"], ["s-V2", "t-V2"], ["s-V4", "t-V4"]]
+    assert len(got) == 10 and all(s == "ok" for _, s in got.values())
+    assert got["s-V2"][0] == "<why|<why|>\n\n<why[S1] text|>>" and got["t-V4"][0] == "<how|<how|<how|>\n\n<how|>>>" and got["s-V3"][0] == "<why|>"
+    assert execution.execute_graph(plan.limit(0), samples, call, "{user_question}", needs).count() == 0
