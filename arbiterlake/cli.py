@@ -52,7 +52,7 @@ def _summarize(t):
     runs, scores, routed = routing.output_status(t["runs"]), t["scores"], t["routing"]
     return {
         "kpis": dashboard.kpis(runs, scores, routed), "dataset_coverage": dashboard.coverage(runs), "task_summary": dashboard.task_summary(scores, routed),
-        "version_summary": dashboard.version_summary(scores), "cost_latency": dashboard.cost_latency(runs), "deployment_policy": dashboard.deployment_policy(scores, routed, runs),
+        "version_summary": dashboard.version_summary(scores, runs), "cost_latency": dashboard.cost_latency(runs), "deployment_policy": dashboard.deployment_policy(scores, routed, runs),
         "route_summary": dashboard.route_summary(routed), "policy_summary": dashboard.policy_summary(routed), "model_patterns": dashboard.model_patterns(scores),
         "score_delta": dashboard.score_delta(scores), "badcases": dashboard.badcase_cards(routed, scores), "runs": runs, "scores": scores, "routing": routed,
     }

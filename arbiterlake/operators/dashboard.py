@@ -65,12 +65,16 @@ def coverage(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source_dataset", "task_category").agg(F.countDistinct("sample_id").alias("samples"), F.count("run_id").alias("runs"))
 
 
-def version_summary(scores: DataFrame) -> DataFrame:
+def version_summary(scores: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Measures of every version, with the workflows that ``runs`` name for it: one row each."""
     review = parse_bool(F.col("needs_human_review").cast("string"))
-    return scores.filter("version is not null").groupBy("version").agg(
+    made = scores.filter("version is not null").groupBy("version").agg(
         mean(number(F.col("score_rate")), 3).alias("avg_score_rate"), rate(F.count_if(F.col("risk_level") == "high"), F.count("*"), 3).alias("high_risk_rate"),
         rate(F.count_if(review), F.count("*"), 3).alias("human_review_rate"),
     )
+    if runs is None or "workflow_condition" not in runs.columns:
+        return made
+    return made.join(with_defaults(runs, workflow_name="").select("version", "workflow_condition", "workflow_name").distinct(), "version", "left")
 
 
 def task_summary(scores: DataFrame, routing: DataFrame) -> DataFrame:
@@ -139,21 +143,32 @@ def model_patterns(scores: DataFrame) -> DataFrame:
     return base.join(tags, "model_alias", "left").na.fill("")
 
 
+#: Fixed text: what the dashboard is for.
+BOUNDARY = "Data production decision panel; diagnostic comparison only; not a model leaderboard."
+
+
 def kpis(runs: DataFrame, scores: DataFrame, routing: DataFrame) -> DataFrame:
-    """One row of dashboard figures."""
-    runs = with_defaults(runs, latency_ms=0, estimated_cost=0, output_text="")
+    """One row of dashboard figures.
+
+    The score difference is the mean over samples and models that have both versions, 0 if none has.
+    """
+    runs, scores = with_defaults(runs, latency_ms=0, estimated_cost=0, output_text=""), with_defaults(scores, source_dataset="unknown", task_category="unknown")
     score = number(F.col("score_rate"))
     of_version = lambda v: mean(F.when(F.col("version") == v, score), 3)
     a = scores.agg(
-        F.countDistinct("sample_id").alias("total_samples"), F.countDistinct("task_category").alias("total_task_categories"), of_version("V0").alias("avg_v0_score"),
-        of_version("V3").alias("avg_v3_score"), rate(F.count_if(F.col("risk_level") == "high"), F.count("*"), 3).alias("high_risk_rate"),
+        F.countDistinct("sample_id").alias("total_samples"), F.countDistinct("task_category").alias("total_task_categories"), F.countDistinct("source_dataset").alias("total_source_datasets"),
+        of_version("V0").alias("avg_v0_score"), of_version("V3").alias("avg_v3_score"), rate(F.count_if(F.col("risk_level") == "high"), F.count("*"), 3).alias("high_risk_rate"),
     )
+    full = parse_bool(F.col("has_nonempty_output").cast("string")) if "has_nonempty_output" in runs.columns else F.trim(F.coalesce("output_text", F.lit(""))) != ""
     b = runs.agg(
-        F.count("*").alias("total_runs"), F.count_if(F.trim(F.coalesce("output_text", F.lit(""))) != "").alias("nonempty_answer_count"), mean(number(F.col("latency_ms")), 1).alias("avg_latency_ms"),
+        F.count("*").alias("total_runs"), F.count("*").alias("total_api_run_rows"), F.count_if(full).alias("nonempty_answer_count"), F.count_if(~full).alias("empty_answer_count"), mean(number(F.col("latency_ms")), 1).alias("avg_latency_ms"),
         F.sum(number(F.col("estimated_cost")).cast("decimal(18,6)")).cast("double").alias("total_estimated_cost"),
     )
     c = canonical_routing(routing).agg(F.count_if(F.col("response_policy") == "human_review").alias("human_review_queue_size"), F.count_if(F.col("response_policy") == "block").alias("blocked_response_count"))
-    return a.crossJoin(b).crossJoin(c)  # one row each
+    d = score_delta(scores).agg(F.coalesce(F.round(F.avg(F.col("delta").cast("decimal(18,9)")).cast("double"), 3), F.lit(0.0)).alias("avg_score_delta"))
+    every = scores.withColumn("_all", F.lit(1))
+    e = tag_line(top_tags(every, "_all"), "_all").agg(F.coalesce(F.max("top_error_tags"), F.lit("")).alias("top_3_error_tags"), F.coalesce(F.max("data_action"), F.lit("")).alias("recommended_data_actions"))
+    return a.crossJoin(b).crossJoin(c).crossJoin(d).crossJoin(e).withColumn("dashboard_boundary", F.lit(BOUNDARY))  # one row each
 
 
 #: Fixed orders of the cards.

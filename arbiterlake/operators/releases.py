@@ -303,23 +303,30 @@ def release_result_errors(results: DataFrame, logs: DataFrame, events: DataFrame
     ``events``: the attempt ledger (``event_type``, ``attempt``); ``directories``: attempts with a folder; ``metrics``:
     ``metric``, ``value`` as text; ``official``: the attempt that the manifest names.
     """
-    one = lambda df, text: df.limit(1).select(F.lit("release").alias("subject"), F.lit(text).alias("message"))  # noqa: E731  (a message, not rows, is the result)
-    ids, logged = results.select(clean("rerun_id").alias("rerun_id")), logs.select(clean("rerun_id").alias("rerun_id"))
-    recorded = events.filter("event_type = 'attempt_recorded'").select("attempt").distinct()
-    chosen = events.filter("event_type = 'official_attempt_selected'").select("attempt")
-    differ = lambda a, b, key: a.join(b, key, "left_anti").unionByName(b.join(a, key, "left_anti"))
-    attempts = results.agg(F.count_distinct("attempt").alias("n"), F.min("attempt").alias("least"))
-    share = results.agg(rate(F.count_if(F.col("regression_status") == "passed"), F.count("*")).alias("_rate"))
-    told = metrics.filter("metric = 'regression_pass_rate'").agg(F.max(F.col("value").try_cast("double")).alias("_rate"))
-    size = lambda df: df.agg(F.count("*").alias("n")).filter(F.col("n") != expected)
-    found = [
-        (size(results), f"expected {expected} regression results"), (ids.filter("rerun_id = ''"), "blank rerun_id"), (ids.groupBy("rerun_id").count().filter("count > 1"), "rerun_id values are not unique"),
-        (results.filter(~F.coalesce(F.col("regression_status").isin("passed", "failed"), F.lit(False))), "invalid regression_status"), (results.filter(~F.col("scoring_revision").eqNullSafe(scoring)), f"results are not uniformly {scoring}"),
-        (attempts.filter("n <> 1"), "results must come from exactly one attempt"), (attempts.filter(~F.col("least").eqNullSafe(official)), "official attempt mismatch"), (size(logs), f"expected {expected} run logs"),
-        (differ(ids, logged, "rerun_id"), "rerun_id of results and run logs differ"), (differ(recorded, directories.select("attempt").distinct(), "attempt"), "attempt ledger and folders differ"),
-        (chosen.agg(F.count_if(F.col("attempt") == official).alias("n")).filter("n = 0"), "official attempt was never selected"), (share.join(told, ~share["_rate"].eqNullSafe(told["_rate"])), "regression pass rate mismatch"),
+    none = lambda t: F.lit(None).cast(t)
+    # One row a run of either table, then one row a table pair: each table is read once, whatever the number of rules.
+    wrong = [~F.coalesce(F.col("regression_status").isin("passed", "failed"), F.lit(False)), ~F.col("scoring_revision").eqNullSafe(scoring), F.coalesce(F.col("regression_status") == "passed", F.lit(False))]
+    rows = results.select(clean("rerun_id").alias("id"), F.lit(1).alias("r"), F.lit(0).alias("l"), F.col("attempt").cast("long").alias("attempt"), *(w.cast("int").alias(n) for w, n in zip(wrong, ("status", "scoring", "passed"))))
+    rows = rows.unionByName(logs.select(clean("rerun_id").alias("id"), F.lit(0).alias("r"), F.lit(1).alias("l"), none("long").alias("attempt"), *(F.lit(0).alias(n) for n in ("status", "scoring", "passed"))))
+    runs = rows.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("r", "l", "status", "scoring", "passed")), F.min("attempt").alias("least"), F.max("attempt").alias("most")).agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("r", "l", "status", "scoring", "passed")), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.count_if((F.col("id") == "") & (F.col("r") > 0)).alias("blank"), F.count_if(F.col("r") > 1).alias("again"), F.count_if((F.col("r") > 0) != (F.col("l") > 0)).alias("apart"),
+    )
+    kinds = events.filter("event_type in ('attempt_recorded', 'official_attempt_selected')").select(F.col("attempt").cast("long").alias("attempt"), (F.col("event_type") == "attempt_recorded").cast("int").alias("e"), F.lit(0).alias("d"))
+    tries = kinds.unionByName(directories.select(F.col("attempt").cast("long").alias("attempt"), F.lit(0).alias("e"), F.lit(1).alias("d")))
+    tries = tries.groupBy("attempt").agg(F.sum("e").alias("e"), F.sum("d").alias("d"), F.count_if((F.col("e") == 0) & (F.col("d") == 0)).alias("chosen")).agg(
+        F.count_if(((F.col("e") > 0) != (F.col("d") > 0)) | (F.col("attempt").isNull() & (F.col("e") + F.col("d") > 0))).alias("unlike"), F.coalesce(F.sum(F.when(F.col("attempt") == official, F.col("chosen"))), F.lit(0)).alias("selected"),
+    )
+    told = metrics.filter("metric = 'regression_pass_rate'").agg(F.max(F.col("value").try_cast("double")).alias("told"))
+    c = F.col
+    rules = [
+        (c("r") != expected, f"expected {expected} regression results"), (c("blank") > 0, "blank rerun_id"), (c("again") > 0, "rerun_id values are not unique"), (c("status") > 0, "invalid regression_status"),
+        (c("scoring") > 0, f"results are not uniformly {scoring}"), (~F.coalesce(c("least") == c("most"), F.lit(False)), "results must come from exactly one attempt"), (~c("least").eqNullSafe(F.lit(official)), "official attempt mismatch"),
+        (c("l") != expected, f"expected {expected} run logs"), (c("apart") > 0, "rerun_id of results and run logs differ"), (c("unlike") > 0, "attempt ledger and folders differ"),
+        (c("selected") == 0, "official attempt was never selected"), (~rate(c("passed"), c("r")).eqNullSafe(c("told")), "regression pass rate mismatch"),
     ]
-    return reduce(DataFrame.unionByName, (one(df, text) for df, text in found))
+    one = runs.crossJoin(tries).crossJoin(told)  # one row each
+    return one.select(F.lit("release").alias("subject"), F.explode(F.array_compact(F.array(*(F.when(w, F.lit(m)) for w, m in rules)))).alias("message"))
 
 
 def build_release(

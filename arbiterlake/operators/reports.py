@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean
 from ..functions.values import number, parse_bool, rate
 from .claims import report_gate
 from .dashboard import mean
 from .retrieval import retrieval_quality
-from .routing import claim_summary
+from .routing import claim_summary, with_defaults
 
 
 def new_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -47,6 +48,36 @@ def workflow_comparison(table: DataFrame, *keys: str) -> DataFrame:
     return made.withColumns({"gate_decision": decision, "gate_reason": reason})
 
 
+#: Columns of the report and the claim counts they sum.
+REPORT_COUNTS = {
+    "reviewable_strict_citation_defect_count": "reviewable_strict_citation_defect_count", "reviewable_claim_needs_review_count": "reviewable_claim_needs_review_count",
+    "all_claim_source_boundary_blocker_count": "all_claim_source_boundary_blocker_count", "no_citation_claims": "no_citation_claim_count", "out_of_scope_source_claims": "out_of_scope_source_count",
+    "fabricated_claim_citations": "fabricated_claim_citation_count", "contradicted_claims": "contradicted_claim_count",
+}
+
+
+def workflow_report(table: DataFrame) -> DataFrame:
+    """All measures of the workflow report, one row a version: runs with their scores and claim counts.
+
+    Rates are ratios of sums over reviewable claims, that of source boundary blockers over all claims; missing
+    counts are 0. The workflow is that of the version's smallest run id.
+    """
+    counts = ("claim_entailment_rows", "reviewable_claim_count", "cited_reviewable_claim_count", *REPORT_COUNTS.values())
+    table = with_defaults(table, workflow_condition="", workflow_name="", latency_ms=0, needs_human_review=None, **dict.fromkeys(counts, 0))
+    review = parse_bool(F.col("needs_human_review").cast("string"))
+    made = table.filter("version is not null").groupBy("version").agg(
+        *(F.coalesce(F.min_by(clean(c), "run_id"), F.lit("")).alias(c) for c in ("workflow_condition", "workflow_name")), F.count("*").alias("runs"), mean(number(F.col("score_rate")), 4).alias("avg_score_rate"),
+        rate(F.count_if(review), F.count("*")).alias("human_review_rate"), mean(number(F.col("latency_ms")), 2).alias("avg_latency_ms"),
+        *(F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(f"_{c}") for c in counts),
+    )
+    part = lambda c, whole="reviewable_claim_count": rate(F.col(f"_{c}"), F.col(f"_{whole}"))
+    return made.select(
+        "version", "workflow_condition", "workflow_name", "runs", "avg_score_rate", "human_review_rate", "avg_latency_ms", part("cited_reviewable_claim_count").alias("citation_coverage_rate"),
+        *(F.col(f"_{c}").alias(n) for n, c in REPORT_COUNTS.items()), part("reviewable_strict_citation_defect_count").alias("reviewable_strict_citation_defect_rate"),
+        part("reviewable_claim_needs_review_count").alias("reviewable_claim_needs_review_rate"), part("all_claim_source_boundary_blocker_count", "claim_entailment_rows").alias("all_claim_source_boundary_blocker_rate"),
+    )
+
+
 def label_counts(claims: DataFrame) -> DataFrame:
     """Claims per reviewability and label."""
     return claims.groupBy(parse_bool(F.col("reviewable_legal_claim").cast("string")).alias("reviewable"), "entailment_label").count()

@@ -236,10 +236,11 @@ def dataset_coverage(spark, sf_dir):
 
 
 @query(f"""
-SELECT version, {_rate("count_if(risk_level = 'high')", 'count(*)', 1000)} AS high_risk_rate, {_rate("count_if(needs_human_review = 'True')", 'count(*)', 1000)} AS human_review_rate FROM {SCORES} GROUP BY 1
+WITH v AS (SELECT version, {_mean('sum(run_id * 7 % 101)', 'count(*)', 3, 100)} AS avg_score_rate, {_rate("count_if(risk_level = 'high')", 'count(*)', 1000)} AS high_risk_rate, {_rate("count_if(needs_human_review = 'True')", 'count(*)', 1000)} AS human_review_rate FROM {SCORES} GROUP BY 1)
+SELECT * FROM v LEFT JOIN (SELECT DISTINCT version, workflow_condition, workflow_name FROM {RUNS}) USING (version)
 """)
 def version_summary(spark, sf_dir):
-    return dashboard.version_summary(_rel(spark, sf_dir, dt.SCORES)).select("version", "high_risk_rate", "human_review_rate")
+    return dashboard.version_summary(_rel(spark, sf_dir, dt.SCORES), _rel(spark, sf_dir, dt.RUNS))
 
 
 def _top_tags(key: str) -> str:
@@ -326,12 +327,15 @@ def model_patterns(spark, sf_dir):
 
 
 @query(f"""
-WITH s AS (SELECT count(DISTINCT sample_id) AS total_samples, count(DISTINCT task_category) AS total_task_categories, {_mean("sum(run_id * 7 % 101) FILTER (version = 'V0')", "count_if(version = 'V0')", 3, 100)} AS avg_v0_score,
+WITH s AS (SELECT count(DISTINCT sample_id) AS total_samples, count(DISTINCT task_category) AS total_task_categories, 1::BIGINT AS total_source_datasets, {_mean("sum(run_id * 7 % 101) FILTER (version = 'V0')", "count_if(version = 'V0')", 3, 100)} AS avg_v0_score,
   {_mean("sum(run_id * 7 % 101) FILTER (version = 'V3')", "count_if(version = 'V3')", 3, 100)} AS avg_v3_score, {_rate("count_if(risk_level = 'high')", 'count(*)', 1000)} AS high_risk_rate FROM {SCORES}),
-u AS (SELECT count(*) AS total_runs, count_if(trim(output_text) <> '') AS nonempty_answer_count, {_mean('sum(latency_ms)', 'count(*)', 1)} AS avg_latency_ms, sum(run_id % 97)::DOUBLE / 1000 AS total_estimated_cost FROM {RUNS}),
-r AS (SELECT count_if(response_policy = 'human_review') AS human_review_queue_size, count_if(response_policy = 'block') AS blocked_response_count FROM {_ROUTED})
-SELECT * FROM s, u, r
-""")
+u AS (SELECT count(*) AS total_runs, count(*) AS total_api_run_rows, count_if(trim(output_text) <> '') AS nonempty_answer_count, count_if(trim(output_text) = '') AS empty_answer_count, {_mean('sum(latency_ms)', 'count(*)', 1)} AS avg_latency_ms,
+  sum(run_id % 97)::DOUBLE / 1000 AS total_estimated_cost FROM {RUNS}),
+r AS (SELECT count_if(response_policy = 'human_review') AS human_review_queue_size, count_if(response_policy = 'block') AS blocked_response_count FROM {_ROUTED}),
+e AS (SELECT round(avg(d), 3) AS avg_score_delta FROM (SELECT avg(score_rate) FILTER (version = 'V3') - avg(score_rate) FILTER (version = 'V0') AS d FROM {SCORES} GROUP BY sample_id, model_alias)),
+t AS (SELECT top_error_tags AS top_3_error_tags, data_action AS recommended_data_actions FROM ({_top_tags('every')}))
+SELECT *, '{dashboard.BOUNDARY}' AS dashboard_boundary FROM s, u, r, e, t
+""".replace(f"FROM {_TAGS} GROUP BY 1, 2", f"FROM (SELECT *, 1 AS every FROM {_TAGS}) GROUP BY 1, 2"))
 def dashboard_kpis(spark, sf_dir):
     return dashboard.kpis(_runs(spark, sf_dir), _rel(spark, sf_dir, dt.SCORES), _routed(spark, sf_dir))
 
@@ -875,6 +879,24 @@ def folder_hashes(spark, sf_dir):
     return snapshots.folder_hashes(files)
 
 
+@query(f"""
+WITH c AS (SELECT run_id, count(*) AS n, count_if(o) AS open, count_if(o AND run_id % 3 = 0) AS cited, count_if(o AND entailment_label IN {routing.STRICT_LABELS}) AS strict_, count_if(o AND entailment_label IN {routing.ISSUE_LABELS}) AS issue,
+  count_if(entailment_label IN {routing.BLOCKER_LABELS}) AS blocker, count_if(entailment_label = 'no_citation') AS bare, count_if(entailment_label = 'out_of_scope_source') AS outside, count_if(entailment_label = 'fabricated_citation') AS fake,
+  count_if(entailment_label = 'contradicted') AS against FROM (SELECT *, reviewable_legal_claim = 'yes' AS o FROM {CLAIMS}) GROUP BY 1),
+g AS (SELECT s.version, min_by(u.workflow_condition, s.run_id) AS workflow_condition, min_by(u.workflow_name, s.run_id) AS workflow_name, count(*) AS runs, {_mean('sum(s.run_id * 7 % 101)', 'count(*)', 4, 100)} AS avg_score_rate,
+  {_rate("count_if(s.needs_human_review = 'True')", 'count(*)')} AS human_review_rate, {_mean('sum(u.latency_ms)', 'count(*)', 2)} AS avg_latency_ms, {', '.join(f'coalesce(sum({x}), 0)::BIGINT AS {x}' for x in ('n', 'open', 'cited', 'strict_', 'issue', 'blocker', 'bare', 'outside', 'fake', 'against'))}
+  FROM {SCORES} s JOIN {RUNS} u USING (run_id) LEFT JOIN c USING (run_id) GROUP BY 1)
+SELECT version, workflow_condition, workflow_name, runs, avg_score_rate, human_review_rate, avg_latency_ms, {_rate('cited', 'open')} AS citation_coverage_rate, strict_ AS reviewable_strict_citation_defect_count, issue AS reviewable_claim_needs_review_count,
+  blocker AS all_claim_source_boundary_blocker_count, bare AS no_citation_claims, outside AS out_of_scope_source_claims, fake AS fabricated_claim_citations, against AS contradicted_claims, {_rate('strict_', 'open')} AS reviewable_strict_citation_defect_rate,
+  {_rate('issue', 'open')} AS reviewable_claim_needs_review_rate, {_rate('blocker', 'n')} AS all_claim_source_boundary_blocker_rate FROM g
+""")
+def workflow_report(spark, sf_dir):
+    """Every measure of the workflow report over runs, scores and claims."""
+    claims_ = _rel(spark, sf_dir, dt.CLAIMS).withColumn("cited_source_ids", F.when(F.col("run_id") % 3 == 0, '["SRC-1"]').otherwise("[]"))
+    runs = _rel(spark, sf_dir, dt.RUNS).select("run_id", "workflow_condition", "workflow_name", "latency_ms")
+    return reports.workflow_report(_rel(spark, sf_dir, dt.SCORES).join(runs, "run_id").join(routing.claim_rates(claims_), "run_id", "left"))
+
+
 def _assertions(spark, sf_dir):
     """Two revisions for even documents, one for the others, none for every seventh; outputs; and recorded results of every fifth."""
     docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("A"), F.col("doc_id").cast("string")).alias("asset_id"), "doc_id", "text")
