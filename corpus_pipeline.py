@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All stages but the last
 return the columns of ``documents``; ``run`` writes each stage's rows to the shared folder and reads them
-again. Null and empty texts leave at the first stage; nulls in other columns pass through.
+again. Null and empty texts leave at the first stage; nulls in other columns, repeated ids, very long texts and
+further columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines, short ones too, that stand on five or more sites, their first occurrence apart (operator 8).
 
-    A document of which no word is left was made of such lines only, and goes.
+    A document of which no word is left was made of such lines only, and goes. Columns of the input named like
+    the operator's counts come through as they were; repeated ids, very long texts and an empty table as there.
     """
-    cleaned = linededup.remove_site_boilerplate(docs)
-    left = cleaned.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    counts = {c: f"_docs_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    cleaned = linededup.remove_site_boilerplate(docs.withColumnsRenamed(counts))
+    left = cleaned.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("n_lines", "n_removed")
+    return left.withColumn("n_chars", F.length("text").cast("long")).withColumnsRenamed({h: c for c, h in counts.items()}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
