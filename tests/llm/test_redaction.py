@@ -43,3 +43,11 @@ def test_time_grows_with_the_spans_not_their_square(spark):
 
     took(100)
     assert took(16_000) < 3 * took(8_000) + 2
+
+
+def test_line_stage_keeps_columns_named_like_its_counts(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"own words {i}\nall sites say this", f"s{i % 6}", 77, "x") for i in range(12)], "doc_id long, text string, source string, n_lines int, n_removed string")
+    got = corpus_pipeline.line_dedup(spark, docs.withColumn("n_chars", F.lit(0).cast("long")), "").collect()
+    assert {(r.n_lines, r.n_removed) for r in got} == {(77, "x")} and sum("all sites" in r.text for r in got) == 1 and all(r.n_chars == len(r.text) for r in got)
