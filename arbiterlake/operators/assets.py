@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsontext import canonical
 from ..functions.text import clean, completeness_issues, filled, has_any, pii_kinds, prompt_hash, topic_hit
+from ..sources.scratch import materialize
 
 #: Fixed states and transitions.
 TRANSITIONS = {
@@ -271,6 +272,56 @@ def choose_candidates(rows: DataFrame, per_type: int, order: str = "run_id") ->
     return first.withColumn("_no", F.row_number().over(kind)).filter(F.col("_no") <= per_type).drop("_no", "_rank")
 
 
+#: Fixed fields of a case that its snapshot holds.
+SNAPSHOT_FIELDS = ("user_prompt", "expected_behavior", "critical_facts", "missing_facts", "allowed_sources", "provided_context", "forbidden_claims")
+
+
+def build_candidates(reviewed: DataFrame, runs: DataFrame, cases: DataFrame, per_type: int = 5, same_source: bool = False, snapshot_date: str = "") -> DataFrame:
+    """Asset candidates out of reviewed runs: ``per_type`` each of sft, preference and regression, every one of another case.
+
+    ``reviewed``: ``run_id``, ``sample_id`` (the case), ``human_pass_fail``, ``priority`` and, where there,
+    ``output_text``, ``human_failure_type_zh``, ``human_notes``; ``runs``: ``run_id``, ``output_text``; ``cases``: ``case_id`` and what
+    there is of its snapshot's fields. A case is evidenced by its worst reviewed run (failures, partial ones,
+    passed ones, then priority and ids), and cases stand in the order of those. A preference asset needs an
+    answer to reject: its case's next run that has one. With ``same_source`` the regression assets reproduce
+    the cases of the first ones, else they have cases of their own. Too few cases, and a preference case
+    without any answer, raise. The tables meet in equi joins; what is ranked as a whole is the few chosen rows.
+    """
+    text = lambda df, c: clean(c) if c in df.columns else F.lit("")
+    outcome = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ("fail", "partial", "pass"))), clean("human_pass_fail")), F.lit(0)), F.lit(4))
+    fields = [F.col(c) if c in cases.columns else F.lit(None).cast("string").alias(c) for c in SNAPSHOT_FIELDS]
+    family = F.coalesce(*(F.nullif(text(cases, c), F.lit("")) for c in ("counterfactual_family_id", "pair_id")), F.lit(""))
+    review = F.coalesce(F.col("expected_human_review").cast("boolean"), F.lit(False)) if "expected_human_review" in cases.columns else F.lit(False)
+    place = text(cases, "jurisdiction") if "jurisdiction" in cases.columns else F.lit("CN")
+    known = cases.select(F.col("case_id").cast("string").alias("case_id"), place.alias("jurisdiction"), *fields, family.alias("counterfactual_family_id"), review.alias("expected_human_review")).dropDuplicates(["case_id"])
+    rank = F.struct(outcome.alias("outcome"), text(reviewed, "priority").alias("priority"), F.col("sample_id").cast("string").alias("case_id"), F.col("run_id").cast("string").alias("run_id"))
+    rows = reviewed.select(rank.alias("rank"), F.col("sample_id").cast("string").alias("case_id"), F.col("run_id"), text(reviewed, "output_text").alias("_own"), *(text(reviewed, c).alias(c) for c in ("human_pass_fail", "human_notes", "human_failure_type_zh")))
+    rows = rows.join(runs.groupBy("run_id").agg(F.max(F.coalesce("output_text", F.lit(""))).alias("_run")), "run_id", "left").join(known, "case_id", "left_semi")
+    rows = rows.withColumn("source_output", F.coalesce(F.nullif(clean("_run"), F.lit("")), F.col("_own")))
+    kept = F.struct("rank", "run_id", "source_output", "human_pass_fail", "human_notes", "human_failure_type_zh")
+    of_case = rows.groupBy("case_id").agg(F.min_by(kept, "rank").alias("worst"), F.min_by(kept, F.when(F.col("source_output") != "", F.col("rank"))).alias("answered"))
+    wanted = per_type * (2 if same_source else 3)
+    chosen = materialize(of_case.orderBy("worst.rank").limit(wanted))
+    if chosen.count() < wanted:
+        raise ValueError(f"fewer than {wanted} reviewed cases to build assets from")
+    numbered_ = chosen.withColumn("_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("worst.rank")) - 1)  # the chosen few
+    kinds = [("sft", 0), ("preference", per_type), ("regression", 0 if same_source else 2 * per_type)]
+    spec = F.explode(F.array(*(F.struct(F.lit(k).alias("asset_type"), (F.col("_no") - at + 1).alias("number")) for k, at in kinds))).alias("_spec")
+    made = numbered_.select("*", spec).filter(F.col("_spec.number").between(1, per_type)).select("case_id", "_spec.*", "worst", "answered")
+    made = made.withColumn("source", F.when((F.col("asset_type") == "preference") & (F.col("worst.source_output") == ""), F.col("answered")).otherwise(F.col("worst")))
+    if silent := [r["case_id"] for r in made.filter("asset_type = 'preference' and (source is null or source.source_output = '')").select("case_id").collect()]:
+        raise ValueError(f"no answer to reject in cases {silent}")
+    made = made.join(known, "case_id").withColumn("evaluation_role", F.when((F.col("asset_type") == "regression") & F.lit(same_source), "same_source_bug_reproduction").otherwise("independent"))
+    whole = ("jurisdiction", "counterfactual_family_id", "evaluation_role", "expected_human_review", *SNAPSHOT_FIELDS)
+    held = F.to_json(F.struct("case_id", *whole, F.lit(snapshot_date).alias("law_snapshot_date"), F.col("source.source_output").alias("source_output"), F.col("source.human_pass_fail").alias("human_pass_fail"), F.col("source.human_notes").alias("human_notes")), {"ignoreNullFields": "false"})
+    made = made.withColumn("source_snapshot", canonical(held))
+    return made.select(
+        F.format_string("ASSET-%s-%03d", F.upper("asset_type"), F.col("number").cast("int")).alias("asset_id"), F.col("case_id").alias("source_case_id"), F.col("source.run_id").alias("source_run_id"), "asset_type",
+        F.col("source.human_failure_type_zh").alias("failure_type"), "evaluation_role", "counterfactual_family_id", prompt_hash(F.col("user_prompt")).alias("normalized_user_prompt_hash"),
+        F.concat(F.lit("SNAP-"), F.left(F.sha2("source_snapshot", 256), F.lit(20))).alias("source_snapshot_id"), "source_snapshot", F.col("source.source_output").alias("source_output"),
+    )
+
+
 def independent_candidates(candidates: DataFrame, used: DataFrame) -> DataFrame:
     """Candidates that share neither case nor snapshot nor prompt with the assets in use."""
     made = candidates

@@ -897,6 +897,25 @@ def workflow_report(spark, sf_dir):
     return reports.workflow_report(_rel(spark, sf_dir, dt.SCORES).join(runs, "run_id").join(routing.claim_rates(claims_), "run_id", "left"))
 
 
+@query(f"""
+WITH v AS (SELECT *, run_id % 40 AS case_id, CASE WHEN human_pass_fail = 'pass' THEN 3 WHEN human_critical_failure = 'Yes' THEN 1 ELSE 2 END AS o FROM {REVIEWS}),
+r AS (SELECT v.*, trim(d.text) AS answer FROM v JOIN documents d ON d.doc_id = v.run_id WHERE v.case_id IN (SELECT item_id FROM benchmark)),
+w AS (SELECT case_id, min(k) AS k FROM (SELECT case_id, {{'o': o, 'c': case_id::VARCHAR, 'r': run_id::VARCHAR, 'run': run_id}} AS k FROM r) GROUP BY 1),
+n AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS no FROM w QUALIFY no < 15),
+s AS (SELECT *, CASE no // 5 WHEN 0 THEN 'sft' WHEN 1 THEN 'preference' ELSE 'regression' END AS asset_type FROM n)
+SELECT format('ASSET-{{}}-{{:03d}}', upper(asset_type), no % 5 + 1) AS asset_id, s.case_id::VARCHAR AS source_case_id, s.k.run AS source_run_id, asset_type, 'independent' AS evaluation_role,
+  sha256(regexp_replace(lower(b.text), '\\s', '', 'g')) AS normalized_user_prompt_hash FROM s JOIN benchmark b ON b.item_id = s.case_id
+""")
+def asset_candidates(spark, sf_dir):
+    """Candidates of three kinds out of reviewed runs, their answers and their cases."""
+    failed = F.when(F.col("human_pass_fail") == "pass", "pass").when(F.col("human_critical_failure") == "Yes", "fail").otherwise("partial")
+    reviewed = _rel(spark, sf_dir, dt.REVIEWS).select("run_id", (F.col("run_id") % 40).alias("sample_id"), failed.alias("human_pass_fail"))
+    runs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("output_text"))
+    cases_ = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("user_prompt"))
+    made = assets.build_candidates(reviewed, runs, cases_)
+    return made.select("asset_id", "source_case_id", "source_run_id", "asset_type", "evaluation_role", "normalized_user_prompt_hash")
+
+
 def _assertions(spark, sf_dir):
     """Two revisions for even documents, one for the others, none for every seventh; outputs; and recorded results of every fifth."""
     docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("A"), F.col("doc_id").cast("string")).alias("asset_id"), "doc_id", "text")
