@@ -69,9 +69,18 @@ def _mock_runs(t):
 
 
 def _entailment(t):
-    """With the pack of markers that ``--markers`` names; without one every claim is open to review."""
-    pack = markers.load_pack(t["runs"].sparkSession, t["markers"], claims.Markers) if t.get("markers") else claims.Markers(reviewable=("",))
-    return claims.entailment(claims.split_claims(t["runs"]).select("run_id", "claim_index", "claim"), t["contexts"], pack)
+    """With the pack of markers that ``--markers`` names; without one every claim is open to review.
+
+    ``--rag-only yes`` leaves out runs without contexts, ``--cases`` names the cases whose ``allowed_sources`` bound the citations.
+    """
+    runs, allowed = t["runs"], None
+    pack = markers.load_pack(runs.sparkSession, t["markers"], claims.Markers) if t.get("markers") else claims.Markers(reviewable=("",))
+    if t.get("rag_only") in ("yes", "true", "1"):
+        runs = runs.join(t["contexts"].select("run_id").distinct(), "run_id", "left_semi")
+    if t.get("cases"):
+        bounds = load(runs.sparkSession, t["cases"]).select(F.col("case_id").cast("string").alias("case_id"), F.col("allowed_sources").alias("allowed_source_ids"))
+        allowed = runs.select("run_id", F.col("sample_id").cast("string").alias("case_id")).join(bounds, "case_id").select("run_id", "allowed_source_ids")
+    return claims.entailment(claims.split_claims(runs).select("run_id", "claim_index", "claim"), t["contexts"], pack, allowed)
 
 
 def _release(t):
@@ -240,7 +249,7 @@ COMMANDS: dict[str, tuple[tuple[str, ...], Callable]] = {
 
 
 #: Files that a command may also read, by option.
-OPTIONS = {"build-claim-entailment": ("markers",)}
+OPTIONS = {"build-claim-entailment": ("markers", "rag_only", "cases")}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -251,7 +260,7 @@ def parser() -> argparse.ArgumentParser:
         for table in inputs:
             one.add_argument(f"--{table}", required=True)
         for option in OPTIONS.get(name, ()):
-            one.add_argument(f"--{option}")
+            one.add_argument(f"--{option.replace('_', '-')}")
         one.add_argument("--output", required=True)
     return made
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,6 +143,19 @@ UNSCORED = {
 }
 
 
+#: Fixed words of the gold texts and the subtypes of error that they name, in order.
+SUBTYPES = (
+    ("因果", "missing_causation"), ("平台", "platform_liability_unclear"), ("贷款", "unsafe_repayment_advice"), ("定金", "deposit_term_confusion"),
+    ("素材", "missing_ip_risk"), ("劳动", "employment_status_unclear"), ("证据", "evidence_chain_unclear"), ("管辖", "jurisdiction_unclear"),
+)
+
+
+def gold_subtype(*texts: Column, rules: Sequence[tuple[str, str]] = SUBTYPES, otherwise: str = "general_legal_risk") -> Column:
+    """Subtype of error that the first rule's word in the gold texts names; null texts are empty."""
+    whole = F.concat_ws(" ", *(clean(t) for t in texts))
+    return F.coalesce(*(F.when(F.contains(whole, F.lit(w)), F.lit(s)) for w, s in rules), F.lit(otherwise))
+
+
 def judge_pass(runs: DataFrame, raw: str = "raw_judge_output", status: str = "run_status") -> DataFrame:
     """Score rows of runs and their judge's raw output.
 

@@ -916,6 +916,18 @@ def asset_candidates(spark, sf_dir):
     return made.select("asset_id", "source_case_id", "source_run_id", "asset_type", "evaluation_role", "normalized_user_prompt_hash")
 
 
+#: Words of the driver's prose and what they stand for here.
+_SUBTYPES = (("license", "missing_ip_risk"), ("straße", "platform_liability_unclear"), ("qu", "evidence_chain_unclear"), ("und", "jurisdiction_unclear"))
+
+
+@query(f"""
+SELECT doc_id, CASE {' '.join(f"WHEN contains(concat(text, ' ', source), '{w}') THEN '{s}'" for w, s in _SUBTYPES)} ELSE 'general_legal_risk' END AS error_subtype FROM documents
+""")
+def error_subtypes(spark, sf_dir):
+    """Subtypes of error out of the words of two texts, the first rule first."""
+    return _table(spark, sf_dir, "documents").select("doc_id", judging.gold_subtype(F.col("text"), F.col("source"), rules=_SUBTYPES).alias("error_subtype"))
+
+
 def _assertions(spark, sf_dir):
     """Two revisions for even documents, one for the others, none for every seventh; outputs; and recorded results of every fifth."""
     docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("A"), F.col("doc_id").cast("string")).alias("asset_id"), "doc_id", "text")

@@ -102,3 +102,26 @@ def test_claims_need_no_worker(spark):
     assert [(r.claim_index, r.claim) for r in made.collect()] == [(1, "first claim text"), (2, "second claim text"), (3, "third claim text")]
     plan = made._jdf.queryExecution().toString()
     assert "ArrowEval" not in plan and "Python" not in plan
+
+
+def test_command_line_entailment(spark, tmp_path):
+    from arbiterlake import cli
+
+    runs = [(1, "c1", "tenant must pay rent [SRC-1]. hello nice weather today"), (2, "c2", "tenant must pay rent [SRC-2]"), (3, "c3", "tenant must pay rent now")]
+    spark.createDataFrame(runs, "run_id int, sample_id string, output_text string").write.parquet(f"{tmp_path}/runs.parquet")
+    spark.createDataFrame([(1, "SRC-1", "the tenant must pay the rent src"), (2, "SRC-2", "the tenant must pay the rent src")], "run_id int, source_id string, text string").write.parquet(f"{tmp_path}/contexts.parquet")
+    spark.createDataFrame([("c1", ["SRC-1"]), ("c2", ["SRC-1"])], "case_id string, allowed_sources array<string>").write.parquet(f"{tmp_path}/cases.parquet")
+    (tmp_path / "pack.json").write_text(json.dumps({"reviewable": ["must"]}))
+    common = ["build-claim-entailment", "--runs", f"{tmp_path}/runs.parquet", "--contexts", f"{tmp_path}/contexts.parquet", "--output"]
+    assert cli.main([*common, f"{tmp_path}/all.parquet"]) == 0
+    assert cli.main([*common, f"{tmp_path}/some.parquet", "--markers", f"{tmp_path}/pack.json", "--rag-only", "yes", "--cases", f"{tmp_path}/cases.parquet"]) == 0
+    label = lambda name: {(r.run_id, r.claim): r.entailment_label for r in spark.read.parquet(f"{tmp_path}/{name}.parquet").collect()}
+    assert label("all")[(3, "tenant must pay rent now")] == "no_citation" and label("all")[(1, "tenant must pay rent [SRC-1]. hello nice weather today")] == "supported"
+    assert label("some") == {(1, "tenant must pay rent [SRC-1]. hello nice weather today"): "supported", (2, "tenant must pay rent [SRC-2]"): "out_of_scope_source"}
+
+
+def test_subtypes(spark):
+    from arbiterlake.operators import judging
+
+    df = spark.createDataFrame([("平台 责任", None), (None, "证据 与 管辖"), (None, None)], "a string, b string")
+    assert [r[0] for r in df.select(judging.gold_subtype(F.col("a"), F.col("b"))).collect()] == ["platform_liability_unclear", "evidence_chain_unclear", "general_legal_risk"]
