@@ -83,9 +83,10 @@ def json_items(c: Column) -> Column:
     return F.when(text.startswith("["), F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
 
 
-def error_tags(c: Column, strict: bool = True) -> Column:
+def error_tags(c: Column, strict: bool = True, objects_only: bool = False) -> Column:
     """Tags from a JSON array of names or objects. ``strict``: an unknown name becomes needs_human_review,
-    and an object so renamed gets a subtype; otherwise names stay and empty ones go."""
+    and an object so renamed gets a subtype; otherwise names stay and empty ones go. ``objects_only``: names
+    that are no objects are left out, as ensembles do."""
 
     def one(item: Column) -> Column:
         is_object = item.startswith("{")
@@ -97,10 +98,17 @@ def error_tags(c: Column, strict: bool = True) -> Column:
             F.when(~known & is_object & (subtype == ""), "non_standard_error_tag").otherwise(subtype).alias("error_subtype"),
         )
 
-    made = F.transform(json_items(c), one)
+    items = F.filter(json_items(c), lambda x: x.startswith("{")) if objects_only else json_items(c)
+    made = F.transform(items, one)
     return made if strict else F.filter(made, lambda t: F.coalesce(t["coarse_error_tag"], F.lit("")) != "")
 
 
+def plain_tags(c: Column) -> Column:
+    """Names as the dashboard counts them: those of objects unless they are empty, and all others as they stand."""
+    name = lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.coarse_error_tag")).otherwise(x)
+    return F.transform(F.filter(json_items(c), lambda x: ~x.startswith("{") | (F.coalesce(name(x), F.lit("")) != "")), name)
+
+
 def tag_names(tags: Column) -> Column:
     return F.transform(tags, lambda t: t["coarse_error_tag"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsontext import canonical
 from ..functions.text import clean, completeness_issues, filled, has_any, pii_kinds, prompt_hash, topic_hit
+from ..functions.values import POLICIES
 from ..sources.scratch import materialize
 
 #: Fixed states and transitions.
@@ -261,6 +262,27 @@ def asset_violations(assets: DataFrame) -> DataFrame:
     return assets.select("asset_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in checks)))).alias("message"))
 
 
+def assertion_violations(assertions: DataFrame) -> DataFrame:
+    """``assertion_id`` and ``message`` of assertions without a condition, with an unknown policy or a revision below 1."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)) if c in assertions.columns else F.lit(0)
+    revision = F.coalesce(F.col("revision_number").cast("int"), F.lit(1)) if "revision_number" in assertions.columns else F.lit(1)
+    checks = (
+        (size("expected_response_policy") + size("forbidden_claims") + size("required_topics") == 0, "an assertion needs a condition"),
+        (size("expected_response_policy") > F.size(F.array_intersect(F.coalesce("expected_response_policy", F.array().cast("array<string>")), F.array(*map(F.lit, POLICIES)))), "unknown or repeated policy"),
+        (revision < 1, "revisions count from 1"),
+    )
+    return assertions.select("assertion_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in checks)))).alias("message"))
+
+
+def checks_passed() -> Column:
+    """Whether a quality check's five own checks passed and its contamination check did not fail."""
+    own = ("pii_check", "duplicate_check", "source_traceability", "law_effective_date_check", "type_specific_check")
+    passed = F.lit(True)
+    for c in own:
+        passed = passed & F.col(c).eqNullSafe("passed")
+    return passed & ~F.col("contamination_check").eqNullSafe("failed")
+
+
 def choose_candidates(rows: DataFrame, per_type: int, order: str = "run_id") -> DataFrame:
     """The worst rows of every asset type: failures before partial and passed ones, at most ``per_type`` each, one a case."""
     severity = F.coalesce(F.array_position(F.array(*map(F.lit, ("fail", "partial", "pass"))), F.col("outcome")), F.lit(0))

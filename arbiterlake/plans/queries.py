@@ -916,6 +916,38 @@ def asset_candidates(spark, sf_dir):
     return made.select("asset_id", "source_case_id", "source_run_id", "asset_type", "evaluation_role", "normalized_user_prompt_hash")
 
 
+_MIXED = "concat(substr(error_tags, 1, length(error_tags) - 1), CASE WHEN error_tags = '[]' THEN '' ELSE ',' END, '{\"coarse_error_tag\":\"', CASE WHEN run_id % 3 = 0 THEN '' WHEN run_id % 3 = 1 THEN 'odd' ELSE 'overclaim' END, '\"}]')"
+_ITEMS = f"CAST(json({_MIXED}) AS JSON[])"
+_NAME_OF = "CASE WHEN json_type(x) = 'OBJECT' THEN json_extract_string(x, '$.coarse_error_tag') ELSE json_extract_string(x, '$') END"
+
+
+@query(f"""
+WITH i AS (SELECT run_id, {_ITEMS} AS items FROM {SCORES}),
+n AS (SELECT run_id, list_transform(items, lambda x: {_NAME_OF}) AS names, list_transform(list_filter(items, lambda x: json_type(x) = 'OBJECT'), lambda x: {_NAME_OF}) AS objects FROM i)
+SELECT run_id, array_to_string(list_filter(names, lambda x: x <> ''), ',') AS plain, array_to_string(list_transform(names, lambda x: CASE WHEN x IN {vs.COARSE_TAGS} THEN x ELSE 'needs_human_review' END), ',') AS router,
+  array_to_string(list_filter(names, lambda x: x <> ''), ',') AS gate, array_to_string(list_transform(objects, lambda x: CASE WHEN x IN {vs.COARSE_TAGS} THEN x ELSE 'needs_human_review' END), ',') AS ensemble FROM n
+""")
+def tag_variants(spark, sf_dir):
+    """Tags of mixed lists of names and objects as the dashboard, the router, the gate and ensembles read them."""
+    rows = _rel(spark, sf_dir, dt.SCORES).select("run_id", F.expr(_MIXED).alias("mixed"))
+    line = lambda tags: F.array_join(tags, ",")
+    c = F.col("mixed")
+    return rows.select("run_id", line(vs.plain_tags(c)).alias("plain"), line(vs.tag_names(vs.error_tags(c))).alias("router"), line(vs.tag_names(vs.error_tags(c, strict=False))).alias("gate"), line(vs.tag_names(vs.error_tags(c, objects_only=True))).alias("ensemble"))
+
+
+@query(f"""
+WITH a AS (SELECT asset_id, asset_type, length(text) % 2 = 0 AS eligible, CASE WHEN length(text) % 3 = 0 THEN '' ELSE 'x' END AS chosen, CASE WHEN length(text) % 5 = 0 THEN '' WHEN length(text) % 5 = 1 THEN 'x' ELSE 'y' END AS rejected FROM {ASSETS})
+SELECT asset_id, 'regression assets may not train' AS message FROM a WHERE asset_type = 'regression' AND eligible
+UNION ALL SELECT asset_id, 'chosen and rejected answers come together' FROM a WHERE (chosen <> '') <> (rejected <> '')
+UNION ALL SELECT asset_id, 'chosen and rejected answers must differ' FROM a WHERE chosen <> '' AND chosen = rejected
+""")
+def asset_constraints(spark, sf_dir):
+    """Records that break the constraints of their type."""
+    n = F.length("text")
+    rows = _rel(spark, sf_dir, dt.ASSETS).select("asset_id", "asset_type", (n % 2 == 0).alias("training_eligible"), F.when(n % 3 == 0, "").otherwise("x").alias("chosen_answer"), F.when(n % 5 == 0, "").when(n % 5 == 1, "x").otherwise("y").alias("rejected_answer"))
+    return assets.asset_violations(rows)
+
+
 #: Words of the driver's prose and what they stand for here.
 _SUBTYPES = (("license", "missing_ip_risk"), ("straße", "platform_liability_unclear"), ("qu", "evidence_chain_unclear"), ("und", "jurisdiction_unclear"))
 

@@ -63,3 +63,14 @@ def test_candidates_out_of_reviews(spark):
         assets.build_candidates(reviewed, runs, cases, per_type=3)
     with pytest.raises(ValueError, match="no answer"):
         assets.build_candidates(reviewed, runs.filter("run_id not in ('r3', 'r4', 'r8')"), cases, per_type=2)
+
+
+def test_assertions_and_checks(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a", ["clarify"], [], None, 1), ("b", [], [], None, 1), ("c", None, ["x"], None, 0), ("d", ["other"], [], ["t"], 2)]
+    df = spark.createDataFrame(rows, "assertion_id string, expected_response_policy array<string>, forbidden_claims array<string>, required_topics array<string>, revision_number int")
+    assert {tuple(r) for r in assets.assertion_violations(df).collect()} == {("b", "an assertion needs a condition"), ("c", "revisions count from 1"), ("d", "unknown or repeated policy")}
+    names = ["pii_check", "duplicate_check", "source_traceability", "law_effective_date_check", "type_specific_check", "contamination_check"]
+    made = spark.createDataFrame([["passed"] * 6, ["passed"] * 5 + ["failed"], ["passed"] * 5 + ["not_applicable"], [None] + ["passed"] * 5], ", ".join(f"{n} string" for n in names))
+    assert [r[0] for r in made.select(assets.checks_passed()).collect()] == [True, False, True, False]
