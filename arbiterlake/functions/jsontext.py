@@ -33,10 +33,21 @@ def first_object(c: Column) -> Column:
     return F.when(F.ltrim(c).startswith("["), F.lit(None)).otherwise(_first_object(c))
 
 
+def whole(c: Column) -> Column:
+    """True if the text is exactly one JSON value, false for null.
+
+    Spark's parsers stop after the first value and ignore what follows ("12 words" gives 12). So the text is
+    parsed as the first of a list whose second element is the text's own hash, which it cannot hold itself.
+    """
+    mark = F.sha2(c, 256)
+    pair = F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), mark, F.lit('"]')))
+    return F.coalesce(F.try_variant_get(pair, "$[1]", "string") == mark, F.lit(False))
+
+
 def fenced_object(c: Column) -> Column:
     """What stands from the first brace to the last, if it parses."""
     inner = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)\{.*\}", 0)
-    return F.when((inner != "") & F.try_parse_json(inner).isNotNull(), inner)
+    return F.when((inner != "") & whole(inner), inner)
 
 
 #: A JSON string literal; a colon after it makes it a key. Possessive throughout, so no text is too long for it.
@@ -46,7 +57,7 @@ _LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?'
 def parses(c: Column) -> Column:
     """True if the text is JSON other than null (objects that repeat a key are not)."""
     maybe = F.coalesce(c, F.lit("")).rlike(r'^\s*+(?:[\[{"0-9-]|true|false)')
-    return F.when(maybe, F.try_parse_json(c).isNotNull()).otherwise(False)
+    return F.when(maybe, whole(c)).otherwise(False)
 
 
 def string_values(c: Column) -> Column:
@@ -65,7 +76,7 @@ def canonical(c: Column) -> Column:
     Object fields of a VARIANT are held in the order of their names, so writing it sorts them. Numbers come in
     their shortest form (1.50 as 1.5).
     """
-    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
+    return F.coalesce(F.when(whole(c), F.to_json(F.try_parse_json(c))), c)
 
 
 def list_or_scalar(c: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.jsontext import whole
 from ..functions.text import clean, filled
 from ..operators.cases import keyword_case
 from . import tables, workbook
@@ -169,7 +170,7 @@ def bundle(evaluation: DataFrame, gold: DataFrame, rubric: DataFrame) -> dict[st
         items = rubric.select("sample_id", *((F.coalesce(_or(rubric, c, "2").try_cast("double").cast("int"), F.lit(2)) if c == "max_score" else _or(rubric, c)).alias(c) for c in RUBRIC))
         gold = tables.nest_rubrics(gold, items).withColumn("rubric_items", F.to_json("rubric_items"))
     else:
-        gold = gold.withColumn("rubric_items", F.when(F.try_parse_json("rubric_items").isNotNull() & filled("rubric_items"), F.col("rubric_items")).otherwise("[]"))
+        gold = gold.withColumn("rubric_items", F.when(whole(F.col("rubric_items")) & filled("rubric_items"), F.col("rubric_items")).otherwise("[]"))
     seen = evaluation.select(*VISIBLE)
     return {"eval_input": seen, "gold_labels": gold.select(*(_or(gold, c).alias(c) for c in GOLD)), "rubric_items": rubric, "sample_index": seen.select("sample_id", "source_dataset", "task_category", "task_type", "jurisdiction")}
 

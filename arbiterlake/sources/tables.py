@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from ..functions.jsontext import whole
 from ..functions.text import clean, filled
 
 
@@ -51,7 +52,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> tupl
     before = Window.partitionBy("_split.file").orderBy("_split.start").rowsBetween(Window.unboundedPreceding, -1)
     counts = lines.groupBy("_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     full = lines.filter(F.trim("value") != "")
-    good = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
+    good = whole(F.col("value")) & F.ltrim("value").startswith("{")
     parsed = full.filter(good).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("_row")).select("_row.*")
     bad = full.filter(~good).join(counts, "_split")
     return parsed, bad.select(F.col("_split.file").alias("file"), (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line"), "value")

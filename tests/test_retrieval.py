@@ -96,6 +96,15 @@ def test_json_of_any_depth(spark):
     assert [tuple(r) for r in plain] == [(None, "[not json"), (None, "words"), (None, None), (None, "")]
 
 
+def test_text_after_a_json_value_is_plain_text(spark):
+    texts = ['4703443633947811 words that follow a number', '{"a": "a value long enough"} and more words', '[1], [2', '1, 2 and three words', '{"a": 1} {"b": 2}', '1,"x"] words go on', "true story of a tenant"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, output_text string")
+    got = {i: [(r.claim_index, r.claim) for r in claims.split_claims(df).collect() if r.i == i] for i in (0, 1, 6)}
+    assert got[0] == [(1, "words that follow a number")] and got[1] == [(1, texts[1])] and got[6] == [(1, texts[6])]
+    plain = df.select("i", jsontext.string_values(F.col("output_text")).alias("s"), jsontext.canonical(F.col("output_text")).alias("c"), jsontext.fenced_object(F.col("output_text")).alias("o")).collect()
+    assert all(r.s is None and r.c == texts[r.i] for r in plain) and plain[4].o is None and plain[1].o == '{"a": "a value long enough"}'
+
+
 def test_claims_need_no_worker(spark):
     df = spark.createDataFrame([('{"b": ["first claim text。second claim text", {"a": "short"}], "c": "third claim text"}',), ("12345678901",)], "output_text string")
     made = claims.split_claims(df)
