@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import forget, fresh_folder, materialize, shared_dir
 
-__all__ = ["arrow_batches", "forget", "fresh_folder", "give_back", "hold", "id_bucket", "map_arrow", "materialize", "shared_dir", "shuffle_partitions", "words_of"]
+__all__ = ["arrow_batches", "forget", "fresh_folder", "give_back", "hold", "id_bucket", "map_arrow", "marked", "marks", "materialize", "shared_dir", "shuffle_partitions", "words_of"]
 
 #: ASCII white space, the separators of every word definition used here.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -80,6 +80,29 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | Iterable[dict
     return df.mapInArrow(run, struct)
 
 
+def _place(key: Column, words: int) -> tuple[Column, Column]:
+    """Word and bit of a key's hash in a table of so many words."""
+    h = F.xxhash64(key)
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(words - 1)), h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def marks(keys: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """The hashes of a one-column table as bits: at most ``words`` (a power of two) rows of 64, however many keys; written."""
+    word, bit = _place(F.col(keys.columns[0]), words)
+    placed = keys.select(word.alias("_word"), bit.alias("_bit")).withColumn("_bits", F.expr("shiftleft(1L, _bit)"))
+    return materialize(placed.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")))
+
+
+def marked(df: DataFrame, column: str, table: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """``df`` with ``_marked``: true for every row whose key is in the table of ``marks``, and for a few others by chance.
+
+    The table is of bounded size and broadcast, so no row of ``df`` is shuffled.
+    """
+    word, bit = _place(F.col(column), words)
+    placed = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(table), "_word", "left")
+    return placed.withColumn("_marked", F.coalesce(F.expr("getbit(_bits, _bit)"), F.lit(0)) == 1).drop("_word", "_bit", "_bits")
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(modulus)

@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, hold, map_arrow, materialize, shuffle_partitions
+from .common import arrow_batches, forget, hold, map_arrow, marked, marks, materialize, shuffle_partitions
 from .components import connected_components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the frequent-shingle filter, and shingles counted as frequent. Both only shape the order.
 FILTER_BITS, FREQUENT = 1 << 24, 8
+#: Words in the table of keys that several classes share; only their rows are shuffled again.
+KEY_WORDS = 1 << 20
 #: What tells one set from another: its size and two 64-bit fingerprints.
 SET = ["n", "p1", "p2"]
 
@@ -105,7 +107,7 @@ def frequent_filter(df: DataFrame, text_col: str, width: int, percent: int, most
     def run(batch):
         return {"token": np.concatenate([_first(s, percent) for s in shingle_sets(batch.column(text_col).to_pylist(), width)] + [np.empty(0, np.uint64)]).astype(np.int64)}
 
-    counts = map_arrow(df.select(text_col), run, "token long").groupBy("token").count().filter(F.col("count") > FREQUENT)
+    counts = materialize(map_arrow(df.select(text_col), run, "token long").groupBy("token").count().filter(F.col("count") > FREQUENT))
     bits = np.zeros(FILTER_BITS, dtype=bool)
     top = np.array([r[0] for r in counts.orderBy(F.desc("count"), "token").limit(most).collect()], dtype=np.int64)
     bits[top & (FILTER_BITS - 1)] = True
@@ -142,7 +144,8 @@ def candidate_edges(leads: DataFrame, percent: int, longest: int = 64) -> DataFr
     keys = leads.select("cls", F.explode("lead").alias("key"))
     # counted with map-side combine and written, so that the join back is plain and a hot key's list is split over tasks
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("df"), F.min("cls").alias("head")).filter("df > 1"))
-    lists = materialize(keys.join(shared, "key"))
+    held = marked(keys, "key", marks(shared.select("key"), KEY_WORDS), KEY_WORDS).filter("_marked").drop("_marked")  # most keys stand in one class alone
+    lists = materialize(held.join(shared, "key"))
     star = lists.filter(F.col("df") > longest).select(F.col("head").alias("a"), F.col("cls").alias("b")).filter("a <> b").distinct()
     crowd = lists.groupBy("cls").agg(F.count_if(F.col("df") > longest).alias("long"))
     short = lists.filter(F.col("df") <= longest).join(classes, "cls").join(crowd, "cls")
@@ -309,19 +312,21 @@ def _components(df: DataFrame, id_col: str, text_col: str, width: int, percent:
     leads = materialize(leading(docs, classes, text_col, width, percent, bits))
     edges = candidate_edges(leads, percent)
     families = connected_components(edges)
+    forget(leads)
 
     # Sets of the candidate classes only, each from one of its documents.
     counts = materialize(families.groupBy("component").agg(F.count("*").alias("size")))  # written, so that the join back is plain
     members = families.join(counts, "component").join(classes, families["node"] == classes["cls"]).select("cls", *SET, "docs", "rep", "component", "size")
-    reps = members.select(F.col("rep").alias("_rep")).distinct().hint("shuffle_hash")
-    wanted = docs.join(reps, F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi")
+    # no text is shuffled: rows marked by chance make sets that meet no member
+    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    wanted = marked(named, "_id", marks(members.select("rep"))).filter("_marked").select("_text")
 
     def sets(batch):
-        made = shingle_sets(batch.column(text_col).to_pylist(), width)
+        made = shingle_sets(batch.column("_text").to_pylist(), width)
         one, two = _prints(made)
         return {"n": [len(s) for s in made], "p1": one, "p2": two, "tokens": [s.astype(np.int64).tobytes() for s in made]}
 
-    tokens = map_arrow(wanted.select(text_col), sets, "n long, p1 long, p2 long, tokens binary")
+    tokens = map_arrow(wanted, sets, "n long, p1 long, p2 long, tokens binary")
     once = tokens.groupBy(*SET).agg(F.any_value("tokens").alias("tokens"))
     chunks = F.ceil(F.col("size") / block).cast("int")
     chunk = F.pmod(F.xxhash64("cls"), chunks).cast("int")
@@ -363,8 +368,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives an empty result.
     """
     joined = jaccard_components(df, id_col, text_col, width, percent)
-    first = joined.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct()
+    first = joined.groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("_first"))
+    gone = materialize(first.filter("NOT _first").select("_gone"))
     hidden = {c: f"_in_{i}" for i, c in enumerate(df.columns)}  # no input column meets a working one
     inner = df.select(*(F.col(f"`{c}`").alias(h) for c, h in hidden.items()))
-    kept = inner.join(materialize(first).hint("shuffle_hash"), F.col(hidden[id_col]).eqNullSafe(F.col("_first")), "left_semi")
+    seen = marked(inner, hidden[id_col], marks(gone))  # rows without a mark stay where they are; the others are looked up
+    asked = seen.filter("_marked").join(gone.hint("shuffle_hash"), F.col(hidden[id_col]).eqNullSafe(F.col("_gone")), "left_anti")
+    kept = seen.filter("NOT _marked").unionByName(asked)
     return kept.select(*(F.col(h).alias(c) for c, h in hidden.items()))

@@ -23,6 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "arbiterlake-scratch")
 
 
+#: Spark deletes the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _roots: set[str] = set()
 
 
@@ -61,8 +64,14 @@ def fresh_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The columns come back in the same order; every column becomes nullable.
+    The columns come back in the same order; every column becomes nullable. The shuffle files behind the table are
+    deleted once it is written; otherwise they stay until the driver's JVM happens to collect its garbage.
     """
-    path = fresh_folder(df.sparkSession)
-    df.write.parquet(path)
+    path, conf = fresh_folder(df.sparkSession), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
     return df.sparkSession.read.schema(df.schema).parquet(path)

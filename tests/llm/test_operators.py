@@ -3,6 +3,7 @@
 import bisect
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -678,3 +679,28 @@ def test_pipeline_on_odd_tables(spark):
             docs = pii.materialize(out)
         assert docs.count() == left and stage is not None
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == left
+
+
+def shuffled(spark):
+    """Bytes of the shuffle files there are, by name."""
+    names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+    return {n: os.path.getsize(n) for n in names if n.endswith(".data") and "shuffle" in n and os.path.exists(n)}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from arbiterlake.llm.common import materialize
+
+    before = set(shuffled(spark))
+    made = materialize(spark.range(50_000).groupBy((F.col("id") % 9973).alias("k")).count())
+    assert not set(shuffled(spark)) - before and made.count() == 9973
+
+
+def test_near_duplicates_shuffle_no_text(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(60):x}" for _ in range(2000)) for _ in range(60)]
+    rows = list(enumerate(texts)) + [(100 + i, texts[i]) for i in range(5)] + [(None, "a b c"), (None, "a b c d e f"), (7, "a b c d e f")]
+    before = set(shuffled(spark))
+    kept = jaccard.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept.write.format("noop").mode("overwrite").save()
+    assert sum(n for f, n in shuffled(spark).items() if f not in before) < 400_000 < sum(map(len, texts)) // 4
+    assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == sorted([*range(60), 7]) and kept.filter("doc_id is null").count() == 2
