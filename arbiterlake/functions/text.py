@@ -35,7 +35,7 @@ def tokens(c: Column) -> Column:
     """Lower-cased word tokens, then every CJK character, then bigrams over the CJK characters alone."""
     text = F.lower(clean(c))
     words = F.regexp_extract_all(text, F.lit("[a-z0-9_]+"), F.lit(0))
-    cjk = F.regexp_replace(text, "[^\\u4e00-\\u9fff]", "")
+    cjk = F.regexp_replace(text, "[^\\u4e00-\\u9fff]++", "")  # a run at once: one match for a text without such characters
     size = F.length(cjk)
     none = F.array().cast("array<string>")
     single = F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: cjk.substr(i, F.lit(1)))).otherwise(none)
@@ -81,7 +81,7 @@ def support_score(claim: Column, source: Column) -> Column:
 def fact_hit(output: Column, fact: Column, share: float = 0.35) -> Column:
     """Fact found in the output: whole, or any of its fragments, or enough of its CJK bigrams."""
     fragments = F.filter(F.split(fact, "[、，,；;或和及/ ]+"), lambda p: F.length(p) >= 2)
-    cjk = F.regexp_replace(fact, "[^\\u4e00-\\u9fff]", "")
+    cjk = F.regexp_replace(fact, "[^\\u4e00-\\u9fff]++", "")
     pairs = F.when(F.length(cjk) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(cjk) - 1, F.lit(1))), lambda i: cjk.substr(i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
     near = F.when(F.size(pairs) > 0, F.size(F.filter(pairs, lambda p: F.contains(output, p))) >= share * F.size(pairs)).otherwise(False)
     return F.contains(output, fact) | F.exists(fragments, lambda p: F.contains(output, p)) | near

@@ -27,24 +27,30 @@ def _impact(tf: Column, length: Column, mean_length: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean_length)))
 
 
-def written_terms(corpus: DataFrame) -> tuple[DataFrame, int, float]:
+def asked_tokens(queries: DataFrame) -> DataFrame:
+    """``query_id`` and each distinct ``token`` of its query; written."""
+    return materialize(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token")))
+
+
+def written_terms(corpus: DataFrame, asked: DataFrame) -> tuple[DataFrame, int, float]:
     """The corpus as written rows (``source_id``, ``len``, ``token``, ``tf``), its number of documents and their mean length, at least 1.
 
-    Tokens are counted where their document is; what is shuffled is a narrow row a distinct token, without texts.
+    Tokens are counted where their document is, and only those that a query has are written: no other can score.
+    Each document has one more row of the empty token, which no text holds; its count is that of the document.
     """
     words = corpus.select("source_id", tokens(F.col("doc")).alias("_tokens"))
-    rows = words.select("source_id", F.size("_tokens").alias("len"), F.explode("_tokens").alias("token"))
-    terms = materialize(rows.groupBy("source_id", "len", "token").agg(F.count("*").cast("int").alias("tf")))
-    docs, total = corpus.count(), terms.agg(F.sum("tf")).first()[0] or 0
-    return terms, docs, max(total / max(docs, 1), 1.0)
+    rows = words.select("source_id", F.size("_tokens").alias("len"), F.explode(F.concat("_tokens", F.array(F.lit("")))).alias("token"))
+    known = asked.select("token").unionByName(asked.sparkSession.sql("SELECT '' AS token")).distinct()
+    terms = materialize(rows.join(known, "token", "left_semi").groupBy("source_id", "len", "token").agg(F.count("*").cast("int").alias("tf")))
+    docs, total = terms.filter("token = ''").agg(F.sum("tf"), F.sum(F.col("len").cast("long") * F.col("tf"))).first()
+    return terms.filter("token <> ''"), docs or 0, max((total or 0) / max(docs or 0, 1), 1.0)
 
 
-def token_weights(queries: DataFrame, terms: DataFrame, docs: int, mean_length: float) -> DataFrame:
+def token_weights(asked: DataFrame, terms: DataFrame, docs: int, mean_length: float) -> DataFrame:
     """``query_id``, ``token``, ``idf`` and ``bound``, the most that the token gives any document; written.
 
     Counts and largest impacts are added up where the documents are: a task sends a row a token, not a row a document.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
     known = terms.groupBy("token").agg(F.count("*").alias("df"), F.max(_impact(F.col("tf"), F.col("len"), mean_length)).alias("top"))
     idf = F.ln(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return materialize(asked.join(known, "token").select("query_id", "token", idf.alias("idf"), (idf * F.col("top")).alias("bound")))
@@ -101,8 +107,9 @@ def bm25(queries: DataFrame, corpus: DataFrame, top_k: int | None = None, least:
     ``queries`` has ``query_id`` and ``query``; ``corpus`` has ``source_id`` and ``doc``, each id once. The corpus is
     tokenised once, into a table of counts without texts.
     """
-    terms, docs, mean_length = written_terms(corpus)
-    weights = token_weights(queries, terms, docs, mean_length)
+    asked = asked_tokens(queries)
+    terms, docs, mean_length = written_terms(corpus, asked)
+    weights = token_weights(asked, terms, docs, mean_length)
     if top_k is None:
         part = F.col("idf") * _impact(F.col("tf"), F.col("len"), mean_length)
         return weights.join(terms, "token").groupBy("query_id", "source_id").agg(F.round(F.sum(part), 6).alias("bm25_score"))
@@ -157,8 +164,11 @@ def retrieve(queries: DataFrame, corpus: DataFrame, top_k: int = 4, min_score: f
     fillers = materialize(fillers)  # top_k rows a kind
     zero = queries.select("query_id").crossJoin(fillers).select("query_id", "source_id", F.lit(0.0).alias("bm25_score"), F.lit(0).cast("long").alias("tags"), F.lit(0).alias("named"))
     every = scored.unionByName(zero)
-    if boost:
-        every = every.unionByName(named.select("query_id", "source_id", F.lit(0.0).alias("bm25_score"), "tags", "named"))
+    if boost:  # other pairs are left out unless their boosts alone can reach ``min_score``
+        every = materialize(every)
+        alone = named.filter(0.12 * F.col("tags") + 2.0 * F.col("named") + sum(b for _, _, b in rules if b > 0) >= min_score - MARGIN)
+        met = named.join(every.select("query_id", "source_id").distinct(), ["query_id", "source_id"], "left_semi")
+        every = every.unionByName(met.unionByName(alone).select("query_id", "source_id", F.lit(0.0).alias("bm25_score"), "tags", "named"))
     pairs = every.groupBy("query_id", "source_id").agg(F.max("bm25_score").alias("bm25_score"), F.max("tags").alias("_tags"), F.max("named").alias("_named"))
     extra = F.round(0.12 * F.col("_tags") + 2.0 * F.col("_named"), 6)
     if kinds:

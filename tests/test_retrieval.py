@@ -134,3 +134,18 @@ def test_subtypes(spark):
 
     df = spark.createDataFrame([("平台 责任", None), (None, "证据 与 管辖"), (None, None)], "a string, b string")
     assert [r[0] for r in df.select(judging.gold_subtype(F.col("a"), F.col("b"))).collect()] == ["platform_liability_unclear", "evidence_chain_unclear", "general_legal_risk"]
+
+
+def test_only_asked_tokens_are_written(spark):
+    asked = spark.createDataFrame([(1, "alpha 漢字"), (2, "none")], "query_id int, query string")
+    corpus = spark.createDataFrame([(1, "alpha beta beta gamma 漢字漢"), (2, "beta delta"), (3, ""), (4, None)], "source_id int, doc string")
+    terms, docs, mean = retrieval.written_terms(corpus, retrieval.asked_tokens(asked))
+    assert {(r.source_id, r.len, r.token, r.tf) for r in terms.collect()} == {(1, 9, "alpha", 1), (1, 9, "漢", 2), (1, 9, "字", 1), (1, 9, "漢字", 1)}
+    assert (docs, mean) == (4, 11 / 4)
+
+
+def test_boosts_alone_can_reach_the_minimum(spark):
+    asked = spark.createDataFrame([(1, "see doc-7 on red blue")], "query_id int, query string")
+    corpus = spark.createDataFrame([("doc-7", "zzz", "red;blue", ""), ("doc-8", "zzz", "red", ""), ("doc-9", "see red", "", "")], "source_id string, doc string, tags string, source_type string")
+    got = lambda least: [(r.source_id, r.metadata_boost) for r in retrieval.retrieve(asked, corpus, 3, least, True).orderBy("rank").collect()]
+    assert got(2.2) == [("doc-7", 2.24)] and {x for x, _ in got(0.0)} == {"doc-7", "doc-8", "doc-9"} and dict(got(0.0))["doc-8"] == 0.12
