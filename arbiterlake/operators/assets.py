@@ -133,30 +133,36 @@ def contamination(train: DataFrame, test: DataFrame, fields: Sequence[str] = FIN
 
 def quality_checks(corrections: DataFrame, candidates: DataFrame) -> DataFrame:
     """Personal data, duplicates, traceability, law date, contamination, type and completeness of the latest corrections."""
-    rows = latest(corrections, "asset_id", "revision_number").join(
+    text = F.concat_ws("\n", *(F.coalesce(c, F.lit("")) for c in ("corrected_answer", "chosen_answer", "rejected_answer", "preference_reason")))
+    # what the rules need of the texts, taken where the texts are: none of them is shuffled or joined
+    facts = materialize(corrections.select(
+        "asset_id", "revision_number", F.sha2(clean("corrected_answer"), 256).alias("_h"), (F.size(pii_kinds(text)) == 0).alias("_no_pii"), (F.size(completeness_issues(F.col("corrected_answer"))) == 0).alias("_whole"),
+        (filled("chosen_answer") & filled("rejected_answer") & (clean("chosen_answer") != clean("rejected_answer"))).alias("_pair"),
+    ))
+    rows = latest(facts, "asset_id", "revision_number").join(
         candidates.select("asset_id", "asset_type", "source_case_id", "source_run_id", "source_snapshot_id", "law_snapshot_date", "evaluation_role"), "asset_id"
     )
-    text = F.concat_ws("\n", *(F.coalesce(c, F.lit("")) for c in ("corrected_answer", "chosen_answer", "rejected_answer", "preference_reason")))
-    bare = lambda c: F.sha2(clean(c), 256)
     # the same answer elsewhere: one row per hash, however many assets hold it
-    owners = corrections.select(bare("corrected_answer").alias("_h"), "asset_id").groupBy("_h").agg(F.min("asset_id").alias("_lo"), F.max("asset_id").alias("_hi"))
-    shared = []
+    owners = facts.groupBy("_h").agg(F.min("asset_id").alias("_lo"), F.max("asset_id").alias("_hi"))
+    rows = rows.join(owners, "_h", "left")
     for c in ("source_case_id", "source_snapshot_id"):
-        shared.append(candidates.filter(filled(c)).groupBy(c).agg(
+        shared = candidates.filter(filled(c)).groupBy(c).agg(
             F.count("*").alias(f"_n_{c}"), F.max((F.col("asset_type") == "regression").cast("int")).alias(f"_r_{c}"),
             F.max((F.col("evaluation_role") == "same_source_bug_reproduction").cast("int")).alias(f"_b_{c}"), F.max(filled("evaluation_role").cast("int")).alias(f"_d_{c}"),
-        ))
-    rows = rows.withColumn("_h", bare("corrected_answer")).join(owners, "_h", "left").join(shared[0], "source_case_id", "left").join(shared[1], "source_snapshot_id", "left")
+        )
+        # assets without such a source meet nothing and are dealt evenly, not to the one task of the empty text
+        spread = F.when(filled(c), 0).otherwise(F.pmod(F.xxhash64("asset_id"), F.lit(1000)).cast("int") + 1)
+        rows = rows.withColumn("_deal", spread).join(shared.withColumn("_deal", F.lit(0)), [c, "_deal"], "left").drop("_deal")
     any_ = lambda k: F.greatest(*(F.coalesce(f"_{k}_{c}", F.lit(0)) for c in ("source_case_id", "source_snapshot_id")))
     overlap = (any_("n") > 1) & (any_("r") == 1)
     same = overlap & ((any_("b") == 1) | (any_("d") == 0))
     state = lambda ok: F.when(ok, "passed").otherwise("failed")
     preference = F.col("asset_type") == "preference"
     made = rows.select(
-        "asset_id", state(F.size(pii_kinds(text)) == 0).alias("pii_check"), state(F.col("_lo") == F.col("_hi")).alias("duplicate_check"),
+        "asset_id", state(F.col("_no_pii")).alias("pii_check"), state(F.col("_lo") == F.col("_hi")).alias("duplicate_check"),
         state(filled("source_case_id") & filled("source_run_id") & filled("source_snapshot_id")).alias("source_traceability"), state(filled("law_snapshot_date")).alias("law_effective_date_check"),
         F.when(same, "not_applicable").when(overlap, "failed").otherwise("passed").alias("contamination_check"),
-        state((F.size(completeness_issues(F.col("corrected_answer"))) == 0) & (~preference | (filled("chosen_answer") & filled("rejected_answer") & (clean("chosen_answer") != clean("rejected_answer"))))).alias("type_specific_check"),
+        state(F.col("_whole") & (~preference | F.col("_pair"))).alias("type_specific_check"),
     )
     ok = F.col("contamination_check") != "failed"
     for c in ("pii_check", "duplicate_check", "source_traceability", "law_effective_date_check", "type_specific_check"):

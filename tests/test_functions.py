@@ -197,3 +197,13 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_merge_keeps_first_shard(spark):
     a, b = spark.createDataFrame([(1, "a")], "run_id int, v string"), spark.createDataFrame([(1, "b", 0), (2, "b", 0)], "run_id int, v string, w int")
     assert {(r.run_id, r.v) for r in sinks.merge_shards([a, b], ["run_id"]).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_quality_check_moves_no_text(spark):
+    c = spark.createDataFrame([(f"a{i}", 1, f"answer {i} " * 50, "x", "y", "") for i in range(40)], "asset_id string, revision_number int, corrected_answer string, chosen_answer string, rejected_answer string, preference_reason string")
+    k = spark.createDataFrame([(f"a{i}", "sft", f"c{i}", f"r{i}", "" if i % 2 else f"s{i}", "2024", "") for i in range(40)], "asset_id string, asset_type string, source_case_id string, source_run_id string, source_snapshot_id string, law_snapshot_date string, evaluation_role string")
+    made = assets.quality_checks(c, k)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "corrected_answer" not in plan and "_deal" in plan
+    got = {r.asset_id: r for r in made.collect()}
+    assert len(got) == 40 and all(r.source_traceability == ("failed" if int(a[1:]) % 2 else "passed") and r.contamination_check == "passed" for a, r in got.items())
