@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,16 +121,63 @@ def shared_fingerprints(train: DataFrame, test: DataFrame, fields: Sequence[str]
     return side(train, "train").join(side(test, "test"), ["field", "value"])
 
 
+#: Assets a side of a block of pairs, pairs a task, and shared fingerprints of one asset beyond which its pairs are merged by a shuffle.
+PAIR_BLOCK, PAIR_TASK, MANY = 256, 1 << 20, 64
+
+
 def contamination(train: DataFrame, test: DataFrame, fields: Sequence[str] = FINGERPRINTS) -> DataFrame:
     """Pairs of train and test assets that share a non-empty fingerprint, with the fields they share.
 
     Fields are unpivoted to (field, value), so the *or* of equalities is one equi join. A fingerprint of m train and n
     test assets gives m times n pairs: look at ``shared_fingerprints`` first where there may be large groups.
+
+    No pair is shuffled: assets travel in blocks with the other fingerprints they share, and a pair is made by the first
+    fingerprint it shares. Large groups are cut into blocks over tasks.
     """
-    return fingerprints(train, "train_asset_id", fields).join(fingerprints(test, "test_asset_id", fields), ["field", "value"]).groupBy("train_asset_id", "test_asset_id").agg(
-        F.array_sort(F.collect_set("field")).alias("matching_signals")
+    names = sorted(set(fields))
+    sides = {side: materialize(fingerprints(df, "asset_id", names)) for side, df in (("train", train), ("test", test))}
+    sizes = {side: prints.groupBy("field", "value").agg(F.count("*").alias(f"_{side}_n")) for side, prints in sides.items()}
+    known = sizes["train"].join(sizes["test"], ["field", "value"])
+    at = F.array_position(F.array(*map(F.lit, names)), F.col("field")) - 1
+    known = materialize(known.withColumn("_code", F.monotonically_increasing_id() * len(names) + at))  # numbered once, as written
+    groups = known.select("_code", "_train_n", "_test_n")
+    pairs = groups.agg(F.sum(F.col("_train_n").cast("double") * F.col("_test_n"))).first()[0] or 0
+    tasks = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), min(int(pairs // PAIR_TASK), 1 << 14))
+
+    held = {
+        side: materialize(prints.join(known.select("field", "value", "_code"), ["field", "value"]).groupBy("asset_id").agg(F.sort_array(F.collect_list("_code")).alias("_codes")))
+        for side, prints in sides.items()
+    }
+
+    def blocks(side: str, other: str) -> DataFrame:
+        few = held[side].filter(F.size("_codes") <= MANY).select("asset_id", "_codes", F.explode("_codes").alias("_code")).join(groups, "_code")
+        mine, others = (F.ceil(F.col(f"_{x}_n") / PAIR_BLOCK).cast("int") for x in (side, other))
+        block = F.pmod(F.xxhash64("asset_id", "_code"), mine).cast("int").alias(f"_{side}_no")
+        member = F.struct("asset_id", F.array_remove("_codes", F.col("_code")).alias("rest")).alias("_member")
+        lists = few.select("_code", block, others.alias("_others"), member).groupBy("_code", f"_{side}_no", "_others").agg(F.collect_list("_member").alias(f"_{side}"))
+        return lists.withColumn(f"_{other}_no", F.explode(F.sequence(F.lit(0), F.col("_others") - 1))).drop("_others")
+
+    keys = ["_code", "_train_no", "_test_no"]
+    met = blocks("train", "test").repartition(tasks, *keys).join(blocks("test", "train").repartition(tasks, *keys), keys)
+    met = met.select("_code", F.explode("_train").alias("_a"), "_test").select("_code", "_a", F.explode("_test").alias("_b"))
+    alone = (F.size("_a.rest") == 0) | (F.size("_b.rest") == 0)
+    both = F.array_intersect("_a.rest", "_b.rest")
+    signals = lambda codes: F.transform(codes, lambda c: F.element_at(F.array(*map(F.lit, names)), (c % len(names) + 1).cast("int")))
+    field = lambda c: reduce(lambda made, i: F.when(c % len(names) == i, F.array(F.lit(names[i]))).otherwise(made), range(len(names) - 1), F.array(F.lit(names[-1])))
+    light = met.filter(alone | F.coalesce(F.array_min(both) > F.col("_code"), F.lit(True))).select(
+        F.col("_a.asset_id").alias("train_asset_id"), F.col("_b.asset_id").alias("test_asset_id"),
+        F.when(alone, field(F.col("_code"))).otherwise(F.array_sort(F.array_distinct(signals(F.concat(F.array("_code"), both))))).alias("matching_signals"),
     )
 
+    def listed(side: str, which: Column) -> DataFrame:
+        return held[side].filter(which).select(F.col("asset_id").alias(f"{side}_asset_id"), F.explode("_codes").alias("_code"))
+
+    many = F.size("_codes") > MANY
+    if not any(held[side].filter(many).limit(1).count() for side in held):
+        return light
+    heavy = listed("train", many).join(listed("test", F.lit(True)), "_code").unionByName(listed("train", ~many).join(listed("test", many), "_code"))
+    return light.unionByName(heavy.groupBy("train_asset_id", "test_asset_id").agg(F.array_sort(F.array_distinct(signals(F.collect_set("_code")))).alias("matching_signals")))
+
 
 def quality_checks(corrections: DataFrame, candidates: DataFrame) -> DataFrame:
     """Personal data, duplicates, traceability, law date, contamination, type and completeness of the latest corrections."""

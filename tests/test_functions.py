@@ -216,3 +216,25 @@ def test_ensembles_gather_no_lists(spark):
     assert "collect_set" not in made._jdf.queryExecution().optimizedPlan().toString()
     got = {r.run_id: (r.final_data_asset_routes, r.disagreement_reasons) for r in made.collect()}
     assert got == {1: (["preference", "badcase", "regression"], "critical_failure_mismatch|response_policy_mismatch"), 2: (["eval", "sft"], "response_policy_mismatch")}
+
+
+def test_contamination_shuffles_no_pairs(spark):
+    def plain(train, test):
+        found = {}
+        for a, *x in train:
+            for b, *y in test:
+                for f, v, w in zip(("s", "h"), x, y):
+                    if v and v == w:
+                        found.setdefault((a, b), set()).add(f)
+        return {k: sorted(v) for k, v in found.items()}
+
+    one = [(f"a{i}", "hot" if i % 3 else "", f"h{i // 4}") for i in range(900)] + [(None, "hot", None), ("a1", None, "h3"), ("x", "h3", "hot")] + [("many", f"m{i}", f"h{i}") for i in range(70)]
+    two = [(f"b{i}", "hot" if i % 2 else None, f"h{i % 90}") for i in range(700)] + [(None, "hot", "h3"), ("b1", "m7", ""), ("y", "m7", "h9")]
+    shape = "asset_id string, s string, h string"
+    made = assets.contamination(spark.createDataFrame(one, shape), spark.createDataFrame(two, shape), ("s", "h"))
+    got = [(r.train_asset_id, r.test_asset_id, r.matching_signals) for r in made.collect()]
+    want = plain(one, two)
+    assert len(got) == len(want) and {(a, b): m for a, b, m in got} == want
+    light = assets.contamination(spark.createDataFrame(one[:900], shape), spark.createDataFrame(two[:700], shape), ("s", "h"))
+    plan = light._jdf.queryExecution().optimizedPlan().toString()
+    assert "_train_no" in plan and "collect_set" not in plan and light.count() == len(plain(one[:900], two[:700]))
