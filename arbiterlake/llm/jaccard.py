@@ -2,32 +2,41 @@
 
 1. Documents with the same shingle set form one class; copies, however many, meet only in a count.
 2. Two sets that are similar enough share a shingle among the first few of each in any common order. The
-   order puts frequent shingles last, so a passage that many documents share produces no candidates.
+   order puts frequent shingles last, the more frequent the later, so a passage that many documents share
+   produces no candidates. Shingles whose lists came out long are moved back, and only sets led by them read again.
 3. Classes that share such a shingle are candidates. Short lists give pairs, thinned by an upper bound of
    the overlap; long lists give a star. Connected candidates form families that no link leaves.
-4. Every family is cut into blocks. Inside a block documents are sorted into small groups of similar ones,
-   each group keeps its token union, and a document opens only those groups whose union it overlaps
-   enough. What it opens is compared exactly.
+4. Every family is cut into blocks of bounded bytes, by size where it is large. Inside a block documents are sorted into small groups of
+   similar ones, each group keeps its token union, and a document opens only those groups whose union it
+   overlaps enough. What it opens is compared exactly.
 
 Nothing is capped or sampled: the frequent-shingle filter only chooses the order.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, forget, hold, map_arrow, marked, marks, materialize, shuffle_partitions
 from .components import connected_components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of the frequent-shingle filter, and shingles counted as frequent. Both only shape the order.
-FILTER_BITS, FREQUENT = 1 << 24, 8
+#: Cells of the table of levels, and from where a shingle counts as frequent. Both only shape the order.
+CELLS, FREQUENT = 1 << 24, 8
+#: Bits of a shingle's hash in a key, above them its level; times that long lists are moved back; keys moved at once.
+KEY_BITS, ROUNDS, MOST = 59, 2, 1 << 20
+#: Classes of the longest list that gives pairs.
+LONGEST = 64
 #: Words in the table of keys that several classes share; only their rows are shuffled again.
 KEY_WORDS = 1 << 20
+#: Tokens in one side of a block (8 MB of sets), and chunks into which a family that has fewer is cut for the sake of more tasks.
+BLOCK_TOKENS, SPREAD = 1 << 20, 4
 #: What tells one set from another: its size and two 64-bit fingerprints.
 SET = ["n", "p1", "p2"]
 
@@ -98,42 +107,81 @@ def described(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     return map_arrow(df.select(id_col, text_col), run, f"id {id_type}, n long, p1 long, p2 long")
 
 
-def frequent_filter(df: DataFrame, text_col: str, width: int, percent: int, most: int = 1 << 20) -> np.ndarray:
-    """A bit table of the shingles that stand in the leading part of more than ``FREQUENT`` sets.
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """1 for shingles of 8 to 15 sets, one more for every doubling, at most 15."""
+    return np.clip(np.log2(counts).astype(np.int64) - 2, 1, 15).astype(np.uint8)
+
+
+def _raised(table: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The packed table of levels (4 bits a cell) with the cells of ``keys`` at ``levels`` or above."""
+    wide = np.stack([table & 15, table >> 4], axis=1).reshape(-1)
+    np.maximum.at(wide, keys & (CELLS - 1), levels)
+    return wide[0::2] | (wide[1::2] << 4)
+
 
-    The ``most`` most frequent enter, so its size is fixed; false or missing entries cost time, never a link.
+def frequent_filter(df: DataFrame, text_col: str, width: int, percent: int) -> np.ndarray:
+    """A packed table of levels of the shingles that stand in the leading part of more than ``FREQUENT`` sets.
+
+    The ``MOST`` most frequent enter, so its size is fixed; false or missing entries cost time, never a link.
     """
 
     def run(batch):
         return {"token": np.concatenate([_first(s, percent) for s in shingle_sets(batch.column(text_col).to_pylist(), width)] + [np.empty(0, np.uint64)]).astype(np.int64)}
 
     counts = materialize(map_arrow(df.select(text_col), run, "token long").groupBy("token").count().filter(F.col("count") > FREQUENT))
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    top = np.array([r[0] for r in counts.orderBy(F.desc("count"), "token").limit(most).collect()], dtype=np.int64)
-    bits[top & (FILTER_BITS - 1)] = True
-    return np.packbits(bits)
+    top = np.array([tuple(r) for r in counts.orderBy(F.desc("count"), "token").limit(MOST).collect()], dtype=np.int64).reshape(-1, 2)
+    return _raised(np.zeros(CELLS // 2, dtype=np.uint8), top[:, 0] >> (62 - KEY_BITS), _levels(top[:, 1]))
 
 
-def _ordered(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Keys in the common order: rare shingles by hash, then frequent ones by hash."""
-    at = tokens & np.uint64(FILTER_BITS - 1)
-    hot = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1
-    return np.sort(tokens.astype(np.int64) + (hot.astype(np.int64) << 62))
+def _ordered(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Keys in the common order: by level, then by hash."""
+    key = tokens.astype(np.int64) >> (62 - KEY_BITS)
+    at = key & (CELLS - 1)
+    level = (table[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & 15
+    return np.sort(key + (level.astype(np.int64) << KEY_BITS))
 
 
-def leading(df: DataFrame, classes: DataFrame, text_col: str, width: int, percent: int, bits: np.ndarray) -> DataFrame:
+def leading(df: DataFrame, classes: DataFrame, text_col: str, width: int, percent: int, table: np.ndarray) -> DataFrame:
     """One row per class: ``cls``, ``n``, ``lead`` (its leading keys)."""
 
     def run(batch):
         sets = shingle_sets(batch.column(text_col).to_pylist(), width)
         one, two = _prints(sets)
-        return {"n": [len(s) for s in sets], "p1": one, "p2": two, "lead": [_first(_ordered(s, bits), percent) for s in sets]}
+        return {"n": [len(s) for s in sets], "p1": one, "p2": two, "lead": [_first(_ordered(s, table), percent) for s in sets]}
 
     made = map_arrow(df.select(text_col), run, "n long, p1 long, p2 long, lead array<long>").filter("n > 0")
     return made.groupBy(*SET).agg(F.any_value("lead").alias("lead")).join(classes, SET).select("cls", "n", "lead")
 
 
-def candidate_edges(leads: DataFrame, percent: int, longest: int = 64) -> DataFrame:
+def led(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """``leading`` in an order that long lists have shaped.
+
+    Keys with long lists rise to the level of their count. A set that is not led by a raised cell keeps its leading keys,
+    as raised ones only move back; the others are read again, each from one of its documents.
+    """
+    table = frequent_filter(docs, text_col, width, percent)
+    leads = materialize(leading(docs, classes, text_col, width, percent, table))
+    cell = F.col("key").bitwiseAND(F.lit(CELLS - 1)).alias("cell")
+    for _ in range(ROUNDS):
+        keys = leads.select("cls", F.explode("lead").alias("key"))
+        level = F.least(F.floor(F.log2(F.col("count"))).cast("int") - 2, F.lit(15))
+        raised = keys.groupBy("key").count().filter(F.col("count") > LONGEST).filter(level > F.shiftright("key", KEY_BITS))
+        raised = materialize(raised.orderBy(F.desc("count"), "key").limit(MOST))
+        top = np.array([tuple(r) for r in raised.select("key", "count").collect()], dtype=np.int64).reshape(-1, 2)
+        if not len(top):
+            break
+        table = _raised(table, top[:, 0], _levels(top[:, 1]))
+        cells = raised.select(cell).distinct()
+        near = marked(keys.select("cls", cell), "cell", marks(cells)).filter("_marked").drop("_marked")
+        again = materialize(near.join(cells, "cell", "left_semi").select("cls").distinct())
+        asked = materialize(classes.join(again, "cls"))
+        rows = marked(docs, id_col, marks(asked.select("rep"))).filter("_marked")
+        old, leads = leads, materialize(leads.join(again, "cls", "left_anti").unionByName(leading(rows, asked, text_col, width, percent, table)))
+        forget(old)
+    return leads
+
+
+def candidate_edges(leads: DataFrame, percent: int, longest: int = LONGEST) -> DataFrame:
     """Edges ``a``, ``b`` between classes such that every link joins two classes connected by them.
 
     Lists of at most ``longest`` classes give pairs; a pair stays if the shared leading keys, plus those in
@@ -295,8 +343,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Repeated rows link like any copies. Null ids take part; they come after all others as smallest id.
     Other columns are not read. An empty table gives an empty result.
 
-    A family of m candidate classes costs about m * m / ``block`` shipped sets; families arise only among
-    documents most of whose shingles are shared, near copies in practice.
+    A family of more than ``block`` candidate classes is cut into bands by size, a band into chunks of about ``block``
+    classes, at most ``SPREAD`` of them, or into more where a chunk would pass ``BLOCK_TOKENS`` tokens. A set is shipped
+    once a chunk of its own and the neighbouring bands. So bands of up to ``SPREAD * BLOCK_TOKENS`` tokens cost bytes in
+    proportion, larger ones the square of their bytes by those of a chunk.
     """
     with arrow_batches(df.sparkSession):
         return _components(df, id_col, text_col, width, percent, block)
@@ -308,15 +358,22 @@ def _components(df: DataFrame, id_col: str, text_col: str, width: int, percent:
     rows = materialize(described(docs, id_col, text_col, width))
     kinds = rows.filter("n > 0").groupBy(*SET).agg(F.min("id").alias("rep"), F.count("*").alias("docs"))
     classes = materialize(kinds.withColumn("cls", F.monotonically_increasing_id()))  # numbered once, as written
-    bits = frequent_filter(docs, text_col, width, percent)
-    leads = materialize(leading(docs, classes, text_col, width, percent, bits))
+    leads = led(docs, classes, id_col, text_col, width, percent)
     edges = candidate_edges(leads, percent)
     families = connected_components(edges)
     forget(leads)
 
     # Sets of the candidate classes only, each from one of its documents.
-    counts = materialize(families.groupBy("component").agg(F.count("*").alias("size")))  # written, so that the join back is plain
-    members = families.join(counts, "component").join(classes, families["node"] == classes["cls"]).select("cls", *SET, "docs", "rep", "component", "size")
+    related = materialize(families.join(classes, families["node"] == classes["cls"]).select("cls", *SET, "docs", "rep", "component"))
+    counts = materialize(related.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("held")))  # written, so that the join back is plain
+    # linked sets are of the same or of neighbouring bands (a little wider than the threshold, for rounding)
+    wide = max(1.001 * math.log(100 / percent), 1e-9)
+    whole = (F.col("size") <= block) & (F.col("held") <= BLOCK_TOKENS)
+    members = materialize(related.join(counts, "component").withColumn("band", F.when(whole, 0).otherwise(F.floor(F.log("n") / wide))).drop("size", "held"))
+    chunks = F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.least(F.ceil(F.count("*") / block), F.lit(SPREAD))).cast("int")
+    w = Window.partitionBy("component").orderBy("band")
+    beside = lambda f, step: F.when(f("band").over(w) == F.col("band") + step, f("chunks").over(w)).otherwise(0)
+    bands = materialize(members.groupBy("component", "band").agg(chunks.alias("chunks")).withColumns({"below": beside(F.lag, -1), "above": beside(F.lead, 1)}))
     # no text is shuffled: rows marked by chance make sets that meet no member
     named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     wanted = marked(named, "_id", marks(members.select("rep"))).filter("_marked").select("_text")
@@ -328,19 +385,17 @@ def _components(df: DataFrame, id_col: str, text_col: str, width: int, percent:
 
     tokens = map_arrow(wanted, sets, "n long, p1 long, p2 long, tokens binary")
     once = tokens.groupBy(*SET).agg(F.any_value("tokens").alias("tokens"))
-    chunks = F.ceil(F.col("size") / block).cast("int")
-    chunk = F.pmod(F.xxhash64("cls"), chunks).cast("int")
-    shipped = (
-        members.join(once, SET)
-        .withColumn("_mine", chunk)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select(
-            F.struct("component", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j")).alias("block"),
-            F.when(F.col("_mine") == F.col("_other"), 0).when(F.col("_mine") < F.col("_other"), 1).otherwise(2).alias("side"),
-            "cls", "n", "docs", "tokens",
-        )
+    mine, band = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"), F.col("band")
+    numbers = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda low, high, i, j, side: F.struct(F.xxhash64("component", low, high, i, j).alias("block"), side.alias("side"))
+    places = F.concat(
+        F.transform(numbers("chunks"), lambda o: place(band, band, F.least("_mine", o), F.greatest("_mine", o), F.when(F.col("_mine") == o, 0).when(F.col("_mine") < o, 1).otherwise(2))),
+        F.transform(numbers("below"), lambda o: place(band - 1, band, o, F.col("_mine"), F.lit(2))),
+        F.transform(numbers("above"), lambda o: place(band, band + 1, F.col("_mine"), o, F.lit(1))),
     )
-    shipped = shipped.withColumn("block", F.xxhash64("block")).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block")
+    placed = members.join(bands, ["component", "band"]).withColumn("_mine", mine).select("cls", *SET, "docs", places.alias("places"))
+    shipped = placed.join(once, SET).select("cls", "n", "docs", "tokens", F.explode("places").alias("_place")).select("_place.block", "_place.side", "cls", "n", "docs", "tokens")
+    shipped = shipped.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block")
     found = materialize(compare_blocks(shipped, percent))
     linked = connected_components(found.filter("a <> b").select("a", "b"))
     degree = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("others"))

@@ -704,3 +704,18 @@ def test_near_duplicates_shuffle_no_text(spark):
     kept.write.format("noop").mode("overwrite").save()
     assert sum(n for f, n in shuffled(spark).items() if f not in before) < 400_000 < sum(map(len, texts)) // 4
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == sorted([*range(60), 7]) and kept.filter("doc_id is null").count() == 2
+
+
+def test_a_large_family_ships_few_sets(spark, monkeypatch):
+    rng = random.Random(7)
+    pool = [" ".join(f"{rng.getrandbits(30):x}" for _ in range(8)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(3, 16)))) for i in range(300)]
+    rows += [(1000 + i, f"{t} more") for i, t in rows[::20]]
+    shipped, compare = [], jaccard.compare_blocks
+    monkeypatch.setattr(jaccard, "compare_blocks", lambda df, percent: shipped.append(df.count()) or compare(df, percent))
+    monkeypatch.setattr(jaccard, "LONGEST", 8)
+    edges = jaccard.candidate_edges
+    monkeypatch.setattr(jaccard, "candidate_edges", lambda leads, percent: edges(leads, percent, 8))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block=4).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(tuple(r) for r in got) == sorted(plain_jaccard(rows))
+    assert shipped[0] <= 3 * jaccard.SPREAD * len(rows)  # 79 chunks of 4 before
